@@ -27,7 +27,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, written to plane files and read back."""
     path = scratch(spark, "token-ids")
-    token_planes.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_JSON), END_ID)
+    token_planes.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_JSON), public_tokenizers.PATTERN, END_ID)
     return token_planes.documents_read(spark, path)
 
 

@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm.common import slices, text_of
 
-#: Ids of a block, and words kept in a worker's memo.
-BLOCK, MEMO = 65_536, 400_000
+#: Ids of a block, and pieces kept in a worker's memo.
+BLOCK, MEMO = 65_536, 600_000
 CHUNKS = "shard int, chunk int, first long, n_ids int, planes int, plane_ends array<int>, payload binary, doc_nos array<int>, doc_ids array<long>, parts array<int>"
 
 
@@ -50,65 +52,52 @@ def unpack(n: int, planes: int, ends: list[int], payload: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.stack(flat, axis=1)).view("<u4").ravel()
 
 
-class WordEncoder:
-    """Encodes with the tokenizers library, each distinct word once while it is remembered.
+class PieceEncoder:
+    """Encodes with the tokenizers library, each distinct piece once while it is remembered.
 
-    A byte-level pre-tokenizer always cuts before a space that a visible
-    character follows, so a text may be encoded in such parts.
+    Pieces are the matches of the byte-level pre-tokenizer's pattern: the
+    library never merges across them, so a text's ids are those of its pieces.
     """
 
-    def __init__(self, raw: str):
+    def __init__(self, raw: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.memo) + len(parts) > MEMO:
-            self.memo.clear()
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        self.memo.update(zip(parts, [np.array(e.ids, "<u4").tobytes() for e in found]))
+        self.cut = regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._parts(t) for t in texts]
-        memo = self.memo
-        new = list({p for parts in split for p in parts if p not in memo})
-        if len(memo) + len(new) > MEMO:
-            new = list({p for parts in split for p in parts})
-        if new:
-            self._learn(new)
-        return [b"".join([memo[p] for p in parts]) for parts in split]
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        parts = [first] if first else []
-        for word in rest:
-            if word and not word[0].isspace() and word[0] not in "\x1c\x1d\x1e\x1f":
-                parts.append(" " + word)
-            elif parts:
-                parts[-1] += " " + word
-            else:
-                parts.append(" " + word)
-        return parts
-
-
-_encoders: dict[int, WordEncoder] = {}
-
-
-def _encoder(raw: str) -> WordEncoder:
-    if hash(raw) not in _encoders:
-        _encoders[hash(raw)] = WordEncoder(raw)
-    return _encoders[hash(raw)]
-
-
-def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, block: int = BLOCK, planes: int = 4) -> None:
+        if len(self.known) > MEMO:
+            self.known.clear()
+        cuts = [self.cut(t) for t in texts]
+        fresh = list(set().union(*cuts).difference(self.known))
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            ends = list(accumulate([4 * len(f) for f in found]))
+            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        get = self.known.__getitem__
+        return [b"".join(map(get, cut)) for cut in cuts]
+
+
+_encoders: dict[int, PieceEncoder] = {}
+
+
+def _encoder(raw: str, pattern: str) -> PieceEncoder:
+    key = hash((raw, pattern))
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(raw, pattern)
+    return _encoders[key]
+
+
+def write_ids(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end_id: int, block: int = BLOCK, planes: int = 4) -> None:
     """Encode every text of docs(doc_id, text), append end_id, write the chunks.
 
-    A null text counts as empty; rows of equal doc_id stay apart, in the order
+    pattern is the split of the tokenizer's byte-level pre-tokenizer. A null text counts as empty; rows of equal doc_id stay apart, in the order
     of their texts' hashes; a null doc_id comes first; an empty table gives an
     empty file. Other columns are left out. A shard is one range of doc_id.
     """
@@ -119,7 +108,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, bloc
         raw = spark.sparkContext.broadcast(f.read())  # a vocabulary file: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = _encoder(raw.value), TaskContext.get().partitionId()
+        encoder, shard = _encoder(raw.value, pattern), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         chunk, first, no, held, parts = 0, 0, 0, bytearray(), []
 

@@ -56,7 +56,7 @@ def test_token_files(spark, planes, block):
     tokenizer.encode_special_tokens = True
     docs = documents(spark).where("doc_id is null or doc_id <> 4")
     path = scratch(spark, "ids")
-    token_planes.write_ids(docs, path, JSON, 2, block, planes)
+    token_planes.write_ids(docs, path, JSON, P.PATTERN, 2, block, planes)
     want, start = [], 0
     for row in sorted(docs.collect(), key=lambda r: -1 if r.doc_id is None else r.doc_id):
         ids = tokenizer.encode(row.text or "", add_special_tokens=False).ids + [2]
@@ -68,7 +68,7 @@ def test_token_files(spark, planes, block):
 
 def test_token_files_of_nothing(spark):
     path = scratch(spark, "ids")
-    token_planes.write_ids(documents(spark, []), path, JSON, 2)
+    token_planes.write_ids(documents(spark, []), path, JSON, P.PATTERN, 2)
     assert token_planes.documents_read(spark, path).count() == 0
 
 
