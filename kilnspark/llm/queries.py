@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kilnspark.llm import bpe, mixing, simhash, token_planes
-from kilnspark.llm.common import scratch, table
+from kilnspark.llm import bpe, lz_dedup, maxent_lm, mixing, multi_index, order_minhash, quality, simhash, suffix_dedup, token_planes
+from kilnspark.llm.common import crc_class, scratch, table
 
 BYTE_RANKS, BYTE_JSON, END_ID = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 2
 SOURCE_WEIGHTS, MIX_SHARE, MIX_MOST = [3, 1, 2], 1.5, 2
@@ -19,11 +20,31 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix to source weights takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, MIX_SHARE, MIX_MOST)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every text; one id class in four never teaches."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_class(4) == 2)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without its repeated 400-byte strings."""
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the 13-word windows of smaller documents."""
+    return lz_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, written to plane files and read back."""
     path = scratch(spark, "token-ids")
@@ -31,16 +52,24 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.documents_read(spark, path)
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for each hundredth vector."""
+    return multi_index.search(table(spark, sf_dir, "embeddings"), every=100, top=10)
+
+
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every text; one id class in seven is held out."""
+    return maxent_lm.scores(table(spark, sf_dir, "documents"), crc_class(7) != 2, crc_class(7) == 2)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and their components."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_byte_bpe": op1_byte_bpe,
-    "op3_source_mixing": op3_source_mixing,
-    "op7_token_planes": op7_token_planes,
-    "op10_simhash": op10_simhash,
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_order_minhash, op3_source_mixing, op4_quality, op5_suffix_dedup, op6_substring_dedup, op7_token_planes, op8_multi_index, op9_maxent_lm, op10_simhash)
 }
 
 ORACLE: dict[str, str] = {
