@@ -3,9 +3,9 @@
 The two halves of a vector are quantised on their own; a pair of centroids is
 a cell. A query visits cells by the sum of its two halves' distances to their
 centroids, with a heap, until the cells seen hold `share` of all distinct
-vectors. Cells and queries are cut into bounded blocks, one task ranks a block
-of vectors for a block of queries by exact distance, and each query's best of
-all blocks are its result. Equal vectors count as one in the index, with the
+vectors. The cells of one first centroid are cut into bounded blocks of
+vectors; a task ranks a block's vectors, those of visited cells, for a block of
+queries by exact distance, and each query's best of all blocks are its result. Equal vectors count as one in the index, with the
 smallest of their ids that any result can need.
 """
 
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from kilnspark.llm.common import stored
 
 #: Centroids of a half; rows that the quantisers are fitted on at most; vectors and queries of a block.
-CENTROIDS, SAMPLE, VECTORS, QUERIES = 32, 20_000, 2048, 4096
+CENTROIDS, SAMPLE, VECTORS, QUERIES = 64, 20_000, 2048, 4096
 #: Least share of the distinct vectors that a query's cells hold together.
-SHARE = 0.25
+SHARE = 0.5
 
 
 def kmeans(rows: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -118,7 +118,7 @@ def search(vectors: DataFrame, every: int = 100, top: int = 10, share: float = S
     for cell, n in sizes.items():
         counts[cell] = n
     want = max(2 * top, int(np.ceil(share * counts.sum())))
-    blocks = -(-counts // VECTORS)
+    blocks = np.maximum(1, -(-counts.reshape(len(left), -1).sum(1) // VECTORS))
     plan = spark.sparkContext.broadcast((counts, blocks))
 
     asked = own.where(F.col("vec_id") % every == 0).select("vec_id", "vec").dropDuplicates(["vec_id"])
@@ -129,35 +129,41 @@ def search(vectors: DataFrame, every: int = 100, top: int = 10, share: float = S
         for batch in batches:
             rows = _matrix(batch.column(1))
             d1, d2 = squares(rows[:, :half], a), squares(rows[:, rest:], b)
-            at, cells, parts = [], [], []
+            at, groups, cells, parts = [], [], [], []
             for q in range(len(rows)):
+                seen: dict[int, list[int]] = {}
                 for cell in visit(d1[q], d2[q], held, want):
-                    n = int(cut[cell])
+                    seen.setdefault(cell // len(b), []).append(cell)
+                for group, own in seen.items():
+                    n = int(cut[group])
                     at += [q] * n
-                    cells += [cell] * n
+                    groups += [group] * n
+                    cells += [own] * n
                     parts += range(n)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cells, pa.int32()), pa.array(parts, pa.int32())], ["vec_id", "vec", "cell", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(groups, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(parts, pa.int32())], ["vec_id", "vec", "group", "cells", "part"])
 
     turn = F.pmod(F.xxhash64("vec_id"), F.lit(n_turns)).cast("int").alias("turn")
-    probes = asked.mapInArrow(probe, "vec_id long, vec array<double>, cell int, part int").select("*", turn)
-    number = F.get(F.array(*[F.lit(int(x)) for x in blocks]), F.col("cell"))
-    dealt = index.select("ids", "vec", "cell", F.pmod("h1", number).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_turns - 1))).alias("turn"))
+    probes = asked.mapInArrow(probe, "vec_id long, vec array<double>, group int, cells array<int>, part int").select("*", turn)
+    number = F.get(F.array(*[F.lit(int(x)) for x in blocks]), F.col("group"))
+    grouped = index.withColumn("group", F.floor(F.col("cell") / len(right)).cast("int"))
+    dealt = grouped.select("ids", "vec", "cell", "group", F.pmod("h1", number).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_turns - 1))).alias("turn"))
 
     def rank(queries: pa.Table, block: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if queries.num_rows and block.num_rows:
-            rows, ids = _matrix(block.column("vec").combine_chunks()), block.column("ids").to_pylist()
-            asked_rows = _matrix(queries.column("vec").combine_chunks())
-            for q, own_id in zip(asked_rows, queries.column("vec_id").to_pylist()):
-                far = np.sqrt(((rows - q) ** 2).sum(1))
+            every_row, every_id = _matrix(block.column("vec").combine_chunks()), block.column("ids").to_pylist()
+            own_cell, asked_rows = block.column("cell").to_numpy(), _matrix(queries.column("vec").combine_chunks())
+            for q, own_id, cells in zip(asked_rows, queries.column("vec_id").to_pylist(), queries.column("cells").to_pylist()):
+                at = np.flatnonzero(np.isin(own_cell, cells))
+                far = np.sqrt(((every_row[at] - q) ** 2).sum(1))
                 edge = np.partition(far, top)[top] if len(far) > top + 1 else np.inf
-                best = sorted((float(far[i]), v) for i in np.flatnonzero(far <= edge) for v in ids[i] if v != own_id)[:top]
+                best = sorted((float(far[i]), v) for i in np.flatnonzero(far <= edge) for v in every_id[at[i]] if v != own_id)[:top]
                 out += [(own_id, v, d) for d, v in best]
         cols = list(zip(*out)) or [[]] * 3
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.float64()])], ["query_id", "vec_id", "score"])
 
-    keys = ["cell", "part", "turn"]
+    keys = ["group", "part", "turn"]
     found = probes.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
