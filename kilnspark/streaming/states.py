@@ -19,10 +19,12 @@ def _rows(batches: Iterator[pd.DataFrame], order: str) -> Iterator[Any]:
         yield from pd.concat(frames).sort_values(order, kind="stable").itertuples(index=False)
 
 
-def stream_rate_limit(hits: DataFrame, limit: int, window: float, idle: str = "1 hour") -> DataFrame:
-    """hits(key, at) with accepted; a key idle for an hour is forgotten."""
+def stream_rate_limit(hits: DataFrame, limit: int, window: float, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """hits(key, at) with accepted; a key idle for that long, by the clock, is forgotten (None: never).
+
+    A query with a clock timeout looks for idle keys for as long as it runs.
+    """
     step = rate_step(limit, window)
-    ms = 3_600_000 if idle == "1 hour" else int(idle)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,10 +35,11 @@ def stream_rate_limit(hits: DataFrame, limit: int, window: float, idle: str = "1
             held, (ok,) = step(held, row)
             out.append((key[0], row.at, ok))
         state.update((list(held),))
-        state.setTimeoutDuration(ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "at", "accepted"])
 
-    return hits.groupBy("key").applyInPandasWithState(run, "key string, at double, accepted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("key").applyInPandasWithState(run, "key string, at double, accepted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_job_state(changes: DataFrame) -> DataFrame:

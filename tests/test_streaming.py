@@ -1,6 +1,7 @@
 """Streams against their batch twins."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,9 @@ from kilnspark.streaming import states
 
 def feed(spark, tmp_path, rows, schema):
     for i in range(0, len(rows), 3):
-        (tmp_path / f"{i:03}.json").write_text("\n".join(json.dumps(r) for r in rows[i : i + 3]))
+        file = tmp_path / f"{i:03}.json"
+        file.write_text("\n".join(json.dumps(r) for r in rows[i : i + 3]))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # files arrive in this order
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
 
 
@@ -25,7 +28,7 @@ def run(df, name, mode="append"):
 
 def test_rate_limit(spark, tmp_path):
     rows = [{"key": "ab"[i % 2], "at": float(i)} for i in range(12)]
-    got = {(r.key, r.at): r.accepted for r in run(states.stream_rate_limit(feed(spark, tmp_path, rows, "key string, at double"), 2, 6), "rate")}
+    got = {(r.key, r.at): r.accepted for r in run(states.stream_rate_limit(feed(spark, tmp_path, rows, "key string, at double"), 2, 6, None), "rate")}
     want = {(r.key, r.at): r.accepted for r in folds.rate_limit(spark.createDataFrame([(r["key"], r["at"]) for r in rows], "key string, at double"), ["key"], ["at"], 2, 6).collect()}
     assert got == want
 
