@@ -3,10 +3,10 @@
 A text is a sequence of units (bytes or words). Each window of `length` units
 has one anchor: the position in it whose run of `gram` units hashes lowest,
 leftmost on ties. Equal windows have their anchor at the same place, so two of
-them meet under the anchor's key. All that may surround an anchor within one
-of its windows is its region. Regions that are equal settle all their windows
-at once, by their hashes; only anchors whose key stands in different regions
-need a look at the units.
+them meet under the anchor's key. The windows of an anchor start side by side; what
+they cover is its region. Regions that are equal settle all their windows at
+once, by their hashes; only anchors whose key stands in different regions need
+a look at the units.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import slices, text_of
+from kilnspark.llm.common import slices, stored, text_of
 
 LAST = 2**63 - 1
 #: The bits of a packed place: a text hash above, a position below.
@@ -64,19 +64,22 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchor_places(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors' positions, ascending, and their keys."""
+def anchor_places(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors' positions, ascending, their keys, and the starts of the first and last window of each."""
     if len(units) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
     hashes = gram_hashes(units, gram)
-    width, found = length - gram + 1, []
+    width, found, starts = length - gram + 1, [], []
     for at in range(0, len(hashes) - width + 1, _STEP):  # positions fit in 24 bits
         part = hashes[at : at + _STEP + width - 1]
         low = window_minima((part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64), width)
-        low = low[np.concatenate([[True], low[1:] != low[:-1]])]
-        found.append((low & np.uint64((1 << 24) - 1)).astype(np.int64) + at)
-    places = np.unique(np.concatenate(found))
-    return places, hashes[places]
+        turns = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        found.append((low[turns] & np.uint64((1 << 24) - 1)).astype(np.int64) + at)
+        starts.append(turns + at)
+    places, where = np.unique(np.concatenate(found), return_index=True)
+    first = np.concatenate(starts)[where]
+    return places, hashes[places], first, np.concatenate([first[1:], [len(hashes) - width + 1]]) - 1
 
 
 def identity() -> list[Column]:
@@ -85,34 +88,51 @@ def identity() -> list[Column]:
 
 
 def find(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, Callable[[int, int], bytes]]], length: int, gram: int) -> DataFrame:
-    """(key, region, ord, place) for each anchor of docs(doc_id, text).
+    """(key, region, ord, place, back, size) for each anchor of docs(doc_id, text).
 
     cut gives a text's units as integers and a function for the bytes of a
     range of them. region: 64 bits of a hash of the region's units and of where
-    the anchor lies in it; place: th << 32 | position.
+    the anchor lies in it; place: th << 32 | position; back: units of the
+    region before the anchor; size: all units of the region.
     """
-    ahead = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, regions, ords, places = [], [], [], []
+            keys, regions, ords, places, backs, sizes = [], [], [], [], [], []
             for order, th, text in zip(*(c.to_pylist() for c in batch.columns)):
                 units, bytes_of = cut(text)
-                at, found = anchor_places(units, length, gram)
-                n, digest = len(units), hashlib.blake2b
-                for p in at.tolist():
-                    lo = p - ahead if p > ahead else 0
-                    regions.append(digest(bytes_of(lo, min(n, p + length)), digest_size=8, salt=(p - lo).to_bytes(4, "little")).digest())
+                at, found, first, last = anchor_places(units, length, gram)
+                digest = hashlib.blake2b
+                for lo, hi, back in zip(first.tolist(), (last + length).tolist(), (at - first).tolist()):
+                    regions.append(digest(bytes_of(lo, hi), digest_size=8, salt=back.to_bytes(4, "little")).digest())
+                backs.append(at - first)
+                sizes.append(last + length - first)
                 keys.append(found)
                 ords.append(np.full(len(at), order, np.int64))
                 places.append((th << PLACE) + at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.frombuffer(b"".join(regions), "<i8")), pa.array(np.concatenate(ords)), pa.array(np.concatenate(places))],
-                ["key", "region", "ord", "place"],
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.frombuffer(b"".join(regions), "<i8"))]
+                + [pa.array(np.concatenate(x)) for x in (ords, places)]
+                + [pa.array(np.concatenate(x).astype(np.int32)) for x in (backs, sizes)],
+                ["key", "region", "ord", "place", "back", "size"],
             )
 
     own = docs.select(*identity(), F.encode(text_of(), "utf-8").alias("text"))
-    return own.mapInArrow(run, "key long, region long, ord long, place long")
+    return own.mapInArrow(run, "key long, region long, ord long, place long, back int, size int")
+
+
+def repeated(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The anchors whose key stands more than once, and their regions (key, region, n, ord, place, back, size).
+
+    n: how often the region stands; the others: its first place. Counts are
+    summed before they move, and both sides of each join are tables, whose hot
+    keys Spark can split: no key's rows have to meet in one task.
+    """
+    found = stored(found, "found")
+    keys = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
+    work = stored(found.join(keys.hint("merge"), "key", "left_semi"), "anchors")
+    heads = work.groupBy("key", "region").agg(F.count("*").alias("n"), F.min(F.struct("ord", "place", "back", "size")).alias("head"))
+    return work, stored(heads.select("key", "region", "n", "head.*"), "heads")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -130,23 +150,26 @@ def unpacked(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-def regions(docs: DataFrame, asked: DataFrame, cut: Callable, length: int, gram: int) -> DataFrame:
-    """(key, region, ord, th, at, anchor, crowded, units binary) for asked(key, region, ord, place, crowded)."""
-    ahead = length - gram
-    wanted = asked.select("ord", F.shiftright("place", PLACE).alias("th"), F.struct("key", "region", F.col("place").bitwiseAND(F.lit(2**PLACE - 1)).alias("p"), "crowded").alias("a"))
+def begin() -> Column:
+    """Where the region of a place begins."""
+    return F.col("place").bitwiseAND(F.lit(2**PLACE - 1)) - F.col("back")
+
+
+def regions(docs: DataFrame, asked: DataFrame, cut: Callable) -> DataFrame:
+    """(key, region, ord, th, at, crowded, lone, units binary) for asked(heads' columns, crowded); at: where it begins; lone: n is 1."""
+    wanted = asked.select("ord", F.shiftright("place", PLACE).alias("th"), F.struct("key", "region", begin().alias("at"), "size", "crowded", (F.col("n") == 1).alias("lone")).alias("a"))
     wanted = wanted.groupBy("ord", "th").agg(F.collect_list("a").alias("asked"))  # the anchors of one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             out = []
             for row in batch.to_pylist():
-                units, bytes_of = cut(unpacked(row["z"]))
+                bytes_of = cut(unpacked(row["z"]))[1]
                 for a in row["asked"]:
-                    lo = max(0, a["p"] - ahead)
-                    out.append((a["key"], a["region"], row["ord"], row["th"], lo, a["p"] - lo, a["crowded"], bytes_of(lo, min(len(units), a["p"] + length))))
+                    out.append((a["key"], a["region"], row["ord"], row["th"], a["at"], a["crowded"], a["lone"], bytes_of(a["at"], a["at"] + a["size"])))
             cols = list(zip(*out)) or [[]] * 8
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["key", "region", "ord", "th", "at", "anchor", "crowded", "units"])
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["key", "region", "ord", "th", "at", "crowded", "lone", "units"])
 
     moved = packed(docs).join(wanted.hint("merge"), ["ord", "th"])
-    return moved.mapInArrow(run, "key long, region long, ord long, th long, at long, anchor int, crowded boolean, units binary")
+    return moved.mapInArrow(run, "key long, region long, ord long, th long, at long, crowded boolean, lone boolean, units binary")

@@ -22,8 +22,8 @@ from kilnspark.llm import anchors
 from kilnspark.llm.common import slices, stored
 from kilnspark.llm.suffix_dedup import merged
 
-#: Words of a window; words of an anchor's run; regions of a key beyond which its windows are counted one by one.
-LENGTH, GRAM, CROWD, MEMO = 13, 4, 64, 500_000
+#: Words of a window; words of an anchor's run; regions of a key beyond which its windows are counted one by one; windows that a task holds.
+LENGTH, GRAM, CROWD, MEMO, ROOM = 13, 4, 64, 500_000, 200_000
 
 
 class _Hashes(dict):
@@ -107,40 +107,50 @@ def _parse(length: int):
     return run
 
 
-def _windows(length: int):
-    """(key, region, ord, start, window) for each window of a crowded key's regions."""
+def _windows(length: int, room: int):
+    """(window binary, least, keys, regions, ords, starts) of the windows of crowded keys' regions.
+
+    A task's equal windows make one row: least is their least ord, the lists
+    hold their places.
+    """
+
+    def rows(held: dict) -> pa.RecordBatch:
+        cols = list(zip(*((w, min(x[2]), *x) for w, x in held.items()))) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.binary(), pa.int64()] + [pa.list_(pa.int64())] * 4)], ["window", "least", "keys", "regions", "ords", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for batch in slices(batches, 1024):
-            out = []
             for k, region, o, units in zip(*(batch.column(c).to_pylist() for c in ("key", "region", "ord", "units"))):
                 for s in range(len(units) // 8 - length + 1):
-                    out.append((k, region, o, s, xxhash.xxh128_digest(units[8 * s : 8 * (s + length)])))
-            cols = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int64()] * 3 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], ["key", "region", "ord", "start", "window"])
+                    seen = held.setdefault(xxhash.xxh128_digest(units[8 * s : 8 * (s + length)]), ([], [], [], []))
+                    for place, x in zip(seen, (k, region, o, s)):
+                        place.append(x)
+                    size += 1
+            if size >= room:
+                yield rows(held)
+                held, size = {}, 0
+        yield rows(held)
 
     return run
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(ord, th, lo, hi): word intervals that together cover each window that a smaller document holds."""
-    found = anchors.find(docs, cut, length, gram)
-    key, same = Window.partitionBy("key"), Window.partitionBy("key", "region")
-    told = found.withColumn("least", F.min("ord").over(key)).withColumn("first", F.min("ord").over(same)).withColumn("turn", F.row_number().over(same.orderBy("ord", "place")))
-    told = told.withColumn("open", (F.col("ord") == F.col("first")) & (F.col("first") > F.col("least")))
-    told = told.withColumn("any", F.max("open").over(key)).withColumn("kinds", F.sum((F.col("turn") == 1).cast("long")).over(key))
-    work = stored(told.where("ord > first or any").drop("least"), "anchors")
-    p = F.col("place").bitwiseAND(F.lit(2**anchors.PLACE - 1))
-    th, lo = F.shiftright("place", anchors.PLACE).alias("th"), F.greatest(F.lit(0), p - (length - gram)).alias("lo")
-    whole = work.where("ord > first").select("ord", th, lo, (p + length).alias("hi"))
-    parts = stored(anchors.regions(docs, work.where("turn = 1 and any").withColumn("crowded", F.col("kinds") > crowd), cut, length, gram).select("key", "region", "ord", "crowded", "units"), "regions")
+    work, heads = anchors.repeated(anchors.find(docs, cut, length, gram))
+    th, lo = F.shiftright("place", anchors.PLACE).alias("th"), anchors.begin().alias("lo")
+    firsts = heads.where("n > 1").select("key", "region", F.col("ord").alias("first"))
+    whole = work.join(firsts.hint("merge"), ["key", "region"]).where("ord > first").select("ord", th, lo, (lo + F.col("size")).alias("hi"))
+    about = heads.groupBy("key").agg(F.count("*").alias("kinds"), F.min("ord").alias("least"), F.max("ord").alias("most")).where("most > least")
+    asked = heads.join(stored(about.select("key", (F.col("kinds") > crowd).alias("crowded")), "keys").hint("merge"), "key")
+    parts = stored(anchors.regions(docs, asked, cut).select("key", "region", "ord", "crowded", "units"), "regions")
     parsed = parts.where("not crowded").drop("crowded").repartition("key").sortWithinPartitions("key", "ord").mapInArrow(_parse(length), "key long, region long, ord long, starts array<int>")
-    each = parts.where("crowded").mapInArrow(_windows(length), "key long, region long, ord long, start int, window binary")
-    earliest = each.groupBy("key", "window").agg(F.min("ord").alias("first"))
-    late = each.join(earliest.hint("merge"), ["key", "window"]).where("ord > first").groupBy("key", "region", "ord").agg(F.collect_list("start").alias("starts"))
-    hits = parsed.unionAll(late.select("key", "region", "ord", "starts")).withColumnRenamed("ord", "first")
-    opened = work.where("open").join(hits.hint("merge"), ["key", "region", "first"]).select("ord", th, lo, F.explode("starts").alias("s"))
+    each = parts.where("crowded").mapInArrow(_windows(length, ROOM), "window binary, least long, keys array<long>, regions array<long>, ords array<long>, starts array<long>")
+    first = F.min("least").over(Window.partitionBy("window"))  # a window has one row a task
+    late = each.withColumn("first", first).where("array_max(ords) > first").select("first", F.explode(F.arrays_zip("keys", "regions", "ords", "starts")).alias("at")).where("at.ords > first")
+    late = late.groupBy(F.col("at.keys").alias("key"), F.col("at.regions").alias("region"), F.col("at.ords").alias("ord")).agg(F.collect_list(F.col("at.starts").cast("int")).alias("starts"))
+    hits = parsed.unionAll(late)
+    opened = work.join(hits.hint("merge"), ["key", "region", "ord"]).select("ord", th, lo, F.explode("starts").alias("s"))
     return whole.unionAll(opened.select("ord", "th", (F.col("lo") + F.col("s")).alias("lo"), (F.col("lo") + F.col("s") + length).alias("hi")))
 
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from kilnspark.llm import anchors
 from kilnspark.llm.common import slices, stored
 
-#: Bytes of a string; bytes of an anchor's run; regions of a key beyond which its windows are counted one by one; bytes of a transform.
-LENGTH, GRAM, CROWD, BATCH = 400, 64, 1000, 1 << 20
+#: Bytes of a string; bytes of an anchor's run; regions of a key beyond which its windows are counted one by one; bytes of a transform; windows that a task holds.
+LENGTH, GRAM, CROWD, BATCH, ROOM = 400, 64, 1000, 1 << 20, 200_000
 
 
 def cut(text: bytes):
@@ -140,40 +140,51 @@ def _expand(length: int, batch_bytes: int):
     return run
 
 
-def _windows(length: int, gram: int):
-    """(ord, th, lo, window binary) for each window of a crowded key's regions that has this anchor."""
+def _windows(length: int, room: int):
+    """(window binary, n, ords, ths, los) of the windows of crowded keys' regions.
+
+    A task's equal windows make one row: n counts them, the lists hold their
+    places. A region that stands more than once is known to go; it counts twice
+    and gives no place.
+    """
+
+    def rows(held: dict) -> pa.RecordBatch:
+        cols = list(zip(*((w, *x) for w, x in held.items()))) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.binary(), pa.int64()] + [pa.list_(pa.int64())] * 3)], ["window", "n", "ords", "ths", "los"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for batch in slices(batches, 64):
-            out = []
-            for order, th, at, anchor, units in zip(*(batch.column(c).to_pylist() for c in ("ord", "th", "at", "anchor", "units"))):
-                hashes = anchors.gram_hashes(np.frombuffer(units, np.uint8), gram)
-                low = anchors.window_minima((hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
-                for s in np.flatnonzero((low & np.uint64((1 << 24) - 1)).astype(np.int64) == anchor).tolist():
-                    out.append((order, th, at + s, hashlib.blake2b(units[s : s + length], digest_size=16).digest()))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.binary()])], ["ord", "th", "lo", "window"])
+            for order, th, at, lone, units in zip(*(batch.column(c).to_pylist() for c in ("ord", "th", "at", "lone", "units"))):
+                for s in range(len(units) - length + 1):
+                    seen = held.setdefault(hashlib.blake2b(units[s : s + length], digest_size=16).digest(), [0, [], [], []])
+                    seen[0] += 1 if lone else 2
+                    if lone:
+                        for place, x in zip(seen[1:], (order, th, at + s)):
+                            place.append(x)
+                    size += 1
+            if size >= room:
+                yield rows(held)
+                held, size = {}, 0
+        yield rows(held)
 
     return run
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(ord, th, lo, hi): byte intervals that together cover each repeated string of docs."""
-    found = anchors.find(docs, cut, length, gram)
-    key, same = Window.partitionBy("key"), Window.partitionBy("key", "region")
-    told = found.withColumn("n", F.count("*").over(same)).withColumn("first", F.row_number().over(same.orderBy("ord", "place")) == 1)
-    told = told.withColumn("kinds", F.sum(F.col("first").cast("long")).over(key)).withColumn("lone", F.max(F.col("n") == 1).over(key))
-    work = stored(told.where("n > 1 or kinds > 1"), "anchors")
-    p = F.col("place").bitwiseAND(F.lit(2**anchors.PLACE - 1))
-    whole = work.where("n > 1").select("ord", F.shiftright("place", anchors.PLACE).alias("th"), F.greatest(F.lit(0), p - (length - gram)).alias("lo"), (p + length).alias("hi"))
-    asked = work.where("first and lone and kinds > 1").withColumn("crowded", F.col("kinds") > crowd)
-    parts = stored(anchors.regions(docs, asked, cut, length, gram), "regions")
+    work, heads = anchors.repeated(anchors.find(docs, cut, length, gram))
+    again = work.join(heads.where("n > 1").select("key", "region").hint("merge"), ["key", "region"], "left_semi")
+    whole = again.select("ord", F.shiftright("place", anchors.PLACE).alias("th"), anchors.begin().alias("lo"), (anchors.begin() + F.col("size")).alias("hi"))
+    about = heads.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("lone")).where("kinds > 1 and lone")
+    asked = heads.join(stored(about.select("key", (F.col("kinds") > crowd).alias("crowded")), "keys").hint("merge"), "key")
+    parts = stored(anchors.regions(docs, asked, cut), "regions")
     few = parts.where("not crowded").select("key", "ord", "th", "at", "units").repartition("key").sortWithinPartitions("key")
     mixed = few.mapInArrow(_expand(length, BATCH), "ord long, th long, lo long, hi long")
-    each = parts.where("crowded").mapInArrow(_windows(length, gram), "ord long, th long, lo long, window binary")
-    counts = each.distinct().groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-    many = each.join(counts.hint("merge"), "window").select("ord", "th", "lo", (F.col("lo") + length).alias("hi"))
-    return whole.unionAll(mixed).unionAll(many)
+    each = parts.where("crowded").mapInArrow(_windows(length, ROOM), "window binary, n long, ords array<long>, ths array<long>, los array<long>")
+    many = each.withColumn("all", F.sum("n").over(Window.partitionBy("window"))).where("all > 1 and size(los) > 0")  # a window has one row a task
+    many = many.select(F.explode(F.arrays_zip("ords", "ths", "los")).alias("at")).select(F.col("at.ords").alias("ord"), F.col("at.ths").alias("th"), F.col("at.los").alias("lo"))
+    return whole.unionAll(mixed).unionAll(many.withColumn("hi", F.col("lo") + length))
 
 
 def merged(intervals: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
