@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm.common import slices, text_of
 
+#: N-gram starts hashed at a time; multipliers of the n-gram hash; the feature of a word after itself.
+STEP, ODD, MIX, AGAIN = 1 << 20, np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15), zlib.crc32(b"\0again")
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -36,25 +39,31 @@ class Settings:
     seed: int = 11
 
 
-def features(word: str, s: Settings) -> list[int]:
-    """Buckets of the word and of its character n-grams, word ends marked."""
-    marked = f"<{word}>"
-    n, crc = len(marked), zlib.crc32
-    out = [crc(b"w" + word.encode())]
-    for size in range(s.shortest, min(s.longest, n) + 1):
-        out += [crc(marked[i : i + size].encode()) for i in range(n - size + 1)]
-    return [x % s.buckets for x in out]
+def features(words: list[str], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in words, bucket) of the words and of their character n-grams, word ends marked; STEP n-gram starts at a time."""
+    n = len(words)
+    yield np.arange(n), np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, n) % s.buckets
+    lengths = np.fromiter(map(len, words), np.int64, n) + 2
+    codes = np.frombuffer(("".join(f"<{w}>" for w in words) + "\0" * s.longest).encode("utf-32-le"), "<u4")
+    owner, ends = np.repeat(np.arange(n, dtype=np.int32), lengths), lengths.cumsum()
+    for at in range(0, len(owner), STEP):
+        own = owner[at : at + STEP]
+        room = ends[own] - np.arange(at, at + len(own))
+        mixed = np.zeros(len(own), np.uint64)
+        for size in range(1, s.longest + 1):
+            mixed = mixed * ODD + codes[at + size - 1 : at + size - 1 + len(own)]
+            if size >= s.shortest:
+                fits = room >= size
+                high = (mixed[fits] + np.uint64(size)) * MIX >> np.uint64(32)
+                yield own[fits], (high % np.uint64(s.buckets)).astype(np.int64)
 
 
 def counted(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and how often each occurs; a word after itself is a feature too."""
-    words, last, found = text.split(), None, []
-    for word in words:
-        found += features(word, s)
-        if word == last:
-            found.append(zlib.crc32(b"again") % s.buckets)
-        last = word
-    return np.unique(np.array(found, np.int64), return_counts=True)
+    words = text.split()
+    again = [AGAIN % s.buckets] * sum(map(str.__eq__, words, words[1:]))
+    found = [np.array(again, np.int64), *(at for _, at in features(words, s))]
+    return np.unique(np.concatenate(found), return_counts=True)
 
 
 def train(rows: list[tuple[str, int]], s: Settings) -> tuple[np.ndarray, float]:
@@ -92,20 +101,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, teaches: Column, s: Settin
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-class _Words(dict):
-    """Word to (sum of its features' weights, number of features)."""
-
-    def __init__(self, weights: np.ndarray, s: Settings):
-        super().__init__()
-        self.weights, self.settings = weights, s
-
-    def __missing__(self, word: str):
-        at = features(word, self.settings)
-        got = (float(self.weights[at].sum()), len(at))
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = got
-        return got
+def word_sums(words: list[str], weights: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the sum of its features' weights and the number of its features."""
+    total, n = np.zeros(len(words)), np.zeros(len(words), np.int64)
+    for own, at in features(words, s):
+        total += np.bincount(own, weights[at], minlength=len(words))
+        n += np.bincount(own, minlength=len(words))
+    return total, n
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings) -> DataFrame:
@@ -113,15 +115,19 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings) -> Da
     model = docs.sparkSession.sparkContext.broadcast(weights)  # s.buckets numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, again = _Words(model.value, s), float(model.value[zlib.crc32(b"again") % s.buckets])
-        get = words.__getitem__
+        weights = model.value
+        again = float(weights[AGAIN % s.buckets])
         for batch in slices(batches):
-            scores = []
+            place: dict[str, int] = {}
+            docs, twice = [], []
             for text in batch.column(1):
-                split = text.as_py().split()
-                total, n = (sum(x) for x in zip(*map(get, split))) if split else (0.0, 0)
-                twice = sum(map(str.__eq__, split, split[1:]))
-                logit = bias + (total + twice * again) / max(1, n + twice)
+                words = text.as_py().split()
+                docs.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)))
+                twice.append(int((docs[-1][1:] == docs[-1][:-1]).sum()))
+            total, n = word_sums(list(place), weights, s)
+            scores = []
+            for at, doubled in zip(docs, twice):
+                logit = bias + (total[at].sum() + doubled * again) / max(1, n[at].sum() + doubled)
                 scores.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
