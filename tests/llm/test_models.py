@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,23 @@ from kilnspark.llm.common import crc_class
 from .data import documents, prose
 
 
+def test_quality_features_are_those_of_each_word(monkeypatch):
+    s = quality.Settings()
+    words = ["", "a", "straße", "日本語の文章", "x" * 40, "a"]
+    whole = [(own.tolist(), at.tolist()) for own, at in quality.features(words, s)]
+    counts = np.zeros(len(words), int)
+    for own, _ in whole:
+        np.add.at(counts, own, 1)
+    assert counts.tolist() == [1 + sum(max(0, len(w) + 3 - k) for k in (2, 3, 4)) for w in words]
+    weights = np.random.default_rng(1).random(s.buckets)
+    total, n = quality.word_sums(words, weights, s)
+    monkeypatch.setattr(quality, "STEP", 7)
+    again, m = quality.word_sums(words, weights, s)
+    assert np.allclose(total, again) and (n == m).all() and (n == counts).all()
+    alone = [quality.word_sums([w], weights, s)[0][0] for w in words]
+    assert np.allclose(total, alone) and total[1] == total[5]
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(1)
     rows, labels = [], []
