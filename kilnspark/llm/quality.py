@@ -147,3 +147,17 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     rows = training_rows(docs, labels, F.col("doc_id").isNotNull() & ~held_out, s)
     weights, bias = train(rows, s) if rows else (np.zeros(s.buckets, np.float32), 0.0)
     return scored(docs, weights, bias, s).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
+    """The rows of docs whose own text scores threshold or more; all rows if nothing teaches.
+
+    A score comes from the text alone, so rows are judged by the text's hash and ids may be null or shared.
+    """
+    s = settings or Settings()
+    rows = training_rows(docs, labels, F.col("doc_id").isNotNull() & ~held_out, s)
+    if not rows:
+        return docs
+    own = F.xxhash64(text_of())
+    bad = scored(docs.select(own.alias("doc_id"), "text"), *train(rows, s), s).where(F.col("score") < threshold).select(F.col("doc_id").alias("_of")).distinct()
+    return docs.join(bad.hint("merge"), own == F.col("_of"), "left_anti")
