@@ -10,9 +10,9 @@ from kilnspark.operators import collections, layout
 from kilnspark.plans.registry import query
 
 
-def runs(t):
-    """A conversation is a page, a turn a run."""
-    text = F.substring("text", 1, 40)
+def runs(t, most=None):
+    """A conversation is a page, a turn a run: its whole text, or most characters where a query's SQL says so."""
+    text = F.substring("text", 1, most) if most else F.col("text")
     return t("conversations").select(
         F.col("conv_id").alias("doc_id"), F.lit(0).alias("page_index"), F.col("turn").cast("int").alias("ordinal"), text.alias("text"), F.sha2(text, 256).alias("text_hash"), F.sha2(F.col("conv_id").cast("string"), 256).alias("source_hash"),
         (F.col("role") != "system").alias("editable"), s.run_id(F.lit(0), F.col("turn"), text, F.sha2(F.col("conv_id").cast("string"), 256)).alias("run_id"),
@@ -44,7 +44,7 @@ def r3(t):
 
 def edits(t):
     """An edit for each run, some of them under another ordinal or id."""
-    r = runs(t)
+    r = runs(t, 40)
     return r.select(F.concat_ws("-", "doc_id", "ordinal").alias("edit_id"), "doc_id", "page_index", F.when(F.col("ordinal") % 3 == 0, F.col("run_id")).otherwise("gone").alias("run_id"), F.when(F.col("ordinal") % 3 == 2, F.col("ordinal") + 50).otherwise(F.col("ordinal")).alias("ordinal"), F.concat(F.lit(" "), "text").alias("original_text"), "text_hash", F.lit("new").alias("replacement"))
 
 
@@ -52,13 +52,13 @@ def edits(t):
 n AS (SELECT e.edit_id, any_value(e.own) AS own, any_value(e.want) AS want, count(*) AS n, arg_min(r.ordinal, abs(r.ordinal - e.want) * 1000 + r.ordinal) AS near FROM e JOIN runs r USING (doc_id, key) GROUP BY e.edit_id)
 SELECT edit_id, CASE WHEN own % 3 = 0 THEN 0 WHEN own % 3 = 1 THEN 1 WHEN n = 1 THEN 3 ELSE 4 END AS tier, CASE WHEN own % 3 < 2 THEN own ELSE near END AS run_ordinal FROM n""")
 def r4(t):
-    return layout.resolve_edits(edits(t), runs(t)).select("edit_id", "tier", "run_ordinal")
+    return layout.resolve_edits(edits(t), runs(t, 40)).select("edit_id", "tier", "run_ordinal")
 
 
 @query("d4_apply_text_edits", "SELECT conv_id AS doc_id, turn::INT AS ordinal, CASE WHEN turn % 3 = 0 THEN 'new' ELSE left(text, 40) END AS text FROM conversations")
 def d4(t):
     some = edits(t).where("run_id <> 'gone'")
-    return layout.apply_edits(runs(t), some).select("doc_id", "ordinal", "text")
+    return layout.apply_edits(runs(t, 40), some).select("doc_id", "ordinal", "text")
 
 
 @query("d3_verify_edits", "SELECT conv_id || '-' || turn AS edit_id, CASE WHEN turn % 4 = 1 THEN 'stale source' WHEN turn % 4 = 2 THEN 'changed text' WHEN turn % 4 = 3 THEN 'wrong id' WHEN role = 'system' THEN 'not editable' END AS reason FROM conversations")
@@ -78,7 +78,7 @@ def r5(t):
 
 @query("r14_overlay_ocr_pages", "SELECT conv_id AS doc_id, turn::INT AS ordinal, CASE WHEN conv_id % 3 = 0 THEN 'scan' ELSE left(text, 40) END AS text FROM conversations WHERE conv_id % 3 <> 0 OR turn = 0")
 def r14(t):
-    r = runs(t).select("doc_id", "page_index", "ordinal", "text")
+    r = runs(t, 40).select("doc_id", "page_index", "ordinal", "text")
     return layout.overlay_pages(r, r.where("doc_id % 3 = 0 and ordinal = 0").withColumn("text", F.lit("scan"))).select("doc_id", "ordinal", "text")
 
 
@@ -107,9 +107,10 @@ def d12(t):
     return layout.pages_needing_ocr(runs(t).withColumn("hidden", F.col("doc_id") % 4 == 0), "auto").select("doc_id")
 
 
-def words(t):
-    """The words of the turns, placed on lines of ten."""
-    w = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.posexplode(F.split(F.substring("text", 1, 200), " ")).alias("ord", "text")).where("text <> ''")
+def words(t, most=None):
+    """The words of the turns, whole or most characters of each, placed on lines of ten."""
+    text = F.substring("text", 1, most) if most else F.col("text")
+    w = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.posexplode(F.split(text, " ")).alias("ord", "text")).where("text <> ''")
     x, y = (F.col("ord") % 10) * 50, F.floor(F.col("ord") / 10) * 20
     return w.withColumns({"confidence": (F.col("ord") % 100).cast("double"), "x0": x.cast("double"), "y0": y.cast("double"), "x1": (x + 45).cast("double"), "y1": (y + 12).cast("double"), "graphic": s.graphic_word(F.col("text"), F.lit(1.0))})
 
@@ -121,7 +122,7 @@ def w8(t):
 
 @query("k5_reading_order", "SELECT conv_id AS doc_id, count(*) AS n FROM (SELECT conv_id, unnest(string_split(left(text, 200), ' ')) AS w FROM conversations) WHERE w <> '' GROUP BY conv_id")
 def k5(t):
-    return layout.reading_order(words(t)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return layout.reading_order(words(t, 200)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("d10_build_run")
@@ -137,7 +138,7 @@ def d2(t):
 
 @query("w7_merge_runs")
 def w7(t):
-    chars = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.posexplode(F.regexp_extract_all(F.substring("text", 1, 90), F.lit("[^ ]{1,3}| "), F.lit(0))).alias("ordinal", "text"))
+    chars = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.posexplode(F.regexp_extract_all(F.col("text"), F.lit("[^ ]{1,3}| "), F.lit(0))).alias("ordinal", "text"))
     own = chars.withColumns({"font_name": F.lit("f"), "x": (F.col("ordinal") * 6).cast("double"), "y": F.lit(10.0), "width": F.lit(5.0), "height": F.lit(10.0), "editable": F.col("ordinal") % 7 != 3})
     return layout.merge_runs(own).withColumn("ordinals", F.array_join(F.col("ordinals").cast("array<string>"), ","))
 
