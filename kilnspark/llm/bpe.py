@@ -18,6 +18,7 @@ lies outside is proven stable:
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from itertools import chain
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from kilnspark.llm.common import slices, text_of
 
 #: Characters of a text leaf, bytes of a piece leaf, entries kept in each of a worker's memos.
-TEXT_LEAF, PIECE_LEAF, MEMO = 4096, 4, 300_000
+TEXT_LEAF, PIECE_LEAF, MEMO = 4096, 16, 300_000
 #: Characters past its end that the split pattern can look at to end a piece.
 LOOKAHEAD = 2
 
@@ -63,6 +64,7 @@ class Codec:
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = read_ranks(raw)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.names = {rank: str(rank) for rank in self.tokens}
         self.pattern = regex.compile(pattern)
         self.memo, self.leaves, self.windows = Memo(self.encode_piece, 2 * MEMO), Memo(self._leaf), Memo(self._window)
 
@@ -166,7 +168,7 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids, concatenated up a tree of halves."""
         if len(ids) <= 4096:
-            return b"".join([self.tokens[t] for t in ids])
+            return b"".join(map(self.tokens.__getitem__, ids))
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
@@ -187,24 +189,33 @@ def _shared(df: DataFrame, rank_file: str):
         return df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: fixed size
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) for each row of docs.
-
-    A null text counts as empty and gives no ids; repeated rows are encoded
-    each; other columns of docs are left out. Very long texts stay within one
-    task but their tree keeps windows small.
-    """
+def _over(docs: DataFrame, rank_file: str, pattern: str, key: str, text: str, columns: list[tuple[str, str]], of) -> DataFrame:
+    """of(codec, texts), a list of Arrow arrays for `columns`, over each row's text, beside its key: one pass of Python."""
     raw = _shared(docs, rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(raw.value, pattern)
         for batch in slices(batches):
-            ids = [np.array(codec.encode(t.as_py()), dtype=np.int32) for t in batch.column(1)]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], [key, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *of(codec, batch.column(1).to_pylist())], [key, *(c for c, _ in columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_of(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return docs.select(key, text_of(text).alias("text")).mapInArrow(run, ", ".join([f"`{key}` {kind}", *map(" ".join, columns)]))
+
+
+def _listed(ids: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>) for each row of docs.
+
+    A null text counts as empty and gives no ids; repeated rows and rows of one
+    key, null or not, are encoded each; an empty table gives no rows; other
+    columns of docs are left out. A very long text stays within one task, but
+    its tree keeps windows small.
+    """
+    return _over(docs, rank_file, pattern, key, text, [("ids", "array<int>")], lambda codec, texts: [_listed([codec.encode(t) for t in texts])])
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -223,13 +234,30 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, key: str = "doc_id"
     return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded binary): each text encoded and its ids decoded again, rows as in encode()."""
+
+    def of(codec: Codec, texts: list[str]) -> list[pa.Array]:
+        ids = [codec.encode(t) for t in texts]
+        return [_listed(ids), pa.array(map(codec.decode, ids), pa.binary())]
+
+    return _over(docs, rank_file, pattern, key, text, [("ids", "array<int>"), ("decoded", "binary")], of)
+
+
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Per document the number of ids and hashes of the ids and of the decoded bytes."""
-    both = decode(encode(docs, rank_file, pattern), rank_file, pattern)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(listed, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs, rows as in encode().
+
+    The hashes are of the decimal ids joined by commas and of the bytes decoded
+    from the ids, so that no ids leave the task.
+    """
+
+    def of(codec: Codec, texts: list[str]) -> list[pa.Array]:
+        sizes, listed, decoded = [], [], []
+        for text in texts:
+            ids = codec.encode(text)
+            sizes.append(len(ids))
+            listed.append(hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        return [pa.array(sizes, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+
+    return _over(docs, rank_file, pattern, "doc_id", "text", [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], of)

@@ -10,14 +10,15 @@ before it, and for each document part in it the document's place, id and ids.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm.common import slices, text_of
 
-#: Ids of a block, and pieces kept in a worker's memo.
-BLOCK, MEMO = 65_536, 600_000
+#: Ids of a block, and chunks of text kept in a worker's memo.
+BLOCK, MEMO = 65_536, 700_000
 CHUNKS = "shard int, chunk int, first long, n_ids int, planes int, plane_ends array<int>, payload binary, doc_nos array<int>, doc_ids array<long>, parts array<int>"
 
 
@@ -52,54 +53,83 @@ def unpack(n: int, planes: int, ends: list[int], payload: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.stack(flat, axis=1)).view("<u4").ravel()
 
 
-class PieceEncoder:
-    """Encodes with the tokenizers library, each distinct piece once while it is remembered.
+#: White space beside a space.
+ODD = re.compile(r"\s | \s|^ | $")
+#: A space between two other characters that are no white space: no match of the byte-level pre-tokenizer's pattern reaches across its left side.
+SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a chunk that is remembered.
+SHORT = 64
 
-    Pieces are the matches of the byte-level pre-tokenizer's pattern: the
-    library never merges across them, so a text's ids are those of its pieces.
+
+class ChunkEncoder:
+    """Encodes with the tokenizers library, each distinct chunk once while it is remembered.
+
+    Texts are cut before single spaces, where the byte-level pre-tokenizer
+    always cuts too, so a text's ids are those of its chunks. Under any other
+    pre-tokenizer, a normalizer, or an added token with a space, texts stay whole.
     """
 
-    def __init__(self, raw: str, pattern: str):
+    def __init__(self, raw: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(raw)
-        self.tokenizer.encode_special_tokens = True
-        self.cut = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.known = Tokenizer.from_str(raw), {}
+        about = json.loads(raw)
+        split = {k: (about["pre_tokenizer"] or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")}
+        plain = split == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and not about["normalizer"] and not about["truncation"]
+        tokens = about["added_tokens"]
+        self.cuts = plain and not any(" " in t["content"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = list(accumulate([4 * len(f) for f in found]))
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MEMO:
-            self.known.clear()
-        cuts = [self.cut(t) for t in texts]
+        if not self.cuts:
+            return self._ids(texts)
+        cuts = [SEAM.split(t) if ODD.search(t) else t.split(" ") for t in texts]
+        firsts = self._ids([c[0] for c in cuts])
+        for c in cuts:
+            c[0] = ""  # its ids come first, without a space
         fresh = list(set().union(*cuts).difference(self.known))
+        if len(self.known) + len(fresh) > MEMO:
+            self.known, fresh = {}, list(set().union(*cuts))
+        long = {}
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-            ends = list(accumulate([4 * len(f) for f in found]))
-            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        get = self.known.__getitem__
-        return [b"".join(map(get, cut)) for cut in cuts]
+            found = zip(some, self._ids([f" {c}" for c in some]))
+            for chunk, ids in found:
+                (self.known if len(chunk) <= SHORT else long)[chunk] = ids
+        self.known[""] = b""
+        if not long:
+            get = self.known.__getitem__
+            return [first + b"".join(map(get, cut)) for first, cut in zip(firsts, cuts)]
+        return [first + b"".join([self.known.get(c) or long[c] if c else b"" for c in cut]) for first, cut in zip(firsts, cuts)]
 
 
-_encoders: dict[int, PieceEncoder] = {}
+_encoders: dict[int, ChunkEncoder] = {}
 
 
-def _encoder(raw: str, pattern: str) -> PieceEncoder:
-    key = hash((raw, pattern))
+def _encoder(raw: str) -> ChunkEncoder:
+    key = hash(raw)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(raw, pattern)
+        _encoders[key] = ChunkEncoder(raw)
     return _encoders[key]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end_id: int, block: int = BLOCK, planes: int = 4) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, block: int = BLOCK, planes: int = 4) -> None:
     """Encode every text of docs(doc_id, text), append end_id, write the chunks.
 
-    pattern is the split of the tokenizer's byte-level pre-tokenizer. A null text counts as empty; rows of equal doc_id stay apart, in the order
-    of their texts' hashes; a null doc_id comes first; an empty table gives an
-    empty file. Other columns are left out. A shard is one range of doc_id.
+    Ids are those of the library's encode with add_special_tokens=False: the
+    string of an added token in a text gives that token. A null text counts as
+    empty; rows of equal doc_id stay apart, in the order of their texts'
+    hashes; a null doc_id comes first; an empty table gives an empty file; a
+    very long text spreads over chunks. Other columns are left out. A shard is
+    one range of (doc_id, hash of the text), so that an id of many rows is cut
+    between shards.
     """
     if planes not in (4, 32):
         raise ValueError("planes: 4 (bytes) or 32 (bits)")
@@ -108,7 +138,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end
         raw = spark.sparkContext.broadcast(f.read())  # a vocabulary file: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = _encoder(raw.value, pattern), TaskContext.get().partitionId()
+        encoder, shard = _encoder(raw.value), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         chunk, first, no, held, parts = 0, 0, 0, bytearray(), []
 
@@ -139,8 +169,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end
         if held:
             yield cut(len(held) // 4)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    dealt = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
+    dealt = own.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").drop("th")
     dealt.mapInArrow(run, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kilnspark.llm import bpe, queries, token_planes
@@ -50,13 +51,20 @@ def test_digests(spark, reference):
     assert bpe.digests(documents(spark, []), RANKS, P.PATTERN).count() == 0
 
 
+def test_round_trip(spark, reference):
+    docs = documents(spark)
+    for row in bpe.round_trip(docs, RANKS, P.PATTERN).collect() + bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).collect():
+        assert row.ids == reference.encode_ordinary(bytes(row.decoded).decode())
+    assert sorted(bytes(r.decoded).decode() for r in bpe.round_trip(docs, RANKS, P.PATTERN).collect()) == sorted(r.text or "" for r in docs.collect())
+
+
 @pytest.mark.parametrize("planes,block", [(4, 65_536), (32, 100)])
 def test_token_files(spark, planes, block):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    docs = documents(spark).where("doc_id is null or doc_id <> 4")
+    special = spark.createDataFrame([(500, "hello <|endoftext|> world"), (501, "<|endoftext|>"), (502, " a<|endoftext|>  b ")], "doc_id long, text string")
+    docs = documents(spark).where("doc_id is null or doc_id <> 4").select("doc_id", "text", F.col("text").alias("th")).unionByName(special, allowMissingColumns=True)
     path = scratch(spark, "ids")
-    token_planes.write_ids(docs, path, JSON, P.PATTERN, 2, block, planes)
+    token_planes.write_ids(docs, path, JSON, 2, block, planes)
     want, start = [], 0
     for row in sorted(docs.collect(), key=lambda r: -1 if r.doc_id is None else r.doc_id):
         ids = tokenizer.encode(row.text or "", add_special_tokens=False).ids + [2]
@@ -66,9 +74,22 @@ def test_token_files(spark, planes, block):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_chunks_have_the_ids_of_whole_texts(monkeypatch):
+    import random
+
+    monkeypatch.setattr(token_planes, "MEMO", 500)
+    tokenizer, encoder = Tokenizer.from_file(JSON), token_planes.ChunkEncoder(open(JSON).read())
+    rng = random.Random(5)
+    parts = ["a", "é", "'s", " 's", "'ll", " ", " ", "  ", "\n", " \n", "\u00a0", "\u2028", "\x1c", "\x85", "漢", "1", "!", "$$", "the", " the", "<|endoftext|>", " <|endoftext|> ", "<|endof", "\t", "𝒳" * 40]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(4000)] + ["x" * 5000, "", " "]
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        assert encoder.encode(some) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
 def test_token_files_of_nothing(spark):
     path = scratch(spark, "ids")
-    token_planes.write_ids(documents(spark, []), path, JSON, P.PATTERN, 2)
+    token_planes.write_ids(documents(spark, []), path, JSON, 2)
     assert token_planes.documents_read(spark, path).count() == 0
 
 
