@@ -15,33 +15,65 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.llm import anchors
-from kilnspark.llm.common import slices, stored
-from kilnspark.llm.suffix_dedup import merged
-
-#: Words of a window; words of an anchor's run; regions of a key beyond which its windows are counted one by one; windows that a task holds.
-LENGTH, GRAM, CROWD, MEMO, ROOM = 13, 4, 64, 500_000, 200_000
-
-
-class _Hashes(dict):
-    """64-bit hashes of the words met so far; starts anew when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-_hashes = _Hashes()
+from kilnspark.llm.common import slices, text_of
+from kilnspark.llm.suffix_dedup import runs
+
+#: Words of a window; words of an anchor's run; regions of a key beyond which it is split.
+LENGTH, GRAM, CROWD = 13, 4, 64
+#: Bytes of a text that are hashed together; bytes of a word beyond which it is hashed on its own.
+STEP, LONG = 1 << 20, 128
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+_UP = _powers(_ODD, STEP + 1)
+_DOWN = _powers(pow(_ODD, -1, 1 << 64), STEP + 1)
+_LETTERS = anchors.mixed_bits(np.arange(1, 257, dtype=np.uint64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: its letters' numbers as a polynomial, from running sums over the text."""
+    out, at = [], 0
+    while at < len(text):
+        part = text[at : at + STEP]
+        if at + STEP < len(text):  # up to the last white space; a longer word makes a part of its own
+            codes = np.frombuffer(part, np.uint8)
+            blank = np.flatnonzero(_BLANK[codes])
+            if len(blank):
+                part = part[: blank[-1] + 1]
+            else:
+                rest = np.flatnonzero(_BLANK[np.frombuffer(text, np.uint8, offset=at)])
+                part = text[at : at + int(rest[0])] if len(rest) else text[at:]
+        at += len(part)
+        codes = np.frombuffer(part, np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[codes], [True]])))
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            continue
+        if len(part) > STEP:
+            out.append(np.array([xxhash.xxh64_intdigest(part[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
+            continue
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[codes] * _UP[: len(codes)])])
+        hashes = anchors.mixed_bits((sums[ends] - sums[starts]) * _DOWN[starts])
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            hashes[i] = xxhash.xxh64_intdigest(part[starts[i] : ends[i]])
+        out.append(hashes)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def cut(text: bytes):
     """The words' hashes, and their bytes for a range of words."""
-    units = np.array([_hashes[w] for w in text.split()], np.uint64)
+    units = word_hashes(text)
     raw = units.tobytes()
     return units, lambda a, b: raw[8 * a : 8 * b]
 
@@ -84,10 +116,11 @@ class Block:
 
 
 def _parse(length: int):
-    """(key, region, ord, starts) for regions that arrive sorted by key and ord."""
+    """(key, region, runs) for parts that arrive sorted by key and ord."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, waiting, order = None, None, [], None
+        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         for batch in slices(batches, 2048):
             out = []
             for k, region, o, units in zip(*(batch.column(c).to_pylist() for c in ("key", "region", "ord", "units"))):
@@ -99,94 +132,78 @@ def _parse(length: int):
                     waiting, order = [], o
                 words = tuple(np.frombuffer(units, "<u8").tolist())
                 if found := block.starts(words):
-                    out.append((k, region, o, found))
+                    out.append((k, region, [{"lo": a, "hi": b} for a, b in runs(np.array(found), length)]))
                 waiting.append(words)
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, [pa.int64()] * 3 + [pa.list_(pa.int32())])], ["key", "region", "ord", "starts"])
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), kind))], ["key", "region", "runs"])
 
     return run
 
 
-def _windows(length: int, room: int):
-    """(window binary, least, keys, regions, ords, starts) of the windows of crowded keys' regions.
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """(ord, h1, h2, spans): the word intervals of each text that together cover the windows that a smaller document holds."""
 
-    A task's equal windows make one row: least is their least ord, the lists
-    hold their places.
-    """
+    def method(parts: DataFrame) -> DataFrame:
+        dealt = parts.select("key", "region", "ord", "units").repartition("key").sortWithinPartitions("key", "ord")
+        return dealt.mapInArrow(_parse(length), f"key long, region long, runs {anchors.RUNS}")
 
-    def rows(held: dict) -> pa.RecordBatch:
-        cols = list(zip(*((w, min(x[2]), *x) for w, x in held.items()))) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.binary(), pa.int64()] + [pa.list_(pa.int64())] * 4)], ["window", "least", "keys", "regions", "ords", "starts"])
+    return anchors.spans(docs, cut, method, length, gram, 8, crowd, earlier=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-        for batch in slices(batches, 1024):
-            for k, region, o, units in zip(*(batch.column(c).to_pylist() for c in ("key", "region", "ord", "units"))):
-                for s in range(len(units) // 8 - length + 1):
-                    seen = held.setdefault(xxhash.xxh128_digest(units[8 * s : 8 * (s + length)]), ([], [], [], []))
-                    for place, x in zip(seen, (k, region, o, s)):
-                        place.append(x)
-                    size += 1
-            if size >= room:
-                yield rows(held)
-                held, size = {}, 0
-        yield rows(held)
 
-    return run
-
-
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(ord, th, lo, hi): word intervals that together cover each window that a smaller document holds."""
-    work, heads = anchors.repeated(anchors.find(docs, cut, length, gram))
-    th, lo = F.shiftright("place", anchors.PLACE).alias("th"), anchors.begin().alias("lo")
-    firsts = heads.where("n > 1").select("key", "region", F.col("ord").alias("first"))
-    whole = work.join(firsts.hint("merge"), ["key", "region"]).where("ord > first").select("ord", th, lo, (lo + F.col("size")).alias("hi"))
-    about = heads.groupBy("key").agg(F.count("*").alias("kinds"), F.min("ord").alias("least"), F.max("ord").alias("most")).where("most > least")
-    asked = heads.join(stored(about.select("key", (F.col("kinds") > crowd).alias("crowded")), "keys").hint("merge"), "key")
-    parts = stored(anchors.regions(docs, asked, cut).select("key", "region", "ord", "crowded", "units"), "regions")
-    parsed = parts.where("not crowded").drop("crowded").repartition("key").sortWithinPartitions("key", "ord").mapInArrow(_parse(length), "key long, region long, ord long, starts array<int>")
-    each = parts.where("crowded").mapInArrow(_windows(length, ROOM), "window binary, least long, keys array<long>, regions array<long>, ords array<long>, starts array<long>")
-    first = F.min("least").over(Window.partitionBy("window"))  # a window has one row a task
-    late = each.withColumn("first", first).where("array_max(ords) > first").select("first", F.explode(F.arrays_zip("keys", "regions", "ords", "starts")).alias("at")).where("at.ords > first")
-    late = late.groupBy(F.col("at.keys").alias("key"), F.col("at.regions").alias("region"), F.col("at.ords").alias("ord")).agg(F.collect_list(F.col("at.starts").cast("int")).alias("starts"))
-    hits = parsed.unionAll(late)
-    opened = work.join(hits.hint("merge"), ["key", "region", "ord"]).select("ord", th, lo, F.explode("starts").alias("s"))
-    return whole.unionAll(opened.select("ord", "th", (F.col("lo") + F.col("s")).alias("lo"), (F.col("lo") + F.col("s") + length).alias("hi")))
+def _kept(z: bytes, spans: list[int] | None) -> tuple[int, int, str]:
+    """Words, words removed, and the others joined by one space."""
+    words = anchors.unpacked(z).split()
+    gone = anchors.merged(spans, len(words))
+    if not gone:
+        return len(words), 0, b" ".join(words).decode()
+    ends = [0, *(x for span in gone for x in span), len(words)]
+    kept = [w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]]
+    return len(words), len(words) - len(kept), b" ".join(kept).decode()
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, th, n_words, n_removed, kept string) for each row of docs(doc_id, text).
+    """(doc_id, n_words, n_removed, kept string) for each row of docs(doc_id, text).
 
     Every word that a window of `length` words covers which a document with a
     smaller doc_id holds too goes; kept words are joined by one space. A null
-    id counts as the largest; rows of one id do not judge each other; a null
-    text has no words; th is 31 bits of the text's hash. Other columns are left
-    out.
+    id counts as 2^63 - 1, the largest; rows of one id do not judge each other;
+    rows may repeat; a null text has no words; an empty table gives no rows;
+    other columns are left out. A text of any length is read by one task, its
+    regions by others.
     """
-    found = spans(docs, length, gram, crowd).groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # those of one text
+    found = spans(docs, length, gram, crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            out = []
-            for row in batch.to_pylist():
-                words = anchors.unpacked(row["z"]).split()
-                gone = merged([(s["lo"], s["hi"]) for s in row["spans"] or ()], len(words))
-                ends = [0, *(x for span in gone for x in span), len(words)]
-                kept = [w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]]
-                out.append((None if row["ord"] == anchors.LAST else row["ord"], row["th"], len(words), len(words) - len(kept), b" ".join(kept).decode()))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()])], ["doc_id", "th", "n_words", "n_removed", "kept"])
-
-    joined = anchors.packed(docs).join(found.hint("merge"), ["ord", "th"], "left")
-    return joined.mapInArrow(run, "doc_id long, th long, n_words long, n_removed long, kept string")
-
-
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, their text replaced by the kept words where any went (n_chars follows)."""
-    done = deduplicate(docs, **how).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(anchors.LAST)).alias("_ord"), F.col("th").alias("_th"), F.col("kept").alias("_kept")).dropDuplicates(["_ord", "_th"])
-    order, th = anchors.identity()
-    both = docs.withColumn("_o", order).withColumn("_t", th).join(done.hint("merge"), (F.col("_o") == F.col("_ord")) & (F.col("_t") == F.col("_th")), "left")
-    new = {"text": F.coalesce("_kept", "text").alias("text")}
+            out = [(None if row["h2"] & 1 else row["ord"], *_kept(row["z"], row["spans"])) for row in batch.to_pylist()]
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()])], ["doc_id", "n_words", "n_removed", "kept"])
+
+    joined = anchors.packed(docs).join(found.hint("merge"), anchors.ROW, "left")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """The rows of docs, their text replaced by the kept words where any went (n_chars follows).
+
+    Rows as in deduplicate(); all columns of docs stay, whatever their names.
+    """
+    found = spans(docs, length, gram, crowd)
+    texts = docs.select(*anchors.identity(), text_of().alias("text")).join(found.hint("merge"), anchors.ROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            kept = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                words = text.encode().split()
+                ends = [0, *(x for span in anchors.merged(spans, len(words)) for x in span), len(words)]
+                kept.append(b" ".join([w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]]).decode())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, pa.string())], [*anchors.ROW, "kept"])
+
+    new = texts.mapInArrow(run, "ord long, h1 long, h2 long, kept string").dropDuplicates(anchors.ROW)
+    whole = docs.select(*anchors.identity(), F.struct("*").alias("row"))
+    both = whole.join(new.hint("merge"), anchors.ROW, "left")
+    fields = {"text": F.coalesce("kept", "row.text").alias("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return both.select(*[new.get(c, F.col(c)) for c in docs.columns])
+        fields["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return both.select(*[fields.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns])

@@ -1,9 +1,8 @@
 """Removal of repeated byte strings, by interval expansion on a Burrows-Wheeler transform.
 
 Anchors (see anchors.py) bring together texts that may share a string of
-`length` bytes. Equal regions are settled by their hashes. The other regions
-of a key are laid end to end, with the regions of neighbouring keys, and
-sorted as suffixes; on the transform, a breadth-first backward extension of
+`length` bytes. Equal regions are one entry. The different regions of a key
+are laid end to end, with those of neighbouring keys, and sorted as suffixes; on the transform, a breadth-first backward extension of
 intervals finds the common prefix of neighbouring suffixes by increasing
 value. It stops at `length`: boundaries not reached by then separate suffixes
 that share at least `length` bytes.
@@ -11,19 +10,17 @@ that share at least `length` bytes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from kilnspark.llm import anchors
-from kilnspark.llm.common import slices, stored
+from kilnspark.llm.common import slices
 
-#: Bytes of a string; bytes of an anchor's run; regions of a key beyond which its windows are counted one by one; bytes of a transform; windows that a task holds.
-LENGTH, GRAM, CROWD, BATCH, ROOM = 400, 64, 1000, 1 << 20, 200_000
+#: Bytes of a string; bytes of an anchor's run; regions of a key beyond which it is split; bytes of a transform.
+LENGTH, GRAM, CROWD, BATCH = 400, 64, 1000, 1 << 20
 
 
 def cut(text: bytes):
@@ -105,34 +102,23 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _expand(length: int, batch_bytes: int):
-    """(ord, th, lo, hi) of repeated strings among regions that arrive sorted by key."""
-
-    def settle(held: dict) -> pa.RecordBatch:
-        places, segments = [], []
-        for (order, th), parts in held.items():  # overlapping regions of a text become one segment
-            start, data = None, b""
-            for at, units in sorted(parts):
-                if start is not None and at <= start + len(data):
-                    data += units[start + len(data) - at :] if at + len(units) > start + len(data) else b""
-                else:
-                    if start is not None:
-                        places.append((order, th, start))
-                        segments.append(data)
-                    start, data = at, units
-            places.append((order, th, start))
-            segments.append(data)
-        out = [(o, t, s + a, s + b) for (o, t, s), starts in zip(places, repeated_starts(segments, length)) for a, b in runs(starts, length)]
-        cols = list(zip(*out)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["ord", "th", "lo", "hi"])
+    """(key, region, runs) of repeated strings among parts that arrive sorted by key."""
+
+    def settle(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        found = repeated_starts([units for _, _, units in held], length)
+        out = [(k, r, [{"lo": a, "hi": b} for a, b in runs(starts, length)]) for (k, r, _), starts in zip(held, found) if len(starts)]
+        cols = list(zip(*out)) or [[]] * 3
+        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), kind))], ["key", "region", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = {}, 0, None
+        held, size, last = [], 0, None
         for batch in slices(batches, 2048):
-            for key, order, th, at, units in zip(*(batch.column(c).to_pylist() for c in ("key", "ord", "th", "at", "units"))):
+            for key, region, units in zip(*(batch.column(c).to_pylist() for c in ("key", "region", "units"))):
                 if key != last and size >= batch_bytes:
                     yield settle(held)
-                    held, size = {}, 0
-                held.setdefault((order, th), set()).add((at, units))
+                    held, size = [], 0
+                held.append((key, region, units))
                 size, last = size + len(units), key
         if held:
             yield settle(held)
@@ -140,85 +126,38 @@ def _expand(length: int, batch_bytes: int):
     return run
 
 
-def _windows(length: int, room: int):
-    """(window binary, n, ords, ths, los) of the windows of crowded keys' regions.
-
-    A task's equal windows make one row: n counts them, the lists hold their
-    places. A region that stands more than once is known to go; it counts twice
-    and gives no place.
-    """
-
-    def rows(held: dict) -> pa.RecordBatch:
-        cols = list(zip(*((w, *x) for w, x in held.items()))) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.binary(), pa.int64()] + [pa.list_(pa.int64())] * 3)], ["window", "n", "ords", "ths", "los"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-        for batch in slices(batches, 64):
-            for order, th, at, lone, units in zip(*(batch.column(c).to_pylist() for c in ("ord", "th", "at", "lone", "units"))):
-                for s in range(len(units) - length + 1):
-                    seen = held.setdefault(hashlib.blake2b(units[s : s + length], digest_size=16).digest(), [0, [], [], []])
-                    seen[0] += 1 if lone else 2
-                    if lone:
-                        for place, x in zip(seen[1:], (order, th, at + s)):
-                            place.append(x)
-                    size += 1
-            if size >= room:
-                yield rows(held)
-                held, size = {}, 0
-        yield rows(held)
-
-    return run
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """(ord, h1, h2, spans): the byte intervals of each text that together cover its repeated strings."""
 
+    def method(parts: DataFrame) -> DataFrame:
+        dealt = parts.select("key", "region", "units").repartition("key").sortWithinPartitions("key")
+        return dealt.mapInArrow(_expand(length, BATCH), f"key long, region long, runs {anchors.RUNS}")
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(ord, th, lo, hi): byte intervals that together cover each repeated string of docs."""
-    work, heads = anchors.repeated(anchors.find(docs, cut, length, gram))
-    again = work.join(heads.where("n > 1").select("key", "region").hint("merge"), ["key", "region"], "left_semi")
-    whole = again.select("ord", F.shiftright("place", anchors.PLACE).alias("th"), anchors.begin().alias("lo"), (anchors.begin() + F.col("size")).alias("hi"))
-    about = heads.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("lone")).where("kinds > 1 and lone")
-    asked = heads.join(stored(about.select("key", (F.col("kinds") > crowd).alias("crowded")), "keys").hint("merge"), "key")
-    parts = stored(anchors.regions(docs, asked, cut), "regions")
-    few = parts.where("not crowded").select("key", "ord", "th", "at", "units").repartition("key").sortWithinPartitions("key")
-    mixed = few.mapInArrow(_expand(length, BATCH), "ord long, th long, lo long, hi long")
-    each = parts.where("crowded").mapInArrow(_windows(length, ROOM), "window binary, n long, ords array<long>, ths array<long>, los array<long>")
-    many = each.withColumn("all", F.sum("n").over(Window.partitionBy("window"))).where("all > 1 and size(los) > 0")  # a window has one row a task
-    many = many.select(F.explode(F.arrays_zip("ords", "ths", "los")).alias("at")).select(F.col("at.ords").alias("ord"), F.col("at.ths").alias("th"), F.col("at.los").alias("lo"))
-    return whole.unionAll(mixed).unionAll(many.withColumn("hi", F.col("lo") + length))
-
-
-def merged(intervals: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Intervals within [0, n), joined where they touch."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(intervals):
-        hi = min(hi, n)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        elif lo < hi:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
+    return anchors.spans(docs, cut, method, length, gram, 1, crowd, earlier=False)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row of docs(doc_id, text).
 
     Every byte that a string of `length` bytes covers which also starts
-    elsewhere, in any row, goes. A null text counts as empty; rows may share an
-    id; texts shorter than `length` stay whole; other columns are left out.
+    elsewhere, in any row, goes. A null text counts as empty; rows may repeat or
+    share an id, null or not; texts shorter than `length` stay whole; an empty
+    table gives no rows; other columns are left out. A text of any length is
+    read by one task, its regions by others.
     """
-    found = spans(docs, length, gram, crowd).groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # those of one text
+    found = spans(docs, length, gram, crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             out = []
             for row in batch.to_pylist():
                 text = anchors.unpacked(row["z"])
-                gone = merged([(s["lo"], s["hi"]) for s in row["spans"] or ()], len(text))
+                gone = anchors.merged(row["spans"], len(text))
                 ends = [0, *(x for span in gone for x in span), len(text)]
-                kept = b"".join([text[a:b] for a, b in zip(ends[::2], ends[1::2])])
-                out.append((None if row["ord"] == anchors.LAST else row["ord"], len(text), len(text) - len(kept), len(gone), kept))
+                kept = b"".join([text[a:b] for a, b in zip(ends[::2], ends[1::2])]) if gone else text
+                out.append((None if row["h2"] & 1 else row["ord"], len(text), len(text) - len(kept), len(gone), kept))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.binary()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = anchors.packed(docs).join(found.hint("merge"), ["ord", "th"], "left")
+    joined = anchors.packed(docs).join(found.hint("merge"), anchors.ROW, "left")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -110,3 +110,40 @@ def test_word_dedup_keeps_rows_and_columns(spark):
     got = lz_dedup.deduplicated(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
     assert lz_dedup.deduplicate(documents(spark, [])).count() == 0
+
+
+def test_rows_without_ids_stay_apart(spark):
+    """Two texts that agree in 31 bits of their usual hash, both without an id."""
+    one, other = (" ".join(f"{c}{i}" for c in "abcdefghijklmnop") for i in (89634, 193672))
+    docs = spark.createDataFrame([(None, one), (None, other), (5, "x " + other), (2**63 - 1, one), (None, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in lz_dedup.deduplicate(docs).collect()}
+    assert got == {(None, 16, 0, one), (None, 16, 16, ""), (5, 17, 0, "x " + other), (2**63 - 1, 16, 0, one), (None, 0, 0, "")}
+    rows = {(r.doc_id, r.text) for r in lz_dedup.deduplicated(docs).collect()}
+    assert rows == {(None, one), (None, ""), (5, "x " + other), (2**63 - 1, one), (None, None)}
+    kept = {(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup.deduplicate(docs, 20, 5).collect()}
+    assert kept == {(None, len(one), len(one), ""), (None, len(other), len(other), ""), (5, len(other) + 2, len(other), "x "), (2**63 - 1, len(one), len(one), ""), (None, 0, 0, "")}
+
+
+def test_many_copies_of_one_row(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g h i j k l m n o p")] * 300 + [(7, "z a b c d e f g h i j k l m n")], "doc_id long, text string")
+    got = lz_dedup.deduplicate(docs).collect()
+    assert sorted({(r.doc_id, r.n_removed, r.kept) for r in got}, key=str) == [(7, 0, "z a b c d e f g h i j k l m n"), (None, 14, "o p")] and len(got) == 301
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j k l m n " * 2 + str(i), i, i, "k", i, i, i) for i in range(4)], "doc_id long, text string, ord int, h1 long, kept string, row int, spans int, key int")
+    got = sorted(lz_dedup.deduplicated(docs).collect())
+    assert [(r.doc_id, r.ord, r.h1, r.kept, r.row, r.spans, r.key) for r in got] == [(i, i, i, "k", i, i, i) for i in range(4)]
+    assert [r.text for r in got[1:]] == ["1", "2", "3"]
+
+
+def test_word_hashes_do_not_depend_on_place(monkeypatch):
+    monkeypatch.setattr(lz_dedup, "STEP", 64)
+    monkeypatch.setattr(lz_dedup, "LONG", 60)
+    rng, seen = random.Random(1), {}
+    for _ in range(1000):
+        text = "".join(rng.choices(["a", "b", " ", "\t", "\n ", "ü", "漢", "word", "x" * rng.randint(1, 200)], k=rng.randint(0, 30))).encode()
+        hashes = lz_dedup.word_hashes(text).tolist()
+        assert len(hashes) == len(text.split())
+        assert all(seen.setdefault(w, h) == h for w, h in zip(text.split(), hashes))
+    assert len(set(seen.values())) == len(seen)
