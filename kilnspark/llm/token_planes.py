@@ -53,61 +53,93 @@ def unpack(n: int, planes: int, ends: list[int], payload: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.stack(flat, axis=1)).view("<u4").ravel()
 
 
-#: White space beside a space.
-ODD = re.compile(r"\s | \s|^ | $")
 #: A space between two other characters that are no white space: no match of the byte-level pre-tokenizer's pattern reaches across its left side.
 SEAM = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of a chunk that is remembered.
-SHORT = 64
+
+
+class Chunks(dict):
+    """A number for each chunk met, from 0 on; new ones are listed in fresh."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.fresh.append(chunk)
+        got = self[chunk] = len(self)
+        return got
 
 
 class ChunkEncoder:
     """Encodes with the tokenizers library, each distinct chunk once while it is remembered.
 
-    Texts are cut before single spaces, where the byte-level pre-tokenizer
-    always cuts too, so a text's ids are those of its chunks. Under any other
-    pre-tokenizer, a normalizer, or an added token with a space, texts stay whole.
+    Texts are cut before single spaces and line feeds, where the byte-level
+    pre-tokenizer always cuts too, so a text's ids are those of its chunks.
+    Under any other pre-tokenizer, a normalizer, or an added token with white
+    space or such neighbours, texts stay whole.
     """
 
     def __init__(self, raw: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(raw), {}
+        self.tokenizer, self.numbers, self.ids = Tokenizer.from_str(raw), Chunks(), [b""]
         about = json.loads(raw)
         split = {k: (about["pre_tokenizer"] or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")}
         plain = split == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and not about["normalizer"] and not about["truncation"]
-        tokens = about["added_tokens"]
-        self.cuts = plain and not any(" " in t["content"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens)
+        self.added = [t["content"] for t in about["added_tokens"]]
+        self.cuts = plain and not any(t["content"].split() != [t["content"]] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in about["added_tokens"])
+        self.feed = np.frombuffer(self._each(["\n"])[0], "<u4")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
         ends = list(accumulate([4 * len(f) for f in found]))
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _listed(self, texts: list[str]) -> list[bytes]:
+        """As _each, in one go: for texts without line feeds, which begin with a space and have no other white space at their ends.
+
+        Between them stands a line feed, whose token has no other source.
+        """
+        joined = "\n".join(["", *texts])
+        if len(self.feed) != 1 or any(t in joined for t in self.added):
+            return self._each(texts)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.feed[0])
+        raw, starts, ends = ids.tobytes(), (4 * (cuts + 1)).tolist(), (4 * np.append(cuts[1:], len(ids))).tolist()
+        return [raw[a:b] for a, b in zip(starts, ends)]
+
+    def _cut(self, text: str) -> list[str]:
+        """The text's chunks: each but the first stands for itself after a space, or for itself if it begins with a line feed."""
+        words, feeds = text.split(), text.count("\n")
+        n = len(words) - 1
+        if n < 0 or n != text.count(" ") + feeds or n + len("".join(words)) != len(text):
+            return SEAM.split(text)  # not just single spaces and line feeds between words
+        return text.replace("\n", " \n").split(" ") if feeds else words
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cuts:
-            return self._ids(texts)
-        cuts = [SEAM.split(t) if ODD.search(t) else t.split(" ") for t in texts]
-        firsts = self._ids([c[0] for c in cuts])
+            return self._each(texts)
+        if len(self.ids) > MEMO:
+            self.numbers, self.ids = Chunks(), [b""]
+        cuts = [self._cut(t) for t in texts]
+        firsts = self._each([c[0] for c in cuts])
+        number = self.numbers.__getitem__
+        rows = []
         for c in cuts:
-            c[0] = ""  # its ids come first, without a space
-        fresh = list(set().union(*cuts).difference(self.known))
-        if len(self.known) + len(fresh) > MEMO:
-            self.known, fresh = {}, list(set().union(*cuts))
-        long = {}
+            c[0] = ""  # its ids come first
+            rows.append(list(map(number, c)))
+        fresh, self.numbers.fresh = self.numbers.fresh, []
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
-            found = zip(some, self._ids([f" {c}" for c in some]))
-            for chunk, ids in found:
-                (self.known if len(chunk) <= SHORT else long)[chunk] = ids
-        self.known[""] = b""
-        if not long:
-            get = self.known.__getitem__
-            return [first + b"".join(map(get, cut)) for first, cut in zip(firsts, cuts)]
-        return [first + b"".join([self.known.get(c) or long[c] if c else b"" for c in cut]) for first, cut in zip(firsts, cuts)]
+            spaced = [f" {c}" for c in some if "\n" not in c]
+            odd = [c if c[0] == "\n" else f" {c}" for c in some if "\n" in c]
+            found, rest = iter(self._listed(spaced)), iter(self._each(odd))
+            self.ids += [next(rest) if "\n" in c else next(found) for c in some]
+        get = self.ids.__getitem__
+        return [first + b"".join(map(get, row)) for first, row in zip(firsts, rows)]
 
 
 _encoders: dict[int, ChunkEncoder] = {}
