@@ -317,17 +317,22 @@ def hits(parts: DataFrame, method: Callable[[DataFrame], DataFrame], length: int
     own = stored(own, "split-heads")
     asked = stored(own.join(mixed(own, crowd, earlier).hint("merge"), "key").select(*_PART), "split-parts")
     used += [work, own, asked]
-    found = verdicts(work.drop("units", "c0", "c1"), own.drop("units", "c0", "c1"), hits(asked, method, length, width, crowd, earlier, used), earlier)
+    found = verdicts(work.drop("units", "c0", "c1"), own.drop("units", "c0", "c1"), hits(asked, method, length, width, crowd, earlier, used), earlier, used)
     up = found.withColumn("runs", F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))).otherwise(F.col("runs")))
     up = up.select("of_key", "of_region", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("at")).alias("lo"), (r["hi"] + F.col("at")).alias("hi"))).cast(RUNS).alias("runs"))
     up = up.groupBy(F.col("of_key").alias("key"), F.col("of_region").alias("region")).agg(F.flatten(F.collect_list("runs")).alias("runs"))  # two rows at most
     return few.unionAll(up)
 
 
-def verdicts(work: DataFrame, own: DataFrame, found: DataFrame, earlier: bool) -> DataFrame:
-    """work's rows that lose something: whole (all of the region) or runs of it. own: work's heads; found: hits() of those that need a look."""
+def verdicts(work: DataFrame, own: DataFrame, found: DataFrame, earlier: bool, used: list[DataFrame]) -> DataFrame:
+    """work's rows that lose something: whole (all of the region) or runs of it. own: work's heads; found: hits() of those that need a look.
+
+    The heads' verdicts are written first, so that Spark can split a region that stands in very many places.
+    """
     judged = own.join(found.groupBy("key", "region").agg(F.flatten(F.collect_list("runs")).alias("runs")).hint("merge"), ["key", "region"], "left")  # a row each
     judged = judged.where(("last > ord" if earlier else "n > 1") + " or runs is not null").select("key", "region", F.col("ord").alias("least"), F.col("n").alias("times"), "runs")
+    judged = stored(judged, "verdicts")
+    used.append(judged)
     whole = F.col("ord") > F.col("least") if earlier else F.col("times") > 1
     return work.join(judged.hint("merge"), ["key", "region"]).withColumn("whole", whole).where("whole or runs is not null")
 
@@ -343,7 +348,7 @@ def spans(docs: DataFrame, cut: Callable, method: Callable[[DataFrame], DataFram
     asked = stored(own.join(stored(mixed(own, crowd, earlier), "keys").hint("merge"), "key"), "asked")
     parts = stored(regions(docs, asked, cut, gram), "regions")
     used = [work, own, asked, parts]
-    found = verdicts(work, own.select("key", "region", "n", "ord", "last"), hits(parts, method, length, width, crowd, earlier, used), earlier)
+    found = verdicts(work, own.select("key", "region", "n", "ord", "last"), hits(parts, method, length, width, crowd, earlier, used), earlier, used)
     lo = F.shiftright("place", 32)
     span = lambda a, b: F.shiftleft(lo + a, 32).bitwiseOR(lo + b)
     size = F.col("place").bitwiseAND(F.lit(0xFFFF).cast("long"))

@@ -2,10 +2,10 @@
 
 The model gives each word, and the end of a text, a probability in two steps:
 a softmax over word classes whose features are hashed from the two words
-before (the one before, both, and the one skipped to), then the word's share of
-its class by training counts plus one. Words beyond the `head` most frequent
-and unknown words make up the last class; the others are classed by frequency
-and spelling. The probabilities of all known words and of one unknown word add
+before (the one before, both, and the one skipped to; all words have features
+of their own, rare and unknown ones too), then the word's share of its class by
+training counts plus one. Words rarer than the `head` most frequent and unknown
+words make up the last class; the others are classed by frequency and spelling. The probabilities of all known words and of one unknown word add
 up to one in each context.
 
 Counts come from all training texts. Weights are trained by distributed
@@ -25,23 +25,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.anchors import LAST, identity
+from kilnspark.llm.anchors import ROW, doc_id, identity
 from kilnspark.llm.common import slices, stored, text_of
+from kilnspark.llm.lz_dedup import word_hashes
 from kilnspark.llm.multi_index import kmeans, nearest
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The end of a text; white space, so no word.
 END = b"\n"
+_END = np.array([xxhash.xxh64_intdigest(END)], np.uint64)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """head: words that tasks know by heart; spellings x tiers + 1 classes; buckets rows of weights."""
+    """head: words that tasks know by heart, at most; fitted: those of them whose spelling forms the clusters.
+
+    spellings x tiers + 1 classes; buckets rows of weights; tasks: at most so
+    many sum a gradient, each sends one row a bucket.
+    """
 
     head: int = 1 << 17
+    fitted: int = 20_000
+    tasks: int = 4096
     spellings: int = 5
     tiers: int = 3
     buckets: int = 1 << 14
@@ -93,10 +102,10 @@ def classes_of(words: list[bytes], counts: np.ndarray, s: Settings) -> np.ndarra
         for j in range(max(1, len(word) - 1)):
             spelled[i, zlib.crc32(word[j : j + 2]) % 128] += 1
     spelled /= np.maximum(np.linalg.norm(spelled, axis=1, keepdims=True), 1e-9)
-    centres = kmeans(spelled[:20_000], s.spellings, 3, 8)
+    centres = kmeans(spelled[: s.fitted], s.spellings, 3, 8)
     order = np.argsort(-counts, kind="stable")
     share = np.empty(len(words))
-    share[order] = np.cumsum(counts[order]) / counts.sum()
+    share[order] = np.cumsum(counts[order]) / max(1, counts.sum())
     return nearest(spelled, centres) * s.tiers + np.minimum((share * s.tiers).astype(int), s.tiers - 1)
 
 
@@ -104,7 +113,7 @@ def classes_of(words: list[bytes], counts: np.ndarray, s: Settings) -> np.ndarra
 class Model:
     """What tasks need: the head's words, classes and counts, and the class weights."""
 
-    ids: dict
+    hashes: np.ndarray  # ascending; the other arrays follow this order
     classes: np.ndarray
     counts: np.ndarray
     weights: np.ndarray
@@ -114,30 +123,30 @@ class Model:
     n_tokens: int
 
 
-def batch_ids(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Head ids (-1 beyond the head) of all tokens, the texts' ends, the token lists."""
-    split = [tokens(t) for t in texts]
-    get = model.ids.get
-    flat = np.array([get(w, -1) for words in split for w in words], np.int64)
-    return flat, np.cumsum([len(w) for w in split]), split
+def batch_ids(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens, their places in the head (-1 beyond it), the texts' ends."""
+    split = [word_hashes(t.translate(UPPER)) for t in texts]
+    flat = np.concatenate([x for words in split for x in (words, _END)])
+    at = np.minimum(np.searchsorted(model.hashes, flat), len(model.hashes) - 1)
+    return flat, np.where(model.hashes[at] == flat, at, -1), np.cumsum([len(w) + 1 for w in split])
 
 
-def contexts(ids: np.ndarray, ends: np.ndarray, buckets: int) -> np.ndarray:
+def contexts(hashes: np.ndarray, ends: np.ndarray, buckets: int) -> np.ndarray:
     """Rows of weights for each token: word before, both words before, word before that."""
-    n = len(ids)
-    before, second = np.full(n, -2, np.int64), np.full(n, -2, np.int64)
-    before[1:], second[2:] = ids[:-1], ids[:-2]
+    n = len(hashes)
+    before, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    before[1:], second[2:] = hashes[:-1], hashes[:-2]
     starts = np.concatenate([[0], ends[:-1]])
-    before[starts] = second[starts] = -2
-    second[starts[starts + 1 < np.append(starts[1:], n)] + 1] = -2
+    before[starts] = second[starts] = 0
+    second[starts[starts + 1 < np.append(starts[1:], n)] + 1] = 0
     odd = np.uint64(0x9E3779B97F4A7C15)
 
     def row(x: np.ndarray, salt: int) -> np.ndarray:
-        h = (x.astype(np.uint64) + np.uint64(salt)) * odd
+        h = (x + np.uint64(salt)) * odd
         h ^= h >> np.uint64(29)
         return ((h * odd) >> np.uint64(40)).astype(np.int64) % buckets
 
-    return np.stack([row(before, 11), row(before * 1_000_003 + second, 5077), row(second, 90_001)])
+    return np.stack([row(before, 11), row(before * np.uint64(1_000_003) + second, 5077), row(second, 90_001)])
 
 
 def probabilities(model: Model, rows: np.ndarray) -> np.ndarray:
@@ -160,8 +169,8 @@ def gradient(texts: DataFrame, shared, s: Settings) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, met, wanted = shared.value, np.zeros(s.buckets * n), np.zeros((s.buckets, n))
         for batch in slices(batches, 128):
-            ids, ends, _ = batch_ids(model, batch.column(0).to_pylist())
-            rows = contexts(ids, ends, s.buckets)
+            hashes, ids, ends = batch_ids(model, batch.column(0).to_pylist())
+            rows = contexts(hashes, ends, s.buckets)
             own = model.classes[ids]
             expected = probabilities(model, rows)
             for row in rows:
@@ -174,25 +183,39 @@ def gradient(texts: DataFrame, shared, s: Settings) -> np.ndarray:
         at = np.flatnonzero(both.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(both[at, i]) for i in range(2 * n)]], ["bucket", *columns])
 
-    summed = texts.mapInArrow(run, "bucket int, " + ", ".join(f"{c} float" for c in columns)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns])
+    summed = texts.coalesce(s.tasks).mapInArrow(run, "bucket int, " + ", ".join(f"{c} float" for c in columns)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns])
     out = np.zeros((s.buckets, 2 * n))
     for row in summed.collect():  # s.buckets rows at most
         out[row[0]] = row[1:]
     return out
 
 
+def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, count) of the end and of the `most` most frequent words at most, all of one count or none, most frequent first."""
+    steps = counts.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step"))  # 8 rows a doubling
+    low, held = 1 << 62, 0
+    for row in steps.collect():
+        held += row["n"]
+        if held > most:
+            break
+        low = row["c"]
+    found = {bytes(r["word"]): r["c"] for r in counts.where((F.col("c") >= low) | (F.col("word") == F.lit(END))).collect()}
+    return sorted(({END: 0} | found).items(), key=lambda x: (-x[1], x[0]))
+
+
 def fit(texts: DataFrame, counts: DataFrame, s: Settings) -> Model:
     """The model of texts(text binary) with their word counts(word, c)."""
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(s.head).unionAll(counts.where(F.col("word") == F.lit(END))).distinct()
-    rows = sorted(top.collect(), key=lambda r: (-r["c"], bytes(r["word"])))  # s.head + 1 rows at most
-    words, held = [bytes(r["word"]) for r in rows], np.array([r["c"] for r in rows], float)
+    rows = head_words(counts, s.head)
+    words, held = [w for w, _ in rows], np.array([c for _, c in rows], float)
     own = classes_of(words, held, s)
     mass = np.bincount(own, held + 1, minlength=s.classes).astype(float)
     mass[-1] += (n_tokens - held.sum()) + (n_words - len(words)) + 1
     total = float(n_tokens + n_words + 1)
     bias = np.log(np.maximum(mass, 1e-9) / total).astype(np.float32)
-    model = Model(dict(zip(words, range(len(words)))), np.append(own, s.classes - 1), np.append(held, 0), np.zeros((s.buckets, s.classes), np.float32), bias, mass, total, n_tokens)
+    hashes = np.array([_END[0] if w == END else word_hashes(w)[0] for w in words], np.uint64)
+    turn = np.argsort(hashes)
+    model = Model(hashes[turn], np.append(own[turn], s.classes - 1), np.append(held[turn], 0), np.zeros((s.buckets, s.classes), np.float32), bias, mass, total, n_tokens)
     for _ in range(s.rounds if n_tokens else 0):
         shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by s.head and s.buckets
         sums = gradient(texts, shared, s)
@@ -208,8 +231,10 @@ def scores(docs: DataFrame, teaches: Column, held_out: Column, settings: Setting
 
     teaches and held_out are conditions on doc_id; null ones are false. A null
     text counts as empty and has its end alone. base_score is the add-one
-    unigram log10 probability, score the model's. Without a training text each
-    token is unknown. Rows may repeat; other columns are left out.
+    unigram log10 probability, score the model's. Without a training text, as
+    in an empty table, each token is unknown. Rows may repeat and share an id,
+    null or not; a text of any length is scored by one task; other columns are
+    left out.
     """
     s = settings or Settings()
     text = F.encode(text_of(), "utf-8").alias("text")
@@ -222,30 +247,30 @@ def scores(docs: DataFrame, teaches: Column, held_out: Column, settings: Setting
         m = shared.value
         mass = np.where(m.mass > 0, m.mass, 1.0)
         for batch in slices(batches, 128):
-            ids, ends, split = batch_ids(m, batch.column(2).to_pylist())
+            texts = batch.column(3).to_pylist()
+            hashes, ids, ends = batch_ids(m, texts)
             own = m.classes[ids]
-            chosen = np.log10(np.maximum(probabilities(m, contexts(ids, ends, m.weights.shape[0]))[np.arange(len(ids)), own].astype(float), 1e-30))
+            chosen = np.log10(np.maximum(probabilities(m, contexts(hashes, ends, m.weights.shape[0]))[np.arange(len(ids)), own].astype(float), 1e-30))
             inside = np.log10(m.counts[ids] + 1)  # 0 beyond the head; joined later
             starts = np.concatenate([[0], ends[:-1]])
             n = ends - starts
-            known = np.add.reduceat((ids >= 0).astype(np.int64), starts)
+            known = np.add.reduceat((m.counts[ids] > 0).astype(np.int64), starts)
             base = np.add.reduceat(inside, starts) - n * math.log10(m.total)
             model_part = np.add.reduceat(chosen + inside - np.log10(mass)[own], starts)
             rare = []
-            for words, a, b in zip(split, starts, ends):
-                found = Counter(words[i] for i in np.flatnonzero(ids[a:b] < 0).tolist())
-                rare.append(list(found.items()))
+            for text, a, b in zip(texts, starts.tolist(), ends.tolist()):
+                words = tokens(text)
+                rare.append(list(Counter([words[i] for i in np.flatnonzero(ids[a:b] < 0).tolist()]).items()))
             rare = pa.array(rare, pa.map_(pa.binary(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(model_part), rare], ["ord", "th", "n_tokens", "known", "base", "part", "rare"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(known), pa.array(base), pa.array(model_part), rare], [*ROW, "n_tokens", "known", "base", "part", "rare"])
 
-    scored = stored(docs.select(*identity(), text).mapInArrow(head, "ord long, th long, n_tokens long, known long, base double, part double, rare map<binary,int>"), "scored")
-    words = scored.select("ord", "th", F.explode("rare").alias("word", "n"))
-    joined = words.join(counts.hint("merge"), "word").groupBy("ord", "th").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("add"))
-    rows = scored.groupBy("ord", "th").agg(F.count("*").alias("r"), *[F.first(c).alias(c) for c in ("n_tokens", "known", "base", "part")])
-    every = rows.join(joined.hint("merge"), ["ord", "th"], "left")
+    scored = stored(docs.select(*identity(), text).mapInArrow(head, "ord long, h1 long, h2 long, n_tokens long, known long, base double, part double, rare map<binary,int>"), "scored")
+    words = scored.select(*ROW, F.explode("rare").alias("word", "n"))
+    joined = words.join(counts.hint("merge"), "word").groupBy(*ROW).agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("add"))
+    rows = scored.groupBy(*ROW).agg(F.count("*").alias("r"), *[F.first(c).alias(c) for c in ("n_tokens", "known", "base", "part")])
+    every = rows.join(joined.hint("merge"), ROW, "left")
     share = lambda c: F.coalesce(F.col(c) / F.col("r"), F.lit(0.0))  # noqa: E731  equal rows were added up
-    doc_id = F.when(F.col("ord") < LAST, F.col("ord"))
-    flat = every.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("r").cast("int")))).withColumn("doc_id", doc_id)
+    flat = every.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("r").cast("int")))).withColumn("doc_id", doc_id(F.col("ord"), F.col("h2")))
     return flat.select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),

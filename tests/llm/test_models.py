@@ -82,9 +82,35 @@ def test_model_adds_up_to_one_and_beats_the_base(spark):
     s = maxent_lm.Settings(rounds=2)
     counts = maxent_lm.count_words(texts, s)
     model = maxent_lm.fit(texts, counts, s)
-    ids, ends, _ = maxent_lm.batch_ids(model, [b"red fox blue"])
-    p = maxent_lm.probabilities(model, maxent_lm.contexts(ids, ends, s.buckets))[1].astype(float)
+    hashes, _, ends = maxent_lm.batch_ids(model, [b"red fox blue"])
+    p = maxent_lm.probabilities(model, maxent_lm.contexts(hashes, ends, s.buckets))[1].astype(float)
     known = {r.word: r.c for r in counts.collect()}
-    total = sum(p[model.classes[model.ids[bytes(w)]]] * (c + 1) / model.mass[model.classes[model.ids[bytes(w)]]] for w, c in known.items())
+    own = {w: model.classes[maxent_lm.batch_ids(model, [bytes(w)])[1][0]] for w in known}
+    total = sum(p[own[w]] * (c + 1) / model.mass[own[w]] for w, c in known.items())
     total += p[-1] / model.mass[-1] if model.mass[-1] > 0 else 0  # the one unknown word
     assert abs(total - 1) < 1e-3
+
+
+@pytest.mark.parametrize("head", [1 << 17, 5])
+def test_scores_equal_those_of_single_tokens(spark, head):
+    docs = documents(spark)
+    s = maxent_lm.Settings(head=head)
+    training = docs.where(crc_class(7) != 2).select(F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
+    counts = maxent_lm.count_words(training, s)
+    model, known = maxent_lm.fit(training, counts, s), {bytes(r.word): r.c for r in counts.collect()}
+    assert maxent_lm.head_words(counts, head)[0][1] == max(known.values()) or head < len(known)
+    want = []
+    for row in docs.collect():
+        own, total = [w.encode() for w in words(row.text)], 0.0
+        hashes, ids, ends = maxent_lm.batch_ids(model, [(row.text or "").encode()])
+        for i, word in enumerate(own):
+            logits = model.bias.astype(float)
+            for at in maxent_lm.contexts(hashes[: i + 1], np.array([i + 1]), s.buckets)[:, i]:
+                logits = logits + model.weights[at]
+            c = model.classes[ids[i]]
+            p = np.exp(logits[c] - logits.max()) / np.exp(logits - logits.max()).sum()
+            total += math.log10(p) + math.log10((known.get(word, 0) + 1) / model.mass[c])
+        want.append((str(row.doc_id), len(own), total))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in maxent_lm.scores(docs, crc_class(7) != 2, crc_class(7) == 2, s).collect())
+    for a, b in zip(got, sorted(want)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-3 * abs(b[2]) + 1e-3
