@@ -100,15 +100,16 @@ def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, m
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, whole, as many times as the mix takes their words (rounded half up).
 
-    Every copy keeps the columns of docs; documents of which the mix takes less
-    than half and documents without words do not appear.
+    Every copy keeps the columns of docs, whatever their names; documents of
+    which the mix takes less than half and documents without words do not
+    appear. Rows of equal id, source and size share what is taken of them.
     """
-    own = docs.columns
-    key = mix(docs, **how).where("taken > 0").groupBy("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    sized = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumnRenamed("doc_id", "_doc")
-    both = sized.join(key.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    copies = F.floor(F.col("_taken") / (F.col("_size") * F.col("_rows")) + 0.5).cast("int")
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col("_doc").alias("doc_id") if c == "doc_id" else F.col(c) for c in own])
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    key = mix(docs, **how).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n_rows"))
+    whole = docs.select(F.col("doc_id").alias("own"), F.col("source").alias("from"), size.alias("words"), F.struct("*").alias("row"))
+    both = whole.join(key.hint("merge"), F.col("own").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    copies = F.floor(F.col("taken") / (F.col("size") * F.col("n_rows")) + 0.5).cast("int")
+    return both.select(F.explode(F.array_repeat("row", copies)).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def oracle(weights: list[int], share: float, most: int, block: int = BLOCK) -> str:

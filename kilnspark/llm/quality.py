@@ -20,13 +20,17 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm.common import slices, text_of
 
-#: N-gram starts hashed at a time; multipliers of the n-gram hash; the feature of a word after itself.
+#: N-gram starts hashed at a time; multipliers of the n-gram hash; the word pairs of a word with itself, which all share one feature.
 STEP, ODD, MIX, AGAIN = 1 << 20, np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15), zlib.crc32(b"\0again")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows that training uses at most (those whose ids hash lowest), each of max_chars at most."""
+    """sample: labelled rows that training uses at most (those whose ids hash lowest), whole.
+
+    rate: steps of the layer; a feature's vector has vector_rate times that,
+    as its share of a document, and so its gradient, is small.
+    """
 
     buckets: int = 1 << 18
     width: int = 8
@@ -34,8 +38,8 @@ class Settings:
     longest: int = 4
     epochs: int = 6
     rate: float = 0.5
+    vector_rate: float = 100.0
     sample: int = 1500
-    max_chars: int = 50_000
     seed: int = 11
 
 
@@ -66,12 +70,11 @@ def counted(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(found), return_counts=True)
 
 
-def train(rows: list[tuple[str, int]], s: Settings) -> tuple[np.ndarray, float]:
-    """What each bucket adds to the logit of label 1, and the bias."""
+def train(docs: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[np.ndarray, float]:
+    """What each bucket adds to the logit of label 1, and the bias, from (features, their counts, label) of each document."""
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.width, 1 / s.width, (s.buckets, s.width))
     layer, bias = np.zeros((s.width, 2)), np.zeros(2)
-    docs = [(*counted(text, s), label) for text, label in rows]
     steps, done = max(1, s.epochs * len(docs)), 0
     for _ in range(s.epochs):
         for i in rng.permutation(len(docs)):
@@ -87,18 +90,31 @@ def train(rows: list[tuple[str, int]], s: Settings) -> tuple[np.ndarray, float]:
             back = layer @ wrong
             layer -= rate * np.outer(mean, wrong)
             bias -= 0.1 * rate * wrong
-            # shares are small: a feature moves in proportion to its share of the document's strongest one
-            vectors[at] -= rate * back * (share / share.max() if len(at) else share)
+            vectors[at] -= s.vector_rate * rate * back * share
     return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, teaches: Column, s: Settings) -> list[tuple[str, int]]:
-    """At most s.sample (text, label) of labelled documents that teach, in a fixed order."""
+def training_rows(docs: DataFrame, labels: DataFrame, teaches: Column, s: Settings) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(features, their counts, label) of at most s.sample labelled documents that teach, in a fixed order.
+
+    Features are counted in the tasks, over whole texts; what comes back is at
+    most s.sample rows of s.buckets pairs. Of several texts of one id the one
+    that hashes lowest teaches.
+    """
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.where(teaches).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)  # s.sample rows
-    own = docs.select(F.col("doc_id"), text_of().alias("text")).where(F.length("text") <= s.max_chars)
-    rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            found = [counted(t.as_py(), s) for t in batch.column(2)]
+            lists = [pa.array([x[i].astype("i4") for x in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], ["doc_id", "label", "at", "n"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    some = own.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id")
+    one = some.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "label", "t.text")
+    rows = one.mapInArrow(run, "doc_id long, label int, at array<int>, n array<int>").collect()
+    return [(np.array(r["at"], np.int64), np.array(r["n"], np.int64), r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def word_sums(words: list[str], weights: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +156,9 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
 
     held_out is a condition on doc_id; such rows never teach (nor do rows
     without an id or with another label than 0 and 1; of contradicting labels
-    the lower holds). Only the text makes the score. Null texts count as empty.
-    Without labelled rows every score is one half.
+    the lower holds). Only the text, whole, makes the score. Null texts count as
+    empty; rows may repeat; an empty table gives no rows; other columns are left
+    out. Without labelled rows every score is one half.
     """
     s = settings or Settings()
     rows = training_rows(docs, labels, F.col("doc_id").isNotNull() & ~held_out, s)
@@ -152,12 +169,15 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
 def accepted(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
     """The rows of docs whose own text scores threshold or more; all rows if nothing teaches.
 
-    A score comes from the text alone, so rows are judged by the text's hash and ids may be null or shared.
+    A score comes from the text alone, so rows are judged by the text's hash and
+    ids may be null or shared; a null text counts as empty; all columns stay,
+    whatever their names.
     """
     s = settings or Settings()
     rows = training_rows(docs, labels, F.col("doc_id").isNotNull() & ~held_out, s)
     if not rows:
         return docs
-    own = F.xxhash64(text_of())
-    bad = scored(docs.select(own.alias("doc_id"), "text"), *train(rows, s), s).where(F.col("score") < threshold).select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(bad.hint("merge"), own == F.col("_of"), "left_anti")
+    own = docs.select(F.xxhash64(text_of()).alias("doc_id"), "text")
+    bad = scored(own, *train(rows, s), s).where(F.col("score") < threshold).select("doc_id").distinct()
+    whole = docs.select(F.xxhash64(text_of()).alias("doc_id"), F.struct("*").alias("row"))
+    return whole.join(bad.hint("merge"), "doc_id", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
