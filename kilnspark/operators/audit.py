@@ -118,3 +118,8 @@ def sitemap_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
 def sets_that_overlap(routes: DataFrame) -> DataFrame:
     """(path, n_sets) of routes(path, set) that stand in more than one set."""
     return routes.groupBy("path").agg(F.countDistinct("set").alias("n_sets")).where("n_sets > 1")
+
+
+def description_fits(text: Column, least: int = 120, most: int = 320) -> Column:
+    """Whether a page's description is of a length that search results show."""
+    return F.length(text).between(least, most)

@@ -69,23 +69,46 @@ def enforce_limits(records: DataFrame, limits: dict[str, int] | None = None) ->
     return per.withColumn("allowed", (F.col("n_records") <= own["records"]) & (F.sum("n_bytes").over(w) <= own["project_bytes"]) & (F.count("*").over(w) <= own["collections"]))
 
 
+#: Requests up to which those of a filter are broadcast.
+FEW_REQUESTS = 20_000
+
+
 def query_filter(records: DataFrame, params: DataFrame, fallback: bool = True) -> DataFrame:
     """(request_id, ord, id) of the records(collection, ord, id, doc) that params(request_id, collection, key, value) ask for.
 
     Keys must all hold, of a key's values one; a record must have the key; an
     array holds if an element does. If nothing matches a request gets every
     record of its collection, as long as fallback is on.
+
+    A request is one row that carries all its keys. It meets records only on
+    the key that fewest records hold as asked; the other keys are tested in
+    the joined row.
     """
-    asked = params.where(~F.col("key").isin(FORBIDDEN)).distinct()
-    wanted = asked.groupBy("request_id").agg(F.countDistinct("key").alias("n_keys"))
-    fields = records.select("collection", "ord", "id", F.explode(F.expr("try_cast(doc as map<string, variant>)")).alias("key", "v"))
-    items = F.expr("try_cast(v as array<variant>)")
-    texts = fields.select("collection", "ord", "id", "key", F.explode(F.coalesce(items, F.array("v"))).alias("v")).select("collection", "ord", "id", "key", scalar_text(F.col("v")).alias("value")).distinct()
-    hits = texts.join(asked, ["collection", "key", "value"]).groupBy("request_id", "ord", "id").agg(F.countDistinct("key").alias("n")).join(wanted, "request_id").where("n = n_keys").select("request_id", "ord", "id")
+    asked = params.where(~F.col("key").isin(FORBIDDEN)).groupBy("request_id", "collection", "key").agg(F.collect_set("value").alias("values"))
+
+    def texts(value: Column) -> Column:
+        each = F.coalesce(value.try_cast("array<variant>"), F.array(value))
+        return F.array_distinct(F.filter(F.transform(each, scalar_text), lambda x: x.isNotNull()))
+
+    has = F.transform_values(F.col("doc").try_cast("map<string, variant>"), lambda _, v: texts(v))
+    held = records.select("collection", "ord", "id", has.alias("has"))
+    pairs = held.select("collection", F.explode("has").alias("key", "value")).select("collection", "key", F.explode("value").alias("value"))
+    common = pairs.groupBy("collection", "key", "value").agg(F.count("*").alias("n"))
+    flat = asked.select("request_id", "collection", "key", F.explode("values").alias("value"))
+    weighed = flat.join(common.hint("merge"), ["collection", "key", "value"], "left").groupBy("request_id", "collection", "key").agg(F.sum(F.coalesce("n", F.lit(0))).alias("w"))
+    rarest = weighed.groupBy("request_id", "collection").agg(F.min_by("key", F.struct("w", "key")).alias("key"))
+    tests = asked.groupBy("request_id", "collection").agg(F.map_from_entries(F.collect_list(F.struct("key", "values"))).alias("tests"))
+    asks = tests.join(rarest.hint("merge"), ["request_id", "collection"]).select("*", F.explode(F.col("tests")[F.col("key")]).alias("value"))
+    few = params.select("request_id").limit(FEW_REQUESTS + 1).count() <= FEW_REQUESTS
+    places = held.select("*", F.explode("has").alias("key", "own")).select("collection", "ord", "id", "has", "key", F.explode("own").alias("value"))
+    met = places.join(asks.hint("broadcast" if few else "merge"), ["collection", "key", "value"])
+    once = F.col("value") == F.array_min(F.array_intersect(F.col("has")[F.col("key")], F.col("tests")[F.col("key")]))
+    all_keys = F.forall(F.map_entries("tests"), lambda t: F.arrays_overlap(F.coalesce(F.try_element_at("has", t["key"]), F.array().cast("array<string>")), t["value"]))
+    hits = met.where(once & all_keys).select("request_id", "ord", "id")
     if not fallback:
         return hits
-    lonely = params.select("request_id", "collection").distinct().join(hits.select("request_id").distinct(), "request_id", "left_anti")
-    return hits.unionAll(lonely.join(records.select("collection", "ord", "id"), "collection").select("request_id", "ord", "id"))
+    lonely = params.select("request_id", "collection").distinct().join(hits.select("request_id").distinct().hint("merge"), "request_id", "left_anti")
+    return hits.unionAll(records.select("collection", "ord", "id").join(lonely.hint("merge"), "collection").select("request_id", "ord", "id"))
 
 
 def response_node(df: DataFrame, path: str, doc: str = "doc") -> DataFrame:
@@ -165,21 +188,29 @@ def route_requests(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     endpoints(ord, method, path, database): :name matches any segment. An exact
     match wins; else a database endpoint takes one segment more (never for
     POST), the record's id. The first endpoint in order wins; 405 if only other
-    methods match, else 404. Both sides meet on their number of segments.
+    methods match, else 404. A path has a key for each shape that endpoints of
+    its length have (which segments are literal): its literal segments. Paths
+    and endpoints meet on equal shapes and keys.
     """
+    free = lambda p: F.startswith(p, F.lit(":"))
+    ends = endpoints.withColumn("_p", _segments(F.col("path"))).select(
+        "ord", F.col("method").alias("_m"), F.col("database").alias("_db"),
+        F.transform("_p", free).alias("shape"), F.to_json(F.transform("_p", lambda p: F.when(free(p), "").otherwise(p))).alias("literal"),
+    )
+    shapes = ends.select("shape").distinct().groupBy(F.size("shape").alias("n")).agg(F.collect_list("shape").alias("shapes"))  # a row for each length of a pattern
     asked = requests.withColumn("_s", F.transform(_segments(F.col("path")), lambda s: F.try_url_decode(s)))
-    ends = endpoints.withColumn("_p", _segments(F.col("path"))).select("ord", F.col("method").alias("_m"), "_p", F.col("database").alias("_db"))
     tiers = F.array(F.struct(F.size("_s").alias("n"), F.lit(0).alias("tier")), F.struct((F.size("_s") - 1).alias("n"), F.lit(1).alias("tier")))
-    near = asked.select("request_id", "method", "_s", F.explode(tiers).alias("t")).join(ends, F.col("t.n") == F.size("_p"))
-    fits = F.forall(F.zip_with(F.slice("_s", 1, F.size("_p")), F.col("_p"), lambda s, p: F.startswith(p, F.lit(":")) | (s == p)), lambda x: x)
-    found = near.where(fits & ((F.col("t.tier") == 0) | (F.col("_db") & (F.col("method") != "POST"))))
+    near = asked.select("request_id", "method", "_s", F.explode(tiers).alias("t")).withColumn("n", F.col("t.n")).join(F.broadcast(shapes), "n").withColumn("shape", F.explode("shapes"))
+    near = near.withColumn("literal", F.to_json(F.transform(F.slice("_s", 1, F.col("n")), lambda x, i: F.when(F.get("shape", i), "").otherwise(x))))
+    met = near.join(ends.hint("merge"), ["shape", "literal"])
+    found = met.where((F.col("t.tier") == 0) | (F.col("_db") & (F.col("method") != "POST")))
     own = F.col("_m") == F.col("method")
     best = found.groupBy("request_id").agg(
         F.min_by(F.struct("ord", F.when(F.col("t.tier") == 1, F.element_at("_s", -1)).alias("record_id")), F.when(own, F.struct("t.tier", "ord"))).alias("b"),
         F.array_sort(F.array_union(F.collect_set("_m"), F.array(F.lit("OPTIONS")))).alias("allowed"),
     )
     status = F.when(F.col("b").isNotNull(), 200).when(F.col("allowed").isNotNull(), 405).otherwise(404)
-    return requests.join(best, "request_id", "left").select(*requests.columns, F.col("b.ord").alias("endpoint_ord"), F.col("b.record_id").alias("record_id"), "allowed", status.alias("status"))
+    return requests.join(best.hint("merge"), "request_id", "left").select(*requests.columns, F.col("b.ord").alias("endpoint_ord"), F.col("b.record_id").alias("record_id"), "allowed", status.alias("status"))
 
 
 def drop_orphan_collections(collections: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -258,4 +289,6 @@ def guided_update(records: DataFrame, match: Column, items: str, item_match: obj
     hits = F.when(match, F.size(F.filter(items, item_match))).otherwise(0)
     total = records.agg(F.coalesce(F.sum(hits), F.lit(0)).alias("_total"))  # one row
     new = F.when(match, F.transform(items, lambda x: F.when(item_match(x), change(x)).otherwise(x))).otherwise(F.col(items))
-    return records.crossJoin(F.broadcast(total)).withColumn("status", F.when(F.col("_total") > 0, 200).otherwise(404)).withColumn(items, new).drop("_total")
+    hit = F.col("_total") > 0
+    own = records.withColumn("_total", total.scalar())
+    return own.withColumn("status", F.when(hit, 200).otherwise(404)).withColumn(items, new).drop("_total")

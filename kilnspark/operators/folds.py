@@ -6,35 +6,46 @@ its state; a key with many rows is never held as a whole.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Rows that a task turns into Python objects at a time.
+ROWS = 4096
 
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Any, Any], tuple[Any, tuple]], start: Any, schema: str) -> DataFrame:
+
+def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Any, Any], tuple[Any, tuple]], start: Any, schema: str, needs: list[str] | None = None) -> DataFrame:
     """df's rows with the outputs of step(state, row) -> (state, outputs) added, per key in order.
 
     schema names the added columns. Rows are dealt by key and sorted, so that
-    a task streams through them.
+    a task streams through them. step sees the columns `needs` (None: all) and
+    the keys; df's own columns pass as they are.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
+    added = to_arrow_schema(StructType.fromDDL(schema))
+    seen = df.columns if needs is None else list(dict.fromkeys([*keys, *needs]))
+    row_of, n_keys = namedtuple("row", seen, rename=True), [seen.index(k) for k in keys]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = object(), None
-        for batch in batches:
-            made = []
-            for row in batch.itertuples(index=False):
-                own = tuple(None if pd.isna(v) else v for v in (getattr(row, k) for k in keys))
-                if own != key:
-                    key, state = own, start() if callable(start) else start
-                state, out = step(state, row)
-                made.append(out)
-            yield pd.concat([batch, pd.DataFrame(made, columns=names, index=batch.index)], axis=1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch, made = whole.slice(at, ROWS), []
+                for row in map(row_of._make, zip(*(batch.column(c).to_pylist() for c in seen))):
+                    own = tuple(row[i] for i in n_keys)
+                    if own != key:
+                        key, state = own, start() if callable(start) else start
+                    state, out = step(state, row)
+                    made.append(out)
+                new = [pa.array(c, f.type) for c, f in zip(zip(*made), added)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added.names])
 
     full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{full}, {schema}")
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{full}, {schema}")
 
 
 def throttle_step(least: float, cap: float) -> Callable:
@@ -84,24 +95,24 @@ def transition_step(state: dict | None, row: Any) -> tuple[dict, tuple]:
 
 def throttle(df: DataFrame, keys: list[str], order: list[str], least: float = 5, cap: float = 75) -> DataFrame:
     """df(progress) with emit: whether a step of the progress is shown."""
-    return fold(df, keys, order, throttle_step(least, cap), None, "emit boolean")
+    return fold(df, keys, order, throttle_step(least, cap), None, "emit boolean", ["progress"])
 
 
 def rate_limit(df: DataFrame, keys: list[str], order: list[str], limit: int, window: float) -> DataFrame:
     """df(at) with accepted."""
-    return fold(df, keys, order, rate_step(limit, window), (), "accepted boolean")
+    return fold(df, keys, order, rate_step(limit, window), (), "accepted boolean", ["at"])
 
 
 def request_transitions(events: DataFrame) -> DataFrame:
     """events(request_id, seq, at, kind, ttl_ms) with accepted, status and reason."""
-    return fold(events, ["request_id"], ["seq"], transition_step, None, "accepted boolean, status string, reason string")
+    return fold(events, ["request_id"], ["seq"], transition_step, None, "accepted boolean, status string, reason string", ["at", "kind", "ttl_ms"])
 
 
 def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """df with free_name: the first free stem(n).ext, ignoring case, among the names of its first letter group.
+    """df with free_name: the first free stem(n).ext, ignoring case; a null name stays null.
 
-    Numbered names share a stem without their number, so a key holds all names
-    that can collide.
+    Names that differ in case and number alone can collide, so they are a key;
+    its state is its distinct names.
     """
     from pyspark.sql import functions as F
 
@@ -112,6 +123,8 @@ def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
 
     def step(taken: dict, row: Any) -> tuple[dict, tuple]:
         own = getattr(row, name)
+        if own is None:
+            return taken, (None,)
         low = own.lower()
         if low not in taken:
             taken[low] = 1
@@ -123,4 +136,4 @@ def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
         taken[low], taken[free.lower()] = n + 1, 1
         return taken, (free,)
 
-    return fold(keyed, ["stem_key"], order, step, dict, "free_name string").drop("stem_key")
+    return fold(keyed, ["stem_key"], order, step, dict, "free_name string", [name]).drop("stem_key")

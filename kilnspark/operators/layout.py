@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,36 +40,62 @@ def locate_offset(items: DataFrame, points: DataFrame, key: str, size: str, gap:
 
 def fill_style_gaps(ranges: DataFrame, texts: DataFrame, key: str, base: str) -> DataFrame:
     """(key, lo, hi, style) that cover each text(n_chars): ranges(lo, hi, style) clipped to the text and to the end before, gaps in the base style."""
-    own = ranges.join(texts.select(key, "n_chars"), key).withColumn("hi", F.least("hi", "n_chars")).withColumn("lo", F.greatest(F.lit(0), F.col("lo")))
+    own = ranges.join(texts.select(key, "n_chars").hint("merge"), key).withColumn("hi", F.least("hi", "n_chars")).withColumn("lo", F.greatest(F.lit(0), F.col("lo")))
     w = Window.partitionBy(key).orderBy("lo", "hi")
     before = F.coalesce(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = own.withColumn("before", before).withColumn("lo", F.greatest("lo", "before")).where("lo < hi")
     gaps = cut.where("before < lo").select(key, F.col("before").alias("lo"), F.col("lo").alias("hi"), F.lit(base).alias("style"))
-    ends = texts.join(cut.groupBy(key).agg(F.max("hi").alias("end")), key, "left").select(key, F.coalesce("end", F.lit(0)).alias("lo"), F.col("n_chars").alias("hi"), F.lit(base).alias("style")).where("lo < hi")
+    ends = texts.join(cut.groupBy(key).agg(F.max("hi").alias("end")).hint("merge"), key, "left").select(key, F.coalesce("end", F.lit(0)).alias("lo"), F.col("n_chars").alias("hi"), F.lit(base).alias("style")).where("lo < hi")
     return cut.select(key, "lo", "hi", "style").unionByName(gaps).unionByName(ends)
 
 
-def _merge_step(state: dict | None, row: Any) -> tuple[dict, tuple]:
-    """Numbers the group of each run: the line is tested against the group's head, the gap against its tail."""
-    high = max(row.height, 0.0)
+#: Devanagari marks, joiners and combining accents.
+MARK = re.compile("[\u093a-\u094d\u0962\u0963\u200c\u200d\u0300-\u036f]")
+_BLANK = re.compile("[\\s\ufeff]")
+
+
+def _merge_step(state: dict | None, row: Any) -> tuple[dict | None, tuple]:
+    """Numbers the group of each run: direction and line are the head's, the gap is from the tail, along the head's direction."""
+    if row.item:
+        if state and _BLANK.search(row.text or ""):
+            state = state | {"parted": True}
+        return state, (None,)
+    a, b, _, _, x, y = row.transform
+    text, width, high = row.text or "", max(row.width or 0.0, 0.0), row.height or 0.0
     joins = False
     if state:
-        same = row.font_name == state["font"] and abs(row.y - state["y"]) <= max(1.0, 0.35 * high)
-        gap = row.x - state["end"]
-        near = state["flat"] or abs(gap) <= max(4.0, 0.9 * high)
-        joins = bool(same and near and row.text.strip() and state["text"].strip() and not row.text[:1].isspace() and not state["text"][-1:].isspace())
-    group = state["group"] if joins else (state["group"] + 1 if state else 0)
-    head = state if joins else {"font": row.font_name, "y": row.y}
-    now = {"font": head["font"], "y": head["y"], "group": group, "end": row.x + row.width, "flat": row.width == 0, "text": row.text}
-    return now, (group,)
+        ux, uy = state["along"]
+        high = max(high, state["height"])
+        line = abs((x - state["x"]) * -uy + (y - state["y"]) * ux) <= max(1.0, 0.35 * high) and abs(a - state["a"]) <= 0.01 and abs(b - state["b"]) <= 0.01
+        flat = state["width"] <= 0.01
+        parted = bool(_BLANK.search(text) or _BLANK.search(state["text"])) or (state["parted"] and not (flat and MARK.search(text)))
+        gap = (x - state["tail_x"]) * ux + (y - state["tail_y"]) * uy - state["width"]
+        joins = row.font_name == state["font"] and line and not parted and (flat or abs(gap) <= max(4.0, 0.9 * high))
+    if joins:
+        state = state | {"tail_x": x, "tail_y": y, "width": width, "text": state["text"] + text, "parted": False}
+    else:
+        size = math.hypot(a or 1.0, b) or 1.0
+        state = {"group": state["group"] + 1 if state else 0, "font": row.font_name, "a": a, "b": b, "x": x, "y": y, "along": ((a or 1.0) / size, b / size), "height": row.height or 0.0, "tail_x": x, "tail_y": y, "width": width, "text": text, "parted": False}
+    return state, (state["group"],)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """Neighbouring runs(doc_id, page_index, ordinal, text, font_name, x, y, width, height, editable) of one word joined."""
-    grouped = fold(runs, PAGE, ["ordinal"], _merge_step, None, "word int")
-    at = F.array_sort(F.collect_list(F.struct("ordinal", "text", "x", "width", "editable")))
+    """Neighbouring runs of one word joined, per page in order.
+
+    runs(doc_id, page_index, ordinal, text, font_name, transform array<double>,
+    width, height, editable, item): rows with item are what stands between
+    runs; white space among them parts runs, unless a glyph without width is
+    followed by a combining mark. A merged run reaches along its head's
+    direction to the end of its last part, and is at least as wide as the head.
+    """
+    grouped = fold(runs, PAGE, ["ordinal"], _merge_step, None, "word int", ["ordinal", "text", "font_name", "transform", "width", "height", "item"]).where("word is not null")
+    at = F.array_sort(F.collect_list(F.struct("ordinal", "text", "transform", "width", "editable")))
     out = grouped.groupBy(*PAGE, "word").agg(at.alias("r"))
-    return out.select(*PAGE, "word", F.array_join("r.text", "").alias("text"), F.col("r.ordinal").alias("ordinals"), half_up(F.array_max(F.transform("r", lambda r: r["x"] + r["width"])) - F.array_min("r.x")).cast("long").alias("width"), F.forall("r.editable", lambda e: e).alias("editable"))
+    head, tail = F.get("r", F.lit(0)), F.element_at("r", -1)
+    a, b = F.when(head["transform"][0] == 0, 1.0).otherwise(head["transform"][0]), head["transform"][1]
+    along = lambda r: (r["transform"][4] * a + r["transform"][5] * b) / F.hypot(a, b)
+    width = F.greatest(head["width"], along(tail) + F.greatest(F.lit(0.0), tail["width"]) - along(head))
+    return out.select(*PAGE, "word", F.array_join("r.text", "").alias("text"), F.col("r.ordinal").alias("ordinals"), F.round(width, 6).alias("width"), F.forall("r.editable", lambda e: e).alias("editable"))
 
 
 def words_of(blocks: DataFrame) -> DataFrame:
@@ -93,7 +121,7 @@ def _word_step(state: dict | None, row: Any) -> tuple[dict, tuple]:
 
 def join_words(words: DataFrame, order: list[str]) -> DataFrame:
     """Words(text, confidence, x0, y0, x1, y1, graphic) of a page joined to phrases; graphic ones stay alone."""
-    grouped = fold(words, PAGE, order, _word_step, None, "phrase int")
+    grouped = fold(words, PAGE, order, _word_step, None, "phrase int", ["graphic", "x0", "x1", "y0", "y1"])
     parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
     out = grouped.groupBy(*PAGE, "phrase").agg(parts.alias("r"), F.min("confidence").alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     text = F.aggregate("r.text", F.lit(""), lambda a, t: F.concat(a, F.when((a == "") | a.rlike(f"[{CURRENCY}]$") | t.rlike("^[,.;:%!?)]"), "").otherwise(" "), t))
@@ -101,7 +129,8 @@ def join_words(words: DataFrame, order: list[str]) -> DataFrame:
 
 
 def reading_order(words: DataFrame) -> DataFrame:
-    return words.orderBy(*PAGE, "y0", "x0")
+    """words with turn: their place on the page from the top, then from the left; equal boxes by ord."""
+    return words.withColumn("turn", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0", "ord")))
 
 
 def join_currency(words: DataFrame, currency: DataFrame, bin_height: float = 64) -> DataFrame:
@@ -123,10 +152,10 @@ def join_currency(words: DataFrame, currency: DataFrame, bin_height: float = 64)
     best = good.withColumn("r", F.row_number().over(Window.partitionBy(*PAGE, "c.ord").orderBy(F.desc("s"), "w.ord"))).where("r = 1")
     best = best.withColumn("r", F.row_number().over(Window.partitionBy(*PAGE, "w.ord").orderBy(F.desc("s"), "c.ord"))).where("r = 1")
     taken = best.select(*PAGE, F.col("w.ord").alias("ord"), F.col("c.ord").alias("c_ord"), F.col("c").alias("c"))
-    new = words.join(taken, [*PAGE, "ord"], "left")
+    new = words.join(taken.hint("merge"), [*PAGE, "ord"], "left")
     grown = [F.coalesce(F.col("c.text"), F.col("text")).alias("text"), F.greatest("confidence", "c.confidence").alias("confidence")]
     grown += [F.least(c, f"c.{c}").alias(c) for c in ("x0", "y0")] + [F.greatest(c, f"c.{c}").alias(c) for c in ("x1", "y1")]
-    lone = currency.join(taken.select(*PAGE, F.col("c_ord").alias("ord")), [*PAGE, "ord"], "left_anti")
+    lone = currency.join(taken.select(*PAGE, F.col("c_ord").alias("ord")).hint("merge"), [*PAGE, "ord"], "left_anti")
     columns = [*PAGE, "text", "confidence", "x0", "y0", "x1", "y1"]
     return new.select(*PAGE, *grown).select(*columns).unionByName(lone.select(*columns))
 
@@ -149,20 +178,29 @@ def resolve_edits(edits: DataFrame, runs: DataFrame) -> DataFrame:
 
     In order: the run's id; its ordinal and hash; its ordinal and text; the
     only run of that text; of several the nearest by ordinal. White space does
-    not count in texts. One equi join on the page and text, one on the id.
+    not count in texts. Edits and runs of one text are laid side by side in
+    order: the nearest run is the last before or the first after, so no pairs
+    are made.
     """
     key = text_identity(F.col("text"))
-    own = runs.select(*PAGE, F.col("run_id").alias("r_id"), F.col("ordinal").alias("r_ord"), F.col("text_hash").alias("r_hash"), key.alias("key"))
+    own = runs.select(*PAGE, F.col("run_id").alias("r_id"), F.col("ordinal").cast("long").alias("r_ord"), F.col("text_hash").alias("r_hash"), key.alias("key"))
     asked = edits.withColumn("key", text_identity(F.col("original_text")))
     ids = own.select(*PAGE, F.col("r_id").alias("run_id"), "r_ord")
-    by_id = asked.join(ids, [*PAGE, "run_id"]).select("edit_id", F.col("run_id").alias("r_id"), "r_ord", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("d"))
-    same = asked.join(own, [*PAGE, "key"])
-    n = F.count("*").over(Window.partitionBy("edit_id"))
-    d = F.abs(F.col("r_ord") - F.col("ordinal")).cast("long")
-    tier = F.when((d == 0) & (F.col("r_hash") == F.col("text_hash")), 1).when(d == 0, 2).when(n == 1, 3).otherwise(4)
-    by_text = same.select("edit_id", "r_id", "r_ord", tier.alias("tier"), d.alias("d"))
-    best = by_id.unionByName(by_text).groupBy("edit_id").agg(F.min(F.struct("tier", "d", "r_ord", "r_id")).alias("b"))
-    return edits.join(best, "edit_id", "left").select(*edits.columns, F.col("b.tier").alias("tier"), F.col("b.r_ord").alias("run_ordinal"), F.col("b.r_id").alias("resolved_run"))
+    by_id = asked.join(ids, [*PAGE, "run_id"]).select("edit_id", F.struct(F.lit(0).alias("tier"), F.lit(0).cast("long").alias("d"), "r_ord", F.col("run_id").alias("r_id")).alias("b"))
+    marks = own.groupBy(*PAGE, "key", "r_ord").agg(F.min(F.struct("r_id", "r_hash")).alias("r"), F.collect_set("r_hash").alias("hashes"), F.count("*").alias("same"))
+    marks = marks.select(*PAGE, "key", F.col("r_ord").alias("x"), F.struct("r_ord", F.col("r.r_id").alias("r_id")).alias("run"), "hashes", "same")
+    want = asked.select(*PAGE, "key", F.col("ordinal").cast("long").alias("x"), "edit_id", "text_hash")
+    side = Window.partitionBy(*PAGE, "key").orderBy("x")
+    laid = want.unionByName(marks, allowMissingColumns=True)
+    laid = laid.withColumn("before", F.last("run", True).over(side.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("run", True).over(side.rangeBetween(0, Window.unboundedFollowing)))
+    laid = laid.withColumn("n", F.sum("same").over(Window.partitionBy(*PAGE, "key"))).withColumn("here", F.max("hashes").over(Window.partitionBy(*PAGE, "key", "x")))
+    d = lambda r: F.abs(F.col(r)["r_ord"] - F.col("x"))
+    near = F.when(F.col("after").isNull() | (d("before") <= d("after")), F.col("before")).otherwise(F.col("after"))
+    found = laid.where("edit_id is not null").withColumn("run", near).where("run is not null").withColumn("d", d("run"))
+    tier = F.when((F.col("d") == 0) & F.coalesce(F.array_contains("here", F.col("text_hash")), F.lit(False)), 1).when(F.col("d") == 0, 2).when(F.col("n") == 1, 3).otherwise(4)
+    by_text = found.select("edit_id", F.struct(tier.alias("tier"), "d", F.col("run.r_ord").alias("r_ord"), F.col("run.r_id").alias("r_id")).alias("b"))
+    best = by_id.unionByName(by_text).groupBy("edit_id").agg(F.min("b").alias("b"))
+    return edits.join(best.hint("merge"), "edit_id", "left").select(*edits.columns, F.col("b.tier").alias("tier"), F.col("b.r_ord").alias("run_ordinal"), F.col("b.r_id").alias("resolved_run"))
 
 
 def resolve_groups(groups: DataFrame, runs: DataFrame) -> DataFrame:
@@ -178,7 +216,7 @@ def resolve_groups(groups: DataFrame, runs: DataFrame) -> DataFrame:
     starts = asked.join(laid.select(*PAGE, F.col("ordinal").alias("first"), "lo", F.substring(text_identity(F.col("text")), 1, 1).alias("c")), PAGE).where(F.col("c") == F.substring("key", 1, 1))
     spans = starts.withColumn("hi", F.col("lo") + F.col("n")).join(laid.select(*PAGE, F.col("ordinal").alias("last"), "hi"), [*PAGE, "hi"]).where("last >= first")
     parts = spans.select("group_id", *PAGE, "key", "first", "last", "ordinal", F.explode(F.sequence("first", "last")).alias("o"))
-    texts = parts.join(runs.select(*PAGE, F.col("ordinal").alias("o"), text_identity(F.col("text")).alias("t")), [*PAGE, "o"])
+    texts = parts.join(runs.select(*PAGE, F.col("ordinal").alias("o"), text_identity(F.col("text")).alias("t")).hint("merge"), [*PAGE, "o"])
     joined = texts.groupBy("group_id", "key", "first", "last", "ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), "").alias("text")).where("text = key")
     best = joined.groupBy("group_id").agg(F.min(F.struct(F.abs(F.col("first") - F.col("ordinal")).alias("d"), (F.col("last") - F.col("first")).alias("n"), "first", "last")).alias("b"))
     return groups.join(best, "group_id", "left").select("group_id", F.col("b.first").alias("first"), F.col("b.last").alias("last"))
@@ -214,7 +252,7 @@ def align_items(items: DataFrame, operators: DataFrame) -> DataFrame:
     laid = operators.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: text_identity(x["text"])).alias("t"))
     edges = F.aggregate("t", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
     pages = laid.select(*PAGE, F.array_join("t", "").alias("page_text"), edges.alias("edges"))
-    return fold(items.join(pages, PAGE), PAGE, ["ord"], _align_step, None, "place int").drop("page_text", "edges")
+    return fold(items.join(pages, PAGE), PAGE, ["ord"], _align_step, None, "place int", ["text", "page_text", "edges"]).drop("page_text", "edges")
 
 
 def edit_problem(edits: DataFrame, per_request: int = 500) -> DataFrame:

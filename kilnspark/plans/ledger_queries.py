@@ -111,7 +111,14 @@ def m5(t):
     return ledger.cancel_jobs(jobs(t), jobs(t).where("cust % 10 = 0")).select("id", "status")
 
 
-@query("m6_request_transitions")
+@query("m6_request_transitions", """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, i, CASE WHEN i = 1 THEN 'create' WHEN event_type IN ('click', 'view') THEN 'approve' WHEN event_type = 'error' THEN 'decline' ELSE 'redeem' END AS kind FROM n),
+f AS (SELECT user_id, event_id, ms, kind, i, 'pending' AS status, ms + 864000000 AS expires, true AS accepted, NULL::VARCHAR AS reason FROM o WHERE i = 1 UNION ALL
+ SELECT user_id, event_id, ms, kind, i, CASE WHEN reason IS NULL THEN after ELSE status END, expires, reason IS NULL, reason FROM (
+  SELECT o.*, f.status, f.expires, CASE o.kind WHEN 'approve' THEN 'approved' WHEN 'decline' THEN 'declined' ELSE 'redeemed' END AS after,
+   CASE WHEN f.status <> CASE o.kind WHEN 'redeem' THEN 'approved' ELSE 'pending' END THEN 'not ' || CASE o.kind WHEN 'redeem' THEN 'approved' ELSE 'pending' END WHEN o.kind <> 'decline' AND f.expires <= o.ms THEN 'expired' END AS reason
+  FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT user_id AS request_id, event_id AS seq, ms AS "at", kind, 864000000::BIGINT AS ttl_ms, accepted, status, reason FROM f""")
 def m6(t):
     kinds = F.when(F.col("n") == 1, "create").when(F.col("event_type").isin("click", "view"), "approve").when(F.col("event_type") == "error", "decline").otherwise("redeem")
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
@@ -269,12 +276,22 @@ def w3(t):
     return usage.monotone_progress(t("events").select("event_id", "user_id", "value"), "user_id", ["event_id"], "value", 75).select("event_id", "shown")
 
 
-@query("w4_throttle")
+@query("w4_throttle", """WITH RECURSIVE o AS (SELECT user_id, event_id, value, least(value, 75.0) AS now, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, value, i, now AS last, true AS emit FROM o WHERE i = 1 UNION ALL
+ SELECT o.user_id, o.event_id, o.value, o.i, CASE WHEN o.now - last >= 5 OR (o.now >= 75 AND last < 75) THEN o.now ELSE last END, o.now - last >= 5 OR (o.now >= 75 AND last < 75) FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, event_id, value AS progress, emit FROM f""")
 def w4(t):
     return folds.throttle(t("events").select("user_id", "event_id", F.col("value").alias("progress")), ["user_id"], ["event_id"])
 
 
-@query("w5_rate_limit")
+#: Three hits a day; refused ones don't count. For WITH RECURSIVE.
+RATE_SQL = """o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, ms, i, [ms] AS held, true AS ok FROM o WHERE i = 1 UNION ALL
+ SELECT o.user_id, o.event_id, o.ms, o.i, list_filter(f.held, lambda x: x > o.ms - 86400000) || CASE WHEN len(list_filter(f.held, lambda x: x > o.ms - 86400000)) < 3 THEN [o.ms] ELSE [] END,
+  len(list_filter(f.held, lambda x: x > o.ms - 86400000)) < 3 FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)"""
+
+
+@query("w5_rate_limit", f'WITH RECURSIVE {RATE_SQL} SELECT user_id, event_id, ms AS "at", ok AS accepted FROM f')
 def w5(t):
     return folds.rate_limit(t("events").select("user_id", "event_id", millis("ts").alias("at")), ["user_id"], ["at", "event_id"], 3, 86_400_000.0)
 
@@ -365,14 +382,19 @@ def a15(t):
     return media.top_fraction_mean(own, "label", "w", "c")
 
 
-@query("a16_mask_difference")
+@query("a16_mask_difference", """WITH m AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS m FROM embeddings), f AS (SELECT label, arg_min(m, vec_id) AS t FROM m GROUP BY label)
+SELECT vec_id, m.label, round(list_sum(list_transform(list_zip(m, t), lambda p: 0.7::DOUBLE * abs(p[1] - p[2]) + CASE WHEN (p[1] >= 0.28) <> (p[2] >= 0.28) THEN 0.3::DOUBLE ELSE 0 END)) / len(m), 6) AS difference FROM m JOIN f ON m.label = f.label""")
 def a16(t):
     own = t("embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("m"))
     first = own.groupBy("label").agg(F.min_by("m", "vec_id").alias("template"))  # one template a label
-    return own.join(F.broadcast(first), "label").select("vec_id", "label", F.round(media.mask_difference(F.col("m"), F.col("template")), 6).alias("difference"))
+    return own.join(first.hint("merge"), "label").select("vec_id", "label", F.round(media.mask_difference(F.col("m"), F.col("template")), 6).alias("difference"))
 
 
-@query("a20_estimate_output")
+@query("a20_estimate_output", """WITH p AS (SELECT p_brand, p_size % 3 = 0 AS heavy, p_size * 1000 AS bytes, sum((p_size % 3 = 0)::INT) OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS h, sum((p_size % 3 = 0)::INT) OVER (PARTITION BY p_brand) AS n, count(*) OVER (PARTITION BY p_brand) AS pages FROM part),
+c AS (SELECT *, heavy AND list_contains(list_transform(range(greatest(1, least(8, n))::BIGINT), lambda i: floor(i * (n - 1) / greatest(1, least(8, n) - 1) + 0.5)::BIGINT), h::BIGINT) AS chosen FROM p),
+g AS (SELECT p_brand, max(pages) AS pages, max(n) AS n, avg(CASE WHEN chosen THEN bytes END) AS mean FROM c GROUP BY p_brand),
+z AS (SELECT p_brand, greatest(1000.0, least(coalesce(mean, 0) * n + 0.78 * 4000000 * (pages - n) / pages + 2800 * pages, 3200000.0))::DOUBLE AS size FROM g)
+SELECT p_brand, floor(size + 0.5)::BIGINT AS estimated, greatest(0, floor((1 - size / 4000000) * 100 + 0.5))::INT AS saved_percent FROM z""")
 def a20(t):
     own = t("part").select("p_brand", F.col("p_partkey").alias("page_index"), (F.col("p_size") % 3 == 0).alias("heavy"), (F.col("p_size") * 1000).cast("long").alias("sampled_bytes"), F.lit(4_000_000).cast("long").alias("source_bytes"), F.lit("balanced").alias("profile"))
     return media.estimate_output(own, "p_brand", {"balanced": 0.8})
@@ -402,7 +424,7 @@ def u7(t):
     return media.new_files(own.drop("p_partkey"), own.where("p_partkey % 3 = 0").drop("p_partkey"))
 
 
-@query("w9_unique_names")
+@query("w9_unique_names", "SELECT p_partkey, p_name || '.PDF' AS name, p_name || CASE WHEN r > 1 THEN '(' || (r - 1) || ')' ELSE '' END || '.PDF' AS free_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS r FROM part)")
 def w9(t):
     return folds.unique_names(t("part").select("p_partkey", F.concat("p_name", F.lit(".PDF")).alias("name")), "name", ["p_partkey"])
 
@@ -445,14 +467,31 @@ def f27(t):
     return best.select("user_id", (n[0] * 1_000_000 + n[1] * 1000 + n[2]).alias("n"))
 
 
-@query("c5_query_filter", """WITH r AS (SELECT event_id AS ord, event_type, floor(value)::BIGINT AS v FROM events), q AS (SELECT user_id AS request_id, event_type, floor(value)::BIGINT AS v FROM events WHERE event_id % 50 = 0),
-h AS (SELECT DISTINCT q.request_id, r.ord FROM q JOIN r ON r.event_type IN (SELECT event_type FROM q q2 WHERE q2.request_id = q.request_id) AND r.v IN (SELECT v FROM q q2 WHERE q2.request_id = q.request_id))
-SELECT request_id, ord FROM h""")
-def c5(t):
+#: Every user's events are a collection, and every user asks for some of them.
+def _collection(t):
     doc = F.parse_json(F.to_json(F.struct(F.col("event_type").alias("kind"), F.floor("value").cast("double").alias("v"))))
-    records = t("events").select(F.lit("e").alias("collection"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), doc.alias("doc"))
-    ask = t("events").where("event_id % 50 = 0").select(F.col("user_id").alias("request_id"), F.lit("e").alias("collection"), F.explode(F.create_map(F.lit("kind"), "event_type", F.lit("v"), F.floor("value").cast("string"))).alias("key", "value"))
-    return collections.query_filter(records, ask, fallback=False).select("request_id", "ord")
+    return t("events").select(F.col("user_id").cast("string").alias("collection"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), doc.alias("doc"))
+
+
+def _asks(t, kinds, values):
+    per = t("events").groupBy(F.col("user_id").alias("request_id")).agg(F.array(*kinds).alias("kind"), F.array(*[F.floor(v).cast("string") for v in values]).alias("v"))
+    each = lambda key: per.select("request_id", F.col("request_id").cast("string").alias("collection"), F.lit(key).alias("key"), F.explode(key).alias("value"))
+    return each("kind").unionAll(each("v"))
+
+
+@query("c5_query_filter", """WITH q AS (SELECT user_id, min(event_type) AS k1, max(event_type) AS k2, floor(min(value)) AS v1, floor(max(value)) AS v2 FROM events GROUP BY user_id)
+SELECT e.user_id AS request_id, event_id AS ord FROM events e JOIN q ON e.user_id = q.user_id WHERE event_type IN (k1, k2) AND floor(value) IN (v1, v2)""")
+def c5(t):
+    ask = _asks(t, [F.min("event_type"), F.max("event_type")], [F.min("value"), F.max("value")])
+    return collections.query_filter(_collection(t), ask, fallback=False).select("request_id", "ord")
+
+
+@query("c5_fallback", """WITH q AS (SELECT user_id, min(event_type) AS k, floor(max(value)) AS v FROM events GROUP BY user_id),
+m AS (SELECT e.user_id, event_id, event_type = k AND floor(value) = v AS hit FROM events e JOIN q ON e.user_id = q.user_id)
+SELECT user_id AS request_id, event_id AS ord FROM (SELECT *, bool_or(hit) OVER (PARTITION BY user_id) AS found FROM m) WHERE hit OR NOT found""")
+def c5_fallback(t):
+    """Users whose largest value isn't of their first kind get all their events."""
+    return collections.query_filter(_collection(t), _asks(t, [F.min("event_type")], [F.max("value")])).select("request_id", "ord")
 
 
 @query("c1_validate_records", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'not json' WHEN event_id % 7 = 1 THEN 'not an object' WHEN event_id % 7 = 2 THEN 'forbidden key' END AS reason FROM events")
@@ -487,13 +526,39 @@ def c8(t):
     return collections.get_record(asked, held).select("request_id", "id", "status")
 
 
-@query("m11_apply_collection_changes")
+#: Each customer's requests, folded in order; then the POSTs that find the collection full. For WITH RECURSIVE.
+CHANGES_SQL = """o AS (SELECT o_custkey AS id, o_orderkey AS seq, ['POST', 'PUT', 'PATCH', 'DELETE'][o_orderkey % 4 + 1] AS method, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT c_custkey AS id, -1::BIGINT AS seq, 'BASE' AS method, 0::BIGINT AS i, c_name AS n, NULL::DOUBLE AS p, true AS there, 0 AS status FROM customer UNION ALL
+ SELECT DISTINCT o_custkey, -1::BIGINT, 'BASE', 0::BIGINT, NULL, NULL::DOUBLE, false, 0 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL
+ SELECT o.id, o.seq, o.method, o.i,
+  CASE WHEN NOT f.there OR o.method IN ('PUT', 'DELETE') THEN NULL ELSE f.n END,
+  CASE WHEN o.method = 'POST' AND f.there THEN f.p WHEN o.method = 'DELETE' OR (o.method <> 'POST' AND NOT f.there) THEN NULL ELSE o.p END,
+  CASE o.method WHEN 'POST' THEN true WHEN 'DELETE' THEN false ELSE f.there END,
+  CASE WHEN o.method = 'POST' AND f.there THEN 409 WHEN o.method = 'POST' THEN 201 WHEN NOT f.there THEN 404 WHEN o.method = 'DELETE' THEN 204 ELSE 200 END
+ FROM f JOIN o ON o.id = f.id AND o.i = f.i + 1),
+r AS (SELECT *, sum(CASE status WHEN 201 THEN 1 WHEN 204 THEN -1 ELSE 0 END) OVER (ORDER BY seq) + (SELECT count(*) FROM customer) AS held FROM f WHERE method <> 'BASE'),
+a AS (SELECT seq, id, method, CASE WHEN status = 201 AND held > 1000 THEN 413 ELSE status END AS status FROM r)"""
+
+
+@query("m11_records", f"""WITH RECURSIVE {CHANGES_SQL}, l AS (SELECT id, arg_max(there, i) AS there, arg_max(coalesce(n, ''), i) AS n, arg_max(coalesce(p, -1), i) AS p FROM f GROUP BY id)
+SELECT 'c' AS collection, id::VARCHAR AS id, nullif(n, '') AS n, nullif(p, -1) AS p FROM l WHERE there AND id NOT IN (SELECT id FROM a WHERE status = 413)""")
+def m11_records(t):
+    """What the collection holds in the end."""
+    out = collections.apply_changes(*_changes(t))[0].select("collection", "id", F.try_parse_json("json").alias("d"))
+    return out.select("collection", "id", F.try_variant_get("d", "$.n", "string").alias("n"), F.try_variant_get("d", "$.p", "double").alias("p"))
+
+
+@query("m11_apply_collection_changes", f"WITH RECURSIVE {CHANGES_SQL} SELECT seq, 'c' AS collection, id::VARCHAR AS id, method, status FROM a")
 def m11(t):
+    return collections.apply_changes(*_changes(t))[1]
+
+
+def _changes(t):
     base = t("customer").select(F.lit("c").alias("collection"), F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit('{"n":"'), "c_name", F.lit('"}')).alias("json"))
     k = F.col("o_orderkey") % 4
     method = F.when(k == 0, "POST").when(k == 1, "PUT").when(k == 2, "PATCH").otherwise("DELETE")
     asked = t("orders").select(F.col("o_orderkey").alias("seq"), F.lit("c").alias("collection"), F.col("o_custkey").cast("string").alias("id"), method.alias("method"), F.concat(F.lit('{"p":'), F.col("o_totalprice").cast("string"), F.lit("}")).alias("json"))
-    return collections.apply_changes(base, asked)[1]
+    return base, asked
 
 
 @query("m10_migrate_legacy_ids", "SELECT doc_id, CASE WHEN doc_id % 3 IN (1, 2) AND doc_id % 2 = 0 THEN NULL ELSE source || '-' || (doc_id + doc_id % 2) END AS id FROM documents")

@@ -8,6 +8,7 @@ from kilnspark.functions import scalars as s
 from kilnspark.operators import audit, collections, layout
 from kilnspark.plans.registry import query
 from kilnspark.sources import files
+from kilnspark.sources.scratch import scratch
 
 PATH_SQL = "regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+$', '')"
 
@@ -42,7 +43,7 @@ def p3(t):
 
 @query("p4_description_range", "SELECT doc_id, length(text) BETWEEN 120 AND 320 AS fits FROM documents")
 def p4(t):
-    return t("documents").select("doc_id", F.length("text").between(120, 320).alias("fits"))
+    return t("documents").select("doc_id", audit.description_fits(F.col("text")).alias("fits"))
 
 
 @query("p5_repeated_paragraphs", "SELECT paragraph, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS paragraph FROM documents) WHERE length(paragraph) >= 120 GROUP BY paragraph HAVING count(DISTINCT doc_id) > 1")
@@ -173,7 +174,7 @@ def f21(t):
     return t("documents").where("n_chars > 10").select("doc_id", s.byte_range(header, F.col("n_chars")).alias("r")).select("doc_id", "r.start", "r.stop", "r.status")
 
 
-@query("p7_graphemes")
+@query("p7_graphemes", "SELECT doc_id, length_grapheme(coalesce(text, '')) AS n FROM documents")
 def p7(t):
     return t("documents").select("doc_id", s.graphemes(F.col("text")).alias("n"))
 
@@ -189,10 +190,12 @@ def d5(t):
     return words.where(s.numeric_like(F.col("token"))).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("d5_graphic_words", r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' AND NOT regexp_matches(w, '[\p{L}\p{N}]') GROUP BY doc_id")
+@query("d5_graphic_words", r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' AND NOT regexp_matches(w, '^[₹$€£¥₽₩¢]$') AND (NOT regexp_matches(w, '[\p{L}\p{N}]')
+ OR (length(w) <= 3 AND ascii(w) % 2 = 0 AND lower(w) NOT IN ('a', 'i', 'an', 'as', 'at', 'be', 'by', 'do', 'go', 'he', 'if', 'in', 'is', 'it', 'me', 'my', 'no', 'oh', 'on', 'or', 'so', 'to', 'up', 'us', 'we', 'you'))) GROUP BY doc_id""")
 def d5b(t):
+    """Words that begin with an even code were read without confidence."""
     words = t("documents").select("doc_id", F.explode(F.split("text", " ")).alias("token")).where("token <> ''")
-    return words.where(s.graphic_word(F.col("token"), F.lit(0.9))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return words.where(s.graphic_word(F.col("token"), F.when(F.ascii("token") % 2 == 0, 0.0).otherwise(0.9))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("d1_run_id", "SELECT doc_id, 'p' || doc_id % 7 || '-o' || doc_id || '-t' || left(sha256(text), 16) || '-f' || left(sha256(source), 16) AS run_id FROM documents")
@@ -212,7 +215,7 @@ def w11(t):
     return layout.locate_offset(laid, points, "source", "n_chars", 8).select("doc_id", "item")
 
 
-@query("w12_fill_style_gaps")
+@query("w12_fill_style_gaps", "SELECT doc_id, lo, least(hi, n_chars) AS hi, style FROM documents, (VALUES (0, 5, 'base'), (5, 35, 'bold'), (35, 40, 'base'), (40, 70, 'bold'), (70, 90, 'bold'), (90, 1000000000, 'base')) v(lo, hi, style) WHERE lo < n_chars")
 def w12(t):
     docs = t("documents").select("doc_id", "n_chars")
     ranges = docs.select("doc_id", F.explode(F.array(F.lit(5), F.lit(40), F.lit(60))).alias("lo")).select("doc_id", "lo", (F.col("lo") + 30).alias("hi"), F.lit("bold").alias("style"))
@@ -231,7 +234,11 @@ def c15(t):
     return collections.json_paths(t("events").select("event_id", doc.alias("doc")), "event_id", depth=4)
 
 
-@query("s8_export_project", "SELECT event_type AS project_id, count(*) AS n FROM events GROUP BY event_type")
+@query("s8_export_project", "SELECT event_type AS project_id, 'c' AS collection, event_id AS ord, props::JSON->>'k' AS k FROM events")
 def s8(t):
+    """Projects written as JSON lines, a folder each, and read again."""
     records = t("events").select(F.col("event_type").alias("project_id"), F.lit("c").alias("collection"), F.col("event_id").alias("ord"), F.parse_json("props").alias("doc"))
-    return files.import_project(files.export_project(records)).groupBy("project_id").agg(F.count("*").alias("n"))
+    spark, path = records.sparkSession, scratch(records.sparkSession, "exported")
+    files.export_project(records).write.partitionBy("project_id").json(path)
+    back = files.import_project(spark.read.schema("collection string, ord long, json string, project_id string").json(path))
+    return back.select("project_id", "collection", "ord", collections.scalar_text(F.try_variant_get("doc", "$.k", "variant")).alias("k"))

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from kilnspark.plans import ledger_queries, page_queries, sequence_queries  # noqa: E402,F401
+from kilnspark.plans import ledger_queries, page_queries, sequence_queries, stream_queries  # noqa: E402,F401

@@ -10,16 +10,16 @@ from kilnspark.operators import collections, layout
 from kilnspark.plans.registry import query
 
 
-def runs(t, most=None):
-    """A conversation is a page, a turn a run: its whole text, or most characters where a query's SQL says so."""
-    text = F.substring("text", 1, most) if most else F.col("text")
+def runs(t):
+    """A conversation is a page, a turn a run: its whole text."""
+    text = F.col("text")
     return t("conversations").select(
         F.col("conv_id").alias("doc_id"), F.lit(0).alias("page_index"), F.col("turn").cast("int").alias("ordinal"), text.alias("text"), F.sha2(text, 256).alias("text_hash"), F.sha2(F.col("conv_id").cast("string"), 256).alias("source_hash"),
         (F.col("role") != "system").alias("editable"), s.run_id(F.lit(0), F.col("turn"), text, F.sha2(F.col("conv_id").cast("string"), 256)).alias("run_id"),
     )
 
 
-RUNS_SQL = r"runs AS (SELECT conv_id AS doc_id, turn::INT AS ordinal, left(text, 40) AS text, role <> 'system' AS editable, regexp_replace(left(text, 40), '\s+', '', 'g') AS key FROM conversations)"
+RUNS_SQL = r"runs AS (SELECT conv_id AS doc_id, turn::INT AS ordinal, text AS text, role <> 'system' AS editable, regexp_replace(text, '\s+', '', 'g') AS key FROM conversations)"
 
 
 @query("a3_run_totals", "SELECT conv_id AS doc_id, count(*) AS n_runs, count_if(role <> 'system') AS n_editable FROM conversations GROUP BY conv_id")
@@ -44,7 +44,7 @@ def r3(t):
 
 def edits(t):
     """An edit for each run, some of them under another ordinal or id."""
-    r = runs(t, 40)
+    r = runs(t)
     return r.select(F.concat_ws("-", "doc_id", "ordinal").alias("edit_id"), "doc_id", "page_index", F.when(F.col("ordinal") % 3 == 0, F.col("run_id")).otherwise("gone").alias("run_id"), F.when(F.col("ordinal") % 3 == 2, F.col("ordinal") + 50).otherwise(F.col("ordinal")).alias("ordinal"), F.concat(F.lit(" "), "text").alias("original_text"), "text_hash", F.lit("new").alias("replacement"))
 
 
@@ -52,13 +52,13 @@ def edits(t):
 n AS (SELECT e.edit_id, any_value(e.own) AS own, any_value(e.want) AS want, count(*) AS n, arg_min(r.ordinal, abs(r.ordinal - e.want) * 1000 + r.ordinal) AS near FROM e JOIN runs r USING (doc_id, key) GROUP BY e.edit_id)
 SELECT edit_id, CASE WHEN own % 3 = 0 THEN 0 WHEN own % 3 = 1 THEN 1 WHEN n = 1 THEN 3 ELSE 4 END AS tier, CASE WHEN own % 3 < 2 THEN own ELSE near END AS run_ordinal FROM n""")
 def r4(t):
-    return layout.resolve_edits(edits(t), runs(t, 40)).select("edit_id", "tier", "run_ordinal")
+    return layout.resolve_edits(edits(t), runs(t)).select("edit_id", "tier", "run_ordinal")
 
 
-@query("d4_apply_text_edits", "SELECT conv_id AS doc_id, turn::INT AS ordinal, CASE WHEN turn % 3 = 0 THEN 'new' ELSE left(text, 40) END AS text FROM conversations")
+@query("d4_apply_text_edits", "SELECT conv_id AS doc_id, turn::INT AS ordinal, CASE WHEN turn % 3 = 0 THEN 'new' ELSE text END AS text FROM conversations")
 def d4(t):
     some = edits(t).where("run_id <> 'gone'")
-    return layout.apply_edits(runs(t, 40), some).select("doc_id", "ordinal", "text")
+    return layout.apply_edits(runs(t), some).select("doc_id", "ordinal", "text")
 
 
 @query("d3_verify_edits", "SELECT conv_id || '-' || turn AS edit_id, CASE WHEN turn % 4 = 1 THEN 'stale source' WHEN turn % 4 = 2 THEN 'changed text' WHEN turn % 4 = 3 THEN 'wrong id' WHEN role = 'system' THEN 'not editable' END AS reason FROM conversations")
@@ -76,13 +76,19 @@ def r5(t):
     return layout.resolve_groups(groups, r)
 
 
-@query("r14_overlay_ocr_pages", "SELECT conv_id AS doc_id, turn::INT AS ordinal, CASE WHEN conv_id % 3 = 0 THEN 'scan' ELSE left(text, 40) END AS text FROM conversations WHERE conv_id % 3 <> 0 OR turn = 0")
+@query("r14_overlay_ocr_pages", "SELECT conv_id AS doc_id, turn::INT AS ordinal, CASE WHEN conv_id % 3 = 0 THEN 'scan' ELSE text END AS text FROM conversations WHERE conv_id % 3 <> 0 OR turn = 0")
 def r14(t):
-    r = runs(t, 40).select("doc_id", "page_index", "ordinal", "text")
+    r = runs(t).select("doc_id", "page_index", "ordinal", "text")
     return layout.overlay_pages(r, r.where("doc_id % 3 = 0 and ordinal = 0").withColumn("text", F.lit("scan"))).select("doc_id", "ordinal", "text")
 
 
-@query("r15_align_items")
+@query("r15_align_items", r"""WITH RECURSIVE i AS (SELECT conv_id AS doc_id, turn AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, regexp_replace(CASE WHEN turn % 3 = 2 THEN 'absent text' ELSE text END, '\s+', '', 'g') AS want FROM conversations),
+p AS (SELECT conv_id AS doc_id, string_agg(k, '' ORDER BY turn) AS page, list(n ORDER BY turn) || [0] AS edges FROM (SELECT conv_id, turn, k, (sum(length(k)) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS n FROM (SELECT *, regexp_replace(text, '\s+', '', 'g') AS k FROM conversations)) GROUP BY conv_id),
+f AS (SELECT doc_id, 0::BIGINT AS i, NULL::BIGINT AS ord, 0::BIGINT AS cur, NULL::BIGINT AS place FROM p UNION ALL
+ SELECT doc_id, i, ord, CASE WHEN fits THEN spot + length(want) ELSE cur END, CASE WHEN fits THEN spot END FROM (
+  SELECT *, want <> '' AND spot >= cur AND list_contains(edges, spot) AND list_contains(edges, spot + length(want)) AS fits FROM (
+   SELECT f.doc_id, i.i, i.ord, f.cur, i.want, p.edges, f.cur + strpos(substr(p.page, f.cur + 1), i.want) - 1 AS spot FROM f JOIN i ON i.doc_id = f.doc_id AND i.i = f.i + 1 JOIN p ON p.doc_id = f.doc_id)))
+SELECT doc_id, ord, place FROM f WHERE i > 0""")
 def r15(t):
     r = runs(t)
     items = r.select("doc_id", "page_index", F.col("ordinal").alias("ord"), F.when(F.col("ordinal") % 3 == 2, "absent text").otherwise(F.col("text")).alias("text"))
@@ -96,9 +102,9 @@ def r16(t):
     return layout.hide_covered(r, images).select("doc_id", "ordinal")
 
 
-@query("d11_merge_visual_duplicates", r"SELECT conv_id AS doc_id, regexp_replace(left(text, 5), '\s+', '', 'g') AS key, count(*) AS n, string_agg(turn, ',' ORDER BY turn) AS ordinals, bool_and(role <> 'system') AS editable FROM conversations GROUP BY ALL")
+@query("d11_merge_visual_duplicates", r"SELECT conv_id AS doc_id, regexp_replace(text, '\s+', '', 'g') AS key, count(*) AS n, string_agg(turn, ',' ORDER BY turn) AS ordinals, bool_and(role <> 'system') AS editable FROM conversations GROUP BY ALL")
 def d11(t):
-    r = runs(t).withColumns({"text": F.substring("text", 1, 5), "mode": F.lit("pdf"), "geometry": F.array(F.lit(1.0), 2.0 + F.col("ordinal") / 100_000), "reason": F.lit("r")})
+    r = runs(t).withColumns({"mode": F.lit("pdf"), "geometry": F.array(F.lit(1.0), 2.0 + F.col("ordinal") / 100_000), "reason": F.lit("r")})
     return layout.merge_visual_duplicates(r).select("doc_id", "key", "n", F.array_join(F.col("ordinals").cast("array<string>"), ",").alias("ordinals"), "editable")
 
 
@@ -107,43 +113,68 @@ def d12(t):
     return layout.pages_needing_ocr(runs(t).withColumn("hidden", F.col("doc_id") % 4 == 0), "auto").select("doc_id")
 
 
-def words(t, most=None):
-    """The words of the turns, whole or most characters of each, placed on lines of ten."""
-    text = F.substring("text", 1, most) if most else F.col("text")
+def words(t):
+    """The words of the whole turns, placed on lines of ten."""
+    text = F.col("text")
     w = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.posexplode(F.split(text, " ")).alias("ord", "text")).where("text <> ''")
     x, y = (F.col("ord") % 10) * 50, F.floor(F.col("ord") / 10) * 20
     return w.withColumns({"confidence": (F.col("ord") % 100).cast("double"), "x0": x.cast("double"), "y0": y.cast("double"), "x1": (x + 45).cast("double"), "y1": (y + 12).cast("double"), "graphic": s.graphic_word(F.col("text"), F.lit(1.0))})
 
 
-@query("w8_join_words")
+#: Words of the turns, by place among the parts between spaces, ten places a line.
+WORDS_SQL = r"words AS (SELECT conv_id AS doc_id, turn AS page_index, i - 1 AS ord, w AS text, NOT regexp_matches(w, '^[₹$€£¥₽₩¢]$') AND NOT regexp_matches(w, '[\p{L}\p{N}]') AS graphic, (i - 1) % 10 * 50 AS x0, (i - 1) // 10 * 20 AS y0 FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations) WHERE w <> '')"
+
+
+@query("w8_join_words", rf"""WITH {WORDS_SQL}, b AS (SELECT *, lag(text) OVER o AS before, coalesce(NOT graphic AND NOT lag(graphic) OVER o AND lag(y0) OVER o = y0 AND x0 - lag(x0) OVER o - 45 BETWEEN 0 AND 21.6, false) AS joins FROM words WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY ord)),
+g AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY doc_id, page_index ORDER BY ord) - 1 AS phrase FROM b)
+SELECT doc_id, page_index, phrase, string_agg(CASE WHEN NOT joins OR regexp_matches(before, '[₹$€£¥₽₩¢]$') OR regexp_matches(text, '^[,.;:%!?)]') THEN text ELSE ' ' || text END, '' ORDER BY ord) AS text, min(ord % 100)::DOUBLE AS confidence,
+ min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, (max(x0) + 45)::DOUBLE AS x1, (max(y0) + 12)::DOUBLE AS y1 FROM g GROUP BY ALL""")
 def w8(t):
     return layout.join_words(words(t), ["ord"])
 
 
-@query("k5_reading_order", "SELECT conv_id AS doc_id, count(*) AS n FROM (SELECT conv_id, unnest(string_split(left(text, 200), ' ')) AS w FROM conversations) WHERE w <> '' GROUP BY conv_id")
+@query("k5_reading_order", f"WITH {WORDS_SQL} SELECT doc_id, page_index, ord, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY (y0 * 7) % 60, x0 * 3 % 70, ord) AS turn FROM words")
 def k5(t):
-    return layout.reading_order(words(t, 200)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Words whose places on the page are not in the order of the text."""
+    moved = words(t).withColumns({"y0": F.col("y0") * 7 % 60, "x0": F.col("x0") * 3 % 70})
+    return layout.reading_order(moved).select("doc_id", "page_index", "ord", "turn")
 
 
-@query("d10_build_run")
+@query("d10_build_run", f"WITH {WORDS_SQL} SELECT doc_id, page_index, ord, 9.0::DOUBLE AS font_size, NOT graphic AS editable, CASE WHEN graphic THEN 'looks like a graphic' ELSE '' END AS reason FROM words")
 def d10(t):
     return layout.build_runs(words(t), 0.75).select("doc_id", "page_index", "ord", "font_size", "editable", "reason")
 
 
-@query("d2_ocr_run_id")
+@query("d2_ocr_run_id", f"WITH {WORDS_SQL} SELECT doc_id, page_index, ord, 'p' || page_index || '-o' || ord || '-t' || left(sha256(text), 16) || '-f' || left(sha256(text), 16) || '-b' || left(sha256(x0 || ',' || y0 || ',' || (x0 + 45) || ',' || (y0 + 12)), 12) AS id FROM words")
 def d2(t):
     box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     return words(t).select("doc_id", "page_index", "ord", s.ocr_run_id(F.col("page_index"), F.col("ord"), F.col("text"), F.sha2("text", 256), box).alias("id"))
 
 
-@query("w7_merge_runs")
-def w7(t):
-    chars = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.posexplode(F.regexp_extract_all(F.col("text"), F.lit("[^ ]{1,3}| "), F.lit(0))).alias("ordinal", "text"))
-    own = chars.withColumns({"font_name": F.lit("f"), "x": (F.col("ordinal") * 6).cast("double"), "y": F.lit(10.0), "width": F.lit(5.0), "height": F.lit(10.0), "editable": F.col("ordinal") % 7 != 3})
-    return layout.merge_runs(own).withColumn("ordinals", F.array_join(F.col("ordinals").cast("array<string>"), ","))
+#: A turn is a page; pieces of three letters at most are runs, spaces are items between them; every ninth run has no width, some lines are tilted.
+PIECES_SQL = r"""pieces AS (SELECT conv_id AS doc_id, turn AS page_index, i - 1 AS ordinal, p AS text, p = ' ' AS item FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^ ]{1,3}| ')) AS p, generate_subscripts(regexp_extract_all(text, '[^ ]{1,3}| '), 1) AS i FROM conversations))"""
 
 
-@query("r6_join_currency")
+@query("w7_merge_runs", rf"""WITH {PIECES_SQL}, r AS (SELECT *, CASE WHEN ordinal % 9 = 4 THEN 0.0 ELSE 5.0 END AS width, ordinal * 6.0 AS along, (ordinal // 40) % 2 AS tilt FROM pieces),
+b AS (SELECT *, coalesce(lag(tilt) OVER o = tilt AND NOT lag(item) OVER o AND NOT regexp_matches(text, '\s') AND NOT regexp_matches(lag(text) OVER o, '\s'), false) AS joins FROM r WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY ordinal)),
+g AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY doc_id, page_index ORDER BY ordinal) - 1 AS word FROM b WHERE NOT item)
+SELECT doc_id, page_index, word, string_agg(text, '' ORDER BY ordinal) AS text, string_agg(ordinal, ',' ORDER BY ordinal) AS ordinals, round(greatest(arg_min(width, ordinal), max(along) + arg_max(width, ordinal) - min(along)), 6)::DOUBLE AS width, bool_and(ordinal % 7 <> 3) AS editable FROM g GROUP BY ALL""")
+def w7(t):
+    pieces = F.regexp_extract_all(F.col("text"), F.lit("[^ ]{1,3}| "), F.lit(0))
+    own = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.posexplode(pieces).alias("ordinal", "text"))
+    o, tilted = F.col("ordinal"), F.floor(F.col("ordinal") / 40) % 2 == 1
+    flat = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), o * 6.0, F.lit(10.0))
+    tilt = F.array(F.lit(0.6), F.lit(0.8), F.lit(-0.8), F.lit(0.6), o * 6 * 0.6 - 8.0, o * 6 * 0.8 + 6.0)
+    runs_ = own.withColumns({"font_name": F.lit("f"), "transform": F.when(tilted, tilt).otherwise(flat), "width": F.when(o % 9 == 4, 0.0).otherwise(5.0), "height": F.lit(10.0), "editable": o % 7 != 3, "item": F.col("text") == " "})
+    return layout.merge_runs(runs_).withColumn("ordinals", F.array_join(F.col("ordinals").cast("array<string>"), ","))
+
+
+@query("r6_join_currency", rf"""WITH {WORDS_SQL}, w AS (SELECT *, CASE WHEN ord % 5 = 0 THEN (ord * 7) || '.50' ELSE text END AS t, ord % 100 AS c FROM words),
+n AS (SELECT * FROM w WHERE regexp_matches(trim(t), '^[₹$€£¥₽₩¢\s]*[-+]?\d[\d\s.,%₹$€£¥₽₩¢]*$')), m AS (SELECT * REPLACE ('$' || t AS t, x0 - 8 AS x0), x0 + 45 AS x1 FROM w WHERE ord % 10 = 5),
+p AS (SELECT n.doc_id, n.page_index, n.ord, m.ord AS c_ord, m.t, m.c, m.x0, m.x1, m.y0, 3 - greatest(0, greatest(n.x0, m.x0) - least(n.x0 + 45, m.x1)) / 12.0 AS s FROM n JOIN m ON n.doc_id = m.doc_id AND n.page_index = m.page_index AND n.y0 = m.y0 AND greatest(0, greatest(n.x0, m.x0) - least(n.x0 + 45, m.x1)) <= 30),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, c_ord ORDER BY s DESC, ord) AS r FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, ord ORDER BY s DESC, c_ord) AS r2 FROM q WHERE r = 1), h AS (SELECT * FROM k WHERE r2 = 1)
+SELECT w.doc_id, w.page_index, coalesce(h.t, w.t) AS text, greatest(w.c, h.c)::DOUBLE AS confidence, least(w.x0, h.x0)::DOUBLE AS x0, w.y0::DOUBLE AS y0, greatest(w.x0 + 45, h.x1)::DOUBLE AS x1, (w.y0 + 12)::DOUBLE AS y1 FROM w LEFT JOIN h ON w.doc_id = h.doc_id AND w.page_index = h.page_index AND w.ord = h.ord
+UNION ALL SELECT doc_id, page_index, t, c, x0, y0, x1, y0 + 12 FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = m.doc_id AND h.page_index = m.page_index AND h.c_ord = m.ord)""")
 def r6(t):
     w = words(t).withColumn("text", F.when(F.col("ord") % 5 == 0, F.concat((F.col("ord") * 7).cast("string"), F.lit(".50"))).otherwise(F.col("text")))
     money = w.where("ord % 10 = 5").withColumns({"text": F.concat(F.lit("$"), "text"), "x0": F.col("x0") - 8})
@@ -236,11 +267,3 @@ def m12(t):
     own = t("events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("id"), F.lit(False).alias("on"))).alias("items"))
     out = collections.guided_update(own, F.col("user_id") % 2 == 0, "items", lambda x: x["id"] == "click", lambda x: x.withField("on", F.lit(True)))
     return out.select("user_id", F.when(F.exists("items", lambda x: x["on"]), "changed").otherwise("kept").alias("state"), "status")
-
-
-@query("c5_fallback", "SELECT user_id AS request_id, count(*) * 0 + (SELECT count(*) FROM part) AS n FROM events WHERE event_id % 100 = 0 GROUP BY user_id")
-def c5_fallback(t):
-    doc = F.parse_json(F.concat(F.lit('{"size":'), F.col("p_size").cast("string"), F.lit("}")))
-    records = t("part").select(F.lit("p").alias("collection"), F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), doc.alias("doc"))
-    asked = t("events").where("event_id % 100 = 0").select(F.col("user_id").alias("request_id"), F.lit("p").alias("collection"), F.lit("size").alias("key"), F.lit("none").alias("value"))
-    return collections.query_filter(records, asked).groupBy("request_id").agg(F.count("*").alias("n"))

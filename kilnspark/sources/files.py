@@ -18,11 +18,20 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOB_SCHEMA).parquet(path)
 
 
-def read_projects(spark: SparkSession, folder: str) -> DataFrame:
-    """(project_id, doc variant, updated_at): the JSON file of each project folder with a safe name; unreadable ones are left out; newest first by text."""
-    raw = spark.read.text(f"{folder}/*/project.json", wholetext=True).withColumn("project_id", F.regexp_extract(F.input_file_name(), "/([^/]+)/project\\.json$", 1))
+def read_projects(spark: SparkSession, folder: str, name: str = "project.json") -> DataFrame:
+    """(project_id, doc variant, updated_at): the JSON file of each project folder with a safe name; unreadable ones are left out.
+
+    name may hold wildcards; a folder may be written as a partition, key=id.
+    """
+    raw = spark.read.option("basePath", folder).option("recursiveFileLookup", "false").text(f"{folder}/*/{name}", wholetext=True)
+    raw = raw.select("value", F.regexp_extract(F.input_file_name(), "/(?:[A-Za-z0-9_]+=)?([^/=]+)/[^/]+$", 1).alias("project_id"))
     docs = raw.where(F.col("project_id").rlike("^[A-Za-z0-9_-]{1,64}$")).withColumn("doc", F.try_parse_json("value")).where("doc is not null")
-    return docs.select("project_id", "doc", F.try_variant_get("doc", "$.updatedAt", "string").alias("updated_at")).orderBy(F.desc("updated_at"))
+    return docs.select("project_id", "doc", F.try_variant_get("doc", "$.updatedAt", "string").alias("updated_at"))
+
+
+def projects_by_update(projects: DataFrame) -> DataFrame:
+    """Projects(project_id, updated_at), newest first by text, those without a time last, then by id."""
+    return projects.orderBy(F.desc_nulls_last("updated_at"), "project_id")
 
 
 def write_projects(projects: DataFrame, path: str) -> None:
@@ -39,17 +48,13 @@ def delete_project(projects: DataFrame, project_id: str) -> DataFrame:
 
 
 def export_project(records: DataFrame) -> DataFrame:
-    """(project_id, json) from records(project_id, collection, ord, doc variant)."""
-    rows = records.groupBy("project_id", "collection").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.to_json("doc").alias("j")))), lambda x: x["j"]).alias("r"))
-    body = F.concat(F.lit('{"name":"'), F.col("collection"), F.lit('","records":['), F.array_join("r", ","), F.lit("]}"))
-    return rows.groupBy("project_id").agg(F.concat(F.lit('{"collections":['), F.array_join(F.array_sort(F.collect_list(body)), ","), F.lit("]}")).alias("json"))
+    """(project_id, collection, ord, json) from records(project_id, collection, ord, doc variant): a line for each record, so that a project of any size can be written, by project."""
+    return records.select("project_id", "collection", "ord", F.to_json("doc").alias("json"))
 
 
 def import_project(exported: DataFrame) -> DataFrame:
-    """Records(project_id, collection, ord, doc) back from export_project()'s rows."""
-    shape = "collections array<struct<name:string,records:array<variant>>>"
-    c = exported.select("project_id", F.explode(F.from_json("json", shape)["collections"]).alias("c"))
-    return c.select("project_id", F.col("c.name").alias("collection"), F.posexplode("c.records").alias("ord", "doc"))
+    """Records(project_id, collection, ord, doc) back from export_project()'s rows; lines that are no JSON are left out."""
+    return exported.select("project_id", "collection", "ord", F.try_parse_json("json").alias("doc")).where("doc is not null")
 
 
 def read_media(spark: SparkSession, folder: str, pattern: str = "*", most: int | None = None, content: bool = False) -> DataFrame:

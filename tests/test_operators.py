@@ -79,11 +79,35 @@ def test_durations_clocks_and_versions(spark):
     assert [r.i for r in spark.createDataFrame(rows, "i int, v string").orderBy(s.version_key(F.col("v"))).collect()] == list(range(7))
 
 
-def test_merge_runs_of_devanagari_like_items(spark):
-    items = [("d", 0, i, t, "f", x, 10.0, w, 12.0, True) for i, (t, x, w) in enumerate([("ab", 0.0, 20.0), ("c", 20.0, 0.0), ("d", 22.0, 10.0), (" ", 40.0, 5.0), ("e", 60.0, 9.0), ("f", 69.0, 9.0)])]
-    df = spark.createDataFrame(items, "doc_id string, page_index int, ordinal int, text string, font_name string, x double, y double, width double, height double, editable boolean")
-    got = sorted((r.word, r.text, r.ordinals) for r in layout.merge_runs(df).collect())
-    assert got == [(0, "abcd", [0, 1, 2]), (1, " ", [3]), (2, "ef", [4, 5])]
+def test_merge_runs_of_devanagari_items(spark):
+    """A space between parts runs, but not between a glyph without width and its mark; tilted runs don't join flat ones."""
+    flat, tilt = (1.0, 0.0), (0.6, 0.8)
+    items = [("ab", 0.0, 20.0, flat, False), ("\u0915", 20.0, 0.0, flat, False), (" ", 21.0, 5.0, flat, True), ("\u093f", 22.0, 10.0, flat, False), (" ", 40.0, 5.0, flat, True), ("e", 33.0, 9.0, flat, False), ("f", 43.0, 9.0, flat, False), ("g", 53.0, 9.0, tilt, False), ("h i", 63.0, 9.0, flat, False), ("j", 90.0, 9.0, flat, False)]
+    rows = [("d", 0, i, t, "f", [a, b, -b, a, x, 10.0], w, 12.0, True, sep) for i, (t, x, w, (a, b), sep) in enumerate(items)]
+    df = spark.createDataFrame(rows, "doc_id string, page_index int, ordinal int, text string, font_name string, transform array<double>, width double, height double, editable boolean, item boolean")
+    got = sorted((r.word, r.text, r.ordinals, r.width) for r in layout.merge_runs(df).collect())
+    assert got == [(0, "ab\u0915\u093f", [0, 1, 3], 32.0), (1, "ef", [5, 6], 19.0), (2, "g", [7], 9.0), (3, "h i", [8], 9.0), (4, "j", [9], 9.0)]
+
+
+def test_folds_keep_large_numbers_and_nulls(spark):
+    rows = [("k", 1, 9007199254740993, 1.0), ("k", 2, None, 80.0), (None, 3, 5, 3.0)]
+    got = folds.throttle(spark.createDataFrame(rows, "key string, seq int, big long, progress double"), ["key"], ["seq"]).collect()
+    assert {(r.key, r.seq, r.big, r.emit) for r in got} == {("k", 1, 9007199254740993, True), ("k", 2, None, True), (None, 3, 5, True)}
+
+
+def test_nearest_of_equal_runs(spark):
+    runs = spark.createDataFrame([("d", 0, f"r{o}", o, "same text", "h") for o in (2, 9, 30)] + [("d", 0, "r5", 5, "other", "h5")], "doc_id string, page_index int, run_id string, ordinal int, text string, text_hash string")
+    asked = [("a", None, 4, "sametext", "x"), ("b", None, 7, "same text", "x"), ("c", "r30", 0, "", "x"), ("d", None, 5, "o ther", "h5"), ("e", None, 5, "other", "x"), ("f", None, 70, "other", "x"), ("g", None, 1, "gone", "x"), ("h", None, 100, "same text", "h")]
+    edits = spark.createDataFrame([(e, "d", 0, r, o, t, h) for e, r, o, t, h in asked], "edit_id string, doc_id string, page_index int, run_id string, ordinal int, original_text string, text_hash string")
+    got = {r.edit_id: (r.tier, r.resolved_run) for r in layout.resolve_edits(edits, runs).collect()}
+    assert got == {"a": (4, "r2"), "b": (4, "r9"), "c": (0, "r30"), "d": (1, "r5"), "e": (2, "r5"), "f": (3, "r5"), "g": (None, None), "h": (4, "r30")}
+
+
+def test_routes_of_several_shapes(spark):
+    ends = spark.createDataFrame([(0, "GET", "/a/:x/c", False), (1, "GET", "/:p/b/c", False), (2, "PUT", "/a", True), (3, "GET", "/", False)], "ord int, method string, path string, database boolean")
+    asked = spark.createDataFrame([(1, "GET", "/a/b/c"), (2, "GET", "/z/b/c?q=1"), (3, "PUT", "/a/7%2F8"), (4, "POST", "/a/7"), (5, "GET", "/"), (6, "GET", "/z/y/c")], "request_id int, method string, path string")
+    got = {r.request_id: (r.endpoint_ord, r.record_id, r.status) for r in collections.route_requests(asked, ends).collect()}
+    assert got == {1: (0, None, 200), 2: (1, None, 200), 3: (2, "7/8", 200), 4: (None, None, 404), 5: (3, None, 200), 6: (None, None, 404)}
 
 
 def test_currency_joins_its_number(spark):
