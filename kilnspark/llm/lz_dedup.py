@@ -41,14 +41,13 @@ _DOWN = _powers(pow(_ODD, -1, 1 << 64), STEP + 1)
 _LETTERS = anchors.mixed_bits(np.arange(1, 257, dtype=np.uint64))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: its letters' numbers as a polynomial, from running sums over the text."""
-    out, at = [], 0
+def placed_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, its letters' numbers as a polynomial, from running sums over the text; and where each begins."""
+    out, places, at = [], [], 0
     while at < len(text):
-        part = text[at : at + STEP]
+        part, base = text[at : at + STEP], at
         if at + STEP < len(text):  # up to the last white space; a longer word makes a part of its own
-            codes = np.frombuffer(part, np.uint8)
-            blank = np.flatnonzero(_BLANK[codes])
+            blank = np.flatnonzero(_BLANK[np.frombuffer(part, np.uint8)])
             if len(blank):
                 part = part[: blank[-1] + 1]
             else:
@@ -60,6 +59,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         starts, ends = edges[::2], edges[1::2]
         if not len(starts):
             continue
+        places.append(starts + base)
         if len(part) > STEP:
             out.append(np.array([xxhash.xxh64_intdigest(part[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
             continue
@@ -68,7 +68,14 @@ def word_hashes(text: bytes) -> np.ndarray:
         for i in np.flatnonzero(ends - starts > LONG).tolist():
             hashes[i] = xxhash.xxh64_intdigest(part[starts[i] : ends[i]])
         out.append(hashes)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(places)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return placed_hashes(text)[0]
 
 
 def cut(text: bytes):

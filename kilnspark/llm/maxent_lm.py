@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm.anchors import ROW, doc_id, identity
 from kilnspark.llm.common import slices, stored, text_of
-from kilnspark.llm.lz_dedup import word_hashes
+from kilnspark.llm.lz_dedup import placed_hashes, word_hashes
 from kilnspark.llm.multi_index import kmeans, nearest
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -42,7 +42,7 @@ _END = np.array([xxhash.xxh64_intdigest(END)], np.uint64)
 
 @dataclass(frozen=True)
 class Settings:
-    """head: words that tasks know by heart, at most; fitted: those of them whose spelling forms the clusters.
+    """head: words that tasks know by heart, at most; buckets: 65,536 at most; fitted: those of them whose spelling forms the clusters.
 
     spellings x tiers + 1 classes; buckets rows of weights; tasks: at most so
     many sum a gradient, each sends one row a bucket.
@@ -122,13 +122,32 @@ class Model:
     total: float
     n_tokens: int
 
+    def __post_init__(self):
+        #: Where the hashes of each leading 18 bits begin, and how many share them at most.
+        self.first = np.searchsorted(self.hashes, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        self.steps = int(np.diff(np.append(self.first, len(self.hashes))).max())
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash in the head, -1 beyond it."""
+        at, end = self.first[(hashes >> np.uint64(46)).astype(np.int64)].astype(np.int64), len(self.hashes) - 1
+        out = np.where(self.hashes[np.minimum(at, end)] == hashes, at, -1)
+        open_ = np.flatnonzero(out < 0)
+        for step in range(1, self.steps):
+            there = np.minimum(at[open_] + step, end)
+            own = self.hashes[there]
+            hit = own == hashes[open_]
+            out[open_[hit]] = there[hit]
+            open_ = open_[own < hashes[open_]]  # the head is ascending
+        return out
+
 
 def batch_ids(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens, their places in the head (-1 beyond it), the texts' ends."""
-    split = [word_hashes(t.translate(UPPER)) for t in texts]
-    flat = np.concatenate([x for words in split for x in (words, _END)])
-    at = np.minimum(np.searchsorted(model.hashes, flat), len(model.hashes) - 1)
-    return flat, np.where(model.hashes[at] == flat, at, -1), np.cumsum([len(w) + 1 for w in split])
+    hashes, places = placed_hashes(b"\n".join(texts).translate(UPPER))
+    after = np.cumsum([len(t) + 1 for t in texts])
+    words = np.searchsorted(places, after)  # words up to each text's end
+    flat = np.insert(hashes, words, _END[0])
+    return flat, model.places(flat), words + np.arange(1, len(texts) + 1)
 
 
 def contexts(hashes: np.ndarray, ends: np.ndarray, buckets: int) -> np.ndarray:
@@ -144,20 +163,20 @@ def contexts(hashes: np.ndarray, ends: np.ndarray, buckets: int) -> np.ndarray:
     def row(x: np.ndarray, salt: int) -> np.ndarray:
         h = (x + np.uint64(salt)) * odd
         h ^= h >> np.uint64(29)
-        return ((h * odd) >> np.uint64(40)).astype(np.int64) % buckets
+        return (((h * odd) >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16)
 
     return np.stack([row(before, 11), row(before * np.uint64(1_000_003) + second, 5077), row(second, 90_001)])
 
 
 def probabilities(model: Model, rows: np.ndarray) -> np.ndarray:
     """Class probabilities of each token."""
-    logits = model.weights[rows[0]]
-    logits += model.weights[rows[1]]
-    logits += model.weights[rows[2]]
+    logits = np.take(model.weights, rows[0], axis=0)
+    logits += np.take(model.weights, rows[1], axis=0)
+    logits += np.take(model.weights, rows[2], axis=0)
     logits += model.bias
-    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.maximum.reduce(np.ascontiguousarray(logits.T), axis=0)[:, None]
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
     return logits
 
 
@@ -167,19 +186,18 @@ def gradient(texts: DataFrame, shared, s: Settings) -> np.ndarray:
     columns = [f"x{i}" for i in range(2 * n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, met, wanted = shared.value, np.zeros(s.buckets * n), np.zeros((s.buckets, n))
+        model, met, wanted = shared.value, np.zeros(s.buckets * n), np.zeros((n, s.buckets))
         for batch in slices(batches, 128):
             hashes, ids, ends = batch_ids(model, batch.column(0).to_pylist())
             rows = contexts(hashes, ends, s.buckets)
             own = model.classes[ids]
             expected = probabilities(model, rows)
+            by_class = expected.T.astype(float)
             for row in rows:
-                met += np.bincount(row * n + own, minlength=s.buckets * n)
-                order = np.argsort(row, kind="stable")
-                held = row[order]
-                first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-                wanted[held[first]] += np.add.reduceat(expected[order], first, axis=0)
-        both = np.concatenate([met.reshape(-1, n), wanted], axis=1).astype(np.float32)
+                met += np.bincount(row.astype(np.int64) * n + own, minlength=s.buckets * n)
+                for c in range(n):
+                    wanted[c] += np.bincount(row, by_class[c], minlength=s.buckets)
+        both = np.concatenate([met.reshape(-1, n), wanted.T], axis=1).astype(np.float32)
         at = np.flatnonzero(both.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(both[at, i]) for i in range(2 * n)]], ["bucket", *columns])
 
