@@ -144,25 +144,6 @@ def find(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, Callable[[int
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            keys, regions, places, who = (np.concatenate(x) for x in zip(*held))
-            turn = np.argsort(keys, kind="stable")
-            keys, regions, places, who = keys[turn], regions[turn], places[turn], who[turn]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-            many = np.append(~first[1:], [False])[: len(keys)]
-            idents = np.array(rows, np.int64)
-            got = []
-            if not first.all():
-                got.append((-1, *_packed_chunk(*(x[~first] for x in (keys, regions, places, who, many)), idents)))
-            keys, regions, places, who, many = (x[first] for x in (keys, regions, places, who, many))
-            ranges = ((keys >> np.uint64(40)) * np.uint64(n_ranges) >> np.uint64(24)).astype(np.int64)
-            for r in np.unique(ranges).tolist():
-                a, b = np.searchsorted(ranges, [r, r + 1])
-                got.append((r, *_packed_chunk(*(x[a:b] for x in (keys, regions, places, who, many)), idents)))
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], ["range", "n", "d", "payload"])
-
         digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches):
             for *row, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -177,45 +158,74 @@ def find(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, Callable[[int
                 rows.append(row)
                 size += len(at)
                 if size >= HELD:
-                    yield out()
+                    yield chunk_rows(*(np.concatenate(x) for x in zip(*held)), np.array(rows, np.int64), n_ranges)
                     held, rows, size = [], [], 0
         if held:
-            yield out()
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, d, payload in zip(*(batch.column(c).to_pylist() for c in ("n", "d", "payload"))):
-                yield _placed(*_opened_chunk(n, d, payload)[:4])
-
-    def repeated(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        keys, regions, places, rows, many = (np.concatenate(x) for x in zip(*(_opened_chunk(*h) for h in held)))
-        turn = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[turn]) != 0]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        turn = turn[np.repeat((sizes > 1) | np.logical_or.reduceat(many[turn], starts), sizes)]
-        return _placed(keys[turn], regions[turn], places[turn], rows[turn])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = [], None
-        for batch in batches:
-            for r, *chunk in zip(*(batch.column(c).to_pylist() for c in ("range", "n", "d", "payload"))):
-                if r != own and held:
-                    yield repeated(held)
-                    held = []
-                own = r
-                held.append(chunk)
-        if held:
-            yield repeated(held)
+            yield chunk_rows(*(np.concatenate(x) for x in zip(*held)), np.array(rows, np.int64), n_ranges)
 
     own = docs.select(*identity(), F.encode(text_of(), "utf-8").alias("text"))
-    chunks = stored(own.mapInArrow(collect, "range int, n int, d int, payload binary"), "anchor-chunks")
-    placed = f"key long, region long, {_WHERE}"
-    moved = chunks.where("range >= 0").repartition(n_ranges, "range").sortWithinPartitions("range")
-    work = stored(chunks.where("range < 0").mapInArrow(known, placed).unionAll(moved.mapInArrow(meet, placed)), "anchors")
+    chunks = stored(own.mapInArrow(collect, CHUNK), "anchor-chunks")
+    work = stored(met(chunks, n_ranges), "anchors")
     discard(chunks)
     return work
 
 
+CHUNK = "range int, n int, d int, payload binary"
+_CHUNK = {"range": pa.int32(), "n": pa.int32(), "d": pa.int32(), "payload": pa.binary()}
+
+
+def chunk_rows(keys: np.ndarray, regions: np.ndarray, places: np.ndarray, who: np.ndarray, rows: np.ndarray, n_ranges: int) -> pa.RecordBatch:
+    """CHUNK rows of what a task holds: each key's first entry by range of keys, its others, which need not move, in range -1. who: the entry's row of `rows`."""
+    turn = np.argsort(keys, kind="stable")
+    keys, regions, places, who = keys[turn], regions[turn], places[turn], who[turn]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    many = np.append(~first[1:], [False])[: len(keys)]
+    got = []
+    if not first.all():
+        got.append((-1, *_packed_chunk(*(x[~first] for x in (keys, regions, places, who, many)), rows)))
+    keys, regions, places, who, many = (x[first] for x in (keys, regions, places, who, many))
+    ranges = ((keys >> np.uint64(40)) * np.uint64(n_ranges) >> np.uint64(24)).astype(np.int64)
+    for r in np.unique(ranges).tolist():
+        a, b = np.searchsorted(ranges, [r, r + 1])
+        got.append((r, *_packed_chunk(*(x[a:b] for x in (keys, regions, places, who, many)), rows)))
+    return _batch(got, _CHUNK)
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, d, payload in zip(*(batch.column(c).to_pylist() for c in ("n", "d", "payload"))):
+            yield _placed(*_opened_chunk(n, d, payload)[:4])
+
+
+def _repeated(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    keys, regions, places, rows, many = (np.concatenate(x) for x in zip(*(_opened_chunk(*h) for h in held)))
+    turn = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[turn]) != 0]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    turn = turn[np.repeat((sizes > 1) | np.logical_or.reduceat(many[turn], starts), sizes)]
+    return _placed(keys[turn], regions[turn], places[turn], rows[turn])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, own = [], None
+    for batch in batches:
+        for r, *chunk in zip(*(batch.column(c).to_pylist() for c in ("range", "n", "d", "payload"))):
+            if r != own and held:
+                yield _repeated(held)
+                held = []
+            own = r
+            held.append(chunk)
+    if held:
+        yield _repeated(held)
+
+
+def met(chunks: DataFrame, n_ranges: int) -> DataFrame:
+    """(key, region, ord, h1, h2, place) of the entries in CHUNK rows whose key stands more than once."""
+    placed = f"key long, region long, {_WHERE}"
+    moved = chunks.where("range >= 0").repartition(n_ranges, "range").sortWithinPartitions("range")
+    return chunks.where("range = -1").mapInArrow(_known, placed).unionAll(moved.mapInArrow(_meet, placed))
+
+
 def heads(work: DataFrame) -> DataFrame:
     """(key, region, n, ord, last, h1, h2, place): how often a region stands, its least and greatest ord, its first place. Sums are made before rows move."""
     first = F.min(F.struct(*ROW, "place")).alias("first")
