@@ -96,23 +96,41 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(bins == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / bins)
 
 
-def with_next(docs: DataFrame, carried: list[str], order: str = "ord", tie: str = "th") -> DataFrame:
-    """docs with next_<c> for each carried column: the next row's by (order, tie), the first's after the last.
+def ranged(docs: DataFrame, order: str, tie: str) -> DataFrame:
+    """docs with _range: numbers of ranges of (order, tie) of about equal rows, ascending.
 
-    Rows are dealt into ranges of `order`; each range also gets the row that
-    follows its last, so no window spans more than a range.
+    A value of `order` that holds more than a range's share is a range end and
+    is cut by `tie`, a hash, into as many equal parts as it needs.
     """
-    spark = docs.sparkSession
-    n = 2 * partitions(spark)
-    cuts = docs.agg(F.percentile_approx(order, [i / n for i in range(1, n)], F.lit(100 * n))).first()[0] or []
-    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    ranged = docs.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(order))))
-    firsts = ranged.groupBy("_range").agg(F.min(order).alias("f")).orderBy("_range").collect()  # n rows at most
-    after = [(first["f"], firsts[i - 1]["_range"]) for i, first in enumerate(firsts)]
-    ghosts = F.broadcast(spark.createDataFrame(after, "_first long, _to int"))  # n rows at most
-    heads = docs.join(ghosts, F.col(order) == F.col("_first")).withColumn("_range", F.col("_to")).withColumn("_ghost", F.lit(1)).drop("_first", "_to")
+    n = 2 * partitions(docs.sparkSession)
+    total, cuts = docs.agg(F.count("*"), F.percentile_approx(order, [i / n for i in range(1, n)], F.lit(100 * n))).first()
+    counts = docs.groupBy(order).agg(F.count("*").alias("c")).where(F.col("c") > max(1, total // n))
+    hot = {r[0]: -(-r["c"] * n // total) for r in counts.collect()}  # fewer than n rows
+    bounds = sorted({*(cuts or []), *hot})
+    ends = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array().cast("array<bigint>")
+    most = max(hot.values(), default=0) + 1
+    below = F.size(F.filter(ends, lambda b: b < F.col(order)))
+    if not hot:
+        return docs.withColumn("_range", below)
+    parts = F.try_element_at(F.create_map(*[F.lit(x) for o, k in hot.items() for x in (o, k)]), F.col(order))
+    part = 1 + F.least(parts - 1, F.floor((F.col(tie) / F.lit(2.0**64) + 0.5) * parts))
+    return docs.withColumn("_range", (below * most + F.coalesce(part, F.lit(0))).cast("int"))
+
+
+def with_next(docs: DataFrame, carried: list[str], made: dict[str, Column] | None = None, order: str = "ord", tie: str = "th") -> DataFrame:
+    """docs with the columns `made`, and next_<c> for each carried column: the next row's by (order, tie), the first's after the last.
+
+    Rows are dealt into ranges; each range also gets the row that follows its
+    last, so no window spans more than a range. Columns are made after the rows
+    are dealt out, once for each row.
+    """
+    spark, own = docs.sparkSession, ranged(docs, order, tie)
+    firsts = own.groupBy("_range").agg(F.min(F.struct(order, tie)).alias("f")).orderBy("_range").collect()  # some rows a range
+    after = [(first["f"][0], first["f"][1], firsts[i - 1]["_range"]) for i, first in enumerate(firsts)]
+    ghosts = F.broadcast(spark.createDataFrame(after, "_first long, _tie long, _to int"))  # some rows a range
+    heads = docs.join(ghosts, (F.col(order) == F.col("_first")) & (F.col(tie) == F.col("_tie"))).withColumn("_range", F.col("_to")).withColumn("_ghost", F.lit(1)).drop("_first", "_tie", "_to")
+    every = own.withColumn("_ghost", F.lit(0)).withColumns(made or {}).unionByName(heads.withColumns(made or {}))
     window = Window.partitionBy("_range").orderBy("_ghost", order, tie)
-    every = ranged.withColumn("_ghost", F.lit(0)).unionByName(heads)
     led = every.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in carried])
     return led.where("_ghost = 0").drop("_range", "_ghost")
 
@@ -122,14 +140,15 @@ def compare_edits(docs: DataFrame, k: int = K, bins: int = BINS, least: int = LE
 
     The edited text has the text's last half replaced by as much of the next
     document's start. Documents follow each other by doc_id (null last), rows
-    of one id by their texts' hashes. A null text counts as empty; other columns
-    are left out.
+    of one id, null or not, by their texts' hashes. A null text counts as empty;
+    an empty table gives no rows; a text of any length is signed by one task;
+    other columns are left out.
     """
     last = 2**63 - 1
     own = docs.select("doc_id", text_of().alias("text")).select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("ord"), F.xxhash64("text").alias("th"))
-    signed = own.withColumn("sig", signature(F.col("text"), k, bins, least))
+    signed = {"sig": signature(F.col("text"), k, bins, least)}
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    pairs = with_next(signed, ["text", "sig"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    pairs = with_next(own, ["text", "sig"], signed).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = pairs.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("next_text").substr(F.lit(1), half)))
     both = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sig", "next_sig", signature(F.col("edited"), k, bins, least).alias("edited_sig"))
     return both.select("doc_id", "n_chars", "edited_sha256", shown(F.col("sig")).alias("fingerprint"), shown(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
