@@ -87,7 +87,7 @@ def route_policy(urls: DataFrame, policy: DataFrame, prefix: str = "/downloads/"
     """urls(url) with the policy(path, indexable) of their route; paths under the prefix share one."""
     path = route_path(F.col("url"))
     keyed = urls.withColumn("path", F.when(F.startswith(path, F.lit(prefix)), F.lit(prefix)).otherwise(path))
-    return keyed.join(F.broadcast(policy.select("path", "indexable")), "path", "left")  # a policy table is written by hand
+    return keyed.join(policy.select("path", "indexable").hint("merge"), "path", "left")
 
 
 def repeated_values(df: DataFrame, column: str) -> DataFrame:

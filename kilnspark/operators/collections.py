@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilnspark.operators.ranked import running_sum
+
 #: Names that no record may hold, methods, header names to hide, limits.
 FORBIDDEN = ["__proto__", "constructor", "prototype"]
 METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE"]
@@ -133,24 +134,15 @@ def get_record(requests: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def assign_path(df: DataFrame, path: str, value: str, text: str = "json") -> DataFrame:
-    """df with the JSON text's dotted path set to the JSON text in value; what is no object on the way becomes one."""
-    keys = path.split(".")
-
-    @F.pandas_udf("string")
-    def put(docs: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for doc, new in zip(docs, values):
-            root = json.loads(doc) if doc else {}
-            root = root if isinstance(root, dict) else {}
-            at = root
-            for key in keys[:-1]:
-                at[key] = at[key] if isinstance(at.get(key), dict) else {}
-                at = at[key]
-            at[keys[-1]] = json.loads(new)
-            out.append(json.dumps(root, sort_keys=True, separators=(",", ":")))
-        return pd.Series(out)
-
-    return df.withColumn(text, put(F.col(text), F.col(value)))
+    """df with the JSON text's dotted path set to the JSON text in value; what is no object on the way becomes one. Keys come back in order."""
+    none = F.parse_json(F.lit("{}")).cast("map<string, variant>")
+
+    def put(doc: Column, keys: list[str]) -> Column:
+        own = F.coalesce(doc.try_cast("map<string, variant>"), none)
+        new = F.parse_json(F.col(value)) if len(keys) == 1 else put(F.try_element_at(own, F.lit(keys[0])), keys[1:])
+        return F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: k != keys[0]), F.create_map(F.lit(keys[0]), new)))
+
+    return df.withColumn(text, F.to_json(put(F.try_parse_json(text), path.split("."))))
 
 
 def request_source(source: str, query: str = "query", headers: str = "headers", body: str = "body") -> Column:
@@ -274,10 +266,10 @@ def apply_changes(base: DataFrame, requests: DataFrame, most: int = LIMITS["reco
 
     done = fold(old.unionByName(new), ["collection", "id"], ["seq"], step, None, "after string, status int, grown int")
     held = base.groupBy("collection").agg(F.count("*").alias("_held"))
-    running = F.sum("grown").over(Window.partitionBy("collection").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    full = done.where("method <> 'BASE'").withColumn("_n", running).join(held, "collection", "left").withColumn("status", F.when((F.col("grown") == 1) & (F.col("_n") + F.coalesce("_held", F.lit(0)) > most), 413).otherwise(F.col("status")))
+    counted = running_sum(done.where("method <> 'BASE'"), ["collection"], [F.col("seq")], F.col("grown"), "_n").withColumn("_n", F.col("_n") + F.col("grown"))
+    full = counted.join(held.hint("merge"), "collection", "left").withColumn("status", F.when((F.col("grown") == 1) & (F.col("_n") + F.coalesce("_held", F.lit(0)) > most), 413).otherwise(F.col("status")))
     refused = full.where("status = 413").select("collection", "id").distinct()
-    last = done.groupBy("collection", "id").agg(F.max_by("after", "seq").alias("json")).where("json is not null").join(refused, ["collection", "id"], "left_anti")
+    last = done.groupBy("collection", "id").agg(F.max_by("after", "seq").alias("json")).where("json is not null").join(refused.hint("merge"), ["collection", "id"], "left_anti")
     return last, full.select("seq", "collection", "id", "method", "status")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kilnspark.functions.scalars import CURRENCY, box_gap, half_up, numeric_like, overlap_ratio, run_id, text_identity
 from kilnspark.operators.folds import fold
+from kilnspark.operators.ranked import running_last, running_sum
 
 PAGE = ["doc_id", "page_index"]
 
@@ -21,9 +22,8 @@ def run_totals(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prefix_offsets(df: DataFrame, key: str, order: list[str], size: str, gap: float) -> DataFrame:
-    """df with start: the sizes before, 1 at least each, with a gap after each."""
-    own = F.greatest(F.lit(1), F.col(size)) + gap
-    return df.withColumn("start", F.coalesce(F.sum(own).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """df with start: the sizes before, 1 at least each, with a gap after each. The first column of order is a number."""
+    return running_sum(df, [key], [F.col(c) for c in order], F.greatest(F.lit(1), F.col(size)) + gap, "start")
 
 
 def locate_offset(items: DataFrame, points: DataFrame, key: str, size: str, gap: float) -> DataFrame:
@@ -33,8 +33,7 @@ def locate_offset(items: DataFrame, points: DataFrame, key: str, size: str, gap:
     """
     marks = items.select(key, F.col("start").cast("double").alias("_x"), F.lit(0).alias("_k"), F.col("ord").alias("_ord"))
     asked = points.select("*", F.greatest(F.lit(0.0), F.col("offset").cast("double")).alias("_x"), F.lit(1).alias("_k"))
-    w = Window.partitionBy(key).orderBy("_x", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    both = asked.unionByName(marks, allowMissingColumns=True).withColumn("item", F.last("_ord", ignorenulls=True).over(w))
+    both = running_last(asked.unionByName(marks, allowMissingColumns=True), [key], [F.col("_x"), F.col("_k")], "_ord", "item")
     return both.where("_k = 1").select(*points.columns, "item")
 
 

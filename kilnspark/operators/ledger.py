@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilnspark.operators.ranked import running_sum
+
 MIB = 1024 * 1024
 HOUR, MINUTE, DAY = 3_600_000, 60_000, 86_400_000
 
@@ -55,7 +57,7 @@ def history_search(jobs: DataFrame, text: str = "", status: str = "completed", s
 
 def claim_order(jobs: DataFrame, queue: str = "tool") -> DataFrame:
     """Queued jobs with their turn in each queue, oldest first."""
-    return jobs.where("status = 'queued'").withColumn("turn", F.row_number().over(Window.partitionBy(queue).orderBy("created_at", "id")))
+    return running_sum(jobs.where("status = 'queued'"), [queue], [F.col("created_at"), F.col("id")], F.lit(1), "turn").withColumn("turn", F.col("turn") + 1)
 
 
 def log_tail(logs: DataFrame, key: str, order: list[str], n: int = 250) -> DataFrame:
@@ -137,7 +139,7 @@ def cleanup_counts(requests: DataFrame, sessions: DataFrame, now: Column) -> Dat
     acted = requests.withColumn("action", retention_action(now))
     hit = lambda action, status: F.count_if((F.col("action") == action) & (F.col("status") == status))
     counts = acted.agg(hit("expire", "pending").alias("expired_pending"), hit("delete", "redeemed").alias("deleted_redeemed"), hit("delete", "declined").alias("deleted_declined"), hit("delete", "approved").alias("deleted_approved"))
-    return counts.crossJoin(sessions.agg(F.count_if(F.col("expires_at") <= now).alias("ended_sessions")))  # one row each
+    return counts.withColumn("ended_sessions", sessions.agg(F.count_if(F.col("expires_at") <= now)).scalar())
 
 
 def evolve_schema(df: DataFrame, target: dict[str, tuple[str, object]]) -> DataFrame:

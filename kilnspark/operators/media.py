@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnspark.functions.scalars import half_up
+from kilnspark.operators.ranked import running_sum
 
 #: Quality, largest dimension and resolution of each profile.
 PROFILES = {"balanced": (72, 2200, 96), "small": (58, 1600, 72), "quality": (84, 3000, 120), "custom": (72, 2200, 96)}
@@ -117,10 +118,11 @@ def estimate_output(pages: DataFrame, doc: str, cap: dict[str, float], samples:
 def top_fraction_mean(samples: DataFrame, key: str, weight: str, channel: str, fraction: float = 0.2, least: float = 35) -> DataFrame:
     """Per key the rounded mean of the channel over its strongest samples: a fraction of those above `least`, one at least."""
     strong = samples.where(F.col(weight) > least)
-    w = Window.partitionBy(key)
-    ranked = strong.withColumn("r", F.row_number().over(w.orderBy(F.desc(weight), channel))).withColumn("n", F.count("*").over(w))
-    means = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * fraction))).groupBy(key).agg(half_up(F.avg(channel)).cast("long").alias("mean"))
-    return samples.select(key).distinct().join(means, key, "left").select(key, F.coalesce("mean", F.lit(0).cast("long")).alias("mean"))
+    ranked = running_sum(strong, [key], [-F.col(weight), F.col(channel)], F.lit(1), "_before")
+    sizes = strong.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    both = ranked.join(sizes.hint("merge"), F.col(key).eqNullSafe(F.col("_key")))
+    means = both.where(F.col("_before") < F.greatest(F.lit(1), F.ceil(F.col("_n") * fraction))).groupBy("_key").agg(half_up(F.avg(channel)).cast("long").alias("mean"))
+    return samples.select(key).distinct().join(means.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("mean", F.lit(0).cast("long")).alias("mean"))
 
 
 def mask_difference(a: Column, b: Column, threshold: float = 0.28) -> Column:
