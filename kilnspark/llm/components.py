@@ -11,7 +11,7 @@ from kilnspark.llm.common import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than u is tied to the least of u and its neighbours."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")  # a table of its own, so that Spark can split a hub's edges
     return (
         both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         .where("a <> b").distinct()
@@ -20,7 +20,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are tied to the least of those neighbours."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
