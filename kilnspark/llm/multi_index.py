@@ -3,8 +3,8 @@
 The two halves of a vector are quantised on their own; a pair of centroids is
 a cell. A query visits cells by the sum of its two halves' distances to their
 centroids, with a heap, until the cells seen hold `share` of all distinct
-vectors. The cells of one first centroid are cut into bounded blocks of
-vectors; a task ranks a block's vectors, those of visited cells, for a block of
+vectors. The cells of neighbouring first centroids are a group, cut into bounded
+blocks of vectors; a task ranks a block's vectors, those of visited cells, for a block of
 queries by exact distance, and each query's best of all blocks are its result. Equal vectors count as one in the index, with the
 smallest of their ids that any result can need.
 """
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm.common import stored
 
-#: Centroids of a half; rows that the quantisers are fitted on at most; vectors and queries of a block.
-CENTROIDS, SAMPLE, VECTORS, QUERIES = 64, 20_000, 2048, 4096
+#: Centroids of a half; groups of cells; rows that the quantisers are fitted on at most; vectors and queries of a block.
+CENTROIDS, GROUPS, SAMPLE, VECTORS, QUERIES = 256, 64, 20_000, 2048, 4096
 #: Least share of the distinct vectors that a query's cells hold together.
-SHARE = 0.5
+SHARE = 0.35
 
 
 def kmeans(rows: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -51,17 +51,19 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: int) -> list[int]:
     """Cells i * len(second) + j by ascending first[i] + second[j], until they hold `want`."""
     a, b = first.argsort(kind="stable"), second.argsort(kind="stable")
-    heap, seen, out, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
+    one, two, held_in = first[a].tolist(), second[b].tolist(), counts.reshape(len(a), len(b))[a][:, b].tolist()
+    width, out, held = len(b), [], 0
+    heap, pop, push = [(one[0] + two[0], 0)], heapq.heappop, heapq.heappush
     while heap and held < want:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(second) + int(b[j])
-        if counts[cell]:
-            out.append(cell)
-            held += int(counts[cell])
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (first[a[x]] + second[b[y]], x, y))
+        _, at = pop(heap)
+        i, j = divmod(at, width)
+        if n := held_in[i][j]:
+            out.append(int(a[i]) * width + int(b[j]))
+            held += n
+        if j + 1 < width:
+            push(heap, (one[i] + two[j + 1], at + 1))
+        if j == 0 and i + 1 < len(one):  # a row begins once the one above it has: each pair is pushed once
+            push(heap, (one[i + 1] + two[0], at + width))
     return out
 
 
@@ -84,7 +86,9 @@ def search(vectors: DataFrame, every: int = 100, top: int = 10, share: float = S
 
     A query's own id is no candidate; ties go to the smaller vec_id. Null
     vectors, zero vectors, those with null or non-finite components and those
-    of an unusual size take no part; repeated rows count once.
+    of another length than most take no part; repeated rows count once; of
+    several vectors of a queried id the one that hashes lowest is asked; an
+    empty table gives no rows; other columns are left out.
     """
     spark = vectors.sparkSession
     own = usable(vectors)
@@ -118,10 +122,11 @@ def search(vectors: DataFrame, every: int = 100, top: int = 10, share: float = S
     for cell, n in sizes.items():
         counts[cell] = n
     want = max(2 * top, int(np.ceil(share * counts.sum())))
-    blocks = np.maximum(1, -(-counts.reshape(len(left), -1).sum(1) // VECTORS))
+    span = len(right) * -(-len(left) // GROUPS)  # cells of a group
+    blocks = np.maximum(1, -(-np.bincount(np.arange(len(counts)) // span, counts).astype(np.int64) // VECTORS))
     plan = spark.sparkContext.broadcast((counts, blocks))
 
-    asked = own.where(F.col("vec_id") % every == 0).select("vec_id", "vec").dropDuplicates(["vec_id"])
+    asked = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by("vec", F.struct("h1", "h2")).alias("vec"))
     n_turns = max(1, -(-asked.count() // QUERIES))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +138,7 @@ def search(vectors: DataFrame, every: int = 100, top: int = 10, share: float = S
             for q in range(len(rows)):
                 seen: dict[int, list[int]] = {}
                 for cell in visit(d1[q], d2[q], held, want):
-                    seen.setdefault(cell // len(b), []).append(cell)
+                    seen.setdefault(cell // span, []).append(cell)
                 for group, own in seen.items():
                     n = int(cut[group])
                     at += [q] * n
@@ -146,7 +151,7 @@ def search(vectors: DataFrame, every: int = 100, top: int = 10, share: float = S
     turn = F.pmod(F.xxhash64("vec_id"), F.lit(n_turns)).cast("int").alias("turn")
     probes = asked.mapInArrow(probe, "vec_id long, vec array<double>, group int, cells array<int>, part int").select("*", turn)
     number = F.get(F.array(*[F.lit(int(x)) for x in blocks]), F.col("group"))
-    grouped = index.withColumn("group", F.floor(F.col("cell") / len(right)).cast("int"))
+    grouped = index.withColumn("group", F.floor(F.col("cell") / span).cast("int"))
     dealt = grouped.select("ids", "vec", "cell", "group", F.pmod("h1", number).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_turns - 1))).alias("turn"))
 
     def rank(queries: pa.Table, block: pa.Table) -> pa.Table:
