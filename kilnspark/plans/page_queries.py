@@ -56,12 +56,13 @@ def a6(t):
     return audit.repeated_values(audit.extract_meta(t("pages")), "title")
 
 
-@query("p6_parse_sitemap", f"SELECT page_id, coalesce(nullif({PATH_SQL}, ''), '/') AS path, CASE WHEN page_id % 2 = 0 THEN '2024-01-01' END AS lastmod FROM pages")
+@query("p6_parse_sitemap", f"SELECT coalesce(nullif({PATH_SQL}, ''), '/') AS path, CASE WHEN page_id % 2 = 0 THEN '2024-01-01' END AS lastmod, page_id % 3 AS ord FROM pages")
 def p6(t):
+    """Sitemaps of three pages each, written and parsed."""
     own = t("pages").select("page_id", F.col("url").alias("loc"), F.when(F.col("page_id") % 2 == 0, "2024-01-01").alias("lastmod"))
-    xml = own.select("page_id", F.concat(F.lit("<url><loc>"), s.escape_xml(F.col("loc")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</url>")).alias("xml"))
-    found = xml.select("page_id", F.posexplode(F.regexp_extract_all("xml", F.lit("(?s)<url>(.*?)</url>"), F.lit(1))).alias("ord", "entry"))
-    return found.select("page_id", audit.route_path(F.regexp_extract("entry", "<loc>\\s*(.*?)\\s*</loc>", 1)).alias("path"), F.nullif(F.regexp_extract("entry", "<lastmod>(.*?)</lastmod>", 1), F.lit("")).alias("lastmod"))
+    entry = F.concat(F.lit("<url><loc>"), s.escape_xml(F.col("loc")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
+    files_ = own.select("page_id", entry.alias("entry")).groupBy(F.floor(F.col("page_id") / 3).alias("file")).agg(F.array_sort(F.collect_list(F.struct("page_id", "entry"))).alias("e"))
+    return audit.parse_sitemap(files_.select(F.array_join("e.entry", "\n").alias("xml"))).select("path", "lastmod", "ord")
 
 
 @query("s9_sitemap", "SELECT '<url><loc>' || replace(url, '&', '&amp;') || '</loc><lastmod>2024-01-01</lastmod></url>' AS entry FROM pages")
