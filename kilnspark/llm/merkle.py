@@ -162,8 +162,8 @@ def oracle(upper: int = 8) -> str:
 
 _FIELD = "coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
 _CRC = (
-    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), c -> ascii(c)::bigint)), (a, b) -> "
-    "list_reduce(list_prepend(xor(a, b), range(8)), (x, _) -> xor(x >> 1, (x & 1) * 3988292384))), 4294967295::bigint)"
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: "
+    "list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::bigint)"
 )
 _LOWERED = "CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
 _LEAF = " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars"))
