@@ -12,6 +12,7 @@ the values within one bit of them, which reaches each pair at distance two.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,21 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     starts = [0, *(ends[: n - 1]).tolist()]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype="<u8")
+    return folded(hashes)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def signed(value: int) -> int:
+    """A 64-bit number as Spark's long."""
+    return value - (1 << 64) if value >> 63 else value
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -63,8 +74,13 @@ def _cuts(ring: int) -> list[int]:
 def _mask(i: int, ring: int) -> int:
     """The bits of segment i as a signed 64-bit integer."""
     cuts = _cuts(ring)
-    mask = (1 << cuts[i + 1]) - (1 << cuts[i])
-    return mask - (1 << 64) if mask >> 63 else mask
+    return signed((1 << cuts[i + 1]) - (1 << cuts[i]))
+
+
+def _ball(radius: int) -> Column:
+    """The differences of at most radius bits."""
+    spots = [sum(1 << i for i in some) for r in range(radius + 1) for some in combinations(range(64), r)]
+    return F.array(*[F.lit(signed(x)).cast("long") for x in spots])
 
 
 def _chain(x: Column, start: int, tau: int, ring: int) -> Column:
@@ -77,13 +93,15 @@ def _chain(x: Column, start: int, tau: int, ring: int) -> Column:
 
 
 def links(fps: DataFrame, tau: int = TAU, ring: int = RING, crowd: int = CROWD) -> DataFrame:
-    """(a, b) that connect exactly the distinct values fp at most tau bits apart.
+    """(a, b) that connect exactly the distinct values fp at most tau bits apart, tau up to 4; a null fp links to none.
 
-    Within a crowded bucket the links are a star about each value within one
-    bit of two members, so they keep what is reachable, not each pair.
+    Within a crowded bucket the links are stars: two members are at most tau
+    bits apart just if some value is within half of tau of the one and the
+    rest of it of the other, so each value ties what is near it to one member.
+    What is reachable stays, not each pair. Columns but fp are left out.
     """
-    if tau != 2:
-        raise ValueError("crowded buckets are exact for two bits")
+    if not 0 < tau <= 4:
+        raise ValueError("the values around a member of a crowded bucket are too many for this tau")
     zeros = next(n for n in range(1, ring + 1) if n * tau // ring) - 1
     masks = [sum(_mask((i + k) % ring, ring) for k in range(zeros)) for i in range(ring)]
     keys = F.array(*[F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("part")) for i, m in enumerate(masks)])
@@ -97,11 +115,12 @@ def links(fps: DataFrame, tau: int = TAU, ring: int = RING, crowd: int = CROWD)
     for i in range(ring):
         chained = chained | ((F.col("start") == i) & _chain(x, i, tau, ring))
     near = pairs.where(chained & (F.bit_count(x) <= tau)).select("a", "b")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
     crowded = held.where(F.col("n") > crowd).select("fp").distinct()
-    around = crowded.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("z"))
-    hubs = around.groupBy("z").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("others")).where(F.size("others") > 1)  # 65 members at most
-    return near.unionAll(hubs.select("a", F.explode("others").alias("b")).where("a <> b")).distinct()
+    around = lambda radius: crowded.select("fp", F.explode(_ball(radius)).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("z"))
+    centre = around(tau // 2).groupBy("z").agg(F.min("fp").alias("a"))
+    far = around(tau - tau // 2) if tau % 2 else around(tau // 2)
+    hubs = far.withColumnRenamed("fp", "b").join(centre.hint("merge"), "z").select("a", "b").where("a <> b")
+    return near.unionAll(hubs).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
