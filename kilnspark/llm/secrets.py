@@ -3,8 +3,8 @@
 Two Markov models of characters tell random strings from ordinary
 identifiers: a chain of transitions between the characters of ALPHABET each,
 counted over labelled samples. A candidate is a stretch of such characters; it
-is taken as random if the sum over its transitions of the logarithm of the
-models' ratio is high enough, in all and per character.
+is taken as random if the logarithm of the models' ratio, summed over its
+transitions, is high enough a character.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ MODEL = "random"
 ORDER = {kind: k for k, kind in enumerate([*KINDS, MODEL])}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
+#: How identifiers are made of words.
+STYLES = [lambda t: t.title().replace(" ", ""), lambda t: t.replace(" ", "_"), lambda t: t.upper().replace(" ", "_"), lambda t: t.replace(" ", "-"), lambda t: t.replace(" ", "/")]
 _PATTERNS = {kind: (re.compile(p, re.ASCII), group, least) for kind, (p, group, least) in KINDS.items()}
 _STATE = np.zeros(256, np.int64)
 _STATE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, STATES)
@@ -38,11 +40,10 @@ _STATE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, STATES)
 
 @dataclass(frozen=True)
 class Settings:
-    """Least length of a candidate, least log ratio in bits in all and per character, and what is added to each count."""
+    """Least length of a candidate, least log ratio in bits a character, and what is added to each count."""
 
     length: int = 16
-    bits: float = 24.0
-    per_char: float = 1.0
+    bits: float = 2.75
     smooth: float = 0.5
 
 
@@ -69,10 +70,11 @@ def _blanked(text: str, spans: list[tuple[int, str, int]]) -> str:
 
 
 def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Samples (sample, random) from the corpus itself: what stands outside of base spans is ordinary; digests of rows are random.
+    """Samples (sample, random) from the corpus itself.
 
-    Each row gives one digest in hex and one in base 64, so that a model knows
-    both, and what base spans hold.
+    Ordinary is what stands outside of base spans, as it is and as identifiers
+    of one of STYLES, by the text's length. Random is what base spans hold but
+    for hex, and of each row a digest in hex and one in base 64.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +82,11 @@ def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
             samples, kinds = [], []
             for value in batch.column(0).to_pylist():
                 spans = base_spans(value)
-                samples.append(_blanked(value, spans))
+                plain = _blanked(value, spans)
+                samples += [plain, STYLES[len(plain) % len(STYLES)](plain)]
+                kinds += [False, False]
                 samples += [value[m.start(group) : m.end(group)] for kind, (pattern, group, least) in _PATTERNS.items() if kind != "hex" for m in pattern.finditer(value) if m.end(group) - m.start(group) >= least]
-                kinds += [False] + [True] * (len(samples) - len(kinds) - 1)
+                kinds += [True] * (len(samples) - len(kinds))
             yield pa.RecordBatch.from_arrays([pa.array(samples, pa.string()), pa.array(kinds, pa.bool_())], ["sample", "random"])
 
     own = docs.select(text_of(text).alias("t")).mapInArrow(run, "sample string, random boolean")
@@ -119,6 +123,12 @@ def ratios_of(counts: np.ndarray, smooth: float) -> np.ndarray:
     return chance[1] - chance[0]
 
 
+def score(candidate: str, ratios: np.ndarray) -> float:
+    """The log ratio of a string over ALPHABET, in bits."""
+    states = _STATE[np.frombuffer(candidate.encode(), np.uint8)]
+    return float(ratios[np.concatenate([[0], states[:-1]]), states - 1].sum())
+
+
 def found_random(text: str, taken: list[tuple[int, str, int]], ratios: np.ndarray, settings: Settings) -> list[tuple[int, str, int]]:
     """Candidates apart from the spans `taken`, ascending, that the models call random."""
     out, k = [], 0
@@ -128,9 +138,7 @@ def found_random(text: str, taken: list[tuple[int, str, int]], ratios: np.ndarra
             k += 1
         if any(s < end and e > start for s, _, e in taken[k:] if s < end):
             continue
-        states = _STATE[np.frombuffer(m.group().encode(), np.uint8)]
-        bits = float(ratios[np.concatenate([[0], states[:-1]]), states - 1].sum())
-        if bits >= settings.bits and bits >= settings.per_char * (end - start):
+        if score(m.group(), ratios) >= settings.bits * (end - start):
             out.append((start, MODEL, end))
     return out
 
