@@ -140,7 +140,7 @@ def oracle(upper: int = 8) -> str:
         ctes.append(f"{name}_0 AS ({first})")
         for k in range(upper):
             sides = ", ".join(f"{siblings.format(f=FANOUT, span=span)} AS {side}".replace(" ORDER BY i) OVER", ") OVER") for span, side in ((before, "l"), (after, "r")))
-            ctes.append(f"{name}_side_{k} AS (SELECT tree, i, {sides} FROM {name}_{k})")
+            ctes.append(f"{name}_side_{k} AS (SELECT tree, i, n, {sides} FROM {name}_{k})")
             ctes.append(f"{name}_{k + 1} AS (SELECT tree, i // {FANOUT} AS i, (max(n) + {FANOUT - 1}) // {FANOUT} AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h FROM {name}_{k} GROUP BY tree, i // {FANOUT})")
 
     tree("leaf", "SELECT tree, i, n, leaf AS h FROM placed")
@@ -152,7 +152,7 @@ def oracle(upper: int = 8) -> str:
             joins.append(f"JOIN {name}_side_{k} {side} ON {side}.i = {place} // {FANOUT**k} AND {side}.tree = {'p.tree' if name == 'leaf' else 0}")
             steps.append(f"{side}.l || {side}.r")
             now = f"f{len(steps)}"
-            ctes.append(f"{now} AS (SELECT p.* EXCLUDE (fold, proof), CASE WHEN {side}.l || {side}.r = '' THEN p.fold ELSE sha256({side}.l || p.fold || {side}.r) END AS fold, p.proof || {side}.l || {side}.r AS proof FROM {'start' if len(steps) == 1 else f'f{len(steps) - 1}'} p {joins[-1]})")
+            ctes.append(f"{now} AS (SELECT p.* EXCLUDE (fold, proof), CASE WHEN {side}.n = 1 THEN p.fold ELSE sha256({side}.l || p.fold || {side}.r) END AS fold, p.proof || {side}.l || {side}.r AS proof FROM {'start' if len(steps) == 1 else f'f{len(steps) - 1}'} p {joins[-1]})")
     ctes.insert(1, "start AS (SELECT *, other AS fold, '' AS proof FROM placed)")
     return (
         "WITH " + ",\n".join(ctes) + f"\nSELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(p.proof) AS proof_sha256, p.fold AS folded_root, p.fold = r.h AS verified "
