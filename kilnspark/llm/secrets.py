@@ -43,7 +43,7 @@ class Settings:
     """Least length of a candidate, least log ratio in bits a character, and what is added to each count."""
 
     length: int = 16
-    bits: float = 2.75
+    bits: float = 1.5
     smooth: float = 0.5
 
 
