@@ -11,7 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.operators.ranked import running_sum
+from kilnspark.operators.ranked import ranged, running
+from kilnspark.sources.scratch import discard, stored
 
 #: Names that no record may hold, methods, header names to hide, limits.
 FORBIDDEN = ["__proto__", "constructor", "prototype"]
@@ -133,16 +134,16 @@ def get_record(requests: DataFrame, records: DataFrame) -> DataFrame:
     return requests.join(records.select("collection", "id", "doc"), ["collection", "id"], "left").withColumn("status", F.when(F.col("doc").isNull(), 404).otherwise(200))
 
 
-def assign_path(df: DataFrame, path: str, value: str, text: str = "json") -> DataFrame:
-    """df with the JSON text's dotted path set to the JSON text in value; what is no object on the way becomes one. Keys come back in order."""
-    none = F.parse_json(F.lit("{}")).cast("map<string, variant>")
+def put_at(doc: Column, keys: list[str], value: Column) -> Column:
+    """A variant with another one at a path of keys; what is no object on the way becomes one."""
+    own = F.coalesce(doc.try_cast("map<string, variant>"), F.parse_json(F.lit("{}")).cast("map<string, variant>"))
+    new = value if len(keys) == 1 else put_at(F.try_element_at(own, F.lit(keys[0])), keys[1:], value)
+    return F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: k != keys[0]), F.create_map(F.lit(keys[0]), new)))
 
-    def put(doc: Column, keys: list[str]) -> Column:
-        own = F.coalesce(doc.try_cast("map<string, variant>"), none)
-        new = F.parse_json(F.col(value)) if len(keys) == 1 else put(F.try_element_at(own, F.lit(keys[0])), keys[1:])
-        return F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: k != keys[0]), F.create_map(F.lit(keys[0]), new)))
 
-    return df.withColumn(text, F.to_json(put(F.try_parse_json(text), path.split("."))))
+def assign_path(df: DataFrame, path: str, value: str, text: str = "json") -> DataFrame:
+    """df with the JSON text's dotted path set to the JSON text in value; what is no object on the way becomes one. Keys come back in order."""
+    return df.withColumn(text, F.to_json(put_at(F.try_parse_json(text), path.split("."), F.parse_json(F.col(value)))))
 
 
 def request_source(source: str, query: str = "query", headers: str = "headers", body: str = "body") -> Column:
@@ -171,38 +172,51 @@ def clean_headers(headers: Column) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(path, "[?#].*$", ""), "/"), lambda s: s != "")
+    """The decoded parts of a path; a plus sign is one."""
+    parts = F.filter(F.split(F.regexp_replace(path, "[?#].*$", ""), "/"), lambda s: s != "")
+    return F.transform(parts, lambda s: F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))))
+
+
+#: Shapes of paths up to which they are broadcast.
+FEW_SHAPES = 10_000
 
 
 def route_requests(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """requests(request_id, method, path) with endpoint_ord, record_id and status.
+    """requests(request_id, method, path) with endpoint_ord, record_id, allowed and status.
 
     endpoints(ord, method, path, database): :name matches any segment. An exact
-    match wins; else a database endpoint takes one segment more (never for
-    POST), the record's id. The first endpoint in order wins; 405 if only other
-    methods match, else 404. A path has a key for each shape that endpoints of
-    its length have (which segments are literal): its literal segments. Paths
-    and endpoints meet on equal shapes and keys.
+    match wins; else a database endpoint whose segments are all literal takes
+    one segment more, the record's id, but not for POST. The first endpoint in
+    order wins. allowed is OPTIONS and the methods of all endpoints that match
+    the path, a database one of any method with a segment more too, in their
+    order. OPTIONS is 204; without an endpoint a path with other methods is
+    405, one without any 404. In a database endpoint that ends in :name the
+    last segment is the record's id.
+
+    A path has a key for each shape that endpoints of its length have (which
+    segments are literal): its literal segments. Paths and endpoints meet on
+    equal shapes and keys.
     """
     free = lambda p: F.startswith(p, F.lit(":"))
     ends = endpoints.withColumn("_p", _segments(F.col("path"))).select(
         "ord", F.col("method").alias("_m"), F.col("database").alias("_db"),
         F.transform("_p", free).alias("shape"), F.to_json(F.transform("_p", lambda p: F.when(free(p), "").otherwise(p))).alias("literal"),
     )
-    shapes = ends.select("shape").distinct().groupBy(F.size("shape").alias("n")).agg(F.collect_list("shape").alias("shapes"))  # a row for each length of a pattern
-    asked = requests.withColumn("_s", F.transform(_segments(F.col("path")), lambda s: F.try_url_decode(s)))
+    shapes = ends.select(F.size("shape").alias("n"), "shape").distinct()
+    asked = requests.withColumn("_s", _segments(F.col("path")))
     tiers = F.array(F.struct(F.size("_s").alias("n"), F.lit(0).alias("tier")), F.struct((F.size("_s") - 1).alias("n"), F.lit(1).alias("tier")))
-    near = asked.select("request_id", "method", "_s", F.explode(tiers).alias("t")).withColumn("n", F.col("t.n")).join(F.broadcast(shapes), "n").withColumn("shape", F.explode("shapes"))
+    few = shapes.limit(FEW_SHAPES + 1).count() <= FEW_SHAPES
+    near = asked.select("request_id", "method", "_s", F.explode(tiers).alias("t")).withColumn("n", F.col("t.n")).join(shapes.hint("broadcast" if few else "merge"), "n")
+    near = near.where((F.col("t.tier") == 0) | ~F.exists("shape", lambda f: f))
     near = near.withColumn("literal", F.to_json(F.transform(F.slice("_s", 1, F.col("n")), lambda x, i: F.when(F.get("shape", i), "").otherwise(x))))
-    met = near.join(ends.hint("merge"), ["shape", "literal"])
-    found = met.where((F.col("t.tier") == 0) | (F.col("_db") & (F.col("method") != "POST")))
-    own = F.col("_m") == F.col("method")
-    best = found.groupBy("request_id").agg(
-        F.min_by(F.struct("ord", F.when(F.col("t.tier") == 1, F.element_at("_s", -1)).alias("record_id")), F.when(own, F.struct("t.tier", "ord"))).alias("b"),
-        F.array_sort(F.array_union(F.collect_set("_m"), F.array(F.lit("OPTIONS")))).alias("allowed"),
-    )
-    status = F.when(F.col("b").isNotNull(), 200).when(F.col("allowed").isNotNull(), 405).otherwise(404)
-    return requests.join(best.hint("merge"), "request_id", "left").select(*requests.columns, F.col("b.ord").alias("endpoint_ord"), F.col("b.record_id").alias("record_id"), "allowed", status.alias("status"))
+    met = near.join(ends.hint("merge"), ["shape", "literal"]).where((F.col("t.tier") == 0) | F.col("_db"))
+    own = (F.col("_m") == F.col("method")) & ((F.col("t.tier") == 0) | (F.col("method") != "POST"))
+    last = F.when((F.col("t.tier") == 1) | (F.col("_db") & F.element_at("shape", -1)), F.element_at("_s", -1))
+    of = met.groupBy("request_id", "_m").agg(F.min("ord").alias("first"), F.min(F.when(own, F.struct("t.tier", "ord", last.alias("record_id")))).alias("b"))  # a row a method
+    best = of.groupBy("request_id").agg(F.min("b").alias("b"), F.array_sort(F.collect_list(F.struct("first", "_m"))).alias("ms"))
+    allowed = F.array_distinct(F.concat(F.array(F.lit("OPTIONS")), F.coalesce("ms._m", F.array().cast("array<string>"))))
+    status = F.when(F.col("method") == "OPTIONS", 204).when(F.col("b").isNotNull(), 200).when(F.col("ms").isNotNull(), 405).otherwise(404)
+    return requests.join(best.hint("merge"), "request_id", "left").select(*requests.columns, F.col("b.ord").alias("endpoint_ord"), F.col("b.record_id").alias("record_id"), allowed.alias("allowed"), status.alias("status"))
 
 
 def drop_orphan_collections(collections: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -211,18 +225,40 @@ def drop_orphan_collections(collections: DataFrame, endpoints: DataFrame) -> Dat
     return collections.drop("methods").join(used, ["project_id", "name"])
 
 
-def json_paths(df: DataFrame, key: str, doc: str = "doc", arrays_only: bool = False, depth: int = 8) -> DataFrame:
-    """(key, path) of the dotted object paths of a variant to a depth; arrays aren't entered, or only arrays are listed through first elements."""
-    level = df.select(key, F.lit("").alias("path"), F.col(doc).alias("v"))
-    out = None
-    for _ in range(depth):
-        if arrays_only:
-            level = level.withColumn("v", F.coalesce(F.try_variant_get("v", "$[0]", "variant"), F.col("v")))
-        level = level.select(key, "path", F.explode(F.expr("try_cast(v as map<string, variant>)")).alias("k", "v"))
-        level = level.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "v")
-        listed = level.where(F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))) if arrays_only else level
-        out = listed.select(key, "path") if out is None else out.unionAll(listed.select(key, "path"))
-    return out.distinct()
+class _Paths:
+    """The dotted paths of a JSON text's objects, depth first, in the text's order."""
+
+    def eval(self, text: str, arrays_only: bool):
+        try:
+            doc = json.loads(text or "null")
+        except ValueError:
+            return
+        stack, n = [("", doc)], 0
+        while stack:
+            path, value = stack.pop()
+            if path and (isinstance(value, list) or not arrays_only):
+                yield n, path
+                n += 1
+            if arrays_only and path and isinstance(value, list) and value:
+                value = value[0]
+            if isinstance(value, dict):
+                stack += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
+
+
+def json_paths(df: DataFrame, key: str, text: str = "json", arrays_only: bool = False) -> DataFrame:
+    """(key, ord, path) of the dotted object paths of a JSON text, of any depth, depth first in the text's order.
+
+    Arrays aren't entered; with arrays_only just paths of arrays come, and an
+    array is entered through its first element. A null text, one that is no
+    JSON and one that is no object have none.
+    """
+    paths = F.udtf(_Paths, returnType="ord int, path string")
+    return df.select(F.col(key), F.col(text).alias("_text")).lateralJoin(paths(F.col("_text").outer(), F.lit(arrays_only))).select(key, "ord", "path")
+
+
+def json_profile(df: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
+    """(keys, n, schema): the schema that all documents of a key fit, fields that differ in kind as VARIANT."""
+    return df.groupBy(*keys).agg(F.count(doc).alias("n"), F.schema_of_variant_agg(doc).alias("schema"))
 
 
 def append_distinct(array: Column, values: Column) -> Column:
@@ -236,41 +272,130 @@ def migrate_legacy_ids(records: DataFrame) -> DataFrame:
     return records.withColumn("id", F.when(F.col("version").between(1, 2) & (F.col("id") == made), None).otherwise(F.col("id")))
 
 
-def apply_changes(base: DataFrame, requests: DataFrame, most: int = LIMITS["records"]) -> tuple[DataFrame, DataFrame]:
-    """(records, responses) after requests(seq, collection, id, method, json) on base(collection, id, json).
+#: Rounds after which a collection that still changes is walked in order.
+ROUNDS = 24
+
 
-    POST adds (409 if the id is there, 400 without one), PUT replaces, PATCH
-    merges top-level keys, DELETE removes; 404 if the id is missing. Each id is
-    folded by itself; then the running number of records decides which POSTs
-    find their collection full (413): an id refused so is left out.
+def apply_changes(base: DataFrame, requests: DataFrame, most: int = LIMITS["records"], methods: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(records, responses) after requests(seq, collection, id, method, json) on base(collection, id, json), in order of seq, which is unique.
+
+    id is the record's in the path, null for the collection itself. POST takes
+    the id of the body: 404 with one in the path, 400 without one in the body or
+    if that is no object, 409 if it is there, 413 if the collection is full.
+    PUT replaces, PATCH merges top-level keys, DELETE removes: 404 if the id is
+    missing; the path's id wins. methods(collection, methods): others are 405,
+    collections without a row have none and are 404; None allows all.
+
+    A refused POST leaves no trace, so what follows on its id may be 404. Taken
+    that some POSTs are refused, the presence of each id is a running last
+    value. What then adds and removes records moves a counter that stops at
+    `most`: its value is a running sum less a running maximum (see _counter),
+    and tells again which POSTs are refused. The first requests of a
+    collection that this gets right grow in each round; a round that changes
+    nothing is right. Collections that still change after `rounds` are walked
+    in order, with the ids that differ from the base in memory.
     """
+    lost = F.lit(None).cast("int")
+    doc = F.try_parse_json("json").try_cast("map<string, variant>")
+    own = requests.select("seq", "collection", F.col("id").cast("string").alias("id"), "method", "json").withColumn("_body", scalar_text(F.try_element_at(doc, F.lit("id"))))
+    verdict = lost
+    if methods is not None:
+        own = own.join(methods.select("collection", F.col("methods").alias("_allowed")).hint("merge"), "collection", "left")
+        verdict = F.when(F.col("_allowed").isNull(), 404).when(~F.array_contains("_allowed", F.col("method")), 405)
+    post = F.col("method") == "POST"
+    made = F.when(post & F.col("id").isNotNull(), 404).when(post & (doc.isNull() | F.col("_body").isNull() | (F.trim("_body") == "") | (F.col("_body") == "null")), 400).when(~post & F.coalesce(F.col("id") == "", F.lit(True)), 404)
+    own = own.withColumn("verdict", F.coalesce(verdict, made, F.when(~F.col("method").isin(METHODS[1:]), 405))).withColumn("id", F.when(post, F.col("_body")).otherwise(F.col("id")))
+    there = base.select("collection", F.col("id").cast("string").alias("id"), F.lit(True).alias("base")).distinct()
+    held = base.groupBy("collection").agg(F.count("*").alias("_held"))
+    own = own.drop("_body", "_allowed").join(there.hint("merge"), ["collection", "id"], "left").join(held.hint("merge"), "collection", "left")
+    own = own.withColumns({"base": F.coalesce("base", F.lit(False)), "over": F.coalesce("_held", F.lit(0)) - most}).drop("_held")
+    now = stored(ranged(own.withColumn("refused", F.lit(False)), F.col("seq")), "changes")
+    for k in range(rounds):
+        after = stored(_counter(_present(now)), "changes")
+        discard(now)
+        differ = after.where("refused <> was").select("collection").distinct()
+        now = after
+        if differ.isEmpty():
+            break
+    else:
+        now = _walked(now, differ, most)
+    status = (
+        F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(post & F.col("here"), 409).when(post & F.col("refused"), 413).when(post, 201)
+        .when(~F.col("here"), 404).when(F.col("method") == "DELETE", 204).when(doc.isNull(), 400).otherwise(200)
+    )
+    done = stored(now.withColumn("status", status).select("seq", "collection", "id", "method", "json", "status"), "responses")
+    discard(now)
+    return _documents(base, done), done.select("seq", "collection", "id", "method", "status")
+
+
+def _present(changes: DataFrame) -> DataFrame:
+    """changes with here: whether the id is there before the request, as `refused` has it."""
+    known = F.col("verdict").isNull()
+    leaves = F.when(known & (F.col("method") == "POST") & ~F.col("refused"), True).when(known & (F.col("method") == "DELETE"), False)
+    return running(changes.drop("here"), ["collection", "id"], [F.col("seq")], here=("last", leaves)).withColumn("here", F.coalesce("here", "base"))
+
+
+def _counter(changes: DataFrame) -> DataFrame:
+    """changes with refused: whether the request finds its collection full; `was` is what it was before.
+
+    From n records below the limit, with S the sum of steps so far and M the
+    largest S so far, S - max(M, n) records are over the limit, as additions
+    beyond it don't count. A base over the limit takes none until enough of it
+    is gone; steps count from there.
+    """
+    known = F.col("verdict").isNull()
+    adds = known & (F.col("method") == "POST") & ~F.col("here")
+    removes = known & (F.col("method") == "DELETE") & F.col("here")
+    order = [F.col("seq")]
+    own = running(changes.drop("was").withColumnRenamed("refused", "was"), ["collection"], order, _gone=("sum", F.when(removes, 1)))
+    opened = F.coalesce("_gone", F.lit(0)) >= F.col("over")
+    own = own.withColumns({"_opened": opened, "_step": F.when(opened, F.when(adds, 1).when(removes, -1))})
+    own = running(own, ["collection"], order, _sum=("sum", F.col("_step"))).withColumn("_sum", F.coalesce("_sum", F.lit(0)))
+    own = running(own, ["collection"], order, _peak=("max", F.col("_sum") + F.coalesce("_step", F.lit(0))))
+    full = ~F.col("_opened") | (F.col("_sum") >= F.greatest(F.col("_peak"), -F.col("over"), F.lit(0)))
+    return own.withColumn("refused", adds & full).drop("_gone", "_opened", "_step", "_sum", "_peak")
+
+
+def _walked(changes: DataFrame, differ: DataFrame, most: int) -> DataFrame:
+    """changes with here and refused of the collections in differ(collection) found request by request."""
     from kilnspark.operators.folds import fold
 
-    old = base.select("collection", "id", "json", F.lit(-1).cast("long").alias("seq"), F.lit("BASE").alias("method"))
-    new = requests.select("collection", "id", "json", F.col("seq").cast("long"), "method")
-
-    def step(doc: str | None, row) -> tuple[str | None, tuple]:
-        method = row.method
-        if method == "BASE":
-            return row.json, (row.json, 0, 0)
-        if method == "POST":
-            if row.id is None or row.id == "":
-                return doc, (doc, 400, 0)
-            return (doc, (doc, 409, 0)) if doc is not None else (row.json, (row.json, 201, 1))
-        if doc is None:
-            return None, (None, 404, 0)
-        if method == "DELETE":
-            return None, (None, 204, -1)
-        after = row.json if method == "PUT" else json.dumps(json.loads(doc) | json.loads(row.json or "{}"), sort_keys=True, separators=(",", ":"))
-        return after, (after, 200, 0)
-
-    done = fold(old.unionByName(new), ["collection", "id"], ["seq"], step, None, "after string, status int, grown int")
-    held = base.groupBy("collection").agg(F.count("*").alias("_held"))
-    counted = running_sum(done.where("method <> 'BASE'"), ["collection"], [F.col("seq")], F.col("grown"), "_n").withColumn("_n", F.col("_n") + F.col("grown"))
-    full = counted.join(held.hint("merge"), "collection", "left").withColumn("status", F.when((F.col("grown") == 1) & (F.col("_n") + F.coalesce("_held", F.lit(0)) > most), 413).otherwise(F.col("status")))
-    refused = full.where("status = 413").select("collection", "id").distinct()
-    last = done.groupBy("collection", "id").agg(F.max_by("after", "seq").alias("json")).where("json is not null").join(refused.hint("merge"), ["collection", "id"], "left_anti")
-    return last, full.select("seq", "collection", "id", "method", "status")
+    def step(state: tuple | None, row) -> tuple[tuple, tuple]:
+        over, apart = state or (row.over, {})  # ids that aren't as in the base
+        here = apart.get(row.id, row.base)
+        refused = False
+        if row.verdict is None and row.method == "POST" and not here:
+            refused = over >= 0
+            if not refused:
+                over += 1
+                apart[row.id] = True
+        elif row.verdict is None and row.method == "DELETE" and here:
+            over -= 1
+            apart[row.id] = False
+        if apart.get(row.id) == row.base:
+            del apart[row.id]
+        return (over, apart), (here, refused)
+
+    some = changes.join(differ.hint("merge"), "collection", "left_semi").drop("here", "refused")
+    walked = fold(some, ["collection"], ["seq"], step, None, "here boolean, refused boolean", ["id", "method", "verdict", "base", "over"])
+    return stored(changes.join(differ.hint("merge"), "collection", "left_anti").unionByName(walked), "changes")
+
+
+def _documents(base: DataFrame, done: DataFrame) -> DataFrame:
+    """(collection, id, json) of what is there after the requests in done: by top-level key the last value since the record was last made whole."""
+    old = base.select("collection", F.col("id").cast("string").alias("id"), "json", F.lit(None).cast("long").alias("seq"), F.lit("BASE").alias("method"))
+    new = done.where("status in (200, 201, 204)").select("collection", "id", "json", F.col("seq").cast("long").alias("seq"), "method")
+    every = old.unionByName(new)
+    place = F.struct("seq")  # null, the base, is least
+    whole = every.groupBy("collection", "id").agg(F.max(F.when(F.col("method") != "PATCH", place)).alias("since"), F.max_by("method", F.when(F.col("method") != "PATCH", place)).alias("by"))
+    kept = every.join(whole.where("by <> 'DELETE'").hint("merge"), ["collection", "id"]).where(place >= F.col("since"))
+    keys = kept.select("collection", "id", "seq", F.explode(F.try_parse_json("json").try_cast("map<string, variant>")).alias("k", "v"))
+    last = keys.groupBy("collection", "id", "k").agg(F.max_by("v", place).alias("v")).where("k <> 'id'")
+    text = last.groupBy("collection", "id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # the keys of one record
+    ids = kept.select("collection", "id").distinct()
+    none = F.create_map().cast("map<string, variant>")
+    doc = F.map_concat(F.coalesce("m", none), F.create_map(F.lit("id"), F.to_variant_object(F.array("id")).cast("array<variant>")[0]))
+    return ids.join(text.hint("merge"), ["collection", "id"], "left").select("collection", "id", F.to_json(F.to_variant_object(doc)).alias("json"))
 
 
 def guided_update(records: DataFrame, match: Column, items: str, item_match: object, change: object) -> DataFrame:

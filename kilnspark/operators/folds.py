@@ -6,6 +6,7 @@ its state; a key with many rows is never held as a whole.
 
 from __future__ import annotations
 
+import json
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -93,6 +94,63 @@ def transition_step(state: dict | None, row: Any) -> tuple[dict, tuple]:
     return state | {"status": wanted[1]}, (True, wanted[1], None)
 
 
+#: What a request's events leave in the audit, by kind.
+AUDITED = {"create": ["request.created"], "approve": ["request.approved"], "decline": ["request.declined"], "redeem": ["license.redeemed", "device.activity"]}
+
+
+def ledger_step(state: dict | None, row: Any) -> tuple[dict, tuple]:
+    """transition_step with the fields of a request and what is written to the audit.
+
+    An approval gives a license, the hash of its code and the code; a redemption
+    names the same license and hash, clears the code and is told twice, under
+    the device's origin; other events are told under the request's.
+    """
+    state = state or {"status": None, "expires": None, "license_id": None, "code_hash": None, "code": None, "origin": None}
+    if row.kind == "redeem" and (row.license_id, row.code_hash) != (state["license_id"], state["code_hash"]):
+        return state, (False, state["status"], "unknown code", state["license_id"], state["code"], [])
+    after, (accepted, status, reason) = transition_step(state if state["status"] else None, row)
+    if not accepted:
+        return state, (False, state["status"], reason, state["license_id"], state["code"], [])
+    after = state | after
+    told = {"create": {"requesterLabel": row.label}, "approve": {"licenseId": row.license_id}, "decline": {"reason": row.why or "Declined by owner"}}.get(row.kind, {"licenseId": row.license_id, "deviceId": row.device_id})
+    if row.kind == "create":
+        after["origin"] = row.origin
+    elif row.kind == "approve":
+        after |= {"license_id": row.license_id, "code_hash": row.code_hash, "code": row.code}
+    elif row.kind == "redeem":
+        after["code"] = None
+    origin = row.origin if row.kind == "redeem" else after["origin"]
+    audit = [{"event": e, "origin": origin, "details": json.dumps(({"activity": "license.redeemed"} if e == "device.activity" else {}) | told)} for e in AUDITED[row.kind]]
+    return after, (True, status, None, after["license_id"], after["code"], audit)
+
+
+def request_ledger(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, audit, consumptions) of events(request_id, seq, at, kind, ttl_ms, label, license_id, code_hash, code, device_id, origin, why).
+
+    Redemptions carry no request id: they go to the request that an approval
+    with their license and code hash is of, the first by seq; without one they
+    are refused. Events come with accepted, status, reason, license and code
+    after them. audit(request_id, seq, place, at, event, origin, details) and
+    consumptions(license_id, code_hash, device_id, origin, redeemed_at) hold
+    what accepted events write.
+    """
+    from pyspark.sql import functions as F
+
+    codes = events.where("kind = 'approve' and license_id is not null and code_hash is not null").groupBy("license_id", "code_hash").agg(F.min_by("request_id", "seq").alias("_of"))
+    known = events.join(codes.hint("merge"), ["license_id", "code_hash"], "left").withColumn("request_id", F.when(F.col("kind") == "redeem", F.col("_of")).otherwise(F.col("request_id"))).select(*events.columns)
+    kind = "accepted boolean, status string, reason string, license string, held_code string, audit array<struct<event: string, origin: string, details: string>>"
+    needs = ["at", "kind", "ttl_ms", "label", "license_id", "code_hash", "code", "device_id", "origin", "why"]
+    done = fold(known.where("request_id is not null"), ["request_id"], ["seq"], ledger_step, None, kind, needs)
+    lost = known.where("request_id is null")
+    from pyspark.sql.types import StructType
+
+    gone = {"accepted": F.lit(False), "status": F.lit(None), "reason": F.lit("unknown code"), "license": F.lit(None), "held_code": F.lit(None), "audit": F.array()}
+    every = done.unionByName(lost.withColumns({f.name: gone[f.name].cast(f.dataType) for f in StructType.fromDDL(kind).fields}))
+    audit = every.select("request_id", "seq", "at", F.posexplode("audit").alias("place", "a")).select("request_id", "seq", "place", "at", "a.event", "a.origin", "a.details")
+    used = every.where("accepted and kind = 'redeem'").select("license_id", "code_hash", "device_id", "origin", F.col("at").alias("redeemed_at"))
+    return every.drop("audit"), audit, used
+
+
 def throttle(df: DataFrame, keys: list[str], order: list[str], least: float = 5, cap: float = 75) -> DataFrame:
     """df(progress) with emit: whether a step of the progress is shown."""
     return fold(df, keys, order, throttle_step(least, cap), None, "emit boolean", ["progress"])

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from kilnspark.functions.scalars import CURRENCY, box_gap, half_up, numeric_like, overlap_ratio, run_id, text_identity
+from kilnspark.functions.scalars import currency_candidate, half_up, needs_space, numeric_like, run_id, text_identity
 from kilnspark.operators.folds import fold
 from kilnspark.operators.ranked import running_last, running_sum
 
@@ -107,23 +111,27 @@ def words_of(blocks: DataFrame) -> DataFrame:
 def _word_step(state: dict | None, row: Any) -> tuple[dict, tuple]:
     joins = False
     if state and not row.graphic and not state["graphic"]:
-        high = max(row.y1 - row.y0, state["y1"] - state["y0"], 1.0)
         shared = min(row.y1, state["y1"]) - max(row.y0, state["y0"])
         gap = row.x0 - state["x1"]
-        joins = shared > 0 and 0 <= gap <= max(10.0, 1.8 * high)
+        joins = shared > 0 and 0 <= gap <= max(10.0, 1.8 * (row.y1 - row.y0))
     group = state["group"] if joins else (state["group"] + 1 if state else 0)
     now = {"graphic": row.graphic, "group": group, "x1": row.x1, "y0": row.y0, "y1": row.y1}
     if joins:
-        now |= {"y0": min(row.y0, state["y0"]), "y1": max(row.y1, state["y1"])}
+        now |= {"x1": max(row.x1, state["x1"]), "y0": min(row.y0, state["y0"]), "y1": max(row.y1, state["y1"])}
     return now, (group,)
 
 
 def join_words(words: DataFrame, order: list[str]) -> DataFrame:
-    """Words(text, confidence, x0, y0, x1, y1, graphic) of a page joined to phrases; graphic ones stay alone."""
-    grouped = fold(words, PAGE, order, _word_step, None, "phrase int", ["graphic", "x0", "x1", "y0", "y1"])
+    """Words(text, confidence, x0, y0, x1, y1, graphic) of a page joined to phrases; graphic ones stay alone.
+
+    A word joins the phrase before it on its line over a gap of at most 10 or
+    1.8 times its own height. Blank words and boxes without an area are left out.
+    """
+    real = words.withColumn("text", F.trim("text")).where("text <> '' and x1 > x0 and y1 > y0")
+    grouped = fold(real, PAGE, order, _word_step, None, "phrase int", ["graphic", "x0", "x1", "y0", "y1"])
     parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
     out = grouped.groupBy(*PAGE, "phrase").agg(parts.alias("r"), F.min("confidence").alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    text = F.aggregate("r.text", F.lit(""), lambda a, t: F.concat(a, F.when((a == "") | a.rlike(f"[{CURRENCY}]$") | t.rlike("^[,.;:%!?)]"), "").otherwise(" "), t))
+    text = F.aggregate("r.text", F.lit(""), lambda a, t: F.concat(a, F.when((a != "") & needs_space(a, t), " ").otherwise(""), t))
     return out.select(*PAGE, "phrase", text.alias("text"), "confidence", "x0", "y0", "x1", "y1")
 
 
@@ -132,31 +140,82 @@ def reading_order(words: DataFrame) -> DataFrame:
     return words.withColumn("turn", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0", "ord")))
 
 
-def join_currency(words: DataFrame, currency: DataFrame, bin_height: float = 64) -> DataFrame:
-    """Words of a page with currency tokens joined in: a numeric word takes the text of its best token, a token without a word stays.
-
-    Both sides are (doc_id, page_index, ord, text, confidence, x0, y0, x1, y1). Pairs meet in
-    bins of y; overlap of 0.35 and a gap within max(12, 2.5 heights) are asked.
-    Each word takes one token and each token one word, by the best score.
+#: Height of the bins of a page's index of boxes.
+BIN = 64
+
+
+class _Amounts:
+    """The numeric words of a page, found by the bins of y that their boxes meet, while currency tokens change them."""
+
+    def __init__(self):
+        self.words, self.bins = [], {}
+
+    def put(self, at: int) -> None:
+        _, _, _, y0, _, y1, *_ = self.words[at]
+        for k in range(math.floor(y0 / BIN), math.floor(y1 / BIN) + 1):
+            self.bins.setdefault(k, set()).add(at)
+
+    def add(self, word: tuple) -> None:
+        self.words.append(word)
+        self.put(len(self.words) - 1)
+
+    def take(self, token: tuple) -> None:
+        """The token's text goes to the word that fits best, the first of equals; without one the token is a word."""
+        text, sure, x0, y0, x1, y1, *_ = token
+        best = None
+        for at in sorted(set().union(*(self.bins.get(k, ()) for k in range(math.floor(y0 / BIN), math.floor(y1 / BIN) + 1)))):
+            _, _, a0, b0, a1, b1, *_ = self.words[at]
+            shared = max(0.0, min(b1, y1) - max(b0, y0)) / max(1.0, min(b1 - b0, y1 - y0))
+            gap = max(0.0, max(a0, x0) - min(a1, x1))
+            if shared >= 0.35 and gap <= max(12.0, (y1 - y0) * 2.5):
+                score = shared * 3 - gap / max(1.0, y1 - y0)
+                if best is None or score > best[0]:
+                    best = (score, at)
+        if best is None:
+            return self.add(token)
+        _, was, a0, b0, a1, b1, *rest = self.words[best[1]]
+        self.words[best[1]] = (text, max(was or 0.0, sure or 0.0), min(a0, x0), min(b0, y0), max(a1, x1), max(b1, y1), *rest)
+        self.put(best[1])
+
+
+def join_currency(words: DataFrame, currency: DataFrame) -> DataFrame:
+    """Words of a page with currency tokens joined in, by turn: from the top, then from the left.
+
+    Both sides are (doc_id, page_index, ord, text, confidence, x0, y0, x1, y1,
+    graphic). Tokens that are graphic or no amount behind a sign are left out.
+    The others act one after the other: a token gives its text to the numeric
+    word with the best 3 * overlap - gap / height, among those that overlap by
+    0.35 and are within max(12, 2.5 heights) of it, heights being the token's;
+    the word's box grows by the token's and may be hit again. A token without a
+    word becomes one. A page's numeric words and tokens meet in one task;
+    other words pass by.
     """
-    bins = F.explode(F.sequence(F.floor(F.col("y0") / bin_height), F.floor(F.col("y1") / bin_height))).alias("bin")
-    box = ["ord", "text", "confidence", "x0", "y0", "x1", "y1"]
-    w = words.where(numeric_like(F.col("text"))).select(*PAGE, bins, F.struct(*box).alias("w"))
-    c = currency.select(*PAGE, bins, F.struct(*box).alias("c"))
-    near = w.join(c.hint("merge"), [*PAGE, "bin"]).select(*PAGE, "w", "c").distinct()
-    high = F.greatest(F.lit(1.0), F.col("w.y1") - F.col("w.y0"))
-    shared = overlap_ratio(F.col("w.y0"), F.col("w.y1"), F.col("c.y0"), F.col("c.y1"))
-    gap = box_gap(F.col("w.x0"), F.col("w.x1"), F.col("c.x0"), F.col("c.x1"))
-    good = near.withColumn("s", 3 * shared - gap / high).where((shared >= 0.35) & (gap <= F.greatest(F.lit(12.0), 2.5 * high)))
-    best = good.withColumn("r", F.row_number().over(Window.partitionBy(*PAGE, "c.ord").orderBy(F.desc("s"), "w.ord"))).where("r = 1")
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy(*PAGE, "w.ord").orderBy(F.desc("s"), "c.ord"))).where("r = 1")
-    taken = best.select(*PAGE, F.col("w.ord").alias("ord"), F.col("c.ord").alias("c_ord"), F.col("c").alias("c"))
-    new = words.join(taken.hint("merge"), [*PAGE, "ord"], "left")
-    grown = [F.coalesce(F.col("c.text"), F.col("text")).alias("text"), F.greatest("confidence", "c.confidence").alias("confidence")]
-    grown += [F.least(c, f"c.{c}").alias(c) for c in ("x0", "y0")] + [F.greatest(c, f"c.{c}").alias(c) for c in ("x1", "y1")]
-    lone = currency.join(taken.select(*PAGE, F.col("c_ord").alias("ord")).hint("merge"), [*PAGE, "ord"], "left_anti")
-    columns = [*PAGE, "text", "confidence", "x0", "y0", "x1", "y1"]
-    return new.select(*PAGE, *grown).select(*columns).unionByName(lone.select(*columns))
+    box = ["text", "confidence", "x0", "y0", "x1", "y1"]
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields if f.name in PAGE}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in PAGE], "text string", *[f"{c} double" for c in box[1:]], "added int", "ord long"])
+    numeric = numeric_like(F.col("text")) & ~F.coalesce("graphic", F.lit(False))
+    own = [F.col("text"), *[F.col(c).cast("double").alias(c) for c in box[1:]]]
+    marks = currency.withColumn("text", F.regexp_replace("text", "\\s+", "")).where(currency_candidate(F.col("text")) & ~F.coalesce("graphic", F.lit(False)))
+    parts = [df.select(*PAGE, *own, F.lit(k).alias("added"), F.col("ord").cast("long").alias("ord")) for k, df in enumerate((words.where(numeric), marks))]
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held = None, None
+        for batch in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:2] != page:
+                    done += [(*page, *w) for w in held.words] if held else []
+                    page, held = row[:2], _Amounts()
+                (held.take if row[8] else held.add)(row[2:])
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in done], kind)
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, (*page, *w))) for w in held.words], kind)
+
+    joined = parts[0].unionByName(parts[1]).repartition(*PAGE).sortWithinPartitions(*PAGE, "added", "ord").mapInArrow(run, schema)
+    every = joined.unionByName(words.where(~numeric).select(*PAGE, *own, F.lit(0).alias("added"), F.col("ord").cast("long").alias("ord")))
+    turn = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0", "added", "ord"))
+    return every.select(*PAGE, turn.alias("turn"), *box)
 
 
 def resolve_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running sums and last values within keys, made in two steps over ranges, so that a key that holds most rows is spread over many tasks."""
+"""Running sums, maxima and last values within keys, made in two steps over ranges, so that a key that holds most rows is spread over many tasks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranged(df: DataFrame, order: Column) -> DataFrame:
+def ranged(df: DataFrame, order: Column) -> DataFrame:
     """df with _r: the number of the range of `order`, a number, that a row is in; ranges are about equal over the whole table."""
     n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.agg(F.percentile_approx(order.cast("double"), [i / n for i in range(1, n)], F.lit(50 * n))).first()[0] or []
@@ -23,21 +23,38 @@ def _offsets(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(own.hint("merge"), met).drop("_of", *[f"_k{i}" for i in range(len(keys))])
 
 
+def running(own: DataFrame, keys: list[str], order: list[Column], inclusive: bool = False, **outs: tuple[str, Column]) -> DataFrame:
+    """own, with _r of ranged(), and for each out=(kind, value) the value's sum, max or last one over the rows before, by order within keys.
+
+    The first of order is what the ranges are of. Null values don't count; null
+    if there are no others before. inclusive: over the rows up to the row.
+    """
+    own = own.withColumns({f"_v_{o}": value for o, (_, value) in outs.items()})
+    at = F.struct(*order)
+
+    def folded(kind: str, value: Column) -> Column:
+        return {"sum": F.sum(value), "max": F.max(value), "last": F.max_by(value, F.when(value.isNotNull(), at))}[kind]
+
+    def over(kind: str, value: Column, w) -> Column:
+        return {"sum": F.sum(value), "max": F.max(value), "last": F.last(value, True)}[kind].over(w)
+
+    def joined(kind: str, before: Column, inside: Column) -> Column:
+        return {"sum": F.coalesce(before + inside, before, inside), "max": F.greatest(before, inside), "last": F.coalesce(inside, before)}[kind]
+
+    totals = own.groupBy(*keys, "_r").agg(*[folded(kind, F.col(f"_v_{o}")).alias(f"_t_{o}") for o, (kind, _) in outs.items()])  # a row for each key and range
+    ranges = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"_b_{o}": over(kind, F.col(f"_t_{o}"), ranges) for o, (kind, _) in outs.items()}).drop(*[f"_t_{o}" for o in outs])
+    rows = Window.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = own.withColumns({f"_s_{o}": over(kind, F.col(f"_v_{o}"), rows) for o, (kind, _) in outs.items()})
+    both = _offsets(inside, totals, keys).withColumns({o: joined(kind, F.col(f"_b_{o}"), F.col(f"_s_{o}")) for o, (kind, _) in outs.items()})
+    return both.drop(*[f"_{x}_{o}" for o in outs for x in "bsv"])
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """df with out: the sum of value over the rows before, by order within keys; the first of order is a number."""
-    own = _ranged(df, order[0]).withColumn("_v", value)
-    before = Window.unboundedPreceding, -1
-    totals = own.groupBy(*keys, "_r").agg(F.sum("_v").alias("_t"))  # a row for each key and range
-    totals = totals.withColumn("_b", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(*before))).drop("_t")
-    inside = own.withColumn("_s", F.sum("_v").over(Window.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(*before)))
-    both = _offsets(inside, totals, keys)
-    return both.withColumn(out, F.coalesce("_b", F.lit(0)) + F.coalesce("_s", F.lit(0))).drop("_b", "_s", "_v", "_r")
+    return running(ranged(df, order[0]), keys, order, **{out: ("sum", value)}).withColumn(out, F.coalesce(out, F.lit(0))).drop("_r")
 
 
 def running_last(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
     """df with out: the last value that isn't null up to the row, by order within keys; the first of order is a number."""
-    own = _ranged(df, order[0])
-    totals = own.groupBy(*keys, "_r").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_t"))
-    totals = totals.withColumn("_b", F.last("_t", True).over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
-    inside = own.withColumn("_s", F.last(value, True).over(Window.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    return _offsets(inside, totals, keys).withColumn(out, F.coalesce("_s", "_b")).drop("_b", "_s", "_r")
+    return running(ranged(df, order[0]), keys, order, True, **{out: ("last", F.col(value))}).drop("_r")

@@ -126,6 +126,53 @@ def m6(t):
     return folds.request_transitions(own)
 
 
+#: A user's events are a request's; every fifth user's redemptions carry another code, so they belong to no request. For WITH RECURSIVE.
+LEDGER_SQL = """n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type, CASE WHEN r = 1 THEN 'create' WHEN event_type IN ('click', 'view') THEN 'approve' WHEN event_type = 'error' THEN 'decline' ELSE 'redeem' END AS kind FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM e WHERE kind <> 'redeem' OR (user_id % 5 > 0 AND user_id IN (SELECT user_id FROM e WHERE kind = 'approve'))),
+f AS (SELECT user_id, event_id, ms, kind, i, 'pending' AS status, ms + 864000000 AS expires, NULL::VARCHAR AS reason, false AS held FROM o WHERE i = 1 UNION ALL
+ SELECT user_id, event_id, ms, kind, i, CASE WHEN reason IS NULL THEN CASE kind WHEN 'approve' THEN 'approved' WHEN 'decline' THEN 'declined' ELSE 'redeemed' END ELSE status END, expires, reason, CASE WHEN reason IS NULL THEN kind = 'approve' ELSE held END FROM (
+  SELECT o.*, f.status, f.expires, f.held, CASE WHEN o.kind = 'redeem' AND f.status IN ('pending', 'declined') THEN 'unknown code' WHEN f.status <> CASE o.kind WHEN 'redeem' THEN 'approved' ELSE 'pending' END THEN 'not ' || CASE o.kind WHEN 'redeem' THEN 'approved' ELSE 'pending' END
+   WHEN o.kind <> 'decline' AND f.expires <= o.ms THEN 'expired' END AS reason FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))"""
+
+
+def _ledger(t):
+    own = t("events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    kind = F.when(F.col("n") == 1, "create").when(F.col("event_type").isin("click", "view"), "approve").when(F.col("event_type") == "error", "decline").otherwise("redeem")
+    user = F.col("user_id").cast("string")
+    own = own.select(F.col("user_id"), F.col("event_id").alias("seq"), millis("ts").alias("at"), kind.alias("kind"), "event_type")
+    redeems, approves = F.col("kind") == "redeem", F.col("kind") == "approve"
+    return folds.request_ledger(own.select(
+        F.when(~redeems, F.col("user_id")).alias("request_id"), "seq", "at", "kind", F.lit(10 * 24 * 3_600_000).cast("long").alias("ttl_ms"), F.concat(F.lit("u"), user).alias("label"),
+        F.when(redeems | approves, F.concat(F.lit("L"), user)).alias("license_id"), F.when(redeems & (F.col("user_id") % 5 == 0), "bad").when(redeems | approves, F.sha2(user, 256)).alias("code_hash"), F.when(approves, user).alias("code"),
+        F.when(redeems, F.concat(F.lit("d"), user)).alias("device_id"), F.concat(F.lit("https://"), "event_type").alias("origin"), F.lit(None).cast("string").alias("why"),
+    ))
+
+
+@query("m6_request_audit", f"""WITH RECURSIVE {LEDGER_SQL}, g AS (SELECT f.*, 'https://' || e.event_type AS own, 'https://' || first_value(e.event_type) OVER (PARTITION BY f.user_id ORDER BY i) AS made FROM f JOIN e USING (event_id)),
+a AS (SELECT *, unnest(CASE kind WHEN 'redeem' THEN ['license.redeemed', 'device.activity'] ELSE ['request.' || CASE kind WHEN 'create' THEN 'created' WHEN 'approve' THEN 'approved' ELSE 'declined' END] END) AS event FROM g WHERE reason IS NULL)
+SELECT user_id AS request_id, event_id AS seq, (event = 'device.activity')::INT AS place, ms AS "at", event, CASE kind WHEN 'redeem' THEN own ELSE made END AS origin,
+ CASE event WHEN 'request.created' THEN '{{"requesterLabel": "u' || user_id || '"}}' WHEN 'request.approved' THEN '{{"licenseId": "L' || user_id || '"}}' WHEN 'request.declined' THEN '{{"reason": "Declined by owner"}}'
+  WHEN 'device.activity' THEN '{{"activity": "license.redeemed", "licenseId": "L' || user_id || '", "deviceId": "d' || user_id || '"}}' ELSE '{{"licenseId": "L' || user_id || '", "deviceId": "d' || user_id || '"}}' END AS details FROM a""")
+def m6_audit(t):
+    """What the requests' events leave in the audit; a redemption leaves two rows."""
+    return _ledger(t)[1]
+
+
+@query("m6_request_ledger", f"""WITH RECURSIVE {LEDGER_SQL}, s AS (SELECT *, max(CASE WHEN kind = 'approve' AND reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS given FROM f)
+SELECT event_id AS seq, reason IS NULL AS accepted, status, reason, CASE WHEN given = 1 THEN 'L' || user_id END AS license, CASE WHEN held THEN user_id::VARCHAR END AS held_code FROM s UNION ALL
+SELECT event_id, false, NULL, 'unknown code', NULL, NULL FROM e WHERE event_id NOT IN (SELECT event_id FROM o)""")
+def m6_ledger(t):
+    """Each event with what the request is after it; its code goes at redemption."""
+    return _ledger(t)[0].select("seq", "accepted", "status", "reason", "license", "held_code")
+
+
+@query("m6_consumptions", f"WITH RECURSIVE {LEDGER_SQL} SELECT 'L' || user_id AS license_id, sha256(user_id::VARCHAR) AS code_hash, 'd' || user_id AS device_id, ms AS redeemed_at FROM f WHERE kind = 'redeem' AND reason IS NULL")
+def m6_consumptions(t):
+    """The licenses that were used."""
+    return _ledger(t)[2].drop("origin")
+
+
 @query("m7_upsert_settings", "WITH e AS (SELECT o_orderpriority || '-' || (o_custkey % 50) AS key, o_totalprice AS value, (epoch_us(o_orderdate) // 1000) AS ts, o_orderkey % 2 AS n FROM orders) SELECT key, max(ts) AS ts FROM e GROUP BY key")
 def m7(t):
     own = t("orders").select(F.concat_ws("-", "o_orderpriority", (F.col("o_custkey") % 50).cast("string")).alias("key"), F.col("o_totalprice").alias("value"), millis("o_orderdate").alias("ts"), (F.col("o_orderkey") % 2).alias("n"))
@@ -526,38 +573,38 @@ def c8(t):
     return collections.get_record(asked, held).select("request_id", "id", "status")
 
 
-#: Each customer's requests, folded in order; then the POSTs that find the collection full. For WITH RECURSIVE.
-CHANGES_SQL = """o AS (SELECT o_custkey AS id, o_orderkey AS seq, ['POST', 'PUT', 'PATCH', 'DELETE'][o_orderkey % 4 + 1] AS method, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
-f AS (SELECT c_custkey AS id, -1::BIGINT AS seq, 'BASE' AS method, 0::BIGINT AS i, c_name AS n, NULL::DOUBLE AS p, true AS there, 0 AS status FROM customer UNION ALL
- SELECT DISTINCT o_custkey, -1::BIGINT, 'BASE', 0::BIGINT, NULL, NULL::DOUBLE, false, 0 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL
- SELECT o.id, o.seq, o.method, o.i,
-  CASE WHEN NOT f.there OR o.method IN ('PUT', 'DELETE') THEN NULL ELSE f.n END,
-  CASE WHEN o.method = 'POST' AND f.there THEN f.p WHEN o.method = 'DELETE' OR (o.method <> 'POST' AND NOT f.there) THEN NULL ELSE o.p END,
-  CASE o.method WHEN 'POST' THEN true WHEN 'DELETE' THEN false ELSE f.there END,
-  CASE WHEN o.method = 'POST' AND f.there THEN 409 WHEN o.method = 'POST' THEN 201 WHEN NOT f.there THEN 404 WHEN o.method = 'DELETE' THEN 204 ELSE 200 END
- FROM f JOIN o ON o.id = f.id AND o.i = f.i + 1),
-r AS (SELECT *, sum(CASE status WHEN 201 THEN 1 WHEN 204 THEN -1 ELSE 0 END) OVER (ORDER BY seq) + (SELECT count(*) FROM customer) AS held FROM f WHERE method <> 'BASE'),
-a AS (SELECT seq, id, method, CASE WHEN status = 201 AND held > 1000 THEN 413 ELSE status END AS status FROM r)"""
+#: A nation's customers of even number are a collection of at most 40 records, its orders are requests on it, walked one after the other. For WITH RECURSIVE.
+CHANGES_SQL = """o AS (SELECT 'n' || c_nationkey AS collection, o_custkey::VARCHAR AS id, o_orderkey AS seq, ['POST', 'PUT', 'PATCH', 'DELETE'][o_orderkey % 4 + 1] AS method, o_orderkey % 20 AS k, o_totalprice AS p, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS i FROM orders JOIN customer ON c_custkey = o_custkey),
+f AS (SELECT 'n' || c_nationkey AS collection, 0::BIGINT AS i, list(c_custkey::VARCHAR) FILTER (c_custkey % 2 = 0) AS live, 0 AS status FROM customer GROUP BY ALL UNION ALL
+ SELECT collection, i, CASE status WHEN 201 THEN list_append(live, id) WHEN 204 THEN list_filter(live, lambda x: x <> id) ELSE live END, status FROM (
+  SELECT o.collection, o.i, o.id, f.live, CASE WHEN o.method = 'POST' THEN CASE WHEN o.k = 4 THEN 404 WHEN o.k = 8 THEN 400 WHEN list_contains(f.live, o.id) THEN 409 WHEN len(f.live) >= 40 THEN 413 ELSE 201 END
+   WHEN NOT list_contains(f.live, o.id) THEN 404 WHEN o.method = 'DELETE' THEN 204 ELSE 200 END AS status FROM f JOIN o ON o.collection = f.collection AND o.i = f.i + 1)),
+a AS (SELECT o.*, f.status FROM o JOIN f USING (collection, i))"""
 
 
-@query("m11_records", f"""WITH RECURSIVE {CHANGES_SQL}, l AS (SELECT id, arg_max(there, i) AS there, arg_max(coalesce(n, ''), i) AS n, arg_max(coalesce(p, -1), i) AS p FROM f GROUP BY id)
-SELECT 'c' AS collection, id::VARCHAR AS id, nullif(n, '') AS n, nullif(p, -1) AS p FROM l WHERE there AND id NOT IN (SELECT id FROM a WHERE status = 413)""")
+@query("m11_records", f"""WITH RECURSIVE {CHANGES_SQL}, e AS (SELECT collection, unnest(arg_max(live, i)) AS id FROM f GROUP BY collection),
+l AS (SELECT collection, id, arg_max(p, seq) FILTER (status IN (200, 201)) AS p, bool_or(status IN (201, 204) OR (status = 200 AND method = 'PUT')) AS made FROM a GROUP BY ALL)
+SELECT e.collection, e.id, CASE WHEN coalesce(made, false) THEN NULL ELSE c_name END AS n, l.p, e.id AS own FROM e LEFT JOIN l USING (collection, id) JOIN customer ON c_custkey = e.id::BIGINT""")
 def m11_records(t):
-    """What the collection holds in the end."""
-    out = collections.apply_changes(*_changes(t))[0].select("collection", "id", F.try_parse_json("json").alias("d"))
-    return out.select("collection", "id", F.try_variant_get("d", "$.n", "string").alias("n"), F.try_variant_get("d", "$.p", "double").alias("p"))
+    """What the collections hold in the end."""
+    out = collections.apply_changes(*_changes(t), most=40)[0].select("collection", "id", F.try_parse_json("json").alias("d"))
+    return out.select("collection", "id", *[F.try_variant_get("d", f"$.{k}", kind).alias(k) for k, kind in (("n", "string"), ("p", "double"))], F.try_variant_get("d", "$.id", "string").alias("own"))
 
 
-@query("m11_apply_collection_changes", f"WITH RECURSIVE {CHANGES_SQL} SELECT seq, 'c' AS collection, id::VARCHAR AS id, method, status FROM a")
+@query("m11_apply_collection_changes", f"WITH RECURSIVE {CHANGES_SQL} SELECT seq, collection, CASE WHEN method = 'POST' AND k IN (8) THEN NULL ELSE id END AS id, method, status FROM a")
 def m11(t):
-    return collections.apply_changes(*_changes(t))[1]
+    """Full collections refuse records, and what is done to these later finds none."""
+    return collections.apply_changes(*_changes(t), most=40)[1]
 
 
 def _changes(t):
-    base = t("customer").select(F.lit("c").alias("collection"), F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit('{"n":"'), "c_name", F.lit('"}')).alias("json"))
-    k = F.col("o_orderkey") % 4
-    method = F.when(k == 0, "POST").when(k == 1, "PUT").when(k == 2, "PATCH").otherwise("DELETE")
-    asked = t("orders").select(F.col("o_orderkey").alias("seq"), F.lit("c").alias("collection"), F.col("o_custkey").cast("string").alias("id"), method.alias("method"), F.concat(F.lit('{"p":'), F.col("o_totalprice").cast("string"), F.lit("}")).alias("json"))
+    nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("collection")
+    base = t("customer").where("c_custkey % 2 = 0").select(nation, F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit('{"n":"'), "c_name", F.lit('","id":"other"}')).alias("json"))
+    k, own = F.col("o_orderkey") % 20, F.col("o_custkey").cast("string")
+    method = F.element_at(F.array(*[F.lit(m) for m in ("POST", "PUT", "PATCH", "DELETE")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    body = F.concat(F.lit('{"p":'), F.col("o_totalprice").cast("string"), F.when((k % 4 == 0) & (k != 8), F.concat(F.lit(',"id":"'), own, F.lit('"'))).when(k == 5, ',"id":"other"').otherwise(""), F.lit("}"))
+    place = F.when((k % 4 > 0) | (k == 4), own)
+    asked = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("seq"), nation, place.alias("id"), method.alias("method"), body.alias("json"))
     return base, asked
 
 

@@ -121,16 +121,20 @@ def c4(t):
     return t("pages").select("page_id", s.normalize_path(F.concat(raw, F.when(F.col("page_id") % 2 == 0, "/../x").otherwise("/"))).alias("path"))
 
 
-@query("r1_route_requests", f"""WITH p AS (SELECT page_id, list_filter(string_split(coalesce(nullif({PATH_SQL}, ''), '/'), '/'), lambda x: x <> '') AS s, page_id % 4 AS k FROM pages)
-SELECT page_id, CASE WHEN len(s) = 2 AND s[1] = 'en' AND k IN (0, 2) THEN 0 WHEN len(s) = 2 AND k = 0 THEN 1 WHEN len(s) = 2 AND k = 2 AND s[1] = 'de' THEN 2 END AS endpoint_ord,
- CASE WHEN len(s) = 2 AND k = 2 AND s[1] IN ('de') THEN s[2] END AS record_id, CASE WHEN len(s) = 2 AND s[1] = 'en' AND k IN (0, 2) THEN 200 WHEN len(s) = 2 AND k = 0 THEN 200 WHEN len(s) = 2 AND k = 2 AND s[1] = 'de' THEN 200 WHEN len(s) = 2 THEN 405 ELSE 404 END AS status FROM p""")
+@query("r1_route_requests", f"""WITH p AS (SELECT page_id, ['GET', 'POST', 'PUT', 'DELETE', 'OPTIONS'][page_id % 5 + 1] AS m, list_filter(string_split(coalesce(nullif({PATH_SQL}, ''), '/'), '/'), lambda x: x <> '') AS s FROM pages),
+e(ord, m, p1, p2, db) AS (VALUES (0, 'GET', 'en', ':', false), (1, 'PUT', 'en', ':', true), (2, 'GET', ':', ':', false), (3, 'POST', 'de', NULL, true), (4, 'PUT', 'de', NULL, true), (5, 'GET', ':', NULL, true)),
+x AS (SELECT page_id, p.m AS asked, s, e.*, CASE WHEN len(s) = 1 + (p2 IS NOT NULL)::INT AND p1 IN (':', s[1]) THEN 0 WHEN db AND p2 IS NULL AND p1 = s[1] AND len(s) = 2 THEN 1 END AS tier FROM p, e),
+b AS (SELECT page_id, arg_min({{'ord': ord, 'id': CASE WHEN tier = 1 OR (db AND coalesce(p2, p1) = ':') THEN s[-1] END}}, tier * 100 + ord) FILTER (m = asked AND (tier = 0 OR m <> 'POST')) AS b FROM x WHERE tier IS NOT NULL GROUP BY page_id),
+a AS (SELECT page_id, string_agg(m, ',' ORDER BY first) AS ms FROM (SELECT page_id, m, min(ord) AS first FROM x WHERE tier IS NOT NULL GROUP BY ALL) GROUP BY page_id)
+SELECT page_id, b.ord AS endpoint_ord, b.id AS record_id, 'OPTIONS' || coalesce(',' || ms, '') AS allowed, CASE WHEN p.m = 'OPTIONS' THEN 204 WHEN b IS NOT NULL THEN 200 WHEN ms IS NOT NULL THEN 405 ELSE 404 END AS status
+FROM p LEFT JOIN b USING (page_id) LEFT JOIN a USING (page_id)""")
 def r1(t):
-    k = F.col("page_id") % 4
-    method = F.when(k == 0, "GET").when(k == 2, "PUT").otherwise("DELETE")
+    """All methods on all pages' paths, over patterns and databases."""
+    method = F.element_at(F.array(*[F.lit(m) for m in ("GET", "POST", "PUT", "DELETE", "OPTIONS")]), (F.col("page_id") % 5 + 1).cast("int"))
     asked = t("pages").select(F.col("page_id").alias("request_id"), method.alias("method"), audit.route_path(F.col("url")).alias("path"))
-    spark = asked.sparkSession
-    ends = spark.createDataFrame([(0, "GET", "/en/:id", False), (0, "PUT", "/en/:id", False), (1, "GET", "/:lang/:id", False), (2, "PUT", "/de", True)], "ord int, method string, path string, database boolean")
-    return collections.route_requests(asked, ends).select(F.col("request_id").alias("page_id"), "endpoint_ord", "record_id", "status")
+    rows = [(0, "GET", "/en/:id", False), (1, "PUT", "/en/:id", True), (2, "GET", "/:lang/:id", False), (3, "POST", "/de", True), (4, "PUT", "/de", True), (5, "GET", "/:lang", True)]
+    ends = asked.sparkSession.createDataFrame(rows, "ord int, method string, path string, database boolean")
+    return collections.route_requests(asked, ends).select(F.col("request_id").alias("page_id"), "endpoint_ord", "record_id", F.array_join("allowed", ",").alias("allowed"), "status")
 
 
 @query("f_names", "SELECT p_partkey, replace(p_name, ' ', '_') || '.JPEG' AS safe, p_name || '.pdf' AS pdf, '.jpeg' AS ext, p_name AS stem, 'image/jpeg' AS mime, 'jpg' AS family, 'a_b.jpeg' AS download FROM part")
@@ -229,10 +233,28 @@ def u5(t):
     return layout.concat_documents([d.where("lang = 'en'").drop("lang"), d.where("lang = 'de'").drop("lang")])
 
 
-@query("c15_json_paths", "SELECT DISTINCT event_id, unnest(['a', 'a.k', 'b', 'b.c', 'b.c.k']) AS path FROM events")
+@query("c15_json_paths", """SELECT event_id, unnest(range(len(p))::INT[]) AS ord, unnest(p) AS path FROM (SELECT event_id, list_concat(list_transform(range(1, event_id % 12 + 2), lambda k: repeat('d.', (k - 1)::INT) || 'd'),
+ [repeat('d.', (event_id % 12 + 1)::INT) || 'k', 'b', 'a', 'a.k']) AS p FROM events)""")
 def c15(t):
-    doc = F.parse_json(F.concat(F.lit('{"a":'), "props", F.lit(',"b":{"c":'), "props", F.lit("}}")))
-    return collections.json_paths(t("events").select("event_id", doc.alias("doc")), "event_id", depth=4)
+    """Objects of up to twelve levels, in the order of the text."""
+    n = (F.col("event_id") % 12 + 1).cast("int")
+    text = F.concat(F.lit("{"), F.repeat(F.lit('"d":{'), n), F.substring("props", 2, 1000), F.repeat(F.lit("}"), n - 1), F.lit(',"b":[{"no":1}],"a":'), "props", F.lit("}"))
+    return collections.json_paths(t("events").select("event_id", text.alias("json")), "event_id")
+
+
+@query("c15_array_paths", """SELECT event_id, unnest(range(len(p))::INT[]) AS ord, unnest(p) AS path FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ['a.l'] WHEN event_id % 3 = 1 THEN ['a.l', 'a.l.m.n', 'z'] ELSE ['a.l', 'z'] END AS p FROM events)""")
+def c15_arrays(t):
+    k = F.col("event_id") % 3
+    inner = F.when(k == 0, "[],\"y\":1},\"z\":{}").when(k == 1, "[{\"m\":{\"n\":[1]}},{\"o\":[]}]},\"z\":[[{\"p\":[]}]]").otherwise("[1,{\"m\":[]}]},\"z\":[]")
+    return collections.json_paths(t("events").select("event_id", F.concat(F.lit('{"a":{"l":'), inner, F.lit("}")).alias("json")), "event_id", arrays_only=True)
+
+
+@query("c15_json_profile", """SELECT event_type, count(*) AS n, 'OBJECT<a: ' || CASE WHEN event_type = 'click' THEN 'VARIANT' ELSE 'BIGINT' END || ', k: BIGINT' || CASE WHEN bool_or(event_id % 2 = 0) THEN ', o: OBJECT<p: STRING>' ELSE '' END || '>' AS schema FROM events GROUP BY event_type""")
+def c15_profile(t):
+    """The merged schema of each event type's documents: some fields are of two kinds, some not in all."""
+    a = F.when((F.col("event_type") == "click") & (F.col("event_id") % 2 == 1), '"x"').otherwise("1")
+    text = F.concat(F.lit('{"a":'), a, F.when(F.col("event_id") % 2 == 0, ',"o":{"p":"q"}').otherwise(""), F.lit(',"k":'), F.col("event_id").cast("string"), F.lit("}"))
+    return collections.json_profile(t("events").select("event_type", F.parse_json(text).alias("doc")), ["event_type"])
 
 
 @query("s8_export_project", "SELECT event_type AS project_id, 'c' AS collection, event_id AS ord, props::JSON->>'k' AS k FROM events")

@@ -125,12 +125,19 @@ def words(t):
 WORDS_SQL = r"words AS (SELECT conv_id AS doc_id, turn AS page_index, i - 1 AS ord, w AS text, NOT regexp_matches(w, '^[₹$€£¥₽₩¢]$') AND NOT regexp_matches(w, '[\p{L}\p{N}]') AS graphic, (i - 1) % 10 * 50 AS x0, (i - 1) // 10 * 20 AS y0 FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations) WHERE w <> '')"
 
 
-@query("w8_join_words", rf"""WITH {WORDS_SQL}, b AS (SELECT *, lag(text) OVER o AS before, coalesce(NOT graphic AND NOT lag(graphic) OVER o AND lag(y0) OVER o = y0 AND x0 - lag(x0) OVER o - 45 BETWEEN 0 AND 21.6, false) AS joins FROM words WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY ord)),
+#: Whether a space stands between the text so far, a, and the next word, w.
+SPACED = "NOT (regexp_matches(trim(a), '^[₹$€£¥₽₩¢]$') OR regexp_matches(trim(a), '^[₹$€£¥₽₩¢]\\s*[-+]?\\d') OR regexp_matches(trim(w), '^[,.;:%!?)]'))"
+
+
+@query("w8_join_words", rf"""WITH {WORDS_SQL}, v AS (SELECT *, CASE WHEN ord % 6 = 2 THEN 40 ELSE 12 END AS high FROM words),
+b AS (SELECT *, coalesce(NOT graphic AND NOT lag(graphic) OVER o AND lag(y0) OVER o = y0 AND x0 - lag(x0) OVER o - 45 BETWEEN 0 AND greatest(10, 1.8 * high), false) AS joins FROM v WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY ord)),
 g AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY doc_id, page_index ORDER BY ord) - 1 AS phrase FROM b)
-SELECT doc_id, page_index, phrase, string_agg(CASE WHEN NOT joins OR regexp_matches(before, '[₹$€£¥₽₩¢]$') OR regexp_matches(text, '^[,.;:%!?)]') THEN text ELSE ' ' || text END, '' ORDER BY ord) AS text, min(ord % 100)::DOUBLE AS confidence,
- min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, (max(x0) + 45)::DOUBLE AS x1, (max(y0) + 12)::DOUBLE AS y1 FROM g GROUP BY ALL""")
+SELECT doc_id, page_index, phrase, list_reduce(list(text ORDER BY ord), lambda a, w: CASE WHEN {SPACED} THEN a || ' ' || w ELSE a || w END) AS text, min(ord % 100)::DOUBLE AS confidence,
+ min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, (max(x0) + 45)::DOUBLE AS x1, max(y0 + high)::DOUBLE AS y1 FROM g GROUP BY ALL""")
 def w8(t):
-    return layout.join_words(words(t), ["ord"])
+    """Every sixth word is high: only its own height lets it join over a wide gap."""
+    own = words(t).withColumn("y1", F.col("y0") + F.when(F.col("ord") % 6 == 2, 40).otherwise(12))
+    return layout.join_words(own, ["ord"])
 
 
 @query("k5_reading_order", f"WITH {WORDS_SQL} SELECT doc_id, page_index, ord, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY (y0 * 7) % 60, x0 * 3 % 70, ord) AS turn FROM words")
@@ -145,10 +152,12 @@ def d10(t):
     return layout.build_runs(words(t), 0.75).select("doc_id", "page_index", "ord", "font_size", "editable", "reason")
 
 
-@query("d2_ocr_run_id", f"WITH {WORDS_SQL} SELECT doc_id, page_index, ord, 'p' || page_index || '-o' || ord || '-t' || left(sha256(text), 16) || '-f' || left(sha256(text), 16) || '-b' || left(sha256(x0 || ',' || y0 || ',' || (x0 + 45) || ',' || (y0 + 12)), 12) AS id FROM words")
+@query("d2_ocr_run_id", f"""WITH {WORDS_SQL} SELECT doc_id, page_index, ord, 'p' || page_index || '-ocr-o' || ord || '-t' || left(sha256(text), 16) || '-b' || left(sha256(x0 || CASE WHEN ord % 4 = 0 THEN '' ELSE '.' || (ord % 4 * 2 + 1) END || '-' || y0 || '-' || (x0 + 45) || '-' || (y0 + 12) || '.5'), 12) || '-f' || left(sha256(text || 's'), 16) AS id FROM words""")
 def d2(t):
-    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    return words(t).select("doc_id", "page_index", "ord", s.ocr_run_id(F.col("page_index"), F.col("ord"), F.col("text"), F.sha2("text", 256), box).alias("id"))
+    """Boxes with fractions; what is beyond a tenth is rounded."""
+    k = F.col("ord") % 4
+    box = [F.when(k == 0, F.col("x0") + 0.04).otherwise(F.col("x0") + (k * 2 + 1) / 10.0), F.col("y0"), F.col("x1") - 0.02, F.col("y1") + 0.46]
+    return words(t).select("doc_id", "page_index", "ord", s.ocr_run_id(F.col("page_index"), F.col("ord"), F.col("text"), F.sha2(F.concat("text", F.lit("s")), 256), box).alias("id"))
 
 
 #: A turn is a page; pieces of three letters at most are runs, spaces are items between them; every ninth run has no width, some lines are tilted.
@@ -169,17 +178,27 @@ def w7(t):
     return layout.merge_runs(runs_).withColumn("ordinals", F.array_join(F.col("ordinals").cast("array<string>"), ","))
 
 
-@query("r6_join_currency", rf"""WITH {WORDS_SQL}, w AS (SELECT *, CASE WHEN ord % 5 = 0 THEN (ord * 7) || '.50' ELSE text END AS t, ord % 100 AS c FROM words),
-n AS (SELECT * FROM w WHERE regexp_matches(trim(t), '^[₹$€£¥₽₩¢\s]*[-+]?\d[\d\s.,%₹$€£¥₽₩¢]*$')), m AS (SELECT * REPLACE ('$' || t AS t, x0 - 8 AS x0), x0 + 45 AS x1 FROM w WHERE ord % 10 = 5),
-p AS (SELECT n.doc_id, n.page_index, n.ord, m.ord AS c_ord, m.t, m.c, m.x0, m.x1, m.y0, 3 - greatest(0, greatest(n.x0, m.x0) - least(n.x0 + 45, m.x1)) / 12.0 AS s FROM n JOIN m ON n.doc_id = m.doc_id AND n.page_index = m.page_index AND n.y0 = m.y0 AND greatest(0, greatest(n.x0, m.x0) - least(n.x0 + 45, m.x1)) <= 30),
-q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, c_ord ORDER BY s DESC, ord) AS r FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, ord ORDER BY s DESC, c_ord) AS r2 FROM q WHERE r = 1), h AS (SELECT * FROM k WHERE r2 = 1)
-SELECT w.doc_id, w.page_index, coalesce(h.t, w.t) AS text, greatest(w.c, h.c)::DOUBLE AS confidence, least(w.x0, h.x0)::DOUBLE AS x0, w.y0::DOUBLE AS y0, greatest(w.x0 + 45, h.x1)::DOUBLE AS x1, (w.y0 + 12)::DOUBLE AS y1 FROM w LEFT JOIN h ON w.doc_id = h.doc_id AND w.page_index = h.page_index AND w.ord = h.ord
-UNION ALL SELECT doc_id, page_index, t, c, x0, y0, x1, y0 + 12 FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = m.doc_id AND h.page_index = m.page_index AND h.c_ord = m.ord)""")
+#: Of every ten words one is said again by a token, of three heights, some of them no amounts; they act one after the other on a list of a page's numeric words. For WITH RECURSIVE.
+CURRENCY_SQL = r"""w AS (SELECT doc_id, page_index, ord, CASE WHEN ord % 5 = 0 THEN (ord * 7) || '.50' ELSE text END AS t, (ord % 100)::DOUBLE AS c, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x0 + 45.0::DOUBLE AS x1, y0 + 12.0::DOUBLE AS y1, graphic FROM words),
+num AS (SELECT *, regexp_matches(trim(t), '^[₹$€£¥₽₩¢\s]*[-+]?\d[\d\s.,%₹$€£¥₽₩¢]*$') AND NOT graphic AS n FROM w),
+k AS (SELECT doc_id, page_index, ord, CASE WHEN ord % 30 = 15 THEN t ELSE '$' || t END AS t, c + 1 AS c, x0 - 8 AS x0, y0, x1, y0 + 12 + ord // 10 % 3 * 8 AS y1, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY ord) AS i FROM w WHERE ord % 10 = 5 AND ord % 30 <> 15),
+f AS (SELECT doc_id, page_index, 0::BIGINT AS i, coalesce(list({'t': t, 'c': c, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'a': 0, 'o': ord} ORDER BY ord) FILTER (n), []) AS l FROM num GROUP BY ALL UNION ALL
+ SELECT doc_id, page_index, i, CASE WHEN best IS NULL THEN list_append(l, {'t': t, 'c': c, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'a': 1, 'o': ord}) ELSE
+  list_transform(l, lambda b, j: CASE WHEN j = best THEN {'t': t, 'c': greatest(b.c, c), 'x0': least(b.x0, x0), 'y0': least(b.y0, y0), 'x1': greatest(b.x1, x1), 'y1': greatest(b.y1, y1), 'a': b.a, 'o': b.o} ELSE b END) END
+ FROM (SELECT *, list_position(s, list_max(s)) AS best FROM (SELECT f.l, k.*, list_transform(f.l, lambda b: CASE
+   WHEN greatest(0, least(b.y1, k.y1) - greatest(b.y0, k.y0)) / greatest(1, least(b.y1 - b.y0, k.y1 - k.y0)) >= 0.35 AND greatest(0, greatest(b.x0, k.x0) - least(b.x1, k.x1)) <= greatest(12, (k.y1 - k.y0) * 2.5)
+   THEN greatest(0, least(b.y1, k.y1) - greatest(b.y0, k.y0)) / greatest(1, least(b.y1 - b.y0, k.y1 - k.y0)) * 3 - greatest(0, greatest(b.x0, k.x0) - least(b.x1, k.x1)) / greatest(1, k.y1 - k.y0) END) AS s
+  FROM f JOIN k ON k.doc_id = f.doc_id AND k.page_index = f.page_index AND k.i = f.i + 1)))"""
+
+
+@query("r6_join_currency", rf"""WITH RECURSIVE {WORDS_SQL}, {CURRENCY_SQL}, e AS (SELECT doc_id, page_index, unnest(l, recursive := true) FROM (SELECT doc_id, page_index, arg_max(l, i) AS l FROM f GROUP BY ALL) UNION ALL SELECT doc_id, page_index, t, c, x0, y0, x1, y1, 0, ord FROM num WHERE NOT n)
+SELECT doc_id, page_index, (row_number() OVER (PARTITION BY doc_id, page_index ORDER BY y0, x0, a, o))::INT AS turn, t AS text, c AS confidence, x0, y0, x1, y1 FROM e""")
 def r6(t):
-    w = words(t).withColumn("text", F.when(F.col("ord") % 5 == 0, F.concat((F.col("ord") * 7).cast("string"), F.lit(".50"))).otherwise(F.col("text")))
-    money = w.where("ord % 10 = 5").withColumns({"text": F.concat(F.lit("$"), "text"), "x0": F.col("x0") - 8})
-    cols = ["doc_id", "page_index", "ord", "text", "confidence", "x0", "y0", "x1", "y1"]
-    return layout.join_currency(w.select(*cols), money.select(*cols))
+    """Tokens of three heights reach over lines; a third of them are no amounts."""
+    own = words(t).withColumn("text", F.when(F.col("ord") % 5 == 0, F.concat((F.col("ord") * 7).cast("string"), F.lit(".50"))).otherwise(F.col("text")))
+    some = F.when(F.col("ord") % 30 == 15, F.col("text")).otherwise(F.concat(F.lit("$ "), "text"))
+    money = own.where("ord % 10 = 5").withColumns({"text": some, "x0": F.col("x0") - 8, "confidence": F.col("confidence") + 1, "y1": F.col("y0") + 12 + F.floor(F.col("ord") / 10) % 3 * 8, "graphic": F.lit(False)})
+    return layout.join_currency(own, money)
 
 
 @query("l13_edit_check", "SELECT conv_id AS request_id, turn AS ordinal, CASE WHEN turn % 5 = 1 THEN 'line break' WHEN turn % 5 = 2 THEN 'scale' WHEN turn % 5 = 3 THEN 'ordinals' WHEN turn % 5 = 4 THEN 'hash' END AS reason FROM conversations")
@@ -221,13 +240,19 @@ def u4(t):
     return t("pages").select("page_id", F.array_join(F.array_distinct(F.filter(F.transform(raw, s.normalize_origin), lambda o: o != "")), ",").alias("origins"))
 
 
-@query("c12_allowed_methods", "SELECT o_orderkey % 100 AS request_id, string_agg(DISTINCT m, ',' ORDER BY m) AS allowed FROM (SELECT o_orderkey, unnest([CASE o_orderstatus WHEN 'F' THEN 'GET' WHEN 'O' THEN 'POST' ELSE 'PUT' END, 'OPTIONS']) AS m FROM orders) GROUP BY 1")
+@query("c12_allowed_methods", """WITH e AS (SELECT o_orderkey % 100 AS k, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderkey DESC) AS ord, CASE o_orderstatus WHEN 'F' THEN 'GET' WHEN 'O' THEN 'POST' ELSE 'PUT' END AS m FROM orders),
+f AS (SELECT k, m, min(ord) AS ord FROM e GROUP BY ALL)
+SELECT k AS request_id, 'OPTIONS,' || string_agg(m, ',' ORDER BY ord) AS allowed, 405 AS status FROM f GROUP BY k UNION ALL
+SELECT k + 1000, 'OPTIONS,' || string_agg(m, ',' ORDER BY ord), 405 FROM f WHERE k % 2 = 0 GROUP BY k UNION ALL SELECT DISTINCT k + 1000, 'OPTIONS', 404 FROM f WHERE k % 2 = 1""")
 def c12(t):
+    """Methods of each path, and of a record below it, which databases alone have."""
     k = (F.col("o_orderkey") % 100).cast("string")
     method = F.when(F.col("o_orderstatus") == "F", "GET").when(F.col("o_orderstatus") == "O", "POST").otherwise("PUT")
-    ends = t("orders").select(F.row_number().over(Window.partitionBy((F.col("o_orderkey") % 100)).orderBy("o_orderkey")).alias("ord"), method.alias("method"), F.concat(F.lit("/r"), k).alias("path"), F.lit(False).alias("database"))
+    ends = t("orders").select(F.row_number().over(Window.partitionBy((F.col("o_orderkey") % 100)).orderBy(F.desc("o_orderkey"))).alias("ord"), method.alias("method"), F.concat(F.lit("/r"), k).alias("path"), (F.col("o_orderkey") % 2 == 0).alias("database"))
     asked = t("orders").select((F.col("o_orderkey") % 100).alias("request_id"), F.lit("DELETE").alias("method"), F.concat(F.lit("/r"), k).alias("path")).distinct()
-    return collections.route_requests(asked, ends).select("request_id", F.array_join("allowed", ",").alias("allowed"))
+    below = asked.select(F.col("request_id") + 1000, F.lit("POST"), F.concat("path", F.lit("/x")))
+    below = below.toDF("request_id", "method", "path").withColumn("method", F.lit("DELETE"))
+    return collections.route_requests(asked.unionAll(below), ends).select("request_id", F.array_join("allowed", ",").alias("allowed"), "status")
 
 
 @query("c13_drop_orphans", "SELECT o_orderpriority AS project_id, o_orderstatus AS name, string_agg(DISTINCT CASE WHEN o_custkey % 2 = 0 THEN 'GET' ELSE 'POST' END, ',' ORDER BY CASE WHEN o_custkey % 2 = 0 THEN 'GET' ELSE 'POST' END) AS methods FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL")
@@ -267,3 +292,43 @@ def m12(t):
     own = t("events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("id"), F.lit(False).alias("on"))).alias("items"))
     out = collections.guided_update(own, F.col("user_id") % 2 == 0, "items", lambda x: x["id"] == "click", lambda x: x.withField("on", F.lit(True)))
     return out.select("user_id", F.when(F.exists("items", lambda x: x["on"]), "changed").otherwise("kept").alias("state"), "status")
+
+
+#: A user's events are a collection; each record holds the kinds and values of an hour's events. The request names a user's first and last kind, and an hour.
+GUIDED = {
+    "recordMatch": [{"source": "query.half", "recordPath": "half", "operator": "equals"}],
+    "nestedUpdates": [{"arrayPath": "a.items", "source": "body.kinds", "matchPath": "kind", "operator": "in", "set": {"on": True}, "copy": {"by.who": "header.X-User"}}],
+    "arrayUpdates": [{"arrayPath": "tags", "source": "body.kinds"}],
+}
+GUIDED_SQL = """q AS (SELECT user_id, min(event_type) AS k1, max(event_type) AS k2, min(event_id) % 2 AS half FROM events GROUP BY user_id),
+r AS (SELECT user_id, event_id % 2 AS half, list(event_type ORDER BY event_id) AS items, max(event_type) AS tag FROM events GROUP BY ALL),
+m AS (SELECT r.*, k1, k2, q.user_id % 7 <> 0 AND r.half = q.half AS hit, len(list_filter(items, lambda x: x IN (k1, k2))) AS n FROM r JOIN q USING (user_id)),
+v AS (SELECT *, CASE WHEN user_id % 7 = 0 THEN 404 WHEN user_id % 5 = 0 AND sum(CASE WHEN hit THEN n ELSE 0 END) OVER w > 0 THEN 400 WHEN sum(CASE WHEN hit THEN n ELSE 0 END) OVER w = 0 THEN 404 ELSE 202 END AS status FROM m WINDOW w AS (PARTITION BY user_id))"""
+
+
+def _guided(t):
+    from kilnspark.operators import guided
+
+    user, half = F.col("user_id").cast("string"), (F.col("event_id") % 2).cast("string")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.struct(x["event_type"].alias("kind")))
+    records = t("events").groupBy(user.alias("collection"), half.alias("half")).agg(items.alias("i"), F.max("event_type").alias("tag"))
+    doc = F.parse_json(F.to_json(F.struct("half", F.struct(F.col("i").alias("items")).alias("a"), F.array("tag").alias("tags"))))
+    per = t("events").groupBy("user_id").agg(F.array(F.min("event_type"), F.max("event_type")).alias("kinds"), (F.min("event_id") % 2).cast("string").alias("half"))
+    name = F.when(F.col("user_id") % 5 == 0, "other").otherwise("x-user")
+    query = F.concat(F.lit("x=1&half="), F.when(F.col("user_id") % 7 == 0, "none").otherwise(F.col("half")))
+    requests = per.select(user.alias("collection"), F.parse_json(F.to_json(F.struct("kinds"))).alias("body"), F.create_map(name, user).alias("headers"), query.alias("query"))
+    return guided.apply_guided(records.select("collection", "half", doc.alias("doc")), requests, GUIDED, 202)
+
+
+@query("m12_guided_responses", f"WITH {GUIDED_SQL} SELECT user_id::VARCHAR AS collection, any_value(status) AS status FROM v GROUP BY user_id")
+def m12_responses(t):
+    """A request without a match is 404, one that lacks what is to be copied 400."""
+    return _guided(t)[1]
+
+
+@query("m12_guided_records", f"""WITH {GUIDED_SQL} SELECT user_id::VARCHAR AS collection, half::VARCHAR AS half, '{{"a":{{"items":[' || list_reduce(list_transform(items, lambda x: CASE WHEN hit AND status = 202 AND x IN (k1, k2) THEN '{{"by":{{"who":"' || user_id || '"}},"kind":"' || x || '","on":true}}' ELSE '{{"kind":"' || x || '"}}' END), lambda x, y: x || ',' || y)
+ || ']}},"half":"' || half || '","tags":["' || array_to_string(list_concat([tag], list_filter(CASE WHEN k1 = k2 THEN [k1] ELSE [k1, k2] END, lambda x: hit AND status = 202 AND x <> tag)), '","') || '"]}}' AS doc FROM v""")
+def m12_records(t):
+    """The matching records' items are changed and their tags grow, in collections whose request is taken."""
+    out = _guided(t)[0]
+    return out.select("collection", "half", F.to_json("doc").alias("doc"))

@@ -43,9 +43,16 @@ def test_covered_runs(spark):
 
 
 def test_paths_of_documents(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":1,"c":{"d":[{"e":1}]}},"l":[{"m":{"n":[1]}}],"x":null}')], "i int, json string").select("i", F.parse_json("json").alias("doc"))
-    assert sorted(r.path for r in collections.json_paths(df, "i").collect()) == ["a", "a.b", "a.c", "a.c.d", "l", "x"]
-    assert sorted(r.path for r in collections.json_paths(df, "i", arrays_only=True).collect()) == ["a.c.d", "l", "l.m.n"]
+    deep = '{"d":' * 12 + "1" + "}" * 12
+    df = spark.createDataFrame([(1, '{"z":{"b":1,"c":{"d":[{"e":1}]}},"l":[{"m":{"n":[1]}}],"x":null}'), (2, deep), (3, None), (4, "{bad"), (5, "[1]")], "i int, json string")
+    paths = lambda **k: [(r.i, r.path) for r in collections.json_paths(df, "i", **k).orderBy("i", "ord").collect()]
+    assert paths() == [*((1, p) for p in ["z", "z.b", "z.c", "z.c.d", "l", "x"]), *((2, ".".join("d" * n)) for n in range(1, 13))]
+    assert paths(arrays_only=True) == [(1, "z.c.d"), (1, "l"), (1, "l.m.n")]
+
+
+def test_profile_of_documents(spark):
+    df = spark.createDataFrame([("x", '{"a":1}'), ("x", '{"a":"s","b":[1]}'), ("y", '{"a":2}'), ("y", None)], "k string, json string").select("k", F.parse_json("json").alias("doc"))
+    assert {r.k: (r.n, r.schema) for r in collections.json_profile(df, ["k"]).collect()} == {"x": (2, "OBJECT<a: VARIANT, b: ARRAY<BIGINT>>"), "y": (1, "OBJECT<a: BIGINT>")}
 
 
 def test_assigned_paths(spark):

@@ -1,7 +1,11 @@
 """Boundary values and folds, against plain Python loops where a fold is meant."""
 
+import hashlib
+import json
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from kilnspark.functions import scalars as s
@@ -104,18 +108,74 @@ def test_nearest_of_equal_runs(spark):
 
 
 def test_routes_of_several_shapes(spark):
-    ends = spark.createDataFrame([(0, "GET", "/a/:x/c", False), (1, "GET", "/:p/b/c", False), (2, "PUT", "/a", True), (3, "GET", "/", False)], "ord int, method string, path string, database boolean")
-    asked = spark.createDataFrame([(1, "GET", "/a/b/c"), (2, "GET", "/z/b/c?q=1"), (3, "PUT", "/a/7%2F8"), (4, "POST", "/a/7"), (5, "GET", "/"), (6, "GET", "/z/y/c")], "request_id int, method string, path string")
-    got = {r.request_id: (r.endpoint_ord, r.record_id, r.status) for r in collections.route_requests(asked, ends).collect()}
-    assert got == {1: (0, None, 200), 2: (1, None, 200), 3: (2, "7/8", 200), 4: (None, None, 404), 5: (3, None, 200), 6: (None, None, 404)}
+    ends = spark.createDataFrame([(0, "GET", "/a/:x/c", False), (1, "GET", "/:p/b/c", False), (2, "PUT", "/a", True), (3, "GET", "/", False), (4, "GET", "/:lang/x", True), (5, "POST", "/a", True), (6, "GET", "/u/:id", True)], "ord int, method string, path string, database boolean")
+    asked = spark.createDataFrame([(1, "GET", "/a/b/c"), (2, "GET", "/z/b/c?q=1"), (3, "PUT", "/a/7%2F8"), (4, "POST", "/a/7"), (5, "GET", "/"), (6, "GET", "/z/y/c"), (7, "GET", "/en/x/7"), (8, "OPTIONS", "/a"), (9, "GET", "/u/a+b")], "request_id int, method string, path string")
+    got = {r.request_id: (r.endpoint_ord, r.record_id, r.status, ",".join(r.allowed)) for r in collections.route_requests(asked, ends).collect()}
+    assert got == {
+        1: (0, None, 200, "OPTIONS,GET"), 2: (1, None, 200, "OPTIONS,GET"), 3: (2, "7/8", 200, "OPTIONS,PUT,POST"), 4: (None, None, 405, "OPTIONS,PUT,POST"), 5: (3, None, 200, "OPTIONS,GET"),
+        6: (None, None, 404, "OPTIONS"), 7: (None, None, 404, "OPTIONS"), 8: (None, None, 204, "OPTIONS,PUT,POST"), 9: (6, "a+b", 200, "OPTIONS,GET"),
+    }
+
+
+BOX = "doc_id string, page_index int, ord int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, graphic boolean"
 
 
 def test_currency_joins_its_number(spark):
-    box = "doc_id string, page_index int, ord int, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
-    words = spark.createDataFrame([("d", 0, 0, "2299.00", 50.0, 10.0, 0.0, 60.0, 10.0), ("d", 0, 1, "word", 9.0, 80.0, 0.0, 99.0, 10.0)], box)
-    money = spark.createDataFrame([("d", 0, 0, "₹299.00", 80.0, 8.0, 0.0, 60.0, 10.0), ("d", 0, 1, "$5", 70.0, 500.0, 300.0, 520.0, 310.0)], box)
-    got = {(r.text, r.confidence, r.x0) for r in layout.join_currency(words, money).collect()}
-    assert got == {("₹299.00", 80.0, 8.0), ("word", 9.0, 80.0), ("$5", 70.0, 500.0)}
+    words = spark.createDataFrame([("d", 0, 0, "2299.00", 50.0, 10.0, 0.0, 60.0, 10.0, False), ("d", 0, 1, "word", 9.0, 80.0, 0.0, 99.0, 10.0, False), ("d", 0, 2, "12.50", 9.0, 10.0, 50.0, 60.0, 60.0, False)], BOX)
+    money = spark.createDataFrame([("d", 0, 0, "₹299.00", 80.0, 8.0, 0.0, 60.0, 10.0, False), ("d", 0, 1, "$5", 70.0, 500.0, 300.0, 520.0, 310.0, False), ("d", 0, 2, "river", 70.0, 10.0, 50.0, 60.0, 60.0, False), ("d", 0, 3, "$9", 70.0, 10.0, 50.0, 60.0, 60.0, True)], BOX)
+    got = [(r.turn, r.text, r.confidence, r.x0) for r in layout.join_currency(words, money).orderBy("turn").collect()]
+    assert got == [(1, "₹299.00", 80.0, 8.0), (2, "word", 9.0, 80.0), (3, "12.50", 9.0, 10.0), (4, "$5", 70.0, 500.0)]
+
+
+def plain_currency(words, tokens):
+    """Every token walks over all words of the page."""
+    numeric = re.compile("^[₹$€£¥₽₩¢ ]*[-+]?[0-9][0-9 .,%₹$€£¥₽₩¢]*$")
+    out = [list(w) for w in words]
+    for token in tokens:
+        if not re.match("^[₹$€£¥₽₩¢][-+]?[0-9][0-9.,%]*$", token[3]) or token[9]:
+            continue
+        _, _, _, text, sure, x0, y0, x1, y1, _ = token
+        best = None
+        for w in out:
+            shared = max(0, min(w[8], y1) - max(w[6], y0)) / max(1, min(w[8] - w[6], y1 - y0))
+            gap = max(0, max(w[5], x0) - min(w[7], x1))
+            score = shared * 3 - gap / max(1, y1 - y0)
+            if not w[9] and numeric.match(w[3]) and shared >= 0.35 and gap <= max(12, (y1 - y0) * 2.5) and (best is None or score > best[0]):
+                best = (score, w)
+        if best:
+            w = best[1]
+            w[3:9] = [text, max(w[4], sure), min(w[5], x0), min(w[6], y0), max(w[7], x1), max(w[8], y1)]
+        else:
+            out.append(list(token))
+    return [(w[3], *w[4:9]) for w in sorted(out, key=lambda w: (w[6], w[5]))]
+
+
+def test_currency_on_random_pages(spark):
+    rng = random.Random(3)
+
+    def row(page, i, texts):
+        x, y = rng.uniform(0, 300), rng.uniform(0, 200)
+        return ("d", page, i, rng.choice(texts), float(rng.randrange(100)), x, y, x + rng.uniform(5, 60), y + rng.uniform(4, 90), rng.random() < 0.1)
+
+    words = [row(p, i, ["12.50", "7", "-3,5%", "word", "$8", "(4)"]) for p in range(12) for i in range(40)]
+    tokens = [row(p, i, ["$1.5", "₹299", "river", "$", "€-7%"]) for p in range(12) for i in range(25)]
+    got = layout.join_currency(spark.createDataFrame(words, BOX), spark.createDataFrame(tokens, BOX)).orderBy("page_index", "turn").collect()
+    want = [(p, *w) for p in range(12) for w in plain_currency([w for w in words if w[1] == p], [t for t in tokens if t[1] == p])]
+    assert [(r.page_index, r.text, r.confidence, r.x0, r.y0, r.x1, r.y1) for r in got] == want
+
+
+def test_words_join_over_their_own_height(spark):
+    rows = [("tall", 0.0, 0.0, 30.0, 40.0), ("low", 60.0, 5.0, 90.0, 15.0), ("$", 100.0, 5.0, 105.0, 15.0), ("5", 108.0, 5.0, 112.0, 15.0), ("apples", 118.0, 5.0, 150.0, 15.0), (" ", 152.0, 5.0, 155.0, 15.0), ("flat", 153.0, 5.0, 160.0, 5.0)]
+    words = spark.createDataFrame([("d", 0, i, t, 1.0, x0, y0, x1, y1, False) for i, (t, x0, y0, x1, y1) in enumerate(rows)], BOX)
+    assert [r.text for r in layout.join_words(words, ["ord"]).orderBy("phrase").collect()] == ["tall", "low $ 5 apples"]
+    assert [r.text for r in layout.join_words(words.where("ord > 1"), ["ord"]).orderBy("phrase").collect()] == ["$5apples"]
+
+
+def test_ids_of_recognised_runs(spark):
+    df = spark.createDataFrame([(3, 7, "Thanks", "ab" * 32, 67.04, 1.25, 99.96, 12.0)], "p int, o int, t string, s string, x0 double, y0 double, x1 double, y1 double")
+    got = df.select(s.ocr_run_id(F.col("p"), F.col("o"), F.col("t"), F.col("s"), [F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("id")).first().id
+    text, box = hashlib.sha256(b"Thanks").hexdigest()[:16], hashlib.sha256(b"67-1.3-100-12").hexdigest()[:12]
+    assert got == f"p3-ocr-o7-t{text}-b{box}-f{'ab' * 8}"
 
 
 def test_query_filter(spark):
@@ -129,12 +189,67 @@ def test_query_filter(spark):
     assert got == {"a": {1, 3}, "b": {1}, "c": {1, 3}, "d": {1, 2, 3}, "e": {1}, "f": {1}, "g": {1}, "h": {1, 2, 3}}
 
 
+REQUEST, RECORD = "seq long, collection string, id string, method string, json string", "collection string, id string, json string"
+
+
 def test_collection_changes(spark):
-    base = spark.createDataFrame([("c", "1", '{"a":1}'), ("c", "2", '{"a":2}')], "collection string, id string, json string")
-    rows = [(1, "c", "3", "POST", '{"a":3}'), (2, "c", "1", "POST", "{}"), (3, "c", "1", "PATCH", '{"b":1}'), (4, "c", "2", "DELETE", None), (5, "c", "2", "PUT", "{}"), (6, "c", None, "POST", "{}"), (7, "c", "4", "POST", '{"a":4}')]
-    records, responses = collections.apply_changes(base, spark.createDataFrame(rows, "seq long, collection string, id string, method string, json string"), most=2)
-    assert {r.seq: r.status for r in responses.collect()} == {1: 413, 2: 409, 3: 200, 4: 204, 5: 404, 6: 400, 7: 413}
-    assert {(r.id, r.json) for r in records.collect()} == {("1", '{"a":1,"b":1}')}
+    base = spark.createDataFrame([("c", "1", '{"a":1}'), ("c", "2", '{"a":2}')], RECORD)
+    rows = [(1, "c", None, "POST", '{"a":3,"id":3}'), (2, "c", None, "POST", '{"id":"1"}'), (3, "c", "1", "PATCH", '{"b":1.50,"id":"z"}'), (4, "c", "2", "DELETE", None), (5, "c", "2", "PUT", "{}"), (6, "c", None, "POST", "{}"), (7, "c", None, "POST", '{"a":4,"id":"4"}'), (8, "c", "4", "POST", '{"id":"4"}'), (9, "d", None, "POST", '{"id":"1"}'), (10, "c", None, "GET", None)]
+    methods = spark.createDataFrame([("c", ["GET", "POST", "PUT", "PATCH", "DELETE"])], "collection string, methods array<string>")
+    records, responses = collections.apply_changes(base, spark.createDataFrame(rows, REQUEST), most=2, methods=methods)
+    assert {r.seq: r.status for r in responses.collect()} == {1: 413, 2: 409, 3: 200, 4: 204, 5: 404, 6: 400, 7: 201, 8: 404, 9: 404, 10: 404}
+    assert {(r.id, r.json) for r in records.collect()} == {("1", '{"a":1,"b":1.5,"id":"1"}'), ("4", '{"a":4,"id":"4"}')}
+    few = spark.createDataFrame([("c", ["DELETE"])], "collection string, methods array<string>")
+    assert {r.seq: r.status for r in collections.apply_changes(base, spark.createDataFrame(rows, REQUEST), 2, few)[1].where("seq in (1, 3, 4)").collect()} == {1: 405, 3: 405, 4: 204}
+
+
+def test_refused_records_leave_no_trace(spark):
+    base = spark.createDataFrame([("c", "z", "{}")], RECORD)
+    rows = [(1, "c", None, "POST", '{"id":"a"}'), (2, "c", None, "POST", '{"id":"b"}'), (3, "c", None, "POST", '{"id":"d"}'), (4, "c", "a", "DELETE", None), (5, "c", None, "POST", '{"id":"e"}'), (6, "c", "b", "PUT", "{}")]
+    records, responses = collections.apply_changes(base, spark.createDataFrame(rows, REQUEST), most=2)
+    assert [r.status for r in responses.orderBy("seq").collect()] == [201, 413, 413, 204, 201, 404]
+    assert {r.id for r in records.collect()} == {"z", "e"}
+
+
+def walked(base, rows, most):
+    held, statuses = {}, []
+    for c, i, j in base:
+        held.setdefault(c, {})[i] = json.loads(j) | {"id": i}
+    for _, c, i, method, j in sorted(rows):
+        own, body = held.setdefault(c, {}), json.loads(j) if j and j.startswith("{") else None
+        if method == "POST":
+            key = body and str(body.get("id", ""))
+            status = 404 if i is not None else 400 if not key else 409 if key in own else 413 if len(own) >= most else 201
+            if status == 201:
+                own[key] = body
+        elif i not in own:
+            status = 404
+        elif method == "DELETE":
+            status = 204
+            del own[i]
+        else:
+            status = 400 if body is None else 200
+            if body is not None:
+                own[i] = (own[i] if method == "PATCH" else {}) | body | {"id": i}
+        statuses.append(status)
+    return statuses, sorted((c, i, json.dumps(d, sort_keys=True)) for c, own in held.items() for i, d in own.items())
+
+
+@pytest.mark.parametrize("rounds, most", [(24, 3), (1, 3), (24, 1)])
+def test_random_changes_equal_a_walk(spark, rounds, most):
+    """Collections at their limit, over it at first, settled in rounds and walked."""
+    rng = random.Random(most + rounds)
+    ids = [str(i) for i in range(7)]
+    base = [(c, i, '{"n":"x"}') for c in "cd" for i in ids if rng.random() < 0.5]
+    rows = []
+    for seq in range(160):
+        i, method = rng.choice(ids), rng.choice(["POST", "POST", "PUT", "PATCH", "DELETE"])
+        body = rng.choice([f'{{"id":"{i}","v":{seq}}}', f'{{"w":[{seq}],"id":"{i}"}}', '{"u":null}', "bad", None])
+        rows.append((seq, rng.choice("cd"), None if method == "POST" and rng.random() < 0.95 else i, method, body))
+    records, responses = collections.apply_changes(spark.createDataFrame(base, RECORD), spark.createDataFrame(rows, REQUEST), most, rounds=rounds)
+    statuses, docs = walked(base, rows, most)
+    assert [r.status for r in responses.orderBy("seq").collect()] == statuses
+    assert sorted((r.collection, r.id, json.dumps(json.loads(r.json), sort_keys=True)) for r in records.collect()) == docs
 
 
 def test_guided_update_changes_all_or_nothing(spark):
