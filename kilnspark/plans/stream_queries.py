@@ -9,7 +9,7 @@ from kilnspark.plans.ledger_queries import JOBS_SQL, RATE_SQL, jobs, millis
 from kilnspark.plans.registry import query
 from kilnspark.sources import files
 from kilnspark.sources.scratch import drained, scratch
-from kilnspark.streaming import states
+from kilnspark.streaming import keyed, states
 
 
 def streamed(df, name):
@@ -148,6 +148,41 @@ def x5(t):
     return drained(states.stream_drop_repeats(streamed(own, "views")), "views-shown").select("subject", "at", "path")
 
 
+@query("x5_changes_of_view", """WITH v AS (SELECT user_id::VARCHAR AS subject, event_id AS n, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE event_type END AS path, CASE WHEN event_type <> 'view' THEN event_type END AS tool FROM events),
+b AS (SELECT *, lag(path) OVER w AS p, last_value(tool IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM v WINDOW w AS (PARTITION BY subject ORDER BY n))
+SELECT subject, n AS "at", 'path' AS kind, path AS value FROM b WHERE p IS NULL OR p <> path UNION ALL SELECT subject, n, 'tool', tool FROM b WHERE tool IS NOT NULL AND (t IS NULL OR t <> tool)""")
+def x5_values(t):
+    """Changes of the path and of the last tool, which don't depend on each other."""
+    path, tool = F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("event_type")), F.when(F.col("event_type") != "view", F.col("event_type"))
+    own = t("events").select(F.col("user_id").cast("string").alias("subject"), F.col("event_id").cast("long").alias("at"), path.alias("path"), tool.alias("tool"))
+    return drained(keyed.changes_of_view(streamed(own, "views-and-tools")), "changes-of-view").select("subject", "at", "kind", "value")
+
+
+#: The watermark is ten minutes behind the last event.
+MARK_SQL = "u AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events), mark AS (SELECT max(ms) - 600000 AS now FROM u)"
+
+
+@query("x1_job_state_by_time", f"""WITH {MARK_SQL}, c AS (SELECT user_id::VARCHAR AS id, ms, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN event_type END AS s, CASE WHEN event_id % 3 = 0 THEN floor(value)::INT END AS p FROM u)
+SELECT id, ms, seq, last_value(s IGNORE NULLS) OVER w AS status, last_value(p IGNORE NULLS) OVER w AS progress FROM c, mark WHERE ms <= now WINDOW w AS (PARTITION BY id ORDER BY ms, seq)""")
+def x1_time(t):
+    """Each job's state after every change, in the order of the changes' times."""
+    k = F.col("event_id")
+    own = t("events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), k.cast("long").alias("seq"), F.when(k % 2 == 0, F.col("event_type")).otherwise("").alias("status"), F.when(k % 3 == 0, F.floor("value").cast("int")).alias("progress"), F.lit("").alias("stage"))
+    return drained(keyed.job_state_by_time(streamed(own, "changes")), "job-state-by-time").select("id", "ms", "seq", "status", "progress")
+
+
+@query("x4_consent_of_two_streams", f"""WITH u AS (SELECT *, epoch_us(ts) // 1000 AS ms, event_id % 10 = 0 AS consent FROM events), mark AS (SELECT least(max(ms) FILTER (consent), max(ms) FILTER (NOT consent)) - 600000 AS now FROM u),
+a AS (SELECT *, last_value(CASE WHEN consent THEN {{'ms': ms, 'granted': event_id % 20 = 0}} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ms, NOT consent, event_id) AS last FROM u)
+SELECT user_id::VARCHAR AS subject, ms, event_id AS seq FROM a, mark WHERE NOT consent AND ms <= now AND last.granted AND ms < last.ms + 864000000""")
+def x4_two(t):
+    """Events under a consent of the last ten days, consents and events being streams of their own."""
+    k = F.col("event_id")
+    own = t("events").select(F.col("user_id").cast("string").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), k.cast("long").alias("seq"))
+    consents = own.where("seq % 10 = 0").withColumns({"version": F.lit("v1"), "state": F.when(F.col("seq") % 20 == 0, "granted").otherwise("denied")})
+    gate = keyed.consented(streamed(consents, "consents"), streamed(own.where("seq % 10 <> 0"), "consent-events"), "v1", 10 * 86_400)
+    return drained(gate, "consented").select("subject", "ms", "seq")
+
+
 @query("x6_stream_progress", f"""WITH {FEED_SQL}, g AS (SELECT *, count(*) FILTER (type = 'result') OVER (PARTITION BY job_id ORDER BY seq) - (type = 'result')::INT AS part FROM feed)
 SELECT job_id, seq, type, CASE WHEN type = 'result' THEN 100.0 ELSE least(100.0, greatest(0.0, max(progress) FILTER (type = 'progress') OVER (PARTITION BY job_id, part ORDER BY seq))) END::DOUBLE AS shown FROM g""")
 def x6(t):
