@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import slices, text_of
+from kilnspark.llm.common import discard, slices, stored, text_of
 
 #: N-gram starts hashed at a time; multipliers of the n-gram hash; the word pairs of a word with itself, which all share one feature.
 STEP, ODD, MIX, AGAIN = 1 << 20, np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15), zlib.crc32(b"\0again")
@@ -26,7 +26,7 @@ STEP, ODD, MIX, AGAIN = 1 << 20, np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows that training uses at most (those whose ids hash lowest), whole.
+    """sample: labelled rows that training uses at most (those whose ids hash lowest), whole; pairs: features of all of them together that it uses at most.
 
     rate: steps of the layer; a feature's vector has vector_rate times that,
     as its share of a document, and so its gradient, is small.
@@ -40,6 +40,7 @@ class Settings:
     rate: float = 0.5
     vector_rate: float = 100.0
     sample: int = 1500
+    pairs: int = 1 << 23
     seed: int = 11
 
 
@@ -97,9 +98,10 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[
 def training_rows(docs: DataFrame, labels: DataFrame, teaches: Column, s: Settings) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(features, their counts, label) of at most s.sample labelled documents that teach, in a fixed order.
 
-    Features are counted in the tasks, over whole texts; what comes back is at
-    most s.sample rows of s.buckets pairs. Of several texts of one id the one
-    that hashes lowest teaches.
+    Features are counted in the tasks, over whole texts, and come back as
+    numbers of 32 bits. Rows are taken in the order of their ids' hashes as long
+    as they have at most s.pairs features together, the first in any case. Of
+    several texts of one id the one that hashes lowest teaches.
     """
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.where(teaches).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)  # s.sample rows
@@ -107,14 +109,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, teaches: Column, s: Settin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             found = [counted(t.as_py(), s) for t in batch.column(2)]
-            lists = [pa.array([x[i].astype("i4") for x in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], ["doc_id", "label", "at", "n"])
+            sizes = pa.array([len(at) for at, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sizes, pa.array([np.stack(x).astype("<i4").tobytes() for x in found], pa.binary())], ["doc_id", "label", "size", "pairs"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     some = own.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id")
     one = some.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "label", "t.text")
-    rows = one.mapInArrow(run, "doc_id long, label int, at array<int>, n array<int>").collect()
-    return [(np.array(r["at"], np.int64), np.array(r["n"], np.int64), r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
+    held = stored(one.mapInArrow(run, "doc_id long, label int, size long, pairs binary"), "labelled")
+    left, taken = s.pairs, []
+    for r in held.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # s.sample rows
+        left -= r.size
+        if taken and left < 0:
+            break
+        taken.append(r.doc_id)
+    rows = [(r.doc_id, np.frombuffer(r.pairs, "<i4").reshape(2, -1), r.label) for r in held.where(F.col("doc_id").isin(taken)).collect()]
+    discard(held)
+    return [(*pairs, label) for _, pairs, label in sorted(rows, key=lambda r: r[0])]
 
 
 def word_sums(words: list[str], weights: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -169,15 +179,16 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
 def accepted(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
     """The rows of docs whose own text scores threshold or more; all rows if nothing teaches.
 
-    A score comes from the text alone, so rows are judged by the text's hash and
-    ids may be null or shared; a null text counts as empty; all columns stay,
-    whatever their names.
+    A score comes from the text alone, so rows are judged by 128 bits of the
+    text's hashes and ids may be null or shared; a null text counts as empty;
+    all columns stay, whatever their names.
     """
     s = settings or Settings()
     rows = training_rows(docs, labels, F.col("doc_id").isNotNull() & ~held_out, s)
     if not rows:
         return docs
-    own = docs.select(F.xxhash64(text_of()).alias("doc_id"), "text")
+    name = F.struct(F.xxhash64(text_of()).alias("h1"), F.xxhash64(F.lit(1), text_of()).alias("h2"))
+    own = docs.select(name.alias("doc_id"), "text")
     bad = scored(own, *train(rows, s), s).where(F.col("score") < threshold).select("doc_id").distinct()
-    whole = docs.select(F.xxhash64(text_of()).alias("doc_id"), F.struct("*").alias("row"))
+    whole = docs.select(name.alias("doc_id"), F.struct("*").alias("row"))
     return whole.join(bad.hint("merge"), "doc_id", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

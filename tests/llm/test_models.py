@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,6 +31,68 @@ def test_quality_features_are_those_of_each_word(monkeypatch):
     assert np.allclose(total, alone) and total[1] == total[5]
 
 
+def plain_features(text, s):
+    """Features counted word by word and n-gram by n-gram."""
+    found, words = Counter(), text.split()
+    for k, w in enumerate(words):
+        found[zlib.crc32(w.encode()) % s.buckets] += 1
+        found[quality.AGAIN % s.buckets] += k > 0 and words[k - 1] == w
+        marked = f"<{w}>"
+        for size in range(s.shortest, s.longest + 1):
+            for at in range(len(marked) - size + 1):
+                mixed = 0
+                for c in marked[at : at + size]:
+                    mixed = (mixed * int(quality.ODD) + ord(c)) % 2**64
+                found[((mixed + size) * int(quality.MIX) % 2**64 >> 32) % s.buckets] += 1
+    return {k: n for k, n in found.items() if n}
+
+
+def plain_training(docs, s):
+    """The same steps with lists of numbers."""
+    rng = np.random.default_rng(s.seed)
+    vectors = rng.uniform(-1 / s.width, 1 / s.width, (s.buckets, s.width)).tolist()
+    layer, bias, steps, done = [[0.0, 0.0] for _ in range(s.width)], [0.0, 0.0], s.epochs * len(docs), 0
+    for _ in range(s.epochs):
+        for i in rng.permutation(len(docs)):
+            found, label = docs[i]
+            total = sum(found.values())
+            rate = s.rate * (1 - done / steps)
+            done += 1
+            mean = [sum(vectors[f][d] * n / total for f, n in found.items()) for d in range(s.width)]
+            logits = [bias[c] + sum(mean[d] * layer[d][c] for d in range(s.width)) for c in (0, 1)]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            wrong = [o / sum(odds) - (c == label) for c, o in enumerate(odds)]
+            back = [sum(layer[d][c] * wrong[c] for c in (0, 1)) for d in range(s.width)]
+            for d in range(s.width):
+                for c in (0, 1):
+                    layer[d][c] -= rate * mean[d] * wrong[c]
+                for f, n in found.items():
+                    vectors[f][d] -= s.vector_rate * rate * back[d] * n / total
+            for c in (0, 1):
+                bias[c] -= 0.1 * rate * wrong[c]
+    return [sum(v[d] * (layer[d][1] - layer[d][0]) for d in range(s.width)) for v in vectors], bias[1] - bias[0]
+
+
+def test_quality_equals_plain_training_and_scoring(spark):
+    """Features, every step of training and the scores against loops over words and numbers."""
+    s = quality.Settings(buckets=512, width=3, epochs=3)
+    rng = random.Random(8)
+    texts = {i: prose(rng, 25) + (" zz zz $$" * 3 if i % 2 else "") for i in range(16)} | {16: "", 17: "straße straße 日本語"}
+    docs = documents(spark, [(i, t, "en", "s", 0, "", "", "", "") for i, t in texts.items()])
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(16)], "doc_id long, quality int, toxic int")
+    rows = quality.training_rows(docs, labels, F.col("doc_id") < 12, s)
+    plain = [(plain_features(texts[i], s), 1 - i % 2) for i in range(12)]
+    assert [(dict(zip(at.tolist(), n.tolist())), label) for at, n, label in rows] == plain
+    weights, bias = plain_training(plain, s)
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels, F.col("doc_id") >= 12, settings=s).collect()}
+    for i, text in texts.items():
+        found = plain_features(text, s)
+        logit = bias + sum(weights[f] * n for f, n in found.items()) / max(1, sum(found.values()))
+        assert abs(got[i] - 1 / (1 + math.exp(-logit))) < 1e-4, i
+    few = quality.training_rows(docs, labels, F.col("doc_id") < 12, quality.Settings(buckets=512, pairs=1))
+    assert len(few) == 1
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(1)
     rows, labels = [], []
