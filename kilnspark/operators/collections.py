@@ -93,7 +93,7 @@ def query_filter(records: DataFrame, params: DataFrame, fallback: bool = True) -
         return F.array_distinct(F.filter(F.transform(each, scalar_text), lambda x: x.isNotNull()))
 
     has = F.transform_values(F.col("doc").try_cast("map<string, variant>"), lambda _, v: texts(v))
-    held = records.select("collection", "ord", "id", has.alias("has"))
+    held = stored(records.select("collection", "ord", "id", has.alias("has")), "held")  # documents are parsed once
     pairs = held.select("collection", F.explode("has").alias("key", "value")).select("collection", "key", F.explode("value").alias("value"))
     common = pairs.groupBy("collection", "key", "value").agg(F.count("*").alias("n"))
     flat = asked.select("request_id", "collection", "key", F.explode("values").alias("value"))

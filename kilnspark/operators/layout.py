@@ -261,23 +261,32 @@ def resolve_edits(edits: DataFrame, runs: DataFrame) -> DataFrame:
     return edits.join(best.hint("merge"), "edit_id", "left").select(*edits.columns, F.col("b.tier").alias("tier"), F.col("b.r_ord").alias("run_ordinal"), F.col("b.r_id").alias("resolved_run"))
 
 
+#: Characters by which a wanted text meets the places where it may start.
+LEAD = 8
+
+
 def resolve_groups(groups: DataFrame, runs: DataFrame) -> DataFrame:
     """groups(group_id, doc_id, page_index, wanted, ordinal) with the neighbouring runs whose joined text is wanted.
 
-    Runs of a page are laid end to end; a span is a start and an end whose
-    distance is the wanted length, so it is found by an equi join on offsets.
+    Runs of a page are laid end to end. A span is a start whose next LEAD
+    characters are those of the wanted text (all of them, if it is shorter) and
+    an end whose distance is the wanted length, so both are found by equality.
     Of several the one that starts nearest to the given ordinal counts.
     """
     w = Window.partitionBy(*PAGE).orderBy("ordinal")
-    laid = runs.withColumn("hi", F.sum(F.length(text_identity(F.col("text")))).over(w)).withColumn("lo", F.col("hi") - F.length(text_identity(F.col("text"))))
-    asked = groups.withColumn("key", text_identity(F.col("wanted"))).withColumn("n", F.length("key"))
-    starts = asked.join(laid.select(*PAGE, F.col("ordinal").alias("first"), "lo", F.substring(text_identity(F.col("text")), 1, 1).alias("c")), PAGE).where(F.col("c") == F.substring("key", 1, 1))
-    spans = starts.withColumn("hi", F.col("lo") + F.col("n")).join(laid.select(*PAGE, F.col("ordinal").alias("last"), "hi"), [*PAGE, "hi"]).where("last >= first")
+    keyed = runs.select(*PAGE, "ordinal", text_identity(F.col("text")).alias("t")).withColumn("n", F.length("t"))
+    laid = keyed.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
+    ahead = F.array_join(F.collect_list(F.substring("t", 1, LEAD)).over(w.rowsBetween(0, LEAD - 1)), "")  # LEAD runs with text
+    lead = laid.where("n > 0").withColumn("ahead", F.substring(ahead, 1, LEAD)).select(*PAGE, F.col("ordinal").alias("first"), "lo", "ahead", F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("size"))
+    lead = lead.select(*PAGE, "first", "lo", "size", F.substring("ahead", F.lit(1), F.col("size")).alias("head"))
+    asked = groups.withColumn("key", text_identity(F.col("wanted"))).withColumn("n", F.length("key")).withColumn("size", F.least(F.lit(LEAD), F.col("n"))).withColumn("head", F.substring("key", 1, LEAD))
+    starts = lead.join(asked.hint("merge"), [*PAGE, "size", "head"])
+    spans = starts.withColumn("hi", F.col("lo") + F.col("n")).join(laid.select(*PAGE, F.col("ordinal").alias("last"), "hi").hint("merge"), [*PAGE, "hi"]).where("last >= first")
     parts = spans.select("group_id", *PAGE, "key", "first", "last", "ordinal", F.explode(F.sequence("first", "last")).alias("o"))
-    texts = parts.join(runs.select(*PAGE, F.col("ordinal").alias("o"), text_identity(F.col("text")).alias("t")).hint("merge"), [*PAGE, "o"])
+    texts = parts.join(keyed.select(*PAGE, F.col("ordinal").alias("o"), "t").hint("merge"), [*PAGE, "o"])
     joined = texts.groupBy("group_id", "key", "first", "last", "ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), "").alias("text")).where("text = key")
     best = joined.groupBy("group_id").agg(F.min(F.struct(F.abs(F.col("first") - F.col("ordinal")).alias("d"), (F.col("last") - F.col("first")).alias("n"), "first", "last")).alias("b"))
-    return groups.join(best, "group_id", "left").select("group_id", F.col("b.first").alias("first"), F.col("b.last").alias("last"))
+    return groups.join(best.hint("merge"), "group_id", "left").select("group_id", F.col("b.first").alias("first"), F.col("b.last").alias("last"))
 
 
 def overlay_pages(native: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -292,25 +301,45 @@ def hide_covered(runs: DataFrame, images: DataFrame) -> DataFrame:
     return runs.join(top, PAGE, "left").where("_top is null or _top <= end_order").drop("_top")
 
 
-def _align_step(state: int | None, row: Any) -> tuple[int, tuple]:
-    at = state or 0
-    want = "".join(row.text.split())
-    spot = row.page_text.find(want, at) if want else -1
-    edges = set(row.edges)
-    if spot < 0 or spot not in edges or spot + len(want) not in edges:
-        return at, (None,)
-    return spot + len(want), (spot,)
+class _Page:
+    """A page's text, put together once, the places where operators meet, and a cursor that only moves on."""
+
+    def __init__(self):
+        self.parts, self.edges, self.size, self.text, self.at = [], {0}, 0, None, 0
+
+    def add(self, text: str) -> None:
+        self.parts.append(text)
+        self.size += len(text)
+        self.edges.add(self.size)
+
+    def place(self, want: str) -> int | None:
+        if self.text is None:
+            self.text = "".join(self.parts)
+        spot = self.text.find(want, self.at) if want else -1
+        if spot < 0 or spot not in self.edges or spot + len(want) not in self.edges:
+            return None
+        self.at = spot + len(want)
+        return spot
+
+
+def _align_step(page: _Page, row: Any) -> tuple[_Page, tuple]:
+    if row.item_:
+        return page, (page.place(row.key_),)
+    page.add(row.key_)
+    return page, (None,)
 
 
 def align_items(items: DataFrame, operators: DataFrame) -> DataFrame:
     """items(doc_id, page_index, ord, text) with the place of their text in the page's operators(ordinal, text), from a cursor that only moves on.
 
     A place counts only if whole operators spell the item; others are skipped.
+    A page's operators and then its items stream through one task, which holds
+    that page's text once.
     """
-    laid = operators.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: text_identity(x["text"])).alias("t"))
-    edges = F.aggregate("t", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    pages = laid.select(*PAGE, F.array_join("t", "").alias("page_text"), edges.alias("edges"))
-    return fold(items.join(pages, PAGE), PAGE, ["ord"], _align_step, None, "place int", ["text", "page_text", "edges"]).drop("page_text", "edges")
+    own = operators.select(*PAGE, F.lit(False).alias("item_"), F.col("ordinal").cast("long").alias("ord_"), text_identity(F.coalesce("text", F.lit(""))).alias("key_"))
+    asked = items.select("*", F.lit(True).alias("item_"), F.col("ord").cast("long").alias("ord_"), text_identity(F.coalesce("text", F.lit(""))).alias("key_"))
+    done = fold(asked.unionByName(own, allowMissingColumns=True), PAGE, ["item_", "ord_"], _align_step, _Page, "place int", ["item_", "key_"])
+    return done.where("item_").drop("item_", "ord_", "key_")
 
 
 def edit_problem(edits: DataFrame, per_request: int = 500) -> DataFrame:

@@ -55,10 +55,11 @@ def needs_raster(profile: Column, has_text: Column, server: bool = False) -> Col
     return (F.col("n_images") > 0) & ((profile == "small") | heavy | (F.lit(False) if server else ~has_text))
 
 
-def compression_report(files: DataFrame, tool: str) -> DataFrame:
-    """Per tool: files, bytes saved (never below 0), percent, and files kept as they were."""
-    saved = F.greatest(F.lit(0.0), F.col("source_bytes") - F.col("output_bytes"))
-    out = files.groupBy(tool).agg(F.count("*").alias("n_files"), F.sum("source_bytes").alias("source_bytes"), F.sum(saved).alias("saved_bytes"), F.count_if(F.col("output_bytes") >= F.col("source_bytes")).alias("kept_original"))
+def compression_report(files: DataFrame, tool: str, video: Column | None = None) -> DataFrame:
+    """Per tool: files, bytes saved (never below 0), percent, files that did not get smaller, which are warned of, and those of them whose original is kept: all but videos."""
+    saved, larger = F.greatest(F.lit(0.0), F.col("source_bytes") - F.col("output_bytes")), F.col("output_bytes") >= F.col("source_bytes")
+    kept = larger & ~(F.lit(False) if video is None else video)
+    out = files.groupBy(tool).agg(F.count("*").alias("n_files"), F.sum("source_bytes").alias("source_bytes"), F.sum(saved).alias("saved_bytes"), F.count_if(kept).alias("kept_original"), F.count_if(larger).alias("warned"))
     return out.withColumn("saved_percent", half_up(F.col("saved_bytes") / F.col("source_bytes") * 100).cast("int"))
 
 

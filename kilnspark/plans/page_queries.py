@@ -88,10 +88,15 @@ def r9(t):
     return audit.route_policy(t("pages"), policy(t)).select("page_id", "path", "indexable")
 
 
-@query("l6_classify_file", r"SELECT page_id, regexp_matches(lower(url), '\.(mp4|html)$') AND lower(url) LIKE '%.mp4' OR page_id % 2 = 0 AS fits FROM pages")
+@query("l6_classify_file", """WITH f AS (SELECT page_id, ['video-repair', 'svg-to-png', 'image-converter', 'pdf-editor', 'audio-extractor'][page_id % 5 + 1] AS tool, ['.MP4', '.svg', '.heic', '.pdf', '.txt', ''][page_id // 5 % 6 + 1] AS ext, ['video/mp4', 'image/svg+xml', 'image/png', 'application/pdf', 'image/svg+xml; charset=x', ''][page_id // 30 % 6 + 1] AS mime FROM pages)
+SELECT page_id, CASE tool WHEN 'svg-to-png' THEN ext = '.svg' OR mime = 'image/svg+xml' WHEN 'image-converter' THEN ext = '.heic' OR mime LIKE 'image/%' WHEN 'pdf-editor' THEN ext = '.pdf' OR mime LIKE 'application/pdf%' ELSE ext = '.MP4' OR mime LIKE 'video/%' END AS fits FROM f""")
 def l6(t):
-    mime = F.when(F.col("page_id") % 2 == 0, "video/mp4").otherwise("text/html")
-    return t("pages").select("page_id", s.fits_tool(F.col("url"), mime, F.lit("video-repair")).alias("fits"))
+    """Names and types of several kinds, asked of five tools."""
+    pick = lambda step, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(F.col("page_id") / step) % len(xs) + 1).cast("int"))
+    tool = pick(1, "video-repair", "svg-to-png", "image-converter", "pdf-editor", "audio-extractor")
+    name = F.concat(F.lit("/a.b/c"), pick(5, ".MP4", ".svg", ".heic", ".pdf", ".txt", ""))
+    mime = pick(30, "video/mp4", "image/svg+xml", "image/png", "application/pdf", "image/svg+xml; charset=x", "")
+    return t("pages").select("page_id", s.fits_tool(name, mime, tool).alias("fits"))
 
 
 @query("l7_media_url_policy", "SELECT page_id, CASE WHEN page_id % 4 = 1 THEN NULL WHEN page_id % 4 = 2 THEN 'https://www.youtube.com/watch?v=' || page_id WHEN page_id % 4 = 3 THEN NULL ELSE regexp_replace(url, '#.*$', '') END AS canonical, CASE page_id % 4 WHEN 1 THEN 'private' WHEN 3 THEN 'scheme' END AS reason FROM pages")
@@ -172,11 +177,11 @@ def f11(t):
     return t("documents").select("doc_id", s.error_tail(F.col("text"), F.lit(3)).alias("tail"))
 
 
-@query("f21_byte_range", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN n_chars - 10 WHEN doc_id >= n_chars THEN NULL ELSE doc_id END AS start, CASE WHEN doc_id % 3 <> 2 AND doc_id >= n_chars THEN NULL WHEN doc_id % 3 = 1 THEN least(doc_id + 5, n_chars - 1) ELSE n_chars - 1 END AS stop, CASE WHEN doc_id % 3 <> 2 AND doc_id >= n_chars THEN 416 ELSE 206 END AS status FROM documents WHERE n_chars > 10")
+@query("f21_byte_range", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN greatest(0, n_chars - 10) WHEN doc_id >= n_chars THEN NULL ELSE doc_id END AS start, CASE WHEN doc_id % 3 <> 2 AND doc_id >= n_chars THEN NULL WHEN doc_id % 3 = 1 THEN least(doc_id + 5, n_chars - 1) ELSE n_chars - 1 END AS stop, CASE WHEN doc_id % 3 <> 2 AND doc_id >= n_chars THEN 416 ELSE 206 END AS status FROM documents")
 def f21(t):
     k, d = F.col("doc_id") % 3, F.col("doc_id").cast("string")
     header = F.when(k == 0, F.concat(F.lit("bytes="), d, F.lit("-"))).when(k == 1, F.concat(F.lit("bytes="), d, F.lit("-"), (F.col("doc_id") + 5).cast("string"))).otherwise("bytes=-10")
-    return t("documents").where("n_chars > 10").select("doc_id", s.byte_range(header, F.col("n_chars")).alias("r")).select("doc_id", "r.start", "r.stop", "r.status")
+    return t("documents").select("doc_id", s.byte_range(header, F.col("n_chars")).alias("r")).select("doc_id", "r.start", "r.stop", "r.status")
 
 
 @query("p7_graphemes", "SELECT doc_id, length_grapheme(coalesce(text, '')) AS n FROM documents")
@@ -184,9 +189,13 @@ def p7(t):
     return t("documents").select("doc_id", s.graphemes(F.col("text")).alias("n"))
 
 
-@query("a5_majority_script", r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{Latin}') THEN 'latin' ELSE 'neutral' END AS script FROM documents")
+@query("a5_majority_script", r"""WITH n AS (SELECT doc_id, doc_id % 60 AS cyrillic, doc_id % 45 AS greek, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS latin FROM documents)
+SELECT doc_id, CASE WHEN cyrillic > 0 AND cyrillic >= greek AND cyrillic >= latin THEN 'cyrillic' WHEN greek > 0 AND greek >= latin THEN 'greek' WHEN latin > 0 THEN 'latin' ELSE 'neutral' END AS script FROM n""")
 def a5(t):
-    return t("documents").select("doc_id", s.majority_script(F.col("text")).alias("script"))
+    """Texts behind letters of two other scripts; of equal counts the first one counts."""
+    k = F.col("doc_id")
+    mixed = F.concat(F.repeat(F.lit("я"), (k % 60).cast("int")), F.repeat(F.lit("λ"), (k % 45).cast("int")), F.lit("12 "), "text")
+    return t("documents").select("doc_id", s.majority_script(mixed).alias("script"))
 
 
 @query("d5_tokens", r"SELECT doc_id, w AS token, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' AND regexp_matches(trim(w), '^[₹$€£¥₽₩¢\s]*[-+]?\d[\d\s.,%₹$€£¥₽₩¢]*$') GROUP BY ALL")
@@ -227,10 +236,12 @@ def w12(t):
     return layout.fill_style_gaps(ranges, docs, "doc_id", "base")
 
 
-@query("u5_concat_documents", "SELECT doc_id, source, 0 AS source_ord FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, source, 1 FROM documents WHERE lang = 'de'")
+@query("u5_concat_documents", "SELECT doc_id, source, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 WHEN 'es' THEN 3 ELSE 4 END AS source_ord FROM documents")
 def u5(t):
-    d = t("documents").select("doc_id", "source", "lang")
-    return layout.concat_documents([d.where("lang = 'en'").drop("lang"), d.where("lang = 'de'").drop("lang")])
+    """The languages' documents one after the other, the rest last."""
+    d, known = t("documents").select("doc_id", "source", "lang"), ["en", "de", "fr", "es"]
+    rest = d.where(F.col("lang").isNull() | ~F.col("lang").isin(known))
+    return layout.concat_documents([x.drop("lang") for x in [*(d.where(F.col("lang") == k) for k in known), rest]])
 
 
 @query("c15_json_paths", """SELECT event_id, unnest(range(len(p))::INT[]) AS ord, unnest(p) AS path FROM (SELECT event_id, list_concat(list_transform(range(1, event_id % 12 + 2), lambda k: repeat('d.', (k - 1)::INT) || 'd'),

@@ -68,11 +68,13 @@ def d3(t):
     return layout.verify_edits(asked, runs(t)).select("edit_id", "reason")
 
 
-@query("r5_resolve_groups", "SELECT conv_id AS group_id, 1 AS first, 2 AS last FROM conversations WHERE turn = 2")
+@query("r5_resolve_groups", "SELECT a.conv_id || '-' || a.turn AS group_id, a.turn::INT AS first, (a.turn + 1)::INT AS last FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
 def r5(t):
+    """Every two neighbouring turns' joined text is sought on its page."""
     r = runs(t).withColumn("text", F.concat("ordinal", F.lit(":"), "text"))
-    pair = r.where("ordinal in (1, 2)").groupBy("doc_id", "page_index").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("wanted"), F.count("*").alias("n")).where("n = 2")
-    groups = pair.select(F.col("doc_id").alias("group_id"), "doc_id", "page_index", "wanted", F.lit(1).alias("ordinal"))
+    after = F.lead(F.struct("ordinal", "text")).over(Window.partitionBy("doc_id", "page_index").orderBy("ordinal"))
+    pair = r.withColumn("next", after).where(F.col("next.ordinal") == F.col("ordinal") + 1)
+    groups = pair.select(F.concat_ws("-", "doc_id", "ordinal").alias("group_id"), "doc_id", "page_index", F.concat_ws(" ", "text", "next.text").alias("wanted"), "ordinal")
     return layout.resolve_groups(groups, r)
 
 
@@ -102,9 +104,11 @@ def r16(t):
     return layout.hide_covered(r, images).select("doc_id", "ordinal")
 
 
-@query("d11_merge_visual_duplicates", r"SELECT conv_id AS doc_id, regexp_replace(text, '\s+', '', 'g') AS key, count(*) AS n, string_agg(turn, ',' ORDER BY turn) AS ordinals, bool_and(role <> 'system') AS editable FROM conversations GROUP BY ALL")
+@query("d11_merge_visual_duplicates", r"SELECT conv_id AS doc_id, regexp_replace(left(text, 3), '\s+', '', 'g') AS key, count(*) AS n, string_agg(turn, ',' ORDER BY turn) AS ordinals, bool_and(role <> 'system') AS editable FROM conversations GROUP BY conv_id, key, turn % 3")
 def d11(t):
-    r = runs(t).withColumns({"mode": F.lit("pdf"), "geometry": F.array(F.lit(1.0), 2.0 + F.col("ordinal") / 100_000), "reason": F.lit("r")})
+    """The first letters of the turns on three lines; what differs by less than a thousandth is one place."""
+    k = F.col("ordinal")
+    r = runs(t).withColumns({"text": F.substring("text", 1, 3), "mode": F.lit("pdf"), "geometry": F.array(1.0 + k % 2 * 0.0004, 2.0 + k % 3 * 0.001), "reason": F.lit("r")})
     return layout.merge_visual_duplicates(r).select("doc_id", "key", "n", F.array_join(F.col("ordinals").cast("array<string>"), ",").alias("ordinals"), "editable")
 
 
@@ -262,10 +266,17 @@ def c13(t):
     return collections.drop_orphan_collections(held, ends).select("project_id", "name", F.array_join("methods", ",").alias("methods"))
 
 
-@query("c2_validate_project", "SELECT o_orderpriority AS project_id, 'P' AS name, 'missing collection' AS reason FROM orders WHERE o_orderstatus = 'P'")
+@query("c2_validate_project", """WITH e AS (SELECT o_orderpriority AS project_id, o_custkey % 5000 + o_orderkey % 2 * 10000 AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'TRACE' ELSE 'GET' END AS m, CASE WHEN o_orderkey % 11 = 0 THEN 'gone' ELSE 'c' || o_orderstatus END AS c FROM orders),
+h AS (SELECT DISTINCT o_orderpriority AS project_id, unnest(['c' || o_orderstatus, left(o_orderpriority, 1) || o_orderstatus]) AS name FROM orders UNION ALL SELECT DISTINCT o_orderpriority, 'c' || o_orderstatus FROM orders WHERE o_orderpriority > '3')
+SELECT project_id, name, 'unsafe name' AS reason FROM h WHERE NOT regexp_matches(name, '^[A-Za-z]') UNION ALL SELECT project_id, name, 'duplicate collection' FROM h GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT project_id, id::VARCHAR, 'duplicate endpoint' FROM e GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT project_id, c, 'missing collection' FROM e WHERE c = 'gone' UNION ALL SELECT project_id, id::VARCHAR, 'unknown method' FROM e WHERE m = 'TRACE'""")
 def c2(t):
-    held = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("project_id"), F.col("o_orderstatus").alias("name")).distinct()
-    ends = t("orders").select(F.col("o_orderpriority").alias("project_id"), F.col("o_orderkey").alias("id"), F.lit("GET").alias("method"), F.lit("/x").alias("path"), F.col("o_orderstatus").alias("collection"))
+    """Projects with all five kinds of faults."""
+    own, k = t("orders").withColumnRenamed("o_orderpriority", "project_id"), F.col("o_orderkey")
+    name = F.concat(F.lit("c"), "o_orderstatus")
+    held = own.select("project_id", F.explode(F.array(name, F.concat(F.substring("project_id", 1, 1), "o_orderstatus"))).alias("name")).distinct()
+    held = held.unionAll(own.where("project_id > '3'").select("project_id", name.alias("name")).distinct())
+    ends = own.select("project_id", (F.col("o_custkey") % 5000 + k % 2 * 10000).alias("id"), F.when(k % 7 == 0, "TRACE").otherwise("GET").alias("method"), F.lit("/x").alias("path"), F.when(k % 11 == 0, "gone").otherwise(name).alias("collection"))
     return collections.validate_project(held, ends)
 
 
