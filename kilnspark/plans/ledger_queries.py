@@ -576,7 +576,7 @@ def c8(t):
 
 #: A nation's customers of even number are a collection of at most 40 records, its orders are requests on it, walked one after the other. For WITH RECURSIVE.
 CHANGES_SQL = """o AS (SELECT 'n' || c_nationkey AS collection, o_custkey::VARCHAR AS id, o_orderkey AS seq, ['POST', 'PUT', 'PATCH', 'DELETE'][o_orderkey % 4 + 1] AS method, o_orderkey % 20 AS k, o_totalprice AS p, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS i FROM orders JOIN customer ON c_custkey = o_custkey),
-f AS (SELECT 'n' || c_nationkey AS collection, 0::BIGINT AS i, list(c_custkey::VARCHAR) FILTER (c_custkey % 2 = 0) AS live, 0 AS status FROM customer GROUP BY ALL UNION ALL
+f AS (SELECT 'n' || c_nationkey AS collection, 0::BIGINT AS i, coalesce(list(c_custkey::VARCHAR) FILTER (c_custkey % 2 = 0), []) AS live, 0 AS status FROM customer GROUP BY ALL UNION ALL
  SELECT collection, i, CASE status WHEN 201 THEN list_append(live, id) WHEN 204 THEN list_filter(live, lambda x: x <> id) ELSE live END, status FROM (
   SELECT o.collection, o.i, o.id, f.live, CASE WHEN o.method = 'POST' THEN CASE WHEN o.k = 4 THEN 404 WHEN o.k = 8 THEN 400 WHEN list_contains(f.live, o.id) THEN 409 WHEN len(f.live) >= 40 THEN 413 ELSE 201 END
    WHEN NOT list_contains(f.live, o.id) THEN 404 WHEN o.method = 'DELETE' THEN 204 ELSE 200 END AS status FROM f JOIN o ON o.collection = f.collection AND o.i = f.i + 1)),
