@@ -177,3 +177,43 @@ def test_scores_equal_those_of_single_tokens(spark, head):
     got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in maxent_lm.scores(docs, crc_class(7) != 2, crc_class(7) == 2, s).collect())
     for a, b in zip(got, sorted(want)):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-3 * abs(b[2]) + 1e-3
+
+
+def plain_gradient(texts, model, s):
+    """Token by token: how often each row of weights met each class, and expected to."""
+    met, wanted = np.zeros((s.buckets, s.classes)), np.zeros((s.buckets, s.classes))
+
+    def row(x, salt):
+        odd = 0x9E3779B97F4A7C15
+        h = (x + salt) * odd % 2**64
+        h ^= h >> 29
+        return (h * odd % 2**64 >> 40) % s.buckets
+
+    place = {int(h): k for k, h in enumerate(model.hashes)}
+    for text in texts:
+        own = [int(maxent_lm._END[0]) if w == maxent_lm.END else int(maxent_lm.word_hashes(w)[0]) for w in maxent_lm.tokens(text)]
+        for i, h in enumerate(own):
+            before, second = own[i - 1] if i else 0, own[i - 2] if i > 1 else 0
+            rows = [row(before, 11), row((before * 1_000_003 + second) % 2**64, 5077), row(second, 90_001)]
+            logits = [float(model.bias[c]) + sum(float(model.weights[r, c]) for r in rows) for c in range(s.classes)]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            for r in rows:
+                met[r, model.classes[place.get(h, -1)]] += 1
+                for c in range(s.classes):
+                    wanted[r, c] += odds[c] / sum(odds)
+    return met, wanted
+
+
+def test_gradient_equals_a_plain_one(spark):
+    """Before and after a step; with words beyond the head, short and empty texts."""
+    rng = random.Random(6)
+    s = maxent_lm.Settings(head=12, buckets=97, rounds=0)
+    texts = [prose(rng, rng.choice([0, 1, 2, 40])).encode() for _ in range(30)]
+    df = spark.createDataFrame([(t,) for t in texts], "text binary").repartition(3)
+    counts = maxent_lm.count_words(df, s)
+    for rounds in (0, 1):
+        model = maxent_lm.fit(df, counts, maxent_lm.Settings(head=12, buckets=97, rounds=rounds))
+        assert bool(np.abs(model.weights).max() > 0) == (rounds > 0)
+        sums = maxent_lm.gradient(df, spark.sparkContext.broadcast(model), s)
+        met, wanted = plain_gradient(texts, model, s)
+        assert np.array_equal(sums[:, : s.classes], met) and np.allclose(sums[:, s.classes :], wanted, rtol=1e-4, atol=1e-4)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from kilnspark.llm import simhash
@@ -18,13 +19,13 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(values):
-    """The least index of each index's component under a Hamming distance of two."""
+def classes(values, tau=2):
+    """The least index of each index's component under a Hamming distance of tau."""
     root = list(range(len(values)))
     for _ in values:
         for i, a in enumerate(values):
             for j, b in enumerate(values[:i]):
-                if ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
+                if ((a ^ b) & (2**64 - 1)).bit_count() <= tau:
                     root[i] = root[j] = min(root[i], root[j])
     return root
 
@@ -57,6 +58,24 @@ def test_links_reach_what_is_near(spark):
         assert [roots.get(v, v) for v in values] == [values[c] for c in near]
 
 
+@pytest.mark.parametrize("tau", [1, 3])
+def test_links_of_other_distances(spark, tau):
+    rng = random.Random(tau)
+    values = {rng.getrandbits(64) for _ in range(4)}
+    for _ in range(90):
+        near = rng.choice(sorted(values))
+        for bit in rng.sample(range(64), rng.choice([1, 2, 3, 5])):
+            near ^= 1 << bit
+        values.add(near)
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    for crowd in (2, 1000):
+        edges = [(r.a, r.b) for r in simhash.links(df, tau, crowd=crowd).collect()]
+        assert all(((a ^ b) & (2**64 - 1)).bit_count() <= tau for a, b in edges)
+        roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert [roots.get(v, v) for v in values] == [values[c] for c in classes(values, tau)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
