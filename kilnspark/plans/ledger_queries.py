@@ -622,7 +622,12 @@ def l19(t):
     return own.select("event_id", F.try_element_at("r.headers", "h").alias("secret"), "r.redacted")
 
 
-@query("l20_clean_headers", "SELECT event_id, event_type <> 'error' AS valid FROM events")
+@query("l20_clean_headers", """SELECT event_id, event_type <> 'error' AND event_id % 4 < 2 AS valid, CASE WHEN event_id % 3 = 0 THEN 4000 ELSE event_id % 50 + 1 END + CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN 1 ELSE 0 END AS n_chars FROM events""")
 def l20(t):
-    value = F.when(F.col("event_type") == "error", "a\nb").otherwise(F.col("props"))
-    return t("events").select("event_id", collections.clean_headers(F.create_map(F.lit("X-A"), value)).alias("r")).select("event_id", "r.valid")
+    """Names of 0, 1, 100 and 101 characters, long values, values on two lines."""
+    k = F.col("event_id")
+    name = F.repeat(F.lit("h"), F.when(k % 4 == 0, 1).when(k % 4 == 1, 100).when(k % 4 == 2, 101).otherwise(0))
+    value = F.repeat(F.lit("v"), F.when(k % 3 == 0, 5000).otherwise(k % 50 + 1).cast("int"))
+    value = F.when(F.col("event_type") == "error", F.concat(F.lit("\n"), value)).otherwise(value)
+    own = t("events").select("event_id", collections.clean_headers(F.create_map(name, value)).alias("r"))
+    return own.select("event_id", "r.valid", F.length(F.get(F.map_values("r.headers"), F.lit(0))).alias("n_chars"))

@@ -164,6 +164,19 @@ def d2(t):
     return words(t).select("doc_id", "page_index", "ord", s.ocr_run_id(F.col("page_index"), F.col("ord"), F.col("text"), F.sha2(F.concat("text", F.lit("s")), 256), box).alias("id"))
 
 
+@query("d7_box_math", f"""WITH {WORDS_SQL}, b AS (SELECT doc_id, page_index, ord, x0 + ord % 3 AS a0, x0 + 45 AS a1, y0 + ord % 7 * 4 AS b0, y0 + ord % 7 * 4 + 6 + ord % 5 * 5 AS b1 FROM words),
+p AS (SELECT *, lag(a0) OVER w AS c0, lag(a1) OVER w AS c1, lag(b0) OVER w AS d0, lag(b1) OVER w AS d1 FROM b WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY ord))
+SELECT doc_id, page_index, ord, greatest(0, least(b1, d1) - greatest(b0, d0))::DOUBLE / greatest(1, least(b1 - b0, d1 - d0)) AS shared, greatest(0, greatest(a0, c0) - least(a1, c1))::DOUBLE AS gap FROM p WHERE c0 IS NOT NULL""")
+def d7(t):
+    """How each word's box lies to the one before: boxes of several heights and lines."""
+    k, x, y = F.col("ord"), F.col("x0"), F.col("y0")
+    w = Window.partitionBy("doc_id", "page_index").orderBy("ord")
+    own = words(t).select("doc_id", "page_index", "ord", (x + k % 3).alias("a0"), (x + 45).alias("a1"), (y + k % 7 * 4).alias("b0"), (y + k % 7 * 4 + 6 + k % 5 * 5).alias("b1"))
+    both = own.withColumns({n: F.lag(c).over(w) for n, c in (("c0", "a0"), ("c1", "a1"), ("d0", "b0"), ("d1", "b1"))}).where("c0 is not null")
+    box = [F.col(c) for c in ("b0", "b1", "d0", "d1", "a0", "a1", "c0", "c1")]
+    return both.select("doc_id", "page_index", "ord", s.overlap_ratio(*box[:4]).alias("shared"), s.box_gap(*box[4:]).alias("gap"))
+
+
 #: A turn is a page; pieces of three letters at most are runs, spaces are items between them; every ninth run has no width, some lines are tilted.
 PIECES_SQL = r"""pieces AS (SELECT conv_id AS doc_id, turn AS page_index, i - 1 AS ordinal, p AS text, p = ' ' AS item FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^ ]{1,3}| ')) AS p, generate_subscripts(regexp_extract_all(text, '[^ ]{1,3}| '), 1) AS i FROM conversations))"""
 
