@@ -5,36 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import stored
+from kilnspark.llm.common import discard, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour larger than u is tied to the least of u and its neighbours."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every neighbour larger than u is tied to the least of u and its neighbours; and the table that this reads."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")  # a table of its own, so that Spark can split a hub's edges
     return (
         both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         .where("a <> b").distinct()
-    )
+    ), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """u and its smaller neighbours are tied to the least of those neighbours."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u and its smaller neighbours are tied to the least of those neighbours; and the table that this reads."""
     least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), least
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the least node reachable.
 
     Each round is written to the shared folder, so that a lost executor costs
-    one round. Node values need an order; loops and repeats are harmless.
+    one round; tables of earlier rounds are deleted. Node values need an order; loops and repeats are harmless.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        now = stored(_small_star(_large_star(now)), "stars")
+        large, least = _large_star(now)
+        large = stored(large, "large-stars")  # two reads of it in the small step
+        discard(now, least)
+        small, least = _small_star(large)
+        now = stored(small, "stars")
+        discard(large, least)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break
