@@ -343,6 +343,11 @@ def w5(t):
     return folds.rate_limit(t("events").select("user_id", "event_id", millis("ts").alias("at")), ["user_id"], ["at", "event_id"], 3, 86_400_000.0)
 
 
+@query("w5_rate_limit_in_ranges", f"WITH RECURSIVE {RATE_SQL.replace('user_id', 'event_type').replace('86400000', '3600000')} SELECT event_type, event_id, ms AS \"at\", ok AS accepted FROM f")
+def w5_ranges(t):
+    return folds.rate_limit(t("events").select("event_type", "event_id", millis("ts").alias("at")), ["event_type"], ["at", "event_id"], 3, 3_600_000.0, crowd=100)
+
+
 @query("w6_drop_repeats", "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
 def w6(t):
     return usage.drop_repeats(t("events").select("event_id", "user_id", "event_type"), "user_id", "event_type", ["event_id"])
