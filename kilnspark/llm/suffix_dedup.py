@@ -29,8 +29,14 @@ def cut(text: bytes):
 
 def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
     """Suffixes sorted by their first `length` symbols at least, by prefix doubling."""
-    rank, step = text.astype(np.int64), 1
-    n = len(text)
+    n, step = len(text), 7
+    rank = np.zeros(n, np.int64)
+    for i in range(step):  # the first seven symbols, nine bits each, zero beyond the end
+        rank <<= 9
+        rank[: max(0, n - i)] |= text[i:].astype(np.int64) + 1
+    order = np.argsort(rank, kind="stable")
+    held = rank[order]
+    rank[order] = np.concatenate([[0], (held[1:] != held[:-1]).cumsum()])
     while True:
         later = np.zeros(n, np.int64)
         later[: max(0, n - step)] = rank[step:] + 1
