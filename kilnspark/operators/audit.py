@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.functions.scalars import SPACE
+from kilnspark.functions.scalars import SPACE, trimmed
 
 
 def audit_by_device(items: DataFrame, search: str = "", os: str = "", sort: str = "recent") -> DataFrame:
@@ -97,7 +97,7 @@ def repeated_values(df: DataFrame, column: str) -> DataFrame:
 
 def repeated_paragraphs(docs: DataFrame, least: int = 120, split: str = "\n") -> DataFrame:
     """(paragraph, n_docs) of paragraphs of `least` characters or more in several documents(doc_id, text)."""
-    lines = docs.select("doc_id", F.explode(F.transform(F.split("text", split), F.trim)).alias("paragraph")).where(F.length("paragraph") >= least)
+    lines = docs.select("doc_id", F.explode(F.transform(F.split("text", split), trimmed)).alias("paragraph")).where(F.length("paragraph") >= least)
     return lines.groupBy("paragraph").agg(F.countDistinct("doc_id").alias("n_docs")).where("n_docs > 1")
 
 

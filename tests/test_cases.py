@@ -76,3 +76,9 @@ def test_error_tail_keeps_what_a_line_begins_with(spark):
     cases = {"0a\n12 b\n 2c \r\n3d": "12 b 2c 3d", "\n1\n\u00a0\n": "1", " \n\u3000": "Process exited with code 3"}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert {r.t: r.e for r in df.select("t", s.error_tail(F.col("t"), F.lit(3)).alias("e")).collect()} == cases
+
+
+def test_repeated_paragraphs_are_whole_lines(spark):
+    long = "1" * 60 + "a" * 60 + "2"
+    df = spark.createDataFrame([(1, f"x\n{long}"), (2, f"x\ny\n \u00a0{long} "), (3, long[1:]), (4, None)], "doc_id int, text string")
+    assert [tuple(r) for r in audit.repeated_paragraphs(df).collect()] == [(long, 2)]
