@@ -275,8 +275,11 @@ def migrate_legacy_ids(records: DataFrame) -> DataFrame:
 #: Rounds after which a collection that still changes is walked in order.
 ROUNDS = 24
 
+#: A collection of more requests is settled in rounds over ranges. Results are the same for any value.
+CROWD = 4_000_000
 
-def apply_changes(base: DataFrame, requests: DataFrame, most: int = LIMITS["records"], methods: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+
+def apply_changes(base: DataFrame, requests: DataFrame, most: int = LIMITS["records"], methods: DataFrame | None = None, rounds: int = ROUNDS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(records, responses) after requests(seq, collection, id, method, json) on base(collection, id, json), in order of seq, which is unique.
 
     id is the record's in the path, null for the collection itself. POST takes
@@ -286,14 +289,16 @@ def apply_changes(base: DataFrame, requests: DataFrame, most: int = LIMITS["reco
     missing; the path's id wins. methods(collection, methods): others are 405,
     collections without a row have none and are 404; None allows all.
 
-    A refused POST leaves no trace, so what follows on its id may be 404. Taken
-    that some POSTs are refused, the presence of each id is a running last
-    value. What then adds and removes records moves a counter that stops at
-    `most`: its value is a running sum less a running maximum (see _counter),
-    and tells again which POSTs are refused. The first requests of a
-    collection that this gets right grow in each round; a round that changes
-    nothing is right. Collections that still change after `rounds` are walked
-    in order, with the ids that differ from the base in memory.
+    A refused POST leaves no trace, so what follows on its id may be 404.
+    Collections of at most `crowd` requests are walked in order, one pass each,
+    with the ids that differ from the base in memory. Larger ones are settled in
+    rounds over ranges: taken that some POSTs are refused, the presence of each
+    id is a running last value. What then adds and removes records moves a
+    counter that stops at `most`: its value is a running sum less a running
+    maximum (see _counter), and tells again which POSTs are refused. The first
+    requests of a collection that this gets right grow in each round; a round
+    that changes nothing is right. Collections that still change after `rounds`
+    are walked too.
     """
     lost = F.lit(None).cast("int")
     doc = F.try_parse_json("json").try_cast("map<string, variant>")
@@ -309,22 +314,21 @@ def apply_changes(base: DataFrame, requests: DataFrame, most: int = LIMITS["reco
     held = base.groupBy("collection").agg(F.count("*").alias("_held"))
     own = own.drop("_body", "_allowed").join(there.hint("merge"), ["collection", "id"], "left").join(held.hint("merge"), "collection", "left")
     own = own.withColumns({"base": F.coalesce("base", F.lit(False)), "over": F.coalesce("_held", F.lit(0)) - most}).drop("_held")
-    now = stored(ranged(own.withColumn("refused", F.lit(False)), F.col("seq")), "changes")
-    for k in range(rounds):
-        after = stored(_counter(_present(now)), "changes")
-        discard(now)
-        differ = after.where("refused <> was").select("collection").distinct()
-        now = after
-        if differ.isEmpty():
-            break
+    own = stored(own, "requests")
+    heavy = stored(own.groupBy("collection").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("collection"), "crowded")
+    used = [own, heavy]
+    if heavy.isEmpty():
+        now = _walked(own)
     else:
-        now = _walked(now, differ, most)
+        hot = _in_rounds(own.join(heavy.hint("merge"), "collection", "left_semi"), rounds)
+        used.append(hot)
+        now = _walked(own.join(heavy.hint("merge"), "collection", "left_anti")).unionByName(hot.select(*own.columns, "here", "refused"))
     status = (
         F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(post & F.col("here"), 409).when(post & F.col("refused"), 413).when(post, 201)
         .when(~F.col("here"), 404).when(F.col("method") == "DELETE", 204).when(doc.isNull(), 400).otherwise(200)
     )
     done = stored(now.withColumn("status", status).select("seq", "collection", "id", "method", "json", "status"), "responses")
-    discard(now)
+    discard(*used)
     return _documents(base, done), done.select("seq", "collection", "id", "method", "status")
 
 
@@ -356,29 +360,45 @@ def _counter(changes: DataFrame) -> DataFrame:
     return own.withColumn("refused", adds & full).drop("_gone", "_opened", "_step", "_sum", "_peak")
 
 
-def _walked(changes: DataFrame, differ: DataFrame, most: int) -> DataFrame:
-    """changes with here and refused of the collections in differ(collection) found request by request."""
+def _in_rounds(changes: DataFrame, rounds: int) -> DataFrame:
+    """changes with here and refused, found for all ranges at once until they agree; a table."""
+    now = stored(ranged(changes.withColumn("refused", F.lit(False)), F.col("seq")), "changes")
+    for _ in range(rounds):
+        after = stored(_counter(_present(now)), "changes")
+        discard(now)
+        now = after
+        if now.where("refused <> was").isEmpty():
+            return now
+    differ = stored(now.where("refused <> was").select("collection").distinct(), "differ")
+    some = now.join(differ.hint("merge"), "collection", "left_semi").drop("here", "refused")
+    out = stored(now.join(differ.hint("merge"), "collection", "left_anti").unionByName(_walked(some)), "changes")
+    discard(now, differ)
+    return out
+
+
+def _walked(changes: DataFrame) -> DataFrame:
+    """changes with here and refused found request by request, a collection after the other."""
     from kilnspark.operators.folds import fold
 
     def step(state: tuple | None, row) -> tuple[tuple, tuple]:
         over, apart = state or (row.over, {})  # ids that aren't as in the base
         here = apart.get(row.id, row.base)
+        if row.verdict is not None:
+            return (over, apart), (here, False)
         refused = False
-        if row.verdict is None and row.method == "POST" and not here:
+        if row.method == "POST" and not here:
             refused = over >= 0
             if not refused:
                 over += 1
                 apart[row.id] = True
-        elif row.verdict is None and row.method == "DELETE" and here:
+        elif row.method == "DELETE" and here:
             over -= 1
             apart[row.id] = False
         if apart.get(row.id) == row.base:
             del apart[row.id]
         return (over, apart), (here, refused)
 
-    some = changes.join(differ.hint("merge"), "collection", "left_semi").drop("here", "refused")
-    walked = fold(some, ["collection"], ["seq"], step, None, "here boolean, refused boolean", ["id", "method", "verdict", "base", "over"])
-    return stored(changes.join(differ.hint("merge"), "collection", "left_anti").unionByName(walked), "changes")
+    return fold(changes, ["collection"], ["seq"], step, None, "here boolean, refused boolean", ["id", "method", "verdict", "base", "over"])
 
 
 def _documents(base: DataFrame, done: DataFrame) -> DataFrame:

@@ -257,6 +257,30 @@ def test_random_changes_equal_a_walk(spark, rounds, most):
     assert sorted((r.collection, r.id, json.dumps(json.loads(r.json), sort_keys=True)) for r in records.collect()) == docs
 
 
+@pytest.mark.parametrize("crowd, rounds", [(0, 24), (0, 1), (90, 24), (90, 1)])
+def test_crowded_collections_equal_a_walk(spark, crowd, rounds):
+    """All collections, or the larger one, in rounds; a null id and ids of several collections."""
+    rng = random.Random(7)
+    base = [(c, str(i), "{}") for c in "cd" for i in range(5)]
+    rows = [(seq, rng.choice("ccd"), None if m == "POST" else str(rng.randrange(9)), m, f'{{"id":"{rng.randrange(9)}","v":{seq}}}') for seq, m in enumerate(rng.choices(["POST", "PUT", "DELETE"], k=160))]
+    responses = collections.apply_changes(spark.createDataFrame(base, RECORD), spark.createDataFrame(rows, REQUEST), 4, rounds=rounds, crowd=crowd)[1]
+    assert [r.status for r in responses.orderBy("seq").collect()] == walked(base, rows, 4)[0]
+
+
+def test_many_requests_are_walked_in_few_jobs(spark):
+    """A collection at its limit whose rounds would follow one another for long."""
+    rows = [(i, "c", None if i % 2 else str(i // 2), "POST" if i % 2 else "DELETE", f'{{"id":"{i // 2 + 1}"}}') for i in range(400)]
+    jobs, tracker = [], spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("walk", "walk")
+    try:
+        responses = collections.apply_changes(spark.createDataFrame([("c", "0", "{}")], RECORD), spark.createDataFrame(rows, REQUEST), 1)[1]
+        jobs = tracker.getJobIdsForGroup("walk")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.status for r in responses.orderBy("seq").collect()] == [204, 201] * 200
+    assert len(jobs) < 20
+
+
 def test_guided_update_changes_all_or_nothing(spark):
     df = spark.createDataFrame([(1, [("email", False), ("sms", False)]), (2, [("email", False)])], "client int, items array<struct<id:string,on:boolean>>")
     def update(c):
