@@ -106,43 +106,53 @@ def stream_consent_gate(marks: DataFrame, version: str, seconds: int) -> DataFra
     return _keyed(marks, "subject", "subject string, at double", "at double, version string, state string", step, "at")
 
 
-def _timed(df: DataFrame, key: str, waits: Callable[[Any], float | None], out: str) -> DataFrame:
-    """One row for each key whose last row's deadline, in event time, has passed."""
+#: Groups that keys with deadlines are kept in; it can't change while a stream's checkpoint is in use.
+GROUPS = 4096
 
-    def run(own: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            status = held.get[0]
-            held.remove()
-            yield pd.DataFrame([(own[0], status)], columns=["id", "status"])
-            return
-        last = None
-        for row in _rows(batches, "ts"):
-            last = row
-        wait = waits(last)
-        if wait is None:
-            if held.exists:
-                held.remove()
-        else:
-            held.update((last.status,))
-            held.setTimeoutTimestamp(max(int(last.ts.timestamp() * 1000 + wait), held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([], columns=["id", "status"])
 
-    return df.groupBy(key).applyInPandasWithState(run, out, "status string", "append", GroupStateTimeout.EventTimeTimeout)
+def _timed(df: DataFrame, key: str, waits: dict[str, int], groups: int = GROUPS) -> DataFrame:
+    """(key, status): one row for each key whose last row's deadline, waits[status] ms of event time after it, has passed.
+
+    Keys are kept together in groups by hash, each a state of its own with one
+    timer, for its next deadline: a call takes the rows of all its keys.
+    """
+    held_as = {key: "object", "status": "object", "until": "int64"}
+
+    def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        held = pd.DataFrame(dict(zip(held_as, state.get if state.exists else ([], [], [])))).astype(held_as)
+        frames = [] if state.hasTimedOut else list(batches)
+        if frames:
+            last = pd.concat(frames).sort_values("us", kind="stable").drop_duplicates(key, keep="last")
+            held = held[~held[key].isin(last[key])]
+            new = last.assign(until=last["us"] // 1000 + last["status"].map(waits)).dropna(subset=["until"])
+            new = new.astype({"until": "int64"}).assign(until=lambda n: n["until"].clip(lower=mark + 1))
+            held = pd.concat([held, new[list(held_as)]])
+        over = held["until"] < mark
+        due, held = held[over], held[~over]
+        if len(held):
+            state.update(tuple(held[c].tolist() for c in held_as))
+            state.setTimeoutTimestamp(max(int(held["until"].min()), mark))
+        elif state.exists:
+            state.remove()
+        yield due[[key, "status"]]
+
+    own = df.select(F.col(key).cast("string").alias(key), "ts", F.unix_micros("ts").alias("us"), "status").withColumn("group", F.pmod(F.xxhash64(key), F.lit(groups)))
+    return own.groupBy("group").applyInPandasWithState(run, f"{key} string, status string", f"{key} array<string>, status array<string>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 #: Milliseconds a request stays in each state.
 TTL = {"pending": 24 * 3_600_000, "redeemed": 3_600_000, "declined": 30 * 60_000, "approved": 24 * 3_600_000}
 
 
-def stream_expiry(requests: DataFrame, ttl: dict[str, int] | None = None) -> DataFrame:
+def stream_expiry(requests: DataFrame, ttl: dict[str, int] | None = None, groups: int = GROUPS) -> DataFrame:
     """(id, status) of requests(id, ts, status) whose state has outlived its time, at the deadline; ts needs a watermark."""
-    limits = ttl or TTL
-    return _timed(requests, "id", lambda r: limits.get(r.status), "id string, status string")
+    return _timed(requests, "id", ttl or TTL, groups)
 
 
-def stream_stalled_jobs(jobs: DataFrame, after_ms: int) -> DataFrame:
+def stream_stalled_jobs(jobs: DataFrame, after_ms: int, groups: int = GROUPS) -> DataFrame:
     """(id, status) of jobs(id, ts, status) in process that had no update for a time; ts needs a watermark."""
-    return _timed(jobs, "id", lambda r: after_ms if r.status == "processing" else None, "id string, status string")
+    return _timed(jobs, "id", {"processing": after_ms}, groups)
 
 
 def stream_usage_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:

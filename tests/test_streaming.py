@@ -63,3 +63,19 @@ def test_expiry_stalls_and_counts(spark, tmp_path):
     assert {r.id for r in run(states.stream_stalled_jobs(src(), 600_000), "stalled")} == {"b"}
     counts = run(states.stream_usage_counts(feed(spark, tmp_path / "e", rows, "id string, ts timestamp, status string").select("ts", F.col("status").alias("event"))), "counts")
     assert ("declined", 1) in {(r.event, r.n) for r in counts}
+
+
+def test_deadlines_of_keys_that_share_groups(spark, tmp_path):
+    """A key's later row replaces its deadline or ends it; eight groups hold all keys."""
+    day = "2024-01-01T{:02}:00:00Z".format
+    first = [{"id": str(i), "ts": day(0), "status": "pending"} for i in range(3000)]
+    again = [{"id": str(i), "ts": day(1), "status": ("declined", "done", "pending")[i % 3]} for i in range(0, 3000, 2)]
+    ends = [{"id": "end", "ts": t, "status": "x"} for t in ("2024-01-01T05:00:00Z", "2024-01-02T00:30:00Z", "2024-01-02T00:40:00Z")]
+    for i, rows in enumerate([first, again, *([e] for e in ends)]):
+        file = tmp_path / f"{i:03}.json"
+        file.write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    df = spark.readStream.schema("id string, ts timestamp, status string").option("maxFilesPerTrigger", 1).json(str(tmp_path)).withWatermark("ts", "1 minute")
+    got = run(states.stream_expiry(df, groups=8), "many_deadlines")
+    want = {(str(i), "pending") for i in range(1, 3000, 2)} | {(str(i), "declined") for i in range(0, 3000, 2) if i % 3 == 0}
+    assert {(r.id, r.status) for r in got} == want and len(got) == len(want)
