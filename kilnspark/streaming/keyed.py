@@ -7,6 +7,7 @@ it runs.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -130,7 +131,10 @@ def changes_of_view(views: DataFrame) -> DataFrame:
 
 
 class _Ordered(StatefulProcessor):
-    """Rows wait in a map, by time, until the watermark has passed them; then they go through a step in order.
+    """Rows wait in a list until the watermark has passed them; then they go through a step in order.
+
+    A key's rows of a micro-batch are one element of it, pickled, with one timer
+    for the first of them; of rows of equal ms and seq the last one counts.
 
     step(state, row) gives the state after it and a row to show, or None.
     until(state) is when, in ms of event time, the state is of no more use.
@@ -138,31 +142,38 @@ class _Ordered(StatefulProcessor):
 
     def __init__(self, row: str, state: str, out: str, step: Callable, until: Callable | None = None):
         self.fields, self.out = ([f.name for f in StructType.fromDDL(x).fields] for x in (row, out))
-        self.row, self.state = row, state
-        self.step, self.until = step, until
+        self.state, self.step, self.until = state, step, until
 
     def init(self, handle: Any) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long, seq long", self.row)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.held = handle.getValueState("held", self.state)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        for row in rows:
-            if row.ms > mark:
-                self.waiting.updateValue((row.ms, row.seq), tuple(row[f] for f in self.fields))
-                self.handle.registerTimer(row.ms)
+        new = [(row.ms, row.seq, *(row[f] for f in self.fields)) for row in rows if row.ms > mark]
+        if new:
+            self.waiting.appendValue((pickle.dumps(new),))
+            self.handle.registerTimer(min(row[0] for row in new))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        due = sorted((tuple(k) for k, _ in self.waiting.iterator() if k[0] <= mark))
-        state = tuple(self.held.get()) if self.held.exists() else None
+        mark, named, made = timerValues.getCurrentWatermarkInMs(), Row(*self.fields), Row(*self.out)
+        waiting = {row[:2]: row[2:] for part in self.waiting.get() for row in pickle.loads(part[0])}
+        due = sorted(at for at in waiting if at[0] <= mark)
+        state = self.held.get()
+        state = None if state is None else tuple(state)
         for at in due:
-            state, shown = self.step(state, Row(*self.fields)(*self.waiting.getValue(at)), *at)
-            self.waiting.removeKey(at)
+            state, shown = self.step(state, named(*waiting[at]), *at)
             if shown is not None:
-                yield Row(*self.out)(*shown)
+                yield made(*shown)
+        if due:
+            later = [(*at, *row) for at, row in waiting.items() if at[0] > mark]
+            if later:
+                self.waiting.put([(pickle.dumps(later),)])
+                self.handle.registerTimer(min(row[0] for row in later))
+            else:
+                self.waiting.clear()
         end = None if state is None or self.until is None else self.until(state)
         if state is None or (end is not None and end <= mark):
             self.held.clear()

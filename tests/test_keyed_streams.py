@@ -121,3 +121,15 @@ def test_consent_of_two_streams(spark, tmp_path):
     got = finished(spark, keyed.consented(given, asked, "v1", 150, "5 minutes"), tmp_path, "consented")
     assert sorted((s, seq) for s, _, seq in got) == [("s", 30), ("s", 200), ("z", 9000)]
     assert "s" not in kept(spark, tmp_path, "held")
+
+
+def test_a_batch_of_a_key_waits_as_one_element(spark, tmp_path):
+    """Rows of a key cost one entry and one timer a micro-batch; of rows of equal time and seq the last one counts."""
+    rows = [{"id": "a", "ts": stamp(i), "seq": i, "status": f"s{i}", "progress": None, "stage": ""} for i in range(100)]
+    df = feed(spark, tmp_path / "in", [rows[50:], rows[:50], [rows[7] | {"status": "new"}]], "id string, ts timestamp, seq long, status string, progress int, stage string")
+    assert not finished(spark, keyed.job_state_by_time(df, "5 minutes"), tmp_path, "waiting_rows")
+    state = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "state"))
+    assert state.count() == 3
+    add(tmp_path / "in", 3, [{"id": "z", "ts": stamp(5000), "seq": 0, "status": "", "progress": None, "stage": ""}])
+    got = [r for r in finished(spark, keyed.job_state_by_time(df, "5 minutes"), tmp_path, "waited_rows") if r[0] == "a"]
+    assert sorted((seq, status) for _, _, seq, status, _, _ in got) == [(i, "new" if i == 7 else f"s{i}") for i in range(100)]
