@@ -131,5 +131,5 @@ def test_a_batch_of_a_key_waits_as_one_element(spark, tmp_path):
     state = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "state"))
     assert state.count() == 3
     add(tmp_path / "in", 3, [{"id": "z", "ts": stamp(5000), "seq": 0, "status": "", "progress": None, "stage": ""}])
-    got = [r for r in finished(spark, keyed.job_state_by_time(df, "5 minutes"), tmp_path, "waited_rows") if r[0] == "a"]
+    got = [r for r in finished(spark, keyed.job_state_by_time(df, "5 minutes"), tmp_path / "again", "waited_rows") if r[0] == "a"]
     assert sorted((seq, status) for _, _, seq, status, _, _ in got) == [(i, "new" if i == 7 else f"s{i}") for i in range(100)]
