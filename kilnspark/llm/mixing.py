@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import WORD, stored
+from kilnspark.llm.common import WORD, discard, stored
 
 #: 2^31 and the odd integer next to 2^31 / golden ratio: the schedule's points are multiples modulo 2^31.
 UNITS, GOLDEN = 2**31, 1_327_217_885
@@ -91,10 +91,13 @@ def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, m
     placed = stored(key.withColumn("run", F.sum("size").over(inside)).join(before.hint("merge"), ["s", "range"]).withColumn("first", F.col("before") + F.col("run") - F.col("size")), "placed")
     parts = placed.where("size > 0").select("s", "first", "size", F.explode(F.expr(f"sequence(first div {block}, (first + size - 1) div {block})")).alias("block"))
     words = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("first", F.col("block") * block)
-    taken = parts.join(schedule(goals, block, most).hint("merge"), ["s", "block"]).groupBy("s", "first").agg(F.sum(words * F.col("times")).alias("words"))
+    turns = stored(schedule(goals, block, most), "schedule")  # a plan of its own: the driver plans the rest again after each of its stages
+    taken = parts.join(turns.hint("merge"), ["s", "block"]).groupBy("s", "first").agg(F.sum(words * F.col("times")).alias("words"))
     some = placed.where("size > 0").join(taken.hint("merge"), ["s", "first"], "left")
     columns = ["doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source"]
-    return some.select(*columns).unionByName(placed.where("size = 0").withColumn("words", F.lit(0)).select(*columns))
+    out = some.select(*columns).unionByName(placed.where("size = 0").withColumn("words", F.lit(0)).select(*columns))
+    out.reads = [sized, goals, placed, turns]
+    return out
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -105,7 +108,9 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     appear. Rows of equal id, source and size share what is taken of them.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = mix(docs, **how).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n_rows"))
+    dealt = mix(docs, **how)
+    key = stored(dealt.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n_rows")), "takings")
+    discard(*dealt.reads)
     whole = docs.select(F.col("doc_id").alias("own"), F.col("source").alias("from"), size.alias("words"), F.struct("*").alias("row"))
     both = whole.join(key.hint("merge"), F.col("own").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
     copies = F.floor(F.col("taken") / (F.col("size") * F.col("n_rows")) + 0.5).cast("int")

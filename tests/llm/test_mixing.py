@@ -51,3 +51,9 @@ def test_mixed_documents_keep_their_columns(spark):
     assert got.columns == docs.columns
     sizes = {r.doc_id: len(re.findall(r"[^ \t-\r]+", r.text or "")) for r in docs.collect()}
     assert all(sizes[r.doc_id] for r in got.where("doc_id <> 4").collect())
+
+
+def test_mixed_is_planned_in_parts(spark):
+    """The driver plans a query again after each of its shuffles."""
+    out = mixing.mixed(documents(spark))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 4

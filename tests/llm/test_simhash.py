@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 
 import pytest
 import xxhash
@@ -80,3 +81,13 @@ def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 300)) and 5000 not in got
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Each round is several jobs, whose plans the driver makes and keeps."""
+    module, written = sys.modules["kilnspark.llm.components"], []
+    keep = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or keep(df, name))
+    got = {(r.node, r.root) for r in components(spark.createDataFrame([(1, 2), (3, 1), (9, 8), (2, 1)], "a long, b long")).collect()}
+    assert got == {(2, 1), (3, 1), (9, 8)} and written == ["edges"]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
