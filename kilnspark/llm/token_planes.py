@@ -14,7 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kilnspark.llm.common import slices, text_of
 
 #: Ids of a block, and chunks of text kept in a worker's memo.
-BLOCK, MEMO = 65_536, 700_000
+BLOCK, MEMO = 65_536, 1_000_000
 CHUNKS = "shard int, chunk int, first long, n_ids int, planes int, plane_ends array<int>, payload binary, doc_nos array<int>, doc_ids array<long>, parts array<int>"
 
 
@@ -57,21 +57,13 @@ def unpack(n: int, planes: int, ends: list[int], payload: bytes) -> np.ndarray:
 SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Chunks(dict):
-    """A number for each chunk met, from 0 on; new ones are listed in fresh."""
-
-    def __init__(self):
-        super().__init__({"": 0})
-        self.fresh: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self.fresh.append(chunk)
-        got = self[chunk] = len(self)
-        return got
+#: White space but spaces and line feeds.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
 
 
 class ChunkEncoder:
-    """Encodes with the tokenizers library, each distinct chunk once while it is remembered.
+    """Encodes with the tokenizers library, each distinct chunk once while it is remembered; the earlier half of a full memo stays.
 
     Texts are cut before single spaces and line feeds, where the byte-level
     pre-tokenizer always cuts too, so a text's ids are those of its chunks.
@@ -83,7 +75,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.numbers, self.ids = Tokenizer.from_str(raw), Chunks(), [b""]
+        self.tokenizer, self.ids = Tokenizer.from_str(raw), {"": b""}
         about = json.loads(raw)
         split = {k: (about["pre_tokenizer"] or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")}
         plain = split == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and not about["normalizer"] and not about["truncation"]
@@ -112,34 +104,38 @@ class ChunkEncoder:
 
     def _cut(self, text: str) -> list[str]:
         """The text's chunks: each but the first stands for itself after a space, or for itself if it begins with a line feed."""
-        words, feeds = text.split(), text.count("\n")
-        n = len(words) - 1
-        if n < 0 or n != text.count(" ") + feeds or n + len("".join(words)) != len(text):
+        feeds = "\n" in text
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or feeds and ("\n\n" in text or " \n" in text or "\n " in text) or any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE)):
             return SEAM.split(text)  # not just single spaces and line feeds between words
-        return text.replace("\n", " \n").split(" ") if feeds else words
+        return (text.replace("\n", " \n") if feeds else text).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cuts:
             return self._each(texts)
-        if len(self.ids) > MEMO:
-            self.numbers, self.ids = Chunks(), [b""]
         cuts = [self._cut(t) for t in texts]
         firsts = self._each([c[0] for c in cuts])
-        number = self.numbers.__getitem__
-        rows = []
+        get, rows, gaps, fresh = self.ids.get, [], [], {}
         for c in cuts:
             c[0] = ""  # its ids come first
-            rows.append(list(map(number, c)))
-        fresh, self.numbers.fresh = self.numbers.fresh, []
+            row = list(map(get, c))
+            rows.append(row)
+            gaps.append([i for i, ids in enumerate(row) if ids is None])
+            fresh.update((c[i], None) for i in gaps[-1])
+        fresh = list(fresh)
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
-            spaced = [f" {c}" for c in some if "\n" not in c]
-            odd = [c if c[0] == "\n" else f" {c}" for c in some if "\n" in c]
-            found, rest = iter(self._listed(spaced)), iter(self._each(odd))
-            self.ids += [next(rest) if "\n" in c else next(found) for c in some]
-        get = self.ids.__getitem__
-        return [first + b"".join(map(get, row)) for first, row in zip(firsts, rows)]
+            spaced = [c for c in some if "\n" not in c]
+            odd = [c for c in some if "\n" in c]
+            self.ids.update(zip(spaced, self._listed([f" {c}" for c in spaced])))
+            self.ids.update(zip(odd, self._each([c if c[0] == "\n" else f" {c}" for c in odd])))
+        for first, c, row, empty in zip(firsts, cuts, rows, gaps):
+            row[0] = first
+            for i in empty:
+                row[i] = self.ids[c[i]]
+        if len(self.ids) > MEMO:  # chunks met early are those met often
+            self.ids = dict(islice(self.ids.items(), MEMO // 2))
+        return [b"".join(row) for row in rows]
 
 
 _encoders: dict[int, ChunkEncoder] = {}

@@ -87,6 +87,25 @@ def test_chunks_have_the_ids_of_whole_texts(monkeypatch):
         assert encoder.encode(some) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
 
 
+def test_common_chunks_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(token_planes, "MEMO", 40)
+    tokenizer, encoder, asked = Tokenizer.from_file(JSON), token_planes.ChunkEncoder(open(JSON).read()), []
+    listed = encoder._listed
+    monkeypatch.setattr(encoder, "_listed", lambda texts: asked.extend(texts) or listed(texts))
+    for at in range(0, 600, 30):
+        text = "so the " + " the ".join(f"w{i}\nx" for i in range(at, at + 30))
+        assert encoder.encode([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert asked.count(" the") == 1 and asked.count(" w599") == 1
+
+
+def test_texts_are_cut_between_words_only():
+    encoder = token_planes.ChunkEncoder(open(JSON).read())
+    for text in ("", "a", "a b", "a\nb c", "a  b", " a", "a ", "a\n\nb", "a \nb", "a\n b", "\na", "a\n", *(f"a{c}b d" for c in token_planes.OTHER_SPACE)):
+        words = text.split()
+        plain = words and len(words) - 1 == text.count(" ") + text.count("\n") and len(words) - 1 + len("".join(words)) == len(text)
+        assert encoder._cut(text) == (text.replace("\n", " \n").split(" ") if plain else token_planes.SEAM.split(text))
+
+
 def test_token_files_of_nothing(spark):
     path = scratch(spark, "ids")
     token_planes.write_ids(documents(spark, []), path, JSON, 2)
