@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kilnspark.functions.scalars import currency_candidate, half_up, needs_space, numeric_like, run_id, text_identity
-from kilnspark.operators.folds import fold
+from kilnspark.operators.folds import ROWS, fold
 from kilnspark.operators.ranked import running_last, running_sum
 
 PAGE = ["doc_id", "page_index"]
@@ -57,29 +57,34 @@ MARK = re.compile("[\u093a-\u094d\u0962\u0963\u200c\u200d\u0300-\u036f]")
 _BLANK = re.compile("[\\s\ufeff]")
 
 
-def _merge_step(state: dict | None, row: Any) -> tuple[dict | None, tuple]:
-    """Numbers the group of each run: direction and line are the head's, the gap is from the tail, along the head's direction."""
-    if row.item:
-        if state and _BLANK.search(row.text or ""):
-            state = state | {"parted": True}
-        return state, (None,)
-    a, b, _, _, x, y = row.transform
-    text, width, high = row.text or "", max(row.width or 0.0, 0.0), row.height or 0.0
-    joins = False
-    if state:
-        ux, uy = state["along"]
-        high = max(high, state["height"])
-        line = abs((x - state["x"]) * -uy + (y - state["y"]) * ux) <= max(1.0, 0.35 * high) and abs(a - state["a"]) <= 0.01 and abs(b - state["b"]) <= 0.01
-        flat = state["width"] <= 0.01
-        parted = bool(_BLANK.search(text) or _BLANK.search(state["text"])) or (state["parted"] and not (flat and MARK.search(text)))
-        gap = (x - state["tail_x"]) * ux + (y - state["tail_y"]) * uy - state["width"]
-        joins = row.font_name == state["font"] and line and not parted and (flat or abs(gap) <= max(4.0, 0.9 * high))
-    if joins:
-        state = state | {"tail_x": x, "tail_y": y, "width": width, "text": state["text"] + text, "parted": False}
-    else:
+class _Word:
+    """A word in the making: direction and line are the head's, the gap is from the tail, along the head's direction."""
+
+    def __init__(self, font: str | None, a: float | None, b: float, x: float, y: float, height: float):
         size = math.hypot(a or 1.0, b) or 1.0
-        state = {"group": state["group"] + 1 if state else 0, "font": row.font_name, "a": a, "b": b, "x": x, "y": y, "along": ((a or 1.0) / size, b / size), "height": row.height or 0.0, "tail_x": x, "tail_y": y, "width": width, "text": text, "parted": False}
-    return state, (state["group"],)
+        self.font, self.a, self.b, self.x, self.y, self.height, self.ux, self.uy = font, a, b, x, y, height, (a or 1.0) / size, b / size
+        self.texts, self.ordinals, self.editable, self.blank, self.parted = [], [], True, False, False
+
+    def add(self, ordinal: int, text: str, x: float, y: float, width: float | None, editable: bool | None) -> None:
+        if not self.texts:
+            self.first_width = width
+        self.texts.append(text)
+        self.ordinals.append(ordinal)
+        self.tail_x, self.tail_y, self.tail_width, self.width = x, y, width, max(width or 0.0, 0.0)
+        self.blank, self.parted = self.blank or bool(_BLANK.search(text)), False
+        if self.editable is not False and editable is not True:
+            self.editable = editable
+
+    def joins(self, text: str, font: str | None, a: float, b: float, x: float, y: float, height: float) -> bool:
+        if font != self.font or self.blank or abs(a - self.a) > 0.01 or abs(b - self.b) > 0.01 or _BLANK.search(text):
+            return False
+        high, flat = max(height, self.height), self.width <= 0.01
+        if abs((x - self.x) * -self.uy + (y - self.y) * self.ux) > max(1.0, 0.35 * high) or (self.parted and not (flat and MARK.search(text))):
+            return False
+        return flat or abs((x - self.tail_x) * self.ux + (y - self.tail_y) * self.uy - self.width) <= max(4.0, 0.9 * high)
+
+    def row(self) -> tuple:
+        return "".join(self.texts), self.ordinals, self.editable, self.a, self.b, self.x, self.y, self.first_width, self.tail_x, self.tail_y, self.tail_width
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
@@ -90,15 +95,45 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     runs; white space among them parts runs, unless a glyph without width is
     followed by a combining mark. A merged run reaches along its head's
     direction to the end of its last part, and is at least as wide as the head.
+    Words are put together as the page streams by; no runs are collected after it.
     """
-    grouped = fold(runs, PAGE, ["ordinal"], _merge_step, None, "word int", ["ordinal", "text", "font_name", "transform", "width", "height", "item"]).where("word is not null")
-    at = F.array_sort(F.collect_list(F.struct("ordinal", "text", "transform", "width", "editable")))
-    out = grouped.groupBy(*PAGE, "word").agg(at.alias("r"))
-    head, tail = F.get("r", F.lit(0)), F.element_at("r", -1)
-    a, b = F.when(head["transform"][0] == 0, 1.0).otherwise(head["transform"][0]), head["transform"][1]
-    along = lambda r: (r["transform"][4] * a + r["transform"][5] * b) / F.hypot(a, b)
-    width = F.greatest(head["width"], along(tail) + F.greatest(F.lit(0.0), tail["width"]) - along(head))
-    return out.select(*PAGE, "word", F.array_join("r.text", "").alias("text"), F.col("r.ordinal").alias("ordinals"), F.round(width, 6).alias("width"), F.forall("r.editable", lambda e: e).alias("editable"))
+    own = runs.select(*PAGE, "ordinal", "text", "font_name", *[F.get("transform", F.lit(i)).alias(c) for i, c in ((0, "a"), (1, "b"), (4, "x"), (5, "y"))], F.col("width").cast("double"), F.col("height").cast("double"), "editable", "item")
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    numbers = ["a", "b", "x", "y", "first_width", "tail_x", "tail_y", "tail_width"]
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in PAGE], "word int, text string", f"ordinals array<{kinds['ordinal']}>", "editable boolean", *[f"{c} double" for c in numbers]])
+    form = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, n, word = None, 0, None
+        for whole in batches:
+            done = []
+            for at in range(0, whole.num_rows, ROWS):
+                for doc, index, ordinal, text, font, a, b, x, y, width, height, editable, item in zip(*(c.to_pylist() for c in whole.slice(at, ROWS).columns)):
+                    if (doc, index) != page:
+                        if word:
+                            done.append((*page, n, *word.row()))
+                        page, n, word = (doc, index), 0, None
+                    text, height = text or "", height or 0.0
+                    if item:
+                        if word and _BLANK.search(text):
+                            word.parted = True
+                        continue
+                    if word is None or not word.joins(text, font, a, b, x, y, height):
+                        if word:
+                            done.append((*page, n, *word.row()))
+                            n += 1
+                        word = _Word(font, a, b, x, y, height)
+                    word.add(ordinal, text, x, y, width, editable)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), form)], schema=form)
+        if word:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*page, n, *word.row()), form)], schema=form)
+
+    out = own.repartition(*PAGE).sortWithinPartitions(*PAGE, "ordinal").mapInArrow(run, schema)
+    a, b = F.when(F.col("a") == 0, 1.0).otherwise(F.col("a")), F.col("b")
+    along = lambda x, y: (F.col(x) * a + F.col(y) * b) / F.hypot(a, b)
+    width = F.greatest(F.col("first_width"), along("tail_x", "tail_y") + F.greatest(F.lit(0.0), F.col("tail_width")) - along("x", "y"))
+    return out.select(*PAGE, "word", "text", "ordinals", F.round(width, 6).alias("width"), "editable")
 
 
 def words_of(blocks: DataFrame) -> DataFrame:

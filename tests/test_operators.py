@@ -98,6 +98,17 @@ def test_merge_runs_of_devanagari_items(spark):
     assert got == [(0, "ab\u0915\u093f", [0, 1, 3], 32.0), (1, "ef", [5, 6], 19.0), (2, "g", [7], 9.0), (3, "h i", [8], 9.0), (4, "j", [9], 9.0)]
 
 
+def test_words_are_put_together_in_one_pass(spark):
+    """Words over the borders of batches, texts and flags that are null, equal pages of two documents."""
+    rows = [(d, 0, i, None if i == 5 else "ab"[i % 2], "f", [1.0, 0.0, 0.0, 1.0, 6.0 * i, 10.0], None if i == 0 else 5.0, 10.0, {3: None, 9000: False}.get(i, True), False) for d in "xy" for i in range(9500)]
+    df = spark.createDataFrame(rows, "doc_id string, page_index int, ordinal int, text string, font_name string, transform array<double>, width double, height double, editable boolean, item boolean").repartition(3)
+    out = layout.merge_runs(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") == 1
+    text = "".join("ab"[i % 2] for i in range(9500) if i != 5)
+    assert sorted(map(tuple, out.collect())) == [(d, 0, 0, text, list(range(9500)), 56999.0, False) for d in "xy"]
+
+
 def test_folds_keep_large_numbers_and_nulls(spark):
     rows = [("k", 1, 9007199254740993, 1.0), ("k", 2, None, 80.0), (None, 3, 5, 3.0)]
     got = folds.throttle(spark.createDataFrame(rows, "key string, seq int, big long, progress double"), ["key"], ["seq"]).collect()
