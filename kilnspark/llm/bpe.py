@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import slices, text_of
+from kilnspark.llm.common import mapped, slices, text_of
 
 #: Characters of a text leaf, bytes of a piece leaf, entries kept in each of a worker's memos.
 TEXT_LEAF, PIECE_LEAF, MEMO = 4096, 16, 300_000
@@ -199,7 +199,7 @@ def _over(docs: DataFrame, rank_file: str, pattern: str, key: str, text: str, co
             yield pa.RecordBatch.from_arrays([batch.column(0), *of(codec, batch.column(1).to_pylist())], [key, *(c for c, _ in columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_of(text).alias("text")).mapInArrow(run, ", ".join([f"`{key}` {kind}", *map(" ".join, columns)]))
+    return mapped(docs.select(key, text_of(text).alias("text")), run, ", ".join([f"`{key}` {kind}", *map(" ".join, columns)]))
 
 
 def _listed(ids: list[list[int]]) -> pa.Array:
@@ -231,7 +231,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, key: str = "doc_id"
 
     kind = encoded.schema[key].dataType.simpleString()
     ids = F.coalesce(F.col("ids"), F.array().cast("array<int>")).alias("ids")
-    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
+    return mapped(encoded.select(key, ids), run, f"`{key}` {kind}, ids array<int>, decoded binary")
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

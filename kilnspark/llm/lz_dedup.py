@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.llm import anchors
-from kilnspark.llm.common import slices, text_of
+from kilnspark.llm.common import mapped, slices, text_of
 from kilnspark.llm.suffix_dedup import runs
 
 #: Words of a window; words of an anchor's run; regions of a key beyond which it is split.
@@ -152,7 +152,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
 
     def method(parts: DataFrame) -> DataFrame:
         dealt = parts.select("key", "region", "ord", "units").repartition("key").sortWithinPartitions("key", "ord")
-        return dealt.mapInArrow(_parse(length), f"key long, region long, runs {anchors.RUNS}")
+        return mapped(dealt, _parse(length), f"key long, region long, runs {anchors.RUNS}")
 
     return anchors.spans(docs, cut, method, length, gram, 8, crowd, earlier=True)
 
@@ -187,7 +187,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()])], ["doc_id", "n_words", "n_removed", "kept"])
 
     joined = anchors.packed(docs).join(found.hint("merge"), anchors.ROW, "left")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return mapped(joined, run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -207,7 +207,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
                 kept.append(b" ".join([w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]]).decode())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, pa.string())], [*anchors.ROW, "kept"])
 
-    new = texts.mapInArrow(run, "ord long, h1 long, h2 long, kept string").dropDuplicates(anchors.ROW)
+    new = mapped(texts, run, "ord long, h1 long, h2 long, kept string").dropDuplicates(anchors.ROW)
     whole = docs.select(*anchors.identity(), F.struct("*").alias("row"))
     both = whole.join(new.hint("merge"), anchors.ROW, "left")
     fields = {"text": F.coalesce("kept", "row.text").alias("text")}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import discard, slices, stored, text_of
+from kilnspark.llm.common import discard, mapped, slices, stored, text_of
 
 #: N-gram starts hashed at a time; multipliers of the n-gram hash; the word pairs of a word with itself, which all share one feature.
 STEP, ODD, MIX, AGAIN = 1 << 20, np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15), zlib.crc32(b"\0again")
@@ -115,7 +115,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, teaches: Column, s: Settin
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     some = own.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id")
     one = some.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "label", "t.text")
-    held = stored(one.mapInArrow(run, "doc_id long, label int, size long, pairs binary"), "labelled")
+    held = stored(mapped(one, run, "doc_id long, label int, size long, pairs binary"), "labelled")
     left, taken = s.pairs, []
     for r in held.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # s.sample rows
         left -= r.size
@@ -158,7 +158,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return mapped(docs.select("doc_id", text_of().alias("text")), run, f"doc_id {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, settings: Settings | None = None) -> DataFrame:
