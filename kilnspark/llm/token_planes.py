@@ -13,12 +13,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from collections.abc import Iterator
 from itertools import accumulate, chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm.common import slices, text_of
 
-#: Ids of a block, and chunks of text kept in a worker's memo.
-BLOCK, MEMO = 65_536, 1_000_000
+#: Ids of a block, chunks of text kept in a worker's memo, and characters of the texts encoded at once (a longer text stands alone).
+BLOCK, MEMO, AT_ONCE = 65_536, 1_000_000, 4_000_000
 CHUNKS = "shard int, chunk int, first long, n_ids int, planes int, plane_ends array<int>, payload binary, doc_nos array<int>, doc_ids array<long>, parts array<int>"
 
 
@@ -60,6 +62,10 @@ SEAM = re.compile(r"(?<=\S) (?=\S)")
 #: White space but spaces and line feeds.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
+#: The pattern matches Latin letters apart from the punctuation after them.
+LATIN, MARKS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), string.punctuation
+#: Byte-level models write a byte that is no printable Latin-1 character as one of the characters from 256 on.
+BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
 
 
 class ChunkEncoder:
@@ -67,8 +73,10 @@ class ChunkEncoder:
 
     Texts are cut before single spaces and line feeds, where the byte-level
     pre-tokenizer always cuts too, so a text's ids are those of its chunks.
-    Under any other pre-tokenizer, a normalizer, or an added token with white
-    space or such neighbours, texts stay whole.
+    A chunk of letters and punctuation after them is made of both; letters
+    alone are one match of its pattern, which goes to the library's model at
+    once. Under any other pre-tokenizer, a normalizer, or an added token with
+    white space or such neighbours, texts stay whole.
     """
 
     def __init__(self, raw: str):
@@ -84,58 +92,106 @@ class ChunkEncoder:
         self.feed = np.frombuffer(self._each(["\n"])[0], "<u4")
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        ends = list(accumulate([4 * len(f) for f in found]))
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return _parts([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _with_added(self, chunks: list[str]) -> set[str]:
+        """The chunks in which an added token stands."""
+        joined = " ".join(chunks)
+        found = [t for t in self.added if t in joined]
+        return {c for c in chunks if any(t in c for t in found)} if found else set()
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """As _each, for Latin letters after a space or a line feed, without an added token."""
+        tokenize, feed = self.tokenizer.model.tokenize, self.feed.tolist()
+        level = [w[1:] if w.isascii() else w[1:].encode().decode("latin-1").translate(BYTES) for w in words]
+        return _parts([[t.id for t in tokenize("\u0120" + x)] if w[0] == " " else [*feed, *(t.id for t in tokenize(x))] for w, x in zip(words, level)])
 
     def _listed(self, texts: list[str]) -> list[bytes]:
-        """As _each, in one go: for texts without line feeds, which begin with a space and have no other white space at their ends.
+        """As _each, for texts that begin with a space or a line feed and have no other white space at their ends.
 
-        Between them stands a line feed, whose token has no other source.
+        Between those that are not just letters stands a line feed, whose token
+        has no other source.
         """
-        joined = "\n".join(["", *texts])
-        if len(self.feed) != 1 or any(t in joined for t in self.added):
-            return self._each(texts)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == self.feed[0])
-        raw, starts, ends = ids.tobytes(), (4 * (cuts + 1)).tolist(), (4 * np.append(cuts[1:], len(ids))).tolist()
-        return [raw[a:b] for a, b in zip(starts, ends)]
+        held = self._with_added(texts)
+        done = dict(zip(held, self._each(list(held))))
+        done.update(zip(words := [t for t in texts if t not in held and _latin(t[1:])], self._letters(words)))
+        rest = [t for t in texts if t not in done]
+        if len(self.feed) == 1 and rest and not any("\n" in t for t in rest):
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(["", *rest])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.feed[0])
+            raw, starts, ends = ids.tobytes(), (4 * (cuts + 1)).tolist(), (4 * np.append(cuts[1:], len(ids))).tolist()
+            done.update(zip(rest, [raw[a:b] for a, b in zip(starts, ends)]))
+        else:
+            done.update(zip(rest, self._each(rest)))
+        return [done[t] for t in texts]
+
+    def _plain(self, text: str) -> bool:
+        """Whether all white space is single spaces and line feeds between words."""
+        feeds = "\n" in text
+        return not (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or feeds and ("\n\n" in text or " \n" in text or "\n " in text) or any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE)))
 
     def _cut(self, text: str) -> list[str]:
         """The text's chunks: each but the first stands for itself after a space, or for itself if it begins with a line feed."""
-        feeds = "\n" in text
-        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or feeds and ("\n\n" in text or " \n" in text or "\n " in text) or any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE)):
-            return SEAM.split(text)  # not just single spaces and line feeds between words
-        return (text.replace("\n", " \n") if feeds else text).split(" ")
+        return text.replace("\n", " \n").split(" ") if self._plain(text) else SEAM.split(text)
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that the memo lacks, which keeps them."""
+        held, made, fresh = self._with_added(chunks), [], {}
+        for c in chunks:
+            word = c.rstrip(MARKS)
+            if len(word) < len(c) and c not in held and _latin(word[1:] if word[:1] == "\n" else word):
+                made.append((c, word, marks := "\n" + c[len(word) :]))  # the punctuation has its ids after a line feed's
+                fresh[word] = fresh[marks] = None
+            else:
+                fresh[c] = None
+        fresh = [c for c in fresh if c not in self.ids]
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            for part in ([c for c in some if "\n" not in c], [c for c in some if "\n" in c]):
+                self.ids.update(zip(part, self._listed([c if c[0] == "\n" else f" {c}" for c in part])))
+        ids, skip = self.ids, 4 * len(self.feed)
+        for c, word, marks in made:
+            ids[c] = ids[word] + ids[marks][skip:]
+        return [ids[c] for c in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cuts:
             return self._each(texts)
-        cuts = [self._cut(t) for t in texts]
-        firsts = self._each([c[0] for c in cuts])
-        get, rows, gaps, fresh = self.ids.get, [], [], {}
-        for c in cuts:
-            c[0] = ""  # its ids come first
-            row = list(map(get, c))
-            rows.append(row)
-            gaps.append([i for i, ids in enumerate(row) if ids is None])
-            fresh.update((c[i], None) for i in gaps[-1])
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            spaced = [c for c in some if "\n" not in c]
-            odd = [c for c in some if "\n" in c]
-            self.ids.update(zip(spaced, self._listed([f" {c}" for c in spaced])))
-            self.ids.update(zip(odd, self._each([c if c[0] == "\n" else f" {c}" for c in odd])))
-        for first, c, row, empty in zip(firsts, cuts, rows, gaps):
-            row[0] = first
-            for i in empty:
-                row[i] = self.ids[c[i]]
+        plain = [self._plain(t) for t in texts]
+        odd = [SEAM.split(t) for t, p in zip(texts, plain) if not p]
+        firsts = self._each([c[0] for c in odd])
+        # Plain texts are cut at once, each after a line feed, whose ids go again; the empty string before them has no ids.
+        spaced = "".join([f"\n{t}" for t, p in zip(texts, plain) if p]).replace("\n", " \n")
+        chunks = pa.concat_arrays([pc.split_pattern(pa.array([spaced], pa.large_string()), " ").flatten(), pa.array([c for x in odd for c in x[1:]], pa.large_string())]).dictionary_encode()
+        known = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.ids.get, known))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(gaps, self._learn([known[i] for i in gaps])):
+            ids[i] = x
         if len(self.ids) > MEMO:  # chunks met early are those met often
             self.ids = dict(islice(self.ids.items(), MEMO // 2))
-        return [b"".join(row) for row in rows]
+        sizes, at = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, chunks.indices.to_numpy()
+        starts, took = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.cumsum(took)
+        raw = np.frombuffer(b"".join(ids), "<u4")[np.arange(ends[-1]) + np.repeat(starts - (ends - took), took)].tobytes()
+        counts = [t.count(" ") + t.count("\n") + 1 for t, p in zip(texts, plain) if p] + [len(c) - 1 for c in odd]
+        cuts = (4 * ends[np.cumsum([0, *counts])]).tolist()
+        own = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        first, rest, skip = iter(own), zip(firsts, own[len(texts) - len(odd) :]), 4 * len(self.feed)
+        return [next(first)[skip:] if p else b"".join(next(rest)) for p in plain]
+
+
+def _latin(word: str) -> bool:
+    """Whether word is Latin letters alone."""
+    return word.isalpha() and (word.isascii() or LATIN.fullmatch(word) is not None)
+
+
+def _parts(found: list[list[int]]) -> list[bytes]:
+    """Each list of ids as little-endian unsigned 32-bit integers."""
+    raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+    ends = list(accumulate([4 * len(f) for f in found]))
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -148,6 +204,21 @@ def _encoder(raw: str) -> ChunkEncoder:
     return _encoders[key]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """The ids and texts of rows in order, as many at once as have AT_ONCE characters."""
+    docs, texts, size = [], [], 0
+    for batch in slices(batches):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if size and size + len(text) > AT_ONCE:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+            docs.append(doc)
+            texts.append(text)
+            size += len(text)
+    if docs:
+        yield docs, texts
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, block: int = BLOCK, planes: int = 4) -> None:
     """Encode every text of docs(doc_id, text), append end_id, write the chunks.
 
@@ -181,8 +252,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, bloc
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names)
 
         names = [x.split()[0] for x in CHUNKS.split(", ")]
-        for batch in slices(batches):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+        for docs, texts in _groups(batches):
+            for doc, ids in zip(docs, encoder.encode(texts)):
                 left, ids = len(ids) // 4 + 1, ids + end
                 while left:
                     room = block - len(held) // 4

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -106,6 +107,45 @@ def test_texts_are_cut_between_words_only():
         assert encoder._cut(text) == (text.replace("\n", " \n").split(" ") if plain else token_planes.SEAM.split(text))
 
 
+def test_words_are_encoded_without_their_punctuation(monkeypatch):
+    tokenizer, encoder, asked = Tokenizer.from_file(JSON), token_planes.ChunkEncoder(open(JSON).read()), []
+    listed = encoder._listed
+    monkeypatch.setattr(encoder, "_listed", lambda texts: asked.extend(texts) or listed(texts))
+    texts = ["so beta, beta. beta;\nbeta!", "beta beta?", "größe größe, (größe)"]
+    for text in texts:
+        assert encoder.encode([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert asked.count(" beta") == asked.count("\nbeta") == asked.count(" größe") == 1
+    assert not {" beta,", " beta.", " beta;", " beta?", " größe,"} & set(asked)
+
+
+@pytest.mark.parametrize("added", [None, "bet", "a,", "%", "\u00e9"])
+def test_words_and_punctuation_have_the_ids_of_whole_texts(added):
+    import json
+    import random
+
+    about = json.loads(open(JSON).read())
+    if added:
+        about["added_tokens"].append(about["added_tokens"][0] | {"id": 50257, "content": added})
+    raw = json.dumps(about)
+    tokenizer, encoder = Tokenizer.from_str(raw), token_planes.ChunkEncoder(raw)
+    assert encoder.cuts
+    rng = random.Random(7)
+    parts = ["beta", "Alpha", "größe", "é", "Éa", "ª", "ǅ", "ɐ", "×", "漢", "x1", "don't", "o'", "'s", "s'", "x's", "_", "a_b", ",", ".", "***", "%%%", "<|", "|>", "<|endoftext|>", "²", "e\u0301", "…"]
+    texts = ["".join(rng.choice(["", " ", " ", " ", "\n", "  "][: 5 if i % 9 else 6]) + rng.choice(parts) for _ in range(rng.randint(1, 20))) for i in range(4000)]
+    for at in range(0, len(texts), 400):
+        some = texts[at : at + 400]
+        assert encoder.encode(some) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
+def test_texts_are_gathered_in_order(monkeypatch):
+    monkeypatch.setattr(token_planes, "AT_ONCE", 10)
+    texts = ["", "abc", "x" * 50, "", "abcd", "abcdef", "a", "", "abcdefghi"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(a, b)), "text": texts[a:b]}) for a, b in ((0, 4), (4, 9))]
+    groups = list(token_planes._groups(iter(batches)))
+    assert [t for _, g in groups for t in g] == texts and [d for g, _ in groups for d in g] == list(range(9))
+    assert all(sum(map(len, g)) <= 10 or max(map(len, g)) > 10 and sum(map(len, g)) == 50 for _, g in groups) and not list(token_planes._groups(iter([])))
+
+
 def test_token_files_of_nothing(spark):
     path = scratch(spark, "ids")
     token_planes.write_ids(documents(spark, []), path, JSON, 2)
