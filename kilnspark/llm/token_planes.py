@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kilnspark.llm.common import slices, text_of
 
 #: Ids of a block, chunks of text kept in a worker's memo, and characters of the texts encoded at once (a longer text stands alone).
-BLOCK, MEMO, AT_ONCE = 65_536, 1_000_000, 4_000_000
+BLOCK, MEMO, AT_ONCE = 65_536, 1_000_000, 2_000_000
 CHUNKS = "shard int, chunk int, first long, n_ids int, planes int, plane_ends array<int>, payload binary, doc_nos array<int>, doc_ids array<long>, parts array<int>"
 
 
